@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .op03_sharding import op3_sharding
+from .op10_ngram_join import op10_ngram_jaccard_join
 
-QUERIES = {"op3_sharding": op3_sharding}
+QUERIES = {"op3_sharding": op3_sharding, "op10_ngram_jaccard_join": op10_ngram_jaccard_join}
 ORACLE_SQL: dict[str, str] = {}
