@@ -28,22 +28,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-@lru_cache(maxsize=1)
-def word_table() -> np.ndarray:
-    """Which code points of the first plane are letters or digits."""
-    return np.array([chr(i).isalnum() for i in range(0x10000)])
-
-
-@lru_cache(maxsize=1)
-def letter_table() -> np.ndarray:
-    return np.array([chr(i).isalpha() for i in range(0x10000)])
+@lru_cache(maxsize=2)
+def _plane(kind: str) -> np.ndarray:
+    return np.array([getattr(chr(i), kind)() for i in range(0x10000)])
 
 
-def lookup(table: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Code points beyond the first plane count as letters."""
-    out = table[np.minimum(codes, 0xFFFF)]
+def chars_are(kind: str, codes: np.ndarray) -> np.ndarray:
+    """What the string method `kind` (isalnum, isalpha) says of each code point."""
+    out = _plane(kind)[np.minimum(codes, 0xFFFF)]
     if codes.size and int(codes.max()) > 0xFFFF:
-        out = out | (codes > 0xFFFF)
+        at = np.flatnonzero(codes > 0xFFFF)
+        values, back = np.unique(codes[at], return_inverse=True)
+        out[at] = np.array([getattr(chr(v), kind)() for v in values.tolist()])[back]
     return out
 
 
@@ -63,11 +59,11 @@ def codes_of(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 
 
-def buffers(texts: Sequence[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts to join."""
+def buffers(texts: Sequence[str], most: int = 1 << 30) -> Iterator[tuple[int, int]]:
+    """Ranges of texts to join, of at most `most` texts."""
     start, size = 0, 0
     for i, t in enumerate(texts):
-        if i > start and size + len(t) > LIMIT:
+        if i > start and (size + len(t) > LIMIT or i - start >= most):
             yield start, i
             start, size = i, 0
         size += len(t) + 1
@@ -87,12 +83,11 @@ def prefix_hash(codes: np.ndarray) -> np.ndarray:
 def word_hashes(texts: Sequence[str]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each buffer: the index of its first text, the hashes of its words in order, and
     for each of its texts where its words begin in that array (one more entry at the end)."""
-    table = word_table()
     for lo, hi in buffers(texts):
         joined = "\x00".join(texts[lo:hi])
         codes = codes_of(joined)
         flags = np.zeros(codes.size + 2, np.int8)
-        flags[1:-1] = lookup(table, codes)
+        flags[1:-1] = chars_are("isalnum", codes)
         edge = np.diff(flags)
         begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         s = prefix_hash(codes)
