@@ -323,5 +323,18 @@ def ngram_jaccard_join(docs: DataFrame, small: int = SMALL) -> DataFrame:
     return sketched.select("doc_id", "key").join(table, "key").select("doc_id", "class_id", "copy_id", "n_copies", "n_links")
 
 
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of `docs`, with all their columns, less all but one of each group: the row with the
+    smallest id stays (of several rows with that id, any one)."""
+    heads = ngram_jaccard_join(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").count()
+    heads = materialize(heads.select(F.col("class_id").alias("_head"), F.col("count").alias("_rows")), "heads")
+    kept = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("_head")), "left_semi")
+    if heads.where("_rows > 1").isEmpty():
+        return kept
+    once = docs.join(heads.where("_rows = 1"), F.col("doc_id").eqNullSafe(F.col("_head")), "left_semi")
+    more = docs.join(heads.where("_rows > 1"), F.col("doc_id").eqNullSafe(F.col("_head")), "left_semi")
+    return once.unionByName(more.dropDuplicates(["doc_id"]))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(documents(spark, sf_dir))

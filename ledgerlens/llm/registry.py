@@ -2,8 +2,23 @@
 
 from __future__ import annotations
 
+from corpus_pipeline import ORACLE_SQL as PIPELINE_SQL
+from corpus_pipeline import run as pipeline
+
 from .op03_sharding import op3_sharding
+from .op04_decontamination import op4_decontamination
+from .op06_language_id import op6_language_id
+from .op08_mixing import op8_mixing
 from .op10_ngram_join import op10_ngram_jaccard_join
 
-QUERIES = {"op3_sharding": op3_sharding, "op10_ngram_jaccard_join": op10_ngram_jaccard_join}
+QUERIES = {
+    "op3_sharding": op3_sharding,
+    "op4_decontamination": op4_decontamination,
+    "op6_language_id": op6_language_id,
+    "op8_mixing": op8_mixing,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "pipeline": pipeline,
+}
 ORACLE_SQL: dict[str, str] = {}
+if PIPELINE_SQL:
+    ORACLE_SQL["pipeline"] = PIPELINE_SQL
