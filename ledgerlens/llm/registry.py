@@ -5,6 +5,8 @@ from __future__ import annotations
 from corpus_pipeline import ORACLE_SQL as PIPELINE_SQL
 from corpus_pipeline import run as pipeline
 
+from .op02_license_scan import ORACLE_SQL as LICENSE_SQL
+from .op02_license_scan import op2_license_scan
 from .op03_sharding import op3_sharding
 from .op04_decontamination import op4_decontamination
 from .op06_language_id import op6_language_id
@@ -12,6 +14,7 @@ from .op08_mixing import op8_mixing
 from .op10_ngram_join import op10_ngram_jaccard_join
 
 QUERIES = {
+    "op2_license_scan": op2_license_scan,
     "op3_sharding": op3_sharding,
     "op4_decontamination": op4_decontamination,
     "op6_language_id": op6_language_id,
@@ -19,6 +22,6 @@ QUERIES = {
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
     "pipeline": pipeline,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_license_scan": LICENSE_SQL}
 if PIPELINE_SQL:
     ORACLE_SQL["pipeline"] = PIPELINE_SQL
