@@ -6,9 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from .plans import market
+from .plans.stages import Query
+
+_DECLARED: dict[str, Query] = {**market.QUERIES}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: q.run for name, q in _DECLARED.items()}
+ORACLE_SQL: dict[str, str] = {name: q.to_sql() for name, q in _DECLARED.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet").limit(0)
+    return market.FLAGSHIP.run(spark, sf_dir)
