@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import market
+from .plans import market, scoring
 from .plans.stages import Query
 
-_DECLARED: dict[str, Query] = {**market.QUERIES}
+_DECLARED: dict[str, Query] = {**market.QUERIES, **scoring.QUERIES}
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: q.run for name, q in _DECLARED.items()}
 ORACLE_SQL: dict[str, str] = {name: q.to_sql() for name, q in _DECLARED.items()}
