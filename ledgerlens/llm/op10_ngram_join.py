@@ -328,6 +328,8 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     smallest id stays (of several rows with that id, any one)."""
     heads = ngram_jaccard_join(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").count()
     heads = materialize(heads.select(F.col("class_id").alias("_head"), F.col("count").alias("_rows")), "heads")
+    # one row per document that stays: as large as the corpus, so it is never broadcast
+    heads = heads.hint("merge")
     kept = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("_head")), "left_semi")
     if heads.where("_rows > 1").isEmpty():
         return kept
