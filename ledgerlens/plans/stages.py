@@ -29,7 +29,8 @@ def last(n: int) -> str:
 
 
 def pick(e: Expr, spark: bool) -> str:
-    return e if isinstance(e, str) else e[0 if spark else 1]
+    chosen = e if isinstance(e, str) else e[0 if spark else 1]
+    return chosen.replace("starts_with(", "startswith(") if spark else chosen
 
 
 @dataclass(frozen=True)
@@ -67,6 +68,7 @@ class Query:
     where: Expr | None = None
     final: Expr | None = None
     tables: tuple[str, ...] = ("orders",)
+    replaces: tuple[str, ...] = ()  # columns of the source that a stage redefines
 
     def _columns(self, spark: bool) -> list[str]:
         """Dates are returned as text, which every engine writes alike."""
@@ -88,7 +90,7 @@ class Query:
         return spark.sql(_named(self._final(True), {"t": df}), t=df)
 
     def to_sql(self) -> str:
-        parts, prev, seen = [f"s0 AS ({pick(self.source, False)})"], "s0", set()
+        parts, prev, seen = [f"s0 AS ({pick(self.source, False)})"], "s0", set(self.replaces)
         for k, s in enumerate(self.stages, 1):
             new = ", ".join(f"{pick(e, False)} AS {n}" for n, e in s.columns.items())
             again = sorted(seen & s.columns.keys())
@@ -99,7 +101,8 @@ class Query:
             parts.append(f"s{k} AS ({body})")
             prev = f"s{k}"
         parts.append(f"t AS (SELECT * FROM {prev})")
-        return "WITH " + ",\n".join(parts) + "\n" + self._final(False)
+        final = self._final(False)
+        return "WITH " + ",\n".join(parts) + (",\n" + final[5:] if final.startswith("WITH ") else "\n" + final)
 
 
 def _named(sql: str, frames: dict[str, DataFrame]) -> str:
