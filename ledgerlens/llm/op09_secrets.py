@@ -244,5 +244,8 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     def digest(c: str):
         return F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS[:3]]
+    def count(kind: str):
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(k) for k in KINDS[:3]]
     return found.select("doc_id", *counts, F.sha2(digest("base").cast("binary"), 256).alias("base_sha256"), digest("spans").alias("spans"), F.col("guesses").alias("max_log10_guesses"))
