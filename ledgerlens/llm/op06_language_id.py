@@ -44,15 +44,18 @@ def gram_counts(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray, np.n
     """For each buffer: the index of its first text, n-gram counts and letters per text."""
     lowered = [(t or "").lower() for t in texts]
     for lo, hi in buffers(lowered, _DOCS):
-        codes = codes_of("\x00".join(lowered[lo:hi]))
-        if not codes.size:
-            yield lo, np.zeros((hi - lo, DIMS), np.float32), np.zeros(hi - lo, np.int64)
-            continue
+        codes = codes_of("\x00" + "".join(t + "\x00" for t in lowered[lo:hi]))
         letter = chars_are("isalpha", codes)
-        doc = np.repeat(np.arange(hi - lo, dtype=np.int32), [len(t) + 1 for t in lowered[lo:hi]])[: codes.size]
-        kept = letter.copy()
-        kept[1:] |= letter[:-1]  # the first of the characters after a word stands for the edge
-        c, doc = np.where(letter, codes, 0)[kept].astype(np.uint64), doc[kept]
+        doc = np.concatenate([[0], np.repeat(np.arange(hi - lo, dtype=np.int32), [len(t) + 1 for t in lowered[lo:hi]])])
+        # letters, and one edge before, between and after words (texts next to each other share one)
+        near = letter.copy()
+        near[1:] |= letter[:-1]
+        near[:-1] |= letter[1:]
+        c, doc, letter = codes[near].astype(np.uint64), doc[near], letter[near]
+        once = letter.copy()
+        once[:1] = True
+        once[1:] |= letter[:-1]
+        c, doc = np.where(letter, c, np.uint64(0))[once], doc[once]
         inner = c != 0
         place = [np.empty(0, np.int64)]
         h = c * np.uint64(0x9E3779B97F4A7C15)
