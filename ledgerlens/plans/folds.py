@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import folds
 from ..operators import recurrences as rec
 from ..sources.tables import BARS
+from ..streaming.bars import event_bars
 from .stages import _named
 
 
@@ -46,7 +48,28 @@ def q_p15_zigzag(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rec.zigzag(bars(spark, sf_dir), 0.5).select("symbol", "pivot_no", F.col("dt").cast("string").alias("dt"), "price", "kind")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (q_i02_ema, q_i09_macd, q_i16_macd_phase, q_t03_opposing_macd, q_p15_zigzag)}
+def q_st01_event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = event_bars(spark.read.parquet(f"{sf_dir}/events.parquet"))
+    return out.select("symbol", F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "open", "high", "low", "close", "volume", F.round("amount", 4).alias("amount"))
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def q_x17_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.chunk_pack(_documents(spark, sf_dir))
+
+
+def q_e05_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.selection_batches(_documents(spark, sf_dir))
+
+
+def q_l07_prose_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return folds.prose_blocks(_documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (q_i02_ema, q_i09_macd, q_i16_macd_phase, q_t03_opposing_macd, q_p15_zigzag, q_st01_event_bars, q_x17_chunks, q_e05_batches, q_l07_prose_blocks)}
 
 
 def _fold(values: str, span: int) -> str:
@@ -62,4 +85,7 @@ h AS (SELECT symbol, dt, macd, {_fold('ms', 9)} AS macd_signal, macd - {_fold('m
 ORACLE_SQL = {
     "q_i02_ema": f"WITH {_LINES} SELECT symbol, CAST(dt AS VARCHAR) AS dt, round(ema12, 4) AS ema12, round(ema26, 4) AS ema26 FROM e",
     "q_i09_macd": f"WITH {_LINES} SELECT symbol, CAST(dt AS VARCHAR) AS dt, round(macd, 4) AS macd, round(macd_signal, 4) AS macd_signal, round(macd_hist, 4) AS macd_hist FROM h",
+    "q_i16_macd_phase": f"WITH {_LINES}, p AS (SELECT symbol, dt, macd_hist AS h, lag(macd_hist) OVER (PARTITION BY symbol ORDER BY dt) AS p FROM h) SELECT symbol, CAST(dt AS VARCHAR) AS dt, CASE WHEN p IS NULL OR h = p THEN 'unconfirmed' WHEN h > 0 AND h > p THEN 'bull_expanding' WHEN h > 0 THEN 'bull_shrinking' WHEN h < p THEN 'bear_expanding' ELSE 'bear_shrinking' END AS phase FROM p",
+    "q_t03_opposing_macd": f"WITH {_LINES}, p AS (SELECT symbol, dt, macd_hist AS h, lag(macd_hist) OVER (PARTITION BY symbol ORDER BY dt) AS p1, lag(macd_hist, 2) OVER (PARTITION BY symbol ORDER BY dt) AS p2 FROM h) SELECT symbol, CAST(dt AS VARCHAR) AS dt, coalesce(h < p1 AND p1 < p2, false) AS falling, coalesce(h > p1 AND p1 > p2, false) AS rising FROM p",
+    "q_st01_event_bars": "SELECT event_type AS symbol, strftime(time_bucket(INTERVAL '1 hour', ts), '%Y-%m-%d %H:%M') AS start, min_by(value, ts) AS open, max(value) AS high, min(value) AS low, max_by(value, ts) AS close, count(*) AS volume, round(sum(value), 4) AS amount FROM events GROUP BY event_type, time_bucket(INTERVAL '1 hour', ts)",
 }

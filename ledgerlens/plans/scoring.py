@@ -143,7 +143,8 @@ FROM t GROUP BY symbol""",
         f"""WITH q AS ({QUOTES}),
 m AS (SELECT code, industry, 'price' AS metric, price AS v FROM q UNION ALL SELECT code, industry, 'mcap', mcap FROM q UNION ALL SELECT code, industry, 'eps_this', eps_this FROM q
   UNION ALL SELECT code, industry, 'eps_next', eps_next FROM q UNION ALL SELECT code, industry, 'revenue', revenue FROM q),
-p AS (SELECT code, peer, industry, row_number() OVER (PARTITION BY code ORDER BY peer) AS peer_rank FROM (SELECT a.code, b.code AS peer, a.industry FROM q a JOIN q b ON a.industry = b.industry AND a.code <> b.code) x),
+c AS (SELECT code, industry, row_number() OVER (PARTITION BY industry ORDER BY code) AS pos FROM q),
+p AS (SELECT a.code, b.code AS peer, a.industry, row_number() OVER (PARTITION BY a.code ORDER BY b.code) AS peer_rank FROM c a JOIN c b ON a.industry = b.industry AND b.pos <= 5 AND a.code <> b.code),
 j AS (SELECT p.code, p.peer, p.peer_rank, t.metric, t.v AS target_value, r.v AS peer_value FROM p JOIN m t ON t.code = p.code JOIN m r ON r.code = p.peer AND r.metric = t.metric WHERE t.v IS NOT NULL AND r.v IS NOT NULL AND p.peer_rank <= 4),
 k AS (SELECT *, row_number() OVER (PARTITION BY code, metric ORDER BY peer_rank) AS rk FROM j),
 l AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY metric, rk) AS pos FROM k WHERE rk <= 2)
