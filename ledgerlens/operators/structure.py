@@ -30,26 +30,24 @@ TERMINAL_SHOCK = (
 )
 
 WEEKLY_TREND = (
-    stage(ma5=f"avg(close) {last(5)}", ma10=f"avg(close) {last(10)}", n_weeks=f"row_number() {over()}"),
+    stage(w5=f"avg(close) {last(5)}", w10=f"avg(close) {last(10)}", w20=f"avg(close) {last(20)}", n_weeks=f"row_number() {over()}"),
     stage(
-        _above="CASE WHEN close > ma5 AND close > ma10 THEN 1 ELSE 0 END",
-        _below="CASE WHEN close < ma5 AND close < ma10 THEN 1 ELSE 0 END",
-        _s5=f"ma5 / nullif(lag(ma5, 3) {PREV}, 0) - 1",
-        _s10=f"ma10 / nullif(lag(ma10, 3) {PREV}, 0) - 1",
-        _side="CASE WHEN close >= ma10 THEN 1 ELSE -1 END",
+        w_above="CASE WHEN close > w5 AND close > w10 THEN 1 ELSE 0 END",
+        w_below="CASE WHEN close < w5 AND close < w10 THEN 1 ELSE 0 END",
+        w_s5=f"w5 / nullif(lag(w5, 3) {PREV}, 0) - 1",
+        w_s10=f"w10 / nullif(lag(w10, 3) {PREV}, 0) - 1",
+        w_c5=f"(close - w5) * lag(close - w5) {PREV}",
+        w_c10=f"(close - w10) * lag(close - w10) {PREV}",
     ),
-    stage(_cross=f"CASE WHEN _side <> lag(_side) {PREV} THEN 1 ELSE 0 END"),
-    stage(above6=f"CAST(sum(_above) {last(6)} AS BIGINT)", below6=f"CAST(sum(_below) {last(6)} AS BIGINT)", crosses=f"CAST(sum(_cross) {last(10)} AS BIGINT)", gap="abs(ma5 - ma10) / nullif(ma10, 0)"),
-    stage(weekly_trend="CASE WHEN n_weeks < 20 THEN 'unknown' WHEN above6 >= 5 AND ma5 > ma10 AND _s5 > 0 AND _s10 > 0 THEN 'up' WHEN below6 >= 5 AND ma5 < ma10 AND _s5 < 0 AND _s10 < 0 THEN 'down' WHEN crosses >= 3 OR gap < 0.02 THEN 'ranging' ELSE 'repairing' END"),
-)
-
-CHANNEL_N = 40
-CHANNEL = (
-    RANK,
-    stage(where=f"back <= {CHANNEL_N}"),
+    stage(
+        above6=f"CAST(sum(w_above) {last(6)} AS BIGINT)",
+        below6=f"CAST(sum(w_below) {last(6)} AS BIGINT)",
+        crosses=f"CAST(sum(CASE WHEN w_c5 < 0 OR w_c10 < 0 THEN 1 ELSE 0 END) {last(10)} AS BIGINT)",
+        w_gap="coalesce(abs(w5 - w10) / nullif(w10, 0), 0)",
+    ),
+    stage(weekly_trend="CASE WHEN n_weeks < 20 THEN 'unknown' WHEN above6 >= 5 AND w5 > w10 AND w10 > w20 AND w_s5 > 0 AND w_s10 > 0 THEN 'up' WHEN below6 >= 5 AND w5 < w10 AND w10 < w20 AND w_s5 < 0 AND w_s10 < 0 THEN 'down' WHEN crosses >= 3 OR w_gap < 0.02 THEN 'ranging' ELSE 'repairing' END"),
 )
 
-
 def levels_source(bars: str, lookback: int = 250) -> tuple[str, str]:
     """Touches of support and resistance of the last `lookback` bars, in buckets."""
     out = []
@@ -100,6 +98,7 @@ MOMENTUM_EXTREME = (
     stage(momentum_extreme="CASE WHEN greatest(hot, cold) = 0 THEN 'none' WHEN hot >= cold THEN concat('hot_', CAST(hot AS VARCHAR(9))) ELSE concat('cold_', CAST(cold AS VARCHAR(9))) END"),
 )
 
+#: Over bars with the trend of their week.
 TREND_INPUTS = (
     stage(ma5=f"avg(close) {last(5)}", ma10=f"avg(close) {last(10)}", ma20=f"avg(close) {last(20)}", ma60=f"avg(close) {last(60)}", n_bars=f"row_number() {over()}"),
     *ma_direction("ma20"),

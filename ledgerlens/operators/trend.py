@@ -11,44 +11,39 @@ from .structure import TREND_INPUTS
 
 STAGE = stage(
     trend_stage="""CASE
- WHEN ma60_dir = 'down' AND close < ma60 AND close < ma20 THEN 'broken'
- WHEN close < ma60 AND ma60_dir <> 'up' THEN 'near_break'
- WHEN close < ma20 AND ma20_dir = 'down' THEN 'weakening'
- WHEN rsi > 75 AND ma20_dir = 'up' THEN 'high_dull'
- WHEN close > ma5 AND ma5 > ma10 AND ma10 > ma20 AND ma20_dir = 'up' AND adx >= 30 THEN 'accelerating'
- WHEN close > ma20 AND ma20_dir = 'up' AND ma60_dir = 'up' THEN 'advancing'
- WHEN close > ma20 AND ma20_dir <> 'down' THEN 'starting'
- WHEN close < ma20 AND ma60_dir = 'up' THEN 'pullback'
+ WHEN close <= ma60 OR weekly_trend = 'down' THEN 'broken'
+ WHEN close <= ma20 AND ma20_dir IN ('flat', 'down') THEN CASE WHEN weekly_trend = 'ranging' AND ma60_dir = 'up' THEN 'near_break' ELSE 'weakening' END
+ WHEN close > ma20 * 1.05 AND rsi > 70 AND boll_state = 'opening' THEN 'high_dull'
+ WHEN close > ma20 * 1.03 AND boll_state = 'opening' THEN 'accelerating'
+ WHEN close > ma20 AND ma20_dir = 'up' AND ma60_dir IN ('up', 'flat') THEN 'advancing'
+ WHEN close > ma20 AND weekly_trend IN ('repairing', 'ranging') THEN 'starting'
+ WHEN close <= ma20 AND ma20_dir = 'up' AND ma60_dir = 'up' THEN 'pullback'
  ELSE 'ranging' END"""
 )
-TREND_STAGE = (*TREND_INPUTS, STAGE)
+TREND_STAGE = (*BOLL_STATE, *TREND_INPUTS, STAGE)
 STAGE_CHANGE = (*TREND_STAGE, stage(previous_stage=f"lag(trend_stage) {PREV}"), stage(stage_change="CASE WHEN previous_stage IS NULL THEN 'first' WHEN previous_stage = trend_stage THEN 'same' ELSE concat(previous_stage, '>', trend_stage) END"))
 
 VOLUME_SCORE = stage(
-    volume_score="""CASE WHEN volume_ratio IS NULL THEN 4
- WHEN volume_ratio >= 1.5 THEN CASE volume_side WHEN 'bullish' THEN 9 WHEN 'bearish' THEN 0 ELSE 4 END
- WHEN volume_ratio >= 1.2 THEN CASE volume_side WHEN 'bullish' THEN 7 WHEN 'bearish' THEN 2 ELSE 4 END
- WHEN volume_ratio >= 0.8 THEN CASE volume_side WHEN 'bullish' THEN 5 WHEN 'bearish' THEN 3 ELSE 4 END
- ELSE CASE volume_side WHEN 'bullish' THEN 3 WHEN 'bearish' THEN 5 ELSE 4 END END"""
+    volume_score="""CASE WHEN volume_ratio IS NULL OR volume_side IN ('mixed', 'unknown') THEN 5
+ WHEN volume_side = 'bullish' THEN CASE WHEN volume_ratio >= 1.5 THEN 9 WHEN volume_ratio >= 1.2 THEN 7 WHEN volume_ratio >= 0.8 THEN 6 ELSE 4 END
+ ELSE CASE WHEN volume_ratio >= 1.5 THEN 1 WHEN volume_ratio >= 1.2 THEN 3 WHEN volume_ratio >= 0.8 THEN 4 ELSE 5 END END"""
 )
 
-#: Points: averages 20/12/12/8/5, structure 12/5, volume 0-9, weekly proxy by the 60-bar average 25/10/5, less heat.
+#: Points: the week 25/10/5, the 20-bar average 20/12/12/8/5, structure 5, volume 1-9, bands 7/5, less heat 5 and 3.
 HEALTH = (
     *TREND_STAGE,
     *VOLUME_CONTEXT,
     VOLUME_SCORE,
     *bias(5),
-    stage(_low20=f"min(low) {last(20)}", _low20b=f"min(low) {over('39 PRECEDING AND 20 PRECEDING')}"),
     stage(
-        _pts="""CASE ma60_dir WHEN 'up' THEN 25 WHEN 'flat' THEN 10 WHEN 'unknown' THEN 5 ELSE 0 END
- + CASE WHEN close > ma60 THEN 20 ELSE 0 END + CASE WHEN close > ma20 THEN 12 ELSE 0 END + CASE WHEN ma20_dir = 'up' THEN 12 ELSE 0 END
- + CASE WHEN ma5 > ma10 THEN 8 ELSE 0 END + CASE WHEN close > ma5 THEN 5 ELSE 0 END
- + CASE WHEN _low20b IS NULL THEN 5 WHEN _low20 > _low20b THEN 12 ELSE 0 END
- + volume_score - CASE WHEN rsi > 75 THEN 5 ELSE 0 END - CASE WHEN bias5 > 5 THEN 3 ELSE 0 END"""
+        _pts="""CASE weekly_trend WHEN 'up' THEN 25 WHEN 'ranging' THEN 10 ELSE 5 END
+ + CASE WHEN ma20_dir = 'up' AND close > ma20 THEN 20 WHEN ma20_dir = 'up' THEN 12 WHEN ma20_dir = 'flat' AND close > ma20 THEN 12 WHEN ma20_dir = 'flat' THEN 8 ELSE 5 END
+ + 5 + volume_score + CASE WHEN boll_state = 'opening' THEN 7 ELSE 5 END
+ - CASE WHEN rsi > 75 THEN 5 ELSE 0 END - CASE WHEN bias5 > 5 THEN 3 ELSE 0 END"""
     ),
-    stage(_clamped="least(greatest(_pts, 0), 100)"),
-    stage(health="CAST(CASE WHEN ma60_dir = 'up' AND close > ma60 AND _clamped < 50 THEN least(50, _clamped + 15) ELSE _clamped END AS INTEGER)"),
-    stage(health_grade="CASE WHEN health >= 80 THEN 'A' WHEN health >= 65 THEN 'B' WHEN health >= 50 THEN 'C' WHEN health >= 30 THEN 'D' ELSE 'E' END"),
+    stage(_clamped="least(greatest(_pts, 0), 100)", _held="ma60_dir = 'up' AND close > ma60"),
+    stage(health="CAST(CASE WHEN _held AND _clamped < 50 THEN least(50, _clamped + 15) ELSE _clamped END AS INTEGER)"),
+    stage(health_grade="CASE WHEN health >= 80 THEN 'A' WHEN health >= 65 THEN 'B' WHEN health >= 50 THEN 'C' WHEN health >= 30 THEN CASE WHEN _held THEN 'C' ELSE 'D' END ELSE 'E' END"),
 )
 
 SELL_FACTORS = (
@@ -58,12 +53,15 @@ SELL_FACTORS = (
     stage(sell_action="CASE WHEN sell_factors >= 2 THEN 'sell' WHEN sell_factors = 1 THEN 'reduce' ELSE 'hold' END"),
 )
 
+#: The 60-bar average, or the lowest low of the last 60 bars where there is none.
 INVALIDATION = (
+    *BOLL_STATE,
     *TREND_INPUTS,
-    stage(level="coalesce(CASE WHEN n_bars >= 60 THEN ma60 END, ma20)", level_kind="CASE WHEN n_bars >= 60 THEN 'ma60' ELSE 'ma20' END"),
+    stage(_support=f"min(low) {over('60 PRECEDING AND 1 PRECEDING')}"),
+    stage(level="CASE WHEN ma60 > 0 THEN ma60 ELSE _support END", level_kind="CASE WHEN ma60 > 0 THEN 'ma60' ELSE 'support' END"),
     stage(
         invalidation="CASE WHEN level IS NULL THEN 'unknown' WHEN close < level THEN 'broken' WHEN close < 1.03 * level THEN 'near_above' ELSE 'safe' END",
-        distance_pct="CASE WHEN close < level THEN (close - level) / nullif(level, 0) * 100 ELSE (close - level) / nullif(close, 0) * 100 END",
+        distance_pct="CASE WHEN level_kind = 'ma60' THEN (close - level) / nullif(level, 0) * 100 ELSE (close - level) / nullif(close, 0) * 100 END",
     ),
 )
 
@@ -125,29 +123,34 @@ STRATEGY = (
     stage(staged_entry="coalesce(bottoming IN ('candidate', 'strengthened') AND trend_stage <> 'broken' AND close >= ma5 AND level IS NOT NULL, false)"),
 )
 
+#: A pattern is a neckline (the highest high 30 to 6 bars back) once there are 30 bars; without one only the swing counts.
 TARGET = (
     *TREND_INPUTS,
-    stage(_lo=f"min(low) {last(60)}", _hi=f"max(high) {last(60)}", _neck=f"max(high) {over('30 PRECEDING AND 6 PRECEDING')}", _base=f"min(low) {over('30 PRECEDING AND 1 PRECEDING')}"),
-    stage(bull="plus_di > minus_di", daily_trend="CASE WHEN adx > 25 AND plus_di > minus_di THEN 'up' WHEN adx > 25 AND plus_di < minus_di THEN 'down' ELSE 'ranging' END"),
-    stage(
-        fib_1382="_hi + (_hi - _lo) * 0.382",
-        fib_1618="_hi + (_hi - _lo) * 0.618",
-        measured="CASE WHEN bull THEN _neck + abs(_neck - _base) ELSE _neck - abs(_neck - _base) END",
-    ),
+    stage(_lo=f"min(low) {last(60)}", _hi=f"max(high) {last(60)}", _neck0=f"max(high) {over('30 PRECEDING AND 6 PRECEDING')}", _base=f"min(low) {over('30 PRECEDING AND 1 PRECEDING')}", _adx1=f"lag(adx) {PREV}"),
+    stage(bull="plus_di > minus_di", daily_trend="CASE WHEN adx > 25 AND plus_di > minus_di THEN 'up' WHEN adx > 25 AND plus_di < minus_di THEN 'down' ELSE 'ranging' END", _neck="CASE WHEN n_bars >= 30 THEN _neck0 END"),
+    stage(fib_1000="_hi", fib_1272="_hi + (_hi - _lo) * 0.272", fib_1618="_hi + (_hi - _lo) * 0.618", measured="CASE WHEN bull THEN _neck + abs(_neck - _base) ELSE _neck - abs(_neck - _base) END"),
     stage(
-        converged="coalesce(abs(fib_1382 - measured) / nullif(greatest(abs(fib_1382), abs(measured)), 0) <= 0.03, false)",
-        conservative="CASE WHEN bull THEN least(measured, fib_1382) ELSE greatest(measured, 0) END",
-        aggressive="CASE WHEN bull THEN least(greatest(measured, fib_1618), 1.5 * close) ELSE least(measured, close) END",
+        converged="coalesce(abs(fib_1272 - measured) / nullif(greatest(abs(fib_1272), abs(measured)), 0) <= 0.03, false)",
+        conservative="CASE WHEN bull AND _neck IS NOT NULL THEN least(measured, fib_1000) WHEN bull THEN fib_1000 WHEN _neck IS NOT NULL THEN measured ELSE close * 0.95 END",
+        base_target="CASE WHEN _neck IS NOT NULL THEN measured WHEN bull THEN fib_1272 ELSE close * 0.90 END",
+        aggressive_raw="CASE WHEN bull AND _neck IS NOT NULL THEN measured * 1.3 WHEN bull THEN fib_1618 WHEN _neck IS NOT NULL THEN measured * 0.85 ELSE close * 0.85 END",
     ),
+    stage(aggressive="least(aggressive_raw, 1.5 * close)", is_far="aggressive_raw > 1.5 * close"),
     stage(trigger="CASE WHEN bull THEN _neck + 0.3 * atr14 ELSE _neck - 0.3 * atr14 END", stop="CASE WHEN bull THEN _neck - 1.5 * atr14 ELSE _neck + 1.5 * atr14 END"),
     stage(profit_risk="abs(conservative - trigger) / nullif(abs(trigger - stop), 0)", right_side="CASE WHEN bull THEN conservative > trigger ELSE conservative < trigger END"),
     stage(passes_filter="coalesce(profit_risk >= 1.5 AND right_side, false)"),
     stage(
+        resonance_points="CASE WHEN (weekly_trend = 'up') = bull AND weekly_trend <> 'unknown' THEN 10 ELSE 5 END",
+        pattern_points="CASE WHEN _neck IS NULL THEN 3 WHEN profit_risk >= 2 THEN 8 ELSE 5 END",
         adx_points="CASE WHEN adx > 30 THEN 10 WHEN adx > 25 THEN 7 WHEN adx > 20 THEN 4 ELSE 0 END",
         momentum_points="CASE WHEN rsi BETWEEN 40 AND 70 THEN 8 ELSE 4 END",
-        pattern_points="CASE WHEN profit_risk >= 2 THEN 8 WHEN profit_risk >= 1 THEN 5 ELSE 2 END",
+        _mult="(CASE WHEN adx > _adx1 THEN 0.85 WHEN adx < _adx1 THEN 1.25 ELSE 1.0 END) * (CASE WHEN rsi > 65 THEN 1.1 WHEN rsi < 40 THEN 0.9 ELSE 1.0 END)",
+    ),
+    stage(score="CAST(0.30 * resonance_points + 0.20 * pattern_points + 0.15 * adx_points + 0.05 * momentum_points + 0.10 * CASE WHEN converged THEN 10 ELSE 0 END AS DOUBLE)"),
+    stage(
+        target_confidence="CASE WHEN score >= 8 THEN CASE WHEN is_far THEN 'medium' ELSE 'high' END WHEN score >= 6 THEN 'medium' WHEN score >= 4 THEN 'low' ELSE 'watch' END",
+        eta_low="CASE WHEN atr14 > 0 THEN abs(conservative - close) / atr14 * 1.5 * _mult ELSE 0 END",
+        eta_high="CASE WHEN atr14 > 0 THEN abs(conservative - close) / atr14 * 2.0 * _mult ELSE 0 END",
     ),
-    stage(score="CAST(0.30 * adx_points + 0.20 * pattern_points + 0.15 * adx_points + 0.05 * momentum_points + 0.10 * CASE WHEN converged THEN 10 ELSE 0 END AS DOUBLE)"),
-    stage(target_confidence="CASE WHEN score >= 8 THEN 'high' WHEN score >= 6 THEN 'medium' WHEN score >= 4 THEN 'low' ELSE 'none' END", eta_low="abs(conservative - close) / nullif(atr14, 0) * 1.5", eta_high="abs(conservative - close) / nullif(atr14, 0) * 2.0"),
     stage(target_status="CASE WHEN n_bars < 60 THEN 'short_history' WHEN atr14 IS NULL OR adx IS NULL THEN 'no_indicator' WHEN _neck IS NULL THEN 'no_pattern' WHEN NOT coalesce(right_side, false) THEN 'wrong_side' WHEN NOT passes_filter THEN 'poor_ratio' ELSE 'ok' END"),
 )

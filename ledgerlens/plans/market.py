@@ -6,7 +6,7 @@ from ..operators import indicators as ind
 from ..operators import structure as st
 from ..operators import trend as tr
 from ..sources.tables import BARS, FRIDAY, INDEX_BARS, WEEKLY_BARS
-from .stages import Query, last, over, stage
+from .stages import Query, last, nested, over, stage
 
 
 def r6(*cols: str) -> tuple[str, ...]:
@@ -17,6 +17,17 @@ def bars(stages, *select: str, source=BARS, where=None) -> Query:
     return Query(source, tuple(stages), ("symbol", "dt", *select), where)
 
 
+#: Daily bars with the trend of their week.
+TREND_BARS = tuple(
+    f"SELECT d.*, w.weekly_trend FROM ({BARS}) d LEFT JOIN (SELECT symbol AS w_symbol, dt AS w_dt, weekly_trend FROM ({nested(WEEKLY_BARS, st.WEEKLY_TREND, spark)}) v) w ON d.symbol = w.w_symbol AND {FRIDAY[0 if spark else 1]} = w.w_dt"
+    for spark in (True, False)
+)
+
+
+def judged(stages, *select: str, where=None) -> Query:
+    return bars(stages, *select, source=TREND_BARS, where=where)
+
+
 GAPS = (stage(prev_close=f"lag(close) {ind.PREV}"), stage(ratio="close / nullif(prev_close, 0)"), stage(is_gap="coalesce(abs(ratio - 1) > 0.25, false)"))
 
 QUERIES: dict[str, Query] = {
@@ -116,7 +127,7 @@ FROM (SELECT symbol, regr_slope(high, bar) / avg(close) AS slope_high, regr_slop
             for p in (("percentile(high, 0.95)", "percentile(low, 0.05)"), ("quantile_cont(high, 0.95)", "quantile_cont(low, 0.05)"))
         ),
     ),
-    "q_p09_bottoming": bars(tr.STRATEGY, "bottom_score", "bottoming"),
+    "q_p09_bottoming": judged(tr.STRATEGY, "bottom_score", "bottoming"),
     "q_p10_candle_at_level": bars(
         (*ind.CANDLE, *ind.bollinger(), stage(_s=f"min(low) {over('60 PRECEDING AND 1 PRECEDING')}", _r=f"max(high) {over('60 PRECEDING AND 1 PRECEDING')}"),
          stage(near="CASE WHEN abs(close / nullif(_s, 0) - 1) <= 0.03 THEN 'support' WHEN abs(close / nullif(_r, 0) - 1) <= 0.03 THEN 'resistance' WHEN abs(close / nullif(boll_lower, 0) - 1) <= 0.02 THEN 'boll_lower' WHEN abs(close / nullif(boll_upper, 0) - 1) <= 0.02 THEN 'boll_upper' ELSE 'none' END"),
@@ -156,21 +167,21 @@ FROM t GROUP BY symbol""",
         ("symbol", "dt", "kind", "price", "divergence", "back <= 10 AS fresh"),
     ),
     "q_p16_fibonacci": bars((stage(_lo=f"min(low) {last(60)}", _hi=f"max(high) {last(60)}"), stage(fib_1272="_hi + (_hi - _lo) * 0.272", fib_1618="_hi + (_hi - _lo) * 0.618")), *r6("fib_1272", "fib_1618")),
-    "q_p17_fib_convergence": bars(tr.TARGET, *r6("fib_1382", "measured"), "converged"),
-    "q_p18_measured_move": bars(tr.TARGET, "bull", *r6("measured")),
+    "q_p17_fib_convergence": judged(tr.TARGET, *r6("fib_1272", "measured"), "converged"),
+    "q_p18_measured_move": judged(tr.TARGET, "bull", *r6("measured")),
     "q_p19_false_rebound": bars(st.FALSE_REBOUND, "false_rebound", "false_breakout"),
-    "q_j01_trend_stage": bars(tr.TREND_STAGE, "trend_stage"),
-    "q_j02_stage_change": bars(tr.STAGE_CHANGE, "trend_stage", "stage_change"),
-    "q_j03_trend_health": bars(tr.HEALTH, "health", "health_grade"),
+    "q_j01_trend_stage": judged(tr.TREND_STAGE, "trend_stage"),
+    "q_j02_stage_change": judged(tr.STAGE_CHANGE, "trend_stage", "stage_change"),
+    "q_j03_trend_health": judged(tr.HEALTH, "health", "health_grade"),
     "q_j04_volume_score": bars((*ind.VOLUME_CONTEXT, tr.VOLUME_SCORE), "volume_score"),
     "q_j05_bias_extreme": bars((*ind.bias(5), *ind.bias(10), stage(bias_alert="CASE WHEN bias5_high OR bias10_high THEN 'new_high' WHEN bias5_low OR bias10_low THEN 'new_low' ELSE 'none' END")), "bias_alert"),
-    "q_j06_sell_factors": bars(tr.SELL_FACTORS, "sell_factors", "sell_action"),
-    "q_j07_invalidation": bars(tr.INVALIDATION, "level_kind", "invalidation", *r6("level", "distance_pct")),
-    "q_j08_judgment": bars(tr.JUDGMENT, "judgment"),
-    "q_j09_quality_cap": bars((*tr.JUDGMENT, *GAPS, stage(_g=f"max(CASE WHEN is_gap THEN 1 ELSE 0 END) {over('UNBOUNDED PRECEDING AND CURRENT ROW')}"), stage(cap="least(sample_rank, CASE WHEN _g = 1 THEN 1 ELSE 2 END)")), "sample_rank", "cap"),
-    "q_j10_trigger_checks": bars(tr.TRIGGERS, "price_check", "trend_check", "volume_check", "momentum_check"),
-    "q_j11_execution": bars(tr.TRIGGERS, "execution", "action"),
-    "q_j12_display_mode": bars(tr.TRIGGERS, "display_mode"),
+    "q_j06_sell_factors": judged(tr.SELL_FACTORS, "sell_factors", "sell_action"),
+    "q_j07_invalidation": judged(tr.INVALIDATION, "level_kind", "invalidation", *r6("level", "distance_pct")),
+    "q_j08_judgment": judged(tr.JUDGMENT, "judgment"),
+    "q_j09_quality_cap": judged((*tr.JUDGMENT, *GAPS, stage(_g=f"max(CASE WHEN is_gap THEN 1 ELSE 0 END) {over('UNBOUNDED PRECEDING AND CURRENT ROW')}"), stage(cap="least(sample_rank, CASE WHEN _g = 1 THEN 1 ELSE 2 END)")), "sample_rank", "cap"),
+    "q_j10_trigger_checks": judged(tr.TRIGGERS, "price_check", "trend_check", "volume_check", "momentum_check"),
+    "q_j11_execution": judged(tr.TRIGGERS, "execution", "action"),
+    "q_j12_display_mode": judged(tr.TRIGGERS, "display_mode"),
     "q_j13_alignment": Query(
         (
             f"""WITH d AS ({BARS}), w AS ({WEEKLY_BARS[0]}),
@@ -186,7 +197,7 @@ SELECT dm.symbol, dm.dt, dup, wup FROM dm JOIN wm ON dm.symbol = wm.symbol AND d
         ("symbol", "dt", "alignment"),
     ),
     "q_j14_scenario_ladder": Query(
-        BARS,
+        TREND_BARS,
         (*tr.TREND_INPUTS, *ind.bollinger(), stage(rk="row_number() OVER (PARTITION BY symbol ORDER BY dt DESC)", hi60=f"max(high) {last(60)}", lo60=f"min(low) {last(60)}"), stage(where="rk = 1")),
         final="""SELECT symbol, side, round(level, 4) AS level, source, CAST(step AS BIGINT) AS step FROM (
 SELECT symbol, side, level, source, row_number() OVER (PARTITION BY symbol, side ORDER BY abs(level - close), source) AS step FROM (
@@ -195,9 +206,9 @@ SELECT symbol, close, ma20 AS level, 'ma20' AS source FROM t UNION ALL SELECT sy
 UNION ALL SELECT symbol, close, boll_lower, 'boll_lower' FROM t UNION ALL SELECT symbol, close, hi60, 'high60' FROM t UNION ALL SELECT symbol, close, lo60, 'low60' FROM t) a
 WHERE abs(level / close - 1) >= 0.005) b) c WHERE step <= 3""",
     ),
-    "q_j16_judgment_table": Query(BARS, (*tr.TRIGGERS, stage(rk="row_number() OVER (PARTITION BY symbol ORDER BY dt DESC)")), ("symbol", "dt", "'technical_judgment.v1' AS schema_version", "judgment", "health", "confidence", "execution", "display_mode", "action"), "rk = 1"),
-    "q_j17_advice": bars(tr.ADVICE, "bias_text", "boll_text", "rsi_text"),
-    "q_j18_staged_entry": bars(tr.STRATEGY, "staged_entry"),
+    "q_j16_judgment_table": Query(TREND_BARS, (*tr.TRIGGERS, stage(rk="row_number() OVER (PARTITION BY symbol ORDER BY dt DESC)")), ("symbol", "dt", "'technical_judgment.v1' AS schema_version", "judgment", "health", "confidence", "execution", "display_mode", "action"), "rk = 1"),
+    "q_j17_advice": judged(tr.ADVICE, "bias_text", "boll_text", "rsi_text"),
+    "q_j18_staged_entry": judged(tr.STRATEGY, "staged_entry"),
     "q_j19_index_stage": bars(tr.INDEX_STAGE, "index_stage", source=INDEX_BARS),
     "q_j20_resonance": Query(
         f"""WITH s AS ({BARS}), m AS ({INDEX_BARS}),
@@ -216,19 +227,19 @@ FROM sm JOIN mm ON sm.dt = mm.dt""",
         ("s_suppkey", "code", "index_code"),
         tables=("supplier",),
     ),
-    "q_j22_confidence": bars(tr.JUDGMENT, "confidence"),
+    "q_j22_confidence": judged(tr.JUDGMENT, "confidence"),
     "q_t01_weekly_adx": bars((*ind.adx(), *ind.bollinger(), stage(_mx=f"max(adx) {last(4)}", _mw=f"max((boll_upper - boll_lower) / nullif(boll_mid, 0)) {last(4)}"), stage(weekly_points="CASE WHEN adx > 30 THEN 10 WHEN adx > 25 THEN 7 WHEN adx > 20 THEN 4 ELSE 0 END", weekly_side="CASE WHEN _mx < 20 AND _mw < 0.08 THEN 'ranging' WHEN plus_di > minus_di THEN 'up' WHEN plus_di < minus_di THEN 'down' ELSE 'none' END")), "weekly_points", "weekly_side", source=WEEKLY_BARS),
-    "q_t02_daily_trend": bars(tr.TARGET, "daily_trend"),
-    "q_t04_targets": bars(tr.TARGET, *r6("conservative", "aggressive")),
-    "q_t05_profit_risk": bars(tr.TARGET, *r6("trigger", "stop", "profit_risk"), "passes_filter"),
-    "q_t06_target_confidence": bars(tr.TARGET, *r6("score"), "target_confidence"),
-    "q_t07_eta": bars(tr.TARGET, *r6("eta_low", "eta_high")),
-    "q_t09_target_status": bars(tr.TARGET, "target_status"),
+    "q_t02_daily_trend": judged(tr.TARGET, "daily_trend"),
+    "q_t04_targets": judged(tr.TARGET, *r6("conservative", "base_target", "aggressive"), "is_far"),
+    "q_t05_profit_risk": judged(tr.TARGET, *r6("trigger", "stop", "profit_risk"), "passes_filter"),
+    "q_t06_target_confidence": judged(tr.TARGET, *r6("score"), "target_confidence"),
+    "q_t07_eta": judged(tr.TARGET, *r6("eta_low", "eta_high")),
+    "q_t09_target_status": judged(tr.TARGET, "target_status"),
 }
 
 FLAGSHIP = Query(
-    BARS,
-    (*ind.bollinger(), *tr.HEALTH, stage(rk="row_number() OVER (PARTITION BY symbol ORDER BY dt DESC)")),
+    TREND_BARS,
+    (*tr.HEALTH, stage(rk="row_number() OVER (PARTITION BY symbol ORDER BY dt DESC)")),
     ("symbol", "dt", "close", *r6("ma20", "boll_upper", "boll_lower", "rsi", "adx"), "trend_stage", "health", "health_grade"),
     "rk = 1",
 )

@@ -31,27 +31,29 @@ SELECT s.s_suppkey AS code, s.s_nationkey AS industry, avg(l.l_extendedprice / l
   sum(l.l_extendedprice * (1 - l.l_discount)) / 100000 AS revenue, sum(CASE WHEN l.l_returnflag = 'R' THEN 1 ELSE 0 END) AS returns_n, count(*) AS n
 FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey GROUP BY s.s_suppkey, s.s_nationkey"""
 VALUED: tuple[Stage, ...] = (
-    stage(fwd_pe="CASE WHEN eps_next > 0 THEN price / eps_next END", growth="CASE WHEN eps_this > 0 THEN eps_next / eps_this - 1 END", ps="mcap / nullif(revenue, 0)"),
-    stage(peg="CASE WHEN growth > 0 THEN fwd_pe / (growth * 100) END", industry_pe="avg(fwd_pe) OVER (PARTITION BY industry)"),
-    stage(pe_ratio="fwd_pe / nullif(industry_pe, 0)"),
+    stage(fwd_pe="price / nullif(eps_this, 0)", growth="CASE WHEN eps_this <> 0 THEN (eps_next / eps_this - 1) * 100 END", ps="mcap / nullif(revenue, 0)"),
+    stage(peg="fwd_pe / nullif(growth, 0)", industry_pe="avg(CASE WHEN fwd_pe > 0 THEN fwd_pe END) OVER (PARTITION BY industry)"),
+    stage(pe_ratio="fwd_pe / nullif(industry_pe, 0)", bull_pct="100 - 100.0 * returns_n / n * 2", main5="(mcap - 10) * 9000"),
 )
 PILLARS: tuple[Stage, ...] = (
     *VALUED,
     stage(
-        valuation_score="CAST(CASE WHEN eps_next IS NULL OR eps_this < 0 THEN CASE WHEN ps < 1.02 THEN 7 WHEN ps < 1.05 THEN 5 ELSE 3 END WHEN pe_ratio IS NOT NULL THEN least(greatest(10 - (pe_ratio - 1) / 1.5 * 10, 0), 10) ELSE 5 END AS DOUBLE)",
-        fundamental_score="CAST(CASE WHEN growth IS NULL THEN 5 WHEN growth > 0.5 THEN 9 WHEN growth > 0.2 THEN 7.5 WHEN growth > 0 THEN 6 ELSE 3 END AS DOUBLE)",
-        sentiment_score="CAST(CASE WHEN returns_n * 100 / n < 20 THEN 8 WHEN returns_n * 100 / n < 25 THEN 7 WHEN returns_n * 100 / n < 30 THEN 5 ELSE 3 END AS DOUBLE)",
+        valuation_score="""CAST(round(CASE WHEN fwd_pe <= 0 THEN CASE WHEN ps < 3 THEN 10.0 WHEN ps < 5 THEN 8.0 WHEN ps < 8 THEN 6.0 WHEN ps < 12 THEN 4.0 WHEN ps < 20 THEN 2.0 WHEN ps > 0 THEN 0.0 ELSE 1.0 END
+ WHEN pe_ratio <= 1.0 THEN 10.0 WHEN pe_ratio >= 2.5 THEN 0.0 WHEN pe_ratio IS NOT NULL THEN 10.0 * (2.5 - pe_ratio) / 1.5
+ WHEN fwd_pe < 30 THEN 9.0 WHEN fwd_pe < 50 THEN 7.0 WHEN fwd_pe < 80 THEN 5.0 WHEN fwd_pe < 120 THEN 3.0 WHEN fwd_pe IS NOT NULL THEN 1.0 ELSE 5.0 END, 1) AS DOUBLE)""",
+        fundamental_score="CAST(CASE WHEN growth IS NULL THEN 5 WHEN growth > 50 THEN 10 WHEN growth > 30 THEN 8 WHEN growth > 10 THEN 6 WHEN growth > 0 THEN 4 ELSE 2 END AS DOUBLE)",
+        sentiment_score="CAST(CASE WHEN bull_pct > 80 THEN 8 WHEN bull_pct > 50 THEN 7 WHEN bull_pct > 30 THEN 5 ELSE 3 END AS DOUBLE)",
         technical_score="CAST(least(10, code % 11) AS DOUBLE)",
-        flow_score="CAST(CASE WHEN mcap > 20 THEN 8 WHEN mcap > 10 THEN 6 ELSE 4 END AS DOUBLE)",
+        flow_score="CAST(CASE WHEN main5 > 50000 THEN 9 WHEN main5 > 0 THEN 7 WHEN main5 > -30000 THEN 4 ELSE 2 END AS DOUBLE)",
     ),
     stage(total_score="0.30 * valuation_score + 0.25 * fundamental_score + 0.20 * technical_score + 0.15 * sentiment_score + 0.10 * flow_score"),
 )
 EV: tuple[Stage, ...] = (
     *PILLARS,
-    stage(target_high="fwd_pe * eps_next * 1.2", target_mid="fwd_pe * eps_next", target_low="fwd_pe * eps_next * 0.7", p_up="least(0.9, greatest(0.1, total_score / 10))"),
-    stage(short_ev="(p_up - 0.5) * 20", mid_ev="p_up * 20 - (1 - p_up) * 30", long_ev="p_up * 30 - (1 - p_up) * 20"),
-    stage(ev="0.5 * short_ev + 0.3 * mid_ev + 0.2 * long_ev"),
-    stage(ev_label="CASE WHEN ev > 8 THEN 'strong_buy' WHEN ev > 3 THEN 'buy' WHEN ev > -3 THEN 'hold' WHEN ev > -8 THEN 'reduce' ELSE 'avoid' END"),
+    stage(target_high="fwd_pe * eps_next * 1.2", target_mid="fwd_pe * eps_next", target_low="fwd_pe * eps_next * 0.7", p_short="(technical_score * 0.6 + flow_score * 0.4) / 10", p_mid="(sentiment_score * 0.5 + fundamental_score * 0.5) / 10", p_long="valuation_score / 10"),
+    stage(up_short="target_high / nullif(price, 0) - 1", up_mid="target_mid / nullif(price, 0) - 1", down="greatest(0, 1 - target_low / nullif(price, 0))"),
+    stage(ev="100 * (0.5 * (p_short * up_short - (1 - p_short) * down) + 0.3 * (p_mid * up_mid - (1 - p_mid) * down) + 0.2 * (p_long * up_mid - (1 - p_long) * down))"),
+    stage(ev_label="CASE WHEN ev IS NULL THEN 'none' WHEN ev > 8 THEN 'strong_buy' WHEN ev > 3 THEN 'buy' WHEN ev > -3 THEN 'hold' WHEN ev > -8 THEN 'avoid' ELSE 'strong_avoid' END"),
 )
 RISK: tuple[Stage, ...] = (
     *EV,
@@ -97,7 +99,7 @@ QUERIES: dict[str, Query] = {
     ),
     "q_v03_technical_pillar": Query(BARS, (stage(_d=f"close - lag(close) {over()}", ma20=f"avg(close) {last(20)}"), stage(_up=f"sum(CASE WHEN _d > 0 THEN 1 ELSE 0 END) {last(14)}"), stage(technical_score="CAST(CASE WHEN close < ma20 THEN least(4.0, _up * 0.5) ELSE least(10.0, 3 + _up * 0.5) END AS DOUBLE)")), ("symbol", "dt", "technical_score")),
     "q_v04_pillars": quotes(PILLARS, *r6("valuation_score", "fundamental_score", "sentiment_score", "technical_score", "flow_score")),
-    "q_v05_ev": quotes(EV, *r6("p_up", "target_high", "target_low", "ev"), "ev_label"),
+    "q_v05_ev": quotes(EV, *r6("p_short", "p_mid", "p_long", "target_high", "target_low", "ev"), "ev_label"),
     "q_v06_total": quotes(PILLARS, *r6("total_score")),
     "q_v07_risk": quotes(RISK, "risk_score", "risk_band"),
     "q_v08_structured_signals": Query(

@@ -105,6 +105,17 @@ class Query:
         return "WITH " + ",\n".join(parts) + (",\n" + final[5:] if final.startswith("WITH ") else "\n" + final)
 
 
+def nested(source: Expr, stages: Iterable[Stage], spark: bool) -> str:
+    """Stages over a source as one subquery (no stage may redefine a column)."""
+    sql = pick(source, spark)
+    for s in stages:
+        new = ", ".join(f"{pick(e, spark)} AS {n}" for n, e in s.columns.items())
+        sql = f"SELECT *{', ' + new if new else ''} FROM ({sql}) x"
+        if s.where is not None:
+            sql = f"SELECT * FROM ({sql}) x WHERE {pick(s.where, spark)}"
+    return sql
+
+
 def _named(sql: str, frames: dict[str, DataFrame]) -> str:
     """Put {name} for each table after FROM or JOIN, which `spark.sql` binds to its DataFrame."""
     import re
