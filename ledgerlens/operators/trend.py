@@ -68,26 +68,39 @@ INVALIDATION = (
 JUDGMENT = (
     *HEALTH,
     stage(
-        judgment="CASE WHEN n_bars < 60 THEN 'unknown' WHEN trend_stage IN ('broken', 'near_break') THEN 'down' WHEN trend_stage IN ('weakening', 'ranging') THEN 'transition' WHEN health >= 65 THEN 'strong_up' WHEN health >= 50 THEN 'weak_up' ELSE 'transition' END",
+        judgment="CASE WHEN close < ma60 THEN 'invalid' WHEN trend_stage IN ('broken', 'weakening') THEN 'down' WHEN trend_stage IN ('near_break', 'pullback') THEN 'transition' WHEN trend_stage IN ('high_dull', 'accelerating', 'advancing', 'starting') THEN CASE WHEN health >= 65 THEN 'strong_up' WHEN health >= 50 THEN 'weak_up' ELSE 'transition' END ELSE 'unknown' END",
         sample_rank="CASE WHEN n_bars >= 250 THEN 3 WHEN n_bars >= 120 THEN 2 ELSE 1 END",
     ),
     stage(confidence="CASE sample_rank WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END"),
 )
 
+#: The momentum check takes the side of the 12- and 26-bar averages, which a window can give.
 TRIGGERS = (
     *JUDGMENT,
-    stage(_up="judgment IN ('strong_up', 'weak_up')", _trigger=f"max(high) {over('20 PRECEDING AND 1 PRECEDING')}"),
+    stage(_neck=f"max(high) {over('30 PRECEDING AND 6 PRECEDING')}", _fast=f"avg(close) {last(12)}", _slow=f"avg(close) {last(26)}", direction="CASE WHEN plus_di > minus_di THEN 'bullish' WHEN plus_di < minus_di THEN 'bearish' ELSE 'none' END"),
+    stage(_trigger="CASE WHEN direction = 'bullish' THEN _neck + 0.3 * atr14 ELSE _neck - 0.3 * atr14 END", _body="abs(close - open) >= 0.3 * atr14"),
     stage(
-        price_check="CASE WHEN _trigger IS NULL OR atr14 IS NULL THEN 'unknown' WHEN close >= _trigger + 0.3 * atr14 THEN 'pass' ELSE 'pending' END",
-        trend_check="CASE WHEN adx IS NULL OR plus_di IS NULL THEN 'unknown' WHEN adx >= 25 AND plus_di > minus_di THEN 'pass' ELSE 'pending' END",
+        price_check="CASE WHEN _trigger IS NULL OR direction = 'none' THEN 'unknown' WHEN direction = 'bullish' AND close >= _trigger AND least(open, close) > _neck AND _body THEN 'pass' WHEN direction = 'bearish' AND close <= _trigger AND greatest(open, close) < _neck AND _body THEN 'pass' ELSE 'pending' END",
+        trend_check="CASE WHEN adx IS NULL OR plus_di IS NULL THEN 'unknown' WHEN adx >= 25 AND direction <> 'none' THEN 'pass' ELSE 'pending' END",
         volume_check="CASE WHEN volume_ratio IS NULL THEN 'unknown' WHEN volume_ratio >= 1.5 AND amount >= 100000 THEN 'pass' ELSE 'pending' END",
-        momentum_check="CASE WHEN rsi IS NULL THEN 'unknown' WHEN rsi BETWEEN 40 AND 70 THEN 'pass' ELSE 'pending' END",
+        momentum_check="CASE WHEN rsi IS NULL OR direction = 'none' THEN 'unknown' WHEN direction = 'bullish' AND _fast >= _slow AND rsi BETWEEN 40 AND 70 THEN 'pass' WHEN direction = 'bearish' AND _fast <= _slow AND rsi BETWEEN 30 AND 60 THEN 'pass' ELSE 'pending' END",
     ),
     stage(passed="CASE price_check WHEN 'pass' THEN 1 ELSE 0 END + CASE trend_check WHEN 'pass' THEN 1 ELSE 0 END + CASE volume_check WHEN 'pass' THEN 1 ELSE 0 END + CASE momentum_check WHEN 'pass' THEN 1 ELSE 0 END"),
-    stage(execution="CASE WHEN judgment = 'down' THEN 'blocked' WHEN price_check = 'pass' AND passed = 4 THEN 'triggered' WHEN price_check = 'pass' THEN 'confirming' WHEN judgment = 'unknown' THEN 'unknown' ELSE 'waiting' END"),
+    stage(execution="CASE WHEN judgment = 'invalid' THEN 'invalid' WHEN _neck IS NULL OR direction = 'none' THEN 'unavailable' WHEN passed = 4 THEN 'triggered' ELSE 'pending' END"),
     stage(
-        display_mode="CASE WHEN execution = 'blocked' THEN 'blocked' WHEN execution = 'unknown' THEN 'unavailable' WHEN confidence = 'high' AND execution = 'triggered' THEN 'full' WHEN confidence = 'high' THEN 'core' WHEN confidence = 'medium' THEN 'conditional' ELSE 'levels' END",
-        action="CASE execution WHEN 'triggered' THEN 'act' WHEN 'confirming' THEN 'watch_closely' WHEN 'blocked' THEN 'avoid' ELSE 'wait' END",
+        display_mode="CASE WHEN execution = 'invalid' THEN 'blocked' WHEN execution = 'unavailable' THEN 'unavailable' WHEN direction = 'bearish' THEN 'levels_only' WHEN confidence = 'high' AND execution = 'triggered' THEN 'full_targets' WHEN confidence = 'high' AND execution = 'pending' THEN 'core_targets' WHEN confidence = 'medium' AND execution = 'pending' THEN 'conditional_range' WHEN confidence = 'medium' AND execution = 'triggered' THEN 'core_targets' WHEN confidence = 'low' AND execution = 'pending' THEN 'conditional_range' ELSE 'unavailable' END",
+        action="CASE WHEN judgment IN ('invalid', 'down') OR direction = 'bearish' THEN 'risk_control' WHEN execution = 'unavailable' THEN 'unavailable' WHEN execution = 'pending' THEN 'wait_for_confirmation' WHEN execution = 'triggered' AND confidence IN ('high', 'medium') AND judgment IN ('strong_up', 'weak_up') THEN 'follow' ELSE 'unavailable' END",
+    ),
+)
+ALIGNMENT = (
+    *JUDGMENT,
+    stage(posture="CASE WHEN close < ma60 THEN 'break' WHEN close > ma20 AND ma20_dir = 'up' THEN 'constructive' WHEN close <= ma20 OR ma20_dir = 'down' THEN 'weak' ELSE 'unknown' END", weekly_side="CASE weekly_trend WHEN 'up' THEN 'up' WHEN 'down' THEN 'down' WHEN 'ranging' THEN 'range' ELSE 'unknown' END"),
+    stage(
+        alignment="""CASE WHEN weekly_side = 'up' AND posture = 'constructive' AND judgment IN ('strong_up', 'weak_up') THEN 'aligned_up'
+ WHEN weekly_side = 'down' AND posture IN ('weak', 'break') AND judgment IN ('down', 'invalid') THEN 'aligned_down'
+ WHEN weekly_side = 'range' AND posture IN ('weak', 'break') AND judgment IN ('down', 'invalid') THEN 'daily_break_weekly_range'
+ WHEN weekly_side = 'down' AND posture = 'constructive' AND judgment NOT IN ('down', 'invalid') THEN 'daily_repair_weekly_weak'
+ WHEN weekly_side = 'unknown' OR posture = 'unknown' THEN 'unknown' ELSE 'mixed' END"""
     ),
 )
 

@@ -116,14 +116,18 @@ SELECT b.symbol, b.dt, b.close, b.close / exp(f.factor) AS adjusted FROM b JOIN
     "q_p08_channel": Query(
         BARS,
         (
-            stage(back="row_number() OVER (PARTITION BY symbol ORDER BY dt DESC)", bar="CAST(row_number() OVER (PARTITION BY symbol ORDER BY dt) AS DOUBLE)"),
-            stage(where="back <= 40"),
+            stage(back="row_number() OVER (PARTITION BY symbol ORDER BY dt DESC)", n_bars="count(*) OVER (PARTITION BY symbol)"),
+            stage(bar="CAST(least(n_bars, 40) - back AS DOUBLE)", where="back <= 40"),
         ),
         final=tuple(
-            f"""SELECT symbol, round(slope_high, 6) AS slope_high, round(slope_low, 6) AS slope_low, round(rail_high, 4) AS rail_high, round(rail_low, 4) AS rail_low,
-CASE WHEN abs(slope_high) < 0.005 AND abs(slope_low) < 0.005 THEN 'box' WHEN slope_high > 0 AND slope_low > 0 THEN 'up_channel' WHEN slope_high < 0 AND slope_low < 0 THEN 'down_channel' ELSE 'mixed' END AS shape,
-CASE WHEN last_close >= rail_high - 0.15 * (rail_high - rail_low) THEN 'upper' WHEN last_close <= rail_low + 0.15 * (rail_high - rail_low) THEN 'lower' ELSE 'middle' END AS place
-FROM (SELECT symbol, regr_slope(high, bar) / avg(close) AS slope_high, regr_slope(low, bar) / avg(close) AS slope_low, {p[0]} AS rail_high, {p[1]} AS rail_low, max_by(close, bar) AS last_close FROM t GROUP BY symbol) x"""
+            f"""SELECT symbol, state, CASE WHEN state = 'box' THEN CASE WHEN by_share THEN 'medium' ELSE 'high' END WHEN state = 'none' THEN 'low' WHEN abs(su - sl) <= 0.005 THEN 'high' ELSE 'low' END AS confidence, round(upper_rail, 4) AS upper_rail, round(lower_rail, 4) AS lower_rail,
+CASE WHEN state = 'none' OR upper_rail <= lower_rail THEN 'unknown' WHEN last_close > upper_rail THEN 'above' WHEN last_close < lower_rail THEN 'below' WHEN (upper_rail - last_close) / (upper_rail - lower_rail) < 0.15 THEN 'near_upper' WHEN (last_close - lower_rail) / (upper_rail - lower_rail) < 0.15 THEN 'near_lower' ELSE 'middle' END AS position,
+CASE WHEN state = 'none' THEN 'none' WHEN low2 > upper_rail THEN 'up_confirmed' WHEN high2 < lower_rail THEN 'down_confirmed' ELSE 'none' END AS breakout
+FROM (SELECT *, CASE WHEN by_share OR (abs(su) < 0.005 AND abs(sl) < 0.005) THEN 'box' WHEN su > 0 AND sl > 0 THEN 'up_channel' WHEN su < 0 AND sl < 0 THEN 'down_channel' ELSE 'none' END AS state,
+  CASE WHEN by_share THEN share_high ELSE fit_high END AS upper_rail, CASE WHEN by_share THEN share_low ELSE fit_low END AS lower_rail
+FROM (SELECT symbol, regr_slope(high, bar) / avg(close) AS su, regr_slope(low, bar) / avg(close) AS sl, abs(regr_slope(high, bar)) / avg(close) > 0.01 OR abs(regr_slope(low, bar)) / avg(close) > 0.01 AS by_share,
+  regr_intercept(high, bar) + regr_slope(high, bar) * max(bar) AS fit_high, regr_intercept(low, bar) + regr_slope(low, bar) * max(bar) AS fit_low, {p[0]} AS share_high, {p[1]} AS share_low,
+  max_by(close, bar) AS last_close, min(CASE WHEN back <= 2 THEN close END) AS low2, max(CASE WHEN back <= 2 THEN close END) AS high2 FROM t GROUP BY symbol) x) y"""
             for p in (("percentile(high, 0.95)", "percentile(low, 0.05)"), ("quantile_cont(high, 0.95)", "quantile_cont(low, 0.05)"))
         ),
     ),
@@ -178,24 +182,11 @@ FROM t GROUP BY symbol""",
     "q_j06_sell_factors": judged(tr.SELL_FACTORS, "sell_factors", "sell_action"),
     "q_j07_invalidation": judged(tr.INVALIDATION, "level_kind", "invalidation", *r6("level", "distance_pct")),
     "q_j08_judgment": judged(tr.JUDGMENT, "judgment"),
-    "q_j09_quality_cap": judged((*tr.JUDGMENT, *GAPS, stage(_g=f"max(CASE WHEN is_gap THEN 1 ELSE 0 END) {over('UNBOUNDED PRECEDING AND CURRENT ROW')}"), stage(cap="least(sample_rank, CASE WHEN _g = 1 THEN 1 ELSE 2 END)")), "sample_rank", "cap"),
+    "q_j09_quality_cap": judged((*tr.JUDGMENT, *GAPS, stage(_g=f"max(CASE WHEN is_gap THEN 1 ELSE 0 END) {over('UNBOUNDED PRECEDING AND CURRENT ROW')}"), stage(cap="CASE WHEN _g = 1 THEN 0 ELSE sample_rank END")), "sample_rank", "cap"),
     "q_j10_trigger_checks": judged(tr.TRIGGERS, "price_check", "trend_check", "volume_check", "momentum_check"),
     "q_j11_execution": judged(tr.TRIGGERS, "execution", "action"),
     "q_j12_display_mode": judged(tr.TRIGGERS, "display_mode"),
-    "q_j13_alignment": Query(
-        (
-            f"""WITH d AS ({BARS}), w AS ({WEEKLY_BARS[0]}),
-wm AS (SELECT symbol, dt, close >= avg(close) OVER (PARTITION BY symbol ORDER BY dt ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS wup FROM w),
-dm AS (SELECT symbol, dt, close >= avg(close) OVER (PARTITION BY symbol ORDER BY dt ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS dup, {FRIDAY[0]} AS wk FROM d)
-SELECT dm.symbol, dm.dt, dup, wup FROM dm JOIN wm ON dm.symbol = wm.symbol AND dm.wk = wm.dt""",
-            f"""WITH d AS ({BARS}), w AS ({WEEKLY_BARS[1]}),
-wm AS (SELECT symbol, dt, close >= avg(close) OVER (PARTITION BY symbol ORDER BY dt ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) AS wup FROM w),
-dm AS (SELECT symbol, dt, close >= avg(close) OVER (PARTITION BY symbol ORDER BY dt ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS dup, {FRIDAY[1]} AS wk FROM d)
-SELECT dm.symbol, dm.dt, dup, wup FROM dm JOIN wm ON dm.symbol = wm.symbol AND dm.wk = wm.dt""",
-        ),
-        (stage(alignment="CASE WHEN dup AND wup THEN 'both_up' WHEN NOT dup AND NOT wup THEN 'both_down' WHEN wup THEN 'weekly_up_daily_down' ELSE 'weekly_down_daily_up' END"),),
-        ("symbol", "dt", "alignment"),
-    ),
+    "q_j13_alignment": judged(tr.ALIGNMENT, "posture", "alignment"),
     "q_j14_scenario_ladder": Query(
         TREND_BARS,
         (*tr.TREND_INPUTS, *ind.bollinger(), stage(rk="row_number() OVER (PARTITION BY symbol ORDER BY dt DESC)", hi60=f"max(high) {last(60)}", lo60=f"min(low) {last(60)}"), stage(where="rk = 1")),

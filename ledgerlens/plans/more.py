@@ -86,7 +86,7 @@ SELECT symbol, {end} AS dt, count(*) AS days, sum(CASE WHEN abs(ratio - 1) > 0.2
     ),
     "q_d06_display_dedupe": Query(PAGE_ROWS, (*CANONICAL, *STRIP, stage(fp=both("CASE WHEN length(plain) >= 16 THEN {0} ELSE concat('short:', CAST(page_id AS VARCHAR(12))) END", sha256("lower(plain)"))), stage(r1="row_number() OVER (PARTITION BY coalesce(canonical, fp) ORDER BY source_credit DESC, page_id)"), stage(where="r1 = 1"), stage(r2="row_number() OVER (PARTITION BY fp ORDER BY source_credit DESC, page_id)")), ("page_id", "domain", "source_credit"), "r2 = 1", tables=PAGES),
     "q_d09_item_dedupe": Query(POSTS, (stage(t=replace_re("lower(coalesce(title, ''))", "[^a-z0-9]+", "")), stage(k1="row_number() OVER (PARTITION BY t ORDER BY likes DESC, seq)"), stage(where="k1 = 1"), stage(h=sha256("content")), stage(k2="row_number() OVER (PARTITION BY h ORDER BY likes DESC, seq)")), ("seq", "likes"), "k2 = 1", tables=DOCS),
-    "q_d10_topic_clusters": Query(POSTS, (*SCORE, stage(lead=first_re("lower(content)", "^([^ ]+ [^ ]+ [^ ]+)"))), final="SELECT lang, lead, count(*) AS members, count(DISTINCT source) AS sources, max(quality) AS best_quality, min(seq) AS first_seq FROM t WHERE lead <> '' GROUP BY lang, lead HAVING count(*) > 1", tables=DOCS),
+    "q_d10_topic_clusters": Query(POSTS, (*SCORE, stage(lead=first_re("lower(content)", "^([^ ]+ [^ ]+ [^ ]+)"))), final="SELECT lang, lead, count(*) AS members, count(DISTINCT source) AS sources, round(max(quality), 4) AS best_quality, min(seq) AS first_seq FROM t WHERE lead <> '' GROUP BY lang, lead HAVING count(*) > 1", tables=DOCS),
     "q_d12_near_cards": Query((near_cards(True), near_cards(False)), (), ("doc_id", "CAST(pos AS BIGINT) AS pos", "CAST(kept_pos AS BIGINT) AS kept_pos"), tables=DOCS),
     "q_d14_redundant_units": sentences((stage(nums=all_re("sentence", "[0-9]+")), stage(where=("size(nums) > 0", "len(nums) > 0")), stage(num_key=("array_join(array_sort(array_distinct(nums)), ' ')", "array_to_string(list_sort(list_distinct(nums)), ' ')")), stage(rk="row_number() OVER (PARTITION BY doc_id, num_key ORDER BY length(sentence) DESC, pos)")), "num_key", "rk > 1 AS redundant"),
     "q_c03_body_claims": Query(LINES, (*HEADS, stage(where="NOT is_head AND length(line) >= 30 AND heading IS NOT NULL"), stage(in_head="row_number() OVER (PARTITION BY doc_id, section ORDER BY pos)"), stage(where="in_head <= 3"), stage(n="row_number() OVER (PARTITION BY doc_id ORDER BY pos)")), ("doc_id", "CAST(pos AS BIGINT) AS pos", "heading", "CAST(n AS BIGINT) AS n"), "n <= 8", tables=DOCS),
@@ -115,7 +115,7 @@ SELECT q.doc_id, q.num, g.num IS NOT NULL AS grounded FROM q LEFT JOIN g ON q.do
     "q_e10_preview": Query(PAGE_ROWS, (*CANONICAL, stage(k="coalesce(canonical, url)"), stage(rk="row_number() OVER (PARTITION BY k ORDER BY page_id)"), stage(where="rk = 1"), stage(n="row_number() OVER (PARTITION BY domain ORDER BY page_id)")), ("page_id", "domain"), "n <= 10", tables=PAGES),
     "q_g02_section_candidates": Query(LINES, (*HEADS, stage(where="is_head"), stage(next_pos="lead(pos) OVER (PARTITION BY doc_id ORDER BY pos)")), ("doc_id", "heading", "CAST(pos AS BIGINT) AS pos", "CAST(coalesce(next_pos - pos, 20) AS BIGINT) AS span"), tables=DOCS),
     "q_g04_unit_roles": sentences((stage(claim="contains(sentence, 'tion')", evidence=match_re("sentence", "[0-9]"), mechanism="contains(sentence, 'with')", driver="contains(sentence, 'ing')", risk=match_re("sentence", "moron|stupid")), stage(roles="CAST(claim AS INT) + CAST(evidence AS INT) + CAST(mechanism AS INT) + CAST(driver AS INT) + CAST(risk AS INT)")), "claim", "evidence", "mechanism", "driver", "risk", "roles"),
-    "q_g07_digest_items": Query(POSTS, (*SCORE, stage(where="action <> 'discard'"), stage(note_id=both("substr({0}, 1, 16)", sha256("content")))), ("seq", "note_id", "source", "published", "quality"), tables=DOCS),
+    "q_g07_digest_items": Query(POSTS, (*SCORE, stage(where="action <> 'discard'"), stage(note_id=both("substr({0}, 1, 16)", sha256("content")))), ("seq", "note_id", "source", "published", "round(quality, 4) AS quality"), tables=DOCS),
     "q_a04_pack_select": Query("SELECT doc_id, source, text, doc_id % 2 = 0 AS is_v2, doc_id - doc_id % 2 AS card_id FROM documents", (stage(has_v2="max(CASE WHEN is_v2 THEN 1 ELSE 0 END) OVER (PARTITION BY card_id)"), stage(state="CASE WHEN is_v2 THEN 'v2' WHEN has_v2 = 1 THEN 'covered' WHEN length(text) < 80 THEN 'invalid' ELSE 'actionable' END")), final="SELECT source, state, count(*) AS cards FROM t GROUP BY source, state", tables=DOCS),
     "q_a06_editorial": Query(POSTS, (*SCORE, stage(role="CASE WHEN contains(content, 'icense') THEN 'policy' WHEN contains(content, ' | ') THEN 'financial' WHEN n > 3000 THEN 'strategy' WHEN n > 1000 THEN 'business' ELSE 'brief' END"), stage(budget="CASE role WHEN 'policy' THEN 3 WHEN 'financial' THEN 6 WHEN 'strategy' THEN 4 ELSE 3 END", rk="row_number() OVER (PARTITION BY source, role ORDER BY quality DESC, n, seq)")), ("seq", "source", "role", "CAST(rk AS BIGINT) AS rk"), "rk <= budget", tables=DOCS),
     "q_l03_report_rules": Query(

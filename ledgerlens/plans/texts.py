@@ -22,22 +22,25 @@ POSTS = """SELECT doc_id AS seq, source, lang, substr(text, 1, 60) AS title, tex
 POSTS = (POSTS, POSTS.replace("date_add(DATE '2024-01-01', CAST(doc_id % 700 AS INT))", "DATE '2024-01-01' + CAST(doc_id % 700 AS INTEGER)"))
 
 FLAGS: tuple[Stage, ...] = (
+    stage(both_texts="concat(coalesce(title, ''), ' ', coalesce(content, ''))"),
     stage(
         n="length(content)",
         interaction="likes + comments + reposts",
-        data_kinds=both("(CAST({0} AS INT) + CAST({1} AS INT) + CAST({2} AS INT) + CAST({3} AS INT))", *(match_re("content", p) for p in DATA)),
-        logic_words=hits("content", LOGIC),
+        data_kinds=both("(CAST({0} AS INT) + CAST({1} AS INT) + CAST({2} AS INT) + CAST({3} AS INT))", *(match_re("both_texts", p) for p in DATA)),
+        logic_words=hits("both_texts", LOGIC),
         title_words=hits("title", TITLE_WORDS),
+        key_words=hits("both_texts", TITLE_WORDS),
     ),
 )
 GATE: tuple[Stage, ...] = (
     *FLAGS,
-    stage(gate="CASE WHEN n >= 200 AND data_kinds > 0 AND logic_words > 0 THEN 'data_and_logic' WHEN n >= 100 AND interaction >= 15 THEN 'interaction' WHEN title_words > 0 AND n >= 80 THEN 'title_keyword' ELSE 'rejected' END"),
+    stage(gate="CASE WHEN n >= 200 AND data_kinds > 0 AND logic_words > 0 THEN 'long_data_logic' WHEN n >= 100 AND interaction >= 15 THEN 'interaction' WHEN title_words > 0 AND n >= 80 THEN 'title_keyword' WHEN n < 80 THEN 'too_short' WHEN data_kinds = 0 AND logic_words = 0 THEN 'no_data_no_logic' WHEN interaction < 3 THEN 'no_interaction' ELSE 'below_bar' END"),
+    stage(admitted="gate IN ('long_data_logic', 'interaction', 'title_keyword')"),
 )
 SCORE: tuple[Stage, ...] = (
     *GATE,
-    stage(quality="CAST(least(30, data_kinds * 5) + least(25, logic_words * 3) + least(20, CAST(floor(n / 20) AS INT)) + CASE WHEN interaction >= 50 THEN 15 WHEN interaction >= 20 THEN 10 WHEN interaction >= 5 THEN 5 ELSE 0 END + least(10, title_words * 2) AS INT)"),
-    stage(action="CASE WHEN gate = 'rejected' THEN 'discard' WHEN quality >= 70 THEN 'keep' WHEN quality >= 50 THEN 'demote' ELSE 'discard' END"),
+    stage(quality="CAST(least(30, data_kinds * 5) + least(25, logic_words * 3) + least(20.0, n / 20.0) + CASE WHEN interaction > 50 THEN 15 WHEN interaction > 20 THEN 10 WHEN interaction > 5 THEN 5 ELSE 0 END + least(10, key_words * 2) AS DOUBLE)"),
+    stage(action="CASE WHEN NOT admitted THEN 'discard' WHEN quality >= 70 THEN 'keep' WHEN quality >= 50 THEN 'demote' ELSE 'discard' END"),
 )
 
 CREDIT: tuple[Stage, ...] = (
@@ -124,11 +127,11 @@ QUERIES: dict[str, Query] = {
     "q_s30_queries": Query(("SELECT s_suppkey, explode(array(concat(s_name, ' results'), concat(s_name, ' risk'), concat(s_name, ' order'))) AS q FROM supplier", "SELECT s_suppkey, unnest([concat(s_name, ' results'), concat(s_name, ' risk'), concat(s_name, ' order')]) AS q FROM supplier"), (), ("s_suppkey", "q"), tables=("supplier",)),
     "q_s31_report_choice": posts((stage(year="CAST(2020 + seq % 4 AS INT)", fits="CASE WHEN contains(content, 'icense') THEN 0 ELSE 1 END"), stage(rk="row_number() OVER (PARTITION BY source, year ORDER BY fits, seq)")), "source", "year", where="rk = 1"),
     "q_q01_hard_gate": posts(GATE, "gate"),
-    "q_q02_rule_score": posts(SCORE, "quality"),
+    "q_q02_rule_score": posts(SCORE, "round(quality, 4) AS quality"),
     "q_q03_action": posts(SCORE, "action"),
-    "q_q04_gate_pipeline": Query(POSTS, SCORE, final="SELECT action, count(*) AS items, min(quality) AS lowest, max(quality) AS highest FROM t GROUP BY action", tables=DOCS),
-    "q_q06_featured": posts((*FLAGS, stage(cut="content LIKE '%...'", featured="(content LIKE '%...' AND data_kinds > 0 AND logic_words > 0) OR (n >= 80 AND likes + comments > 5)")), "featured"),
-    "q_q07_content_score": posts((*FLAGS, stage(score="CAST(CASE WHEN data_kinds > 0 THEN 3 ELSE 0 END + CASE WHEN logic_words > 0 THEN 2 ELSE 0 END + CASE WHEN title_words > 0 THEN 2 ELSE 0 END + CASE WHEN n > 500 THEN 1 ELSE 0 END + CASE WHEN interaction >= 50 THEN 2 WHEN interaction >= 10 THEN 1 ELSE 0.5 END + least(n / 100.0, 3) AS DOUBLE)")), "round(score, 6) AS score"),
+    "q_q04_gate_pipeline": Query(POSTS, SCORE, final="SELECT action, count(*) AS items, round(min(quality), 4) AS lowest, round(max(quality), 4) AS highest FROM t GROUP BY action", tables=DOCS),
+    "q_q06_featured": posts((*FLAGS, stage(cut="contains(both_texts, '...')"), stage(featured="(cut AND data_kinds > 0 AND logic_words > 0) OR (n >= 80 AND likes + comments > 5)")), "featured"),
+    "q_q07_content_score": posts((*FLAGS, stage(score="CAST(CASE WHEN contains(both_texts, '...') THEN 3 ELSE 0 END + CASE WHEN data_kinds > 0 THEN 2 ELSE 0 END + CASE WHEN logic_words > 0 THEN 2 ELSE 0 END + CASE WHEN key_words > 0 THEN 1 ELSE 0 END + CASE WHEN likes + comments > 20 THEN 2 WHEN likes + comments > 10 THEN 1 WHEN likes + comments > 3 THEN 0.5 ELSE 0 END + least(n / 100.0, 3.0) AS DOUBLE)")), "round(score, 4) AS score"),
     "q_q08_funnel": posts((*SCORE, stage(age=("datediff(DATE '2025-06-01', published)", "datediff('day', published, DATE '2025-06-01')"), ttl="CASE WHEN contains(content, 'icense') THEN 180 WHEN contains(content, ' | ') THEN 90 WHEN n > 2000 THEN 60 ELSE 14 END"), stage(level="CASE WHEN age > 365 OR age < 0 THEN 'L1_old' WHEN quality < 30 THEN 'L2_poor' WHEN age > ttl THEN 'L3_expired' ELSE 'kept' END")), "CAST(age AS INT) AS age", "ttl", "level"),
     "q_q09_web_score": posts((*FLAGS, stage(relevance="least(25, title_words * 10 + logic_words * 2)", credibility="CAST(substr(source, 4) AS INT) % 26", evidence="least(20, data_kinds * 5)", substance="least(20, CAST(floor(n / 100) AS INT))", engagement="least(10, CAST(floor(interaction / 10) AS INT))"), stage(total="relevance + credibility + evidence + substance + engagement"), stage(verdict="CASE WHEN credibility >= 13 THEN CASE WHEN total >= 60 THEN 'keep' WHEN total >= 35 THEN 'demote' ELSE 'drop' END ELSE CASE WHEN total >= 50 THEN 'keep' WHEN total >= 30 THEN 'demote' ELSE 'drop' END END")), "CAST(total AS INT) AS total", "verdict"),
     "q_q10_portal_page": pages((*STRIP, stage(links=count_re("html", "<a "), blocks=count_re("html", "<p>"), title=first_re("html", "<title>([^<]*)")), stage(portal="(CASE WHEN links > 0.5 * greatest(blocks, 1) THEN 1 ELSE 0 END + CASE WHEN length(plain) / greatest(blocks, 1) < 40 THEN 1 ELSE 0 END + CASE WHEN contains(html, '<nav>') AND contains(html, '<footer>') THEN 1 ELSE 0 END + CASE WHEN length(title) < 8 THEN 1 ELSE 0 END) >= 2")), "portal"),
@@ -147,7 +150,7 @@ QUERIES: dict[str, Query] = {
     "q_d15_note_identity": pages((*CANONICAL, stage(note_id=both("CASE WHEN canonical IS NOT NULL THEN concat('url:', regexp_replace(domain || path, '[.](html|htm|php)$', '')) ELSE concat('sha:', {0}) END", sha256("html")))), "note_id"),
     "q_d16_claim_status": pages(CREDIT, "claim_tier"),
     "q_d17_union": Query("SELECT 'doc' AS origin, doc_id AS id, source AS platform, substr(text, 1, 60) AS title FROM documents UNION ALL SELECT 'page', page_id, 'web', url FROM pages UNION ALL SELECT 'chat', conv_id * 1000 + turn, role, substr(text, 1, 60) FROM conversations", (), ("origin", "id", "platform", "title"), tables=("documents", "pages", "conversations")),
-    "q_d18_viewpoint_dedupe": posts((*SCORE, stage(cluster_no="CASE WHEN contains(content, 'icense') THEN 1 WHEN contains(content, ' | ') THEN 2 WHEN n > 2000 THEN 3 ELSE 4 END"), stage(rk="row_number() OVER (PARTITION BY source, lang, cluster_no ORDER BY quality DESC, n DESC, seq)")), "source", "lang", "cluster_no", "quality", where="rk = 1"),
+    "q_d18_viewpoint_dedupe": posts((*SCORE, stage(cluster_no="CASE WHEN contains(content, 'icense') THEN 1 WHEN contains(content, ' | ') THEN 2 WHEN n > 2000 THEN 3 ELSE 4 END"), stage(rk="row_number() OVER (PARTITION BY source, lang, cluster_no ORDER BY quality DESC, n DESC, seq)")), "source", "lang", "cluster_no", "round(quality, 4) AS quality", where="rk = 1"),
     "q_c01_claim_id": on_sentences((stage(claim_id=both("substr({0}, 1, 12)", sha256("concat_ws('|', source, sentence)"))),), "claim_id"),
     "q_c02_claim_merge": Query(SENTENCES, (stage(norm=replace_re("lower(sentence)", "[^a-z0-9]+", "")), stage(where="length(norm) >= 12"), stage(norm_key=sha256("norm"))), final="SELECT norm_key, count(*) AS mentions, count(DISTINCT source) AS sources, max(tier_no) AS best_tier, min(doc_id) AS first_doc FROM t GROUP BY norm_key HAVING count(*) > 1", tables=DOCS),
     "q_c04_topic": on_sentences((stage(topic="CASE WHEN contains(sentence, 'icense') THEN 'policy' WHEN contains(sentence, '|') THEN 'table' WHEN contains(sentence, '@') THEN 'contact' WHEN tier_no = 0 THEN 'official' ELSE 'general' END"),), "topic", where="topic <> 'general'"),
