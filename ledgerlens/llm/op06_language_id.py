@@ -35,7 +35,7 @@ DIMS = 1 << DIMS_BITS
 #: The bound of the training sample: labelled rows of each language.
 PER_LANGUAGE = 1000
 CLUSTERS = 4
-SLACK = 0.6
+SLACK = 0.35
 UNKNOWN = "und"
 _DOCS = 128
 
@@ -100,19 +100,24 @@ def _bits(letters: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(letters, 1)).astype(int), 31)
 
 
-def _cluster(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means from farthest-first seeds."""
-    mean = x.mean(axis=0)
-    seeds = [int(np.argmax(x @ mean))]
+def _cluster(x: np.ndarray, k: int, rounds: int = 12, least: float = 0.05) -> np.ndarray:
+    """Spherical k-means from seeds drawn by squared distance (a fixed draw). Clusters of fewer than
+    `least` of the texts, mostly notices and mixed languages, give no centroid unless there is no other."""
+    rng = np.random.default_rng(11)
+    seeds = [int(np.argmax(x @ x.mean(axis=0)))]
     while len(seeds) < min(k, len(x)):
-        seeds.append(int(np.argmin((x @ x[seeds].T).max(axis=1))))
+        far = np.maximum(1 - (x @ x[seeds].T).max(axis=1).astype(float), 0) ** 2
+        if far.sum() <= 1e-12:
+            break
+        seeds.append(int(rng.choice(len(x), p=far / far.sum())))
     c = x[seeds]
     for _ in range(rounds):
         own = np.argmax(x @ c.T, axis=1)
-        # clusters that lose all their texts go
         c = np.stack([x[own == j].sum(axis=0) for j in range(len(c)) if (own == j).any()])
         c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-9)
-    return c
+    size = np.bincount(np.argmax(x @ c.T, axis=1), minlength=len(c))
+    large = size >= least * len(x)
+    return c[large] if large.any() else c
 
 
 def _train_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
