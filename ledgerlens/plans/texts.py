@@ -161,8 +161,8 @@ QUERIES: dict[str, Query] = {
     "q_n02_manifest": posts((stage(chain="CASE WHEN contains(content, 'icense') THEN 'licence' WHEN contains(content, '@') THEN 'contact' END"), stage(where="chain IS NOT NULL"), stage(rk="row_number() OVER (PARTITION BY source, chain ORDER BY seq)")), "source", "chain", where="rk = 1"),
     "q_n03_direct_relevance": posts((stage(direct="CASE WHEN source = 'src0' THEN 'platform' WHEN contains(content, ' | ') THEN 'product' WHEN contains(content, '@') THEN 'peer' WHEN contains(title, 'The') THEN 'name' ELSE 'none' END"),), "direct"),
     "q_n04_theme_budget": Query(
-        POSTS, (stage(**{f"is_{k}": theme(w) for k, w in THEMES.items()}), stage(ref="row_number() OVER (PARTITION BY source ORDER BY seq)")),
-        final=" UNION ALL ".join(f"SELECT source, '{k}' AS theme, count(*) AS items, min(ref) AS first_ref, max(ref) AS last_ref FROM t WHERE is_{k} GROUP BY source" for k in THEMES), tables=DOCS,
+        POSTS, (stage(**{f"is_{k}": theme(w) for k, w in THEMES.items()}), ),
+        final=" UNION ALL ".join(f"SELECT source, '{k}' AS theme, count(*) AS items, min(seq) AS first_ref, max(seq) AS last_ref FROM t WHERE is_{k} GROUP BY source" for k in THEMES), tables=DOCS,
     ),
     "q_n05_evidence_profile": Query(POSTS, SCORE, final="SELECT source, count(CASE WHEN action = 'keep' THEN 1 END) AS formal, count(DISTINCT lang) AS langs, CASE WHEN count(CASE WHEN action = 'keep' THEN 1 END) >= 20 THEN 'formal_rich' WHEN count(CASE WHEN action <> 'discard' THEN 1 END) >= 10 THEN 'medium' WHEN count(*) >= 40 THEN 'thin_external_rich' ELSE 'thin_all' END AS profile FROM t GROUP BY source", tables=DOCS),
     "q_n06_freshness": Query(POSTS, (stage(age=("datediff(DATE '2025-06-01', published)", "datediff('day', published, DATE '2025-06-01')")),), final="SELECT source, CAST(max(published) AS VARCHAR(10)) AS latest, CASE WHEN max(CASE WHEN age BETWEEN 0 AND 120 THEN 1 ELSE 0 END) = 1 THEN 'fresh' WHEN min(age) < 0 THEN 'unknown' ELSE 'stale' END AS freshness FROM t GROUP BY source", tables=DOCS),
