@@ -123,7 +123,7 @@ QUERIES: dict[str, Query] = {
     "q_v17_valuation_table": quotes((*VALUED, stage(cagr="CASE WHEN eps_this > 0 AND eps_next > 0 THEN power(eps_next / eps_this, 0.5) - 1 END")), *r6("fwd_pe", "cagr", "peg")),
     "q_v18_social_score": Query(
         POSTS, SENTIMENT,
-        final="""SELECT symbol, CAST(least(90, greatest(10, 50 + 5 * (count(CASE WHEN sentiment = 'bull' THEN 1 END) - 10 * count(CASE WHEN sentiment = 'bear' THEN 1 END)))) AS BIGINT) AS social_score, max_by(seq, (likes + comments) * 1000000 - seq) AS top_post FROM t GROUP BY symbol""",
+        final="""SELECT symbol, CAST(least(90, greatest(10, 50 + 5 * (count(CASE WHEN sentiment = 'bull' THEN 1 END) - count(CASE WHEN sentiment = 'bear' THEN 1 END)))) AS BIGINT) AS social_score, max_by(seq, (likes + comments) * 1000000 - seq) AS top_post FROM t GROUP BY symbol""",
         tables=DOCS,
     ),
     "q_s13_quote_fields": Query("SELECT s_suppkey, concat_ws('~', CAST(s_suppkey AS VARCHAR(9)), s_name, CAST(s_acctbal AS VARCHAR(20)), '', 'x1') AS line FROM supplier", (stage(name=("split(line, '~')[1]", "string_split(line, '~')[2]"), price=("try_cast(split(line, '~')[2] AS DOUBLE)", "try_cast(string_split(line, '~')[3] AS DOUBLE)"), bad=("try_cast(split(line, '~')[4] AS DOUBLE)", "try_cast(string_split(line, '~')[5] AS DOUBLE)")),), ("s_suppkey", "name", "price", "bad"), tables=("supplier",)),
