@@ -17,6 +17,9 @@ The join finds all pairs of classes whose sets have a Jaccard similarity of 0.8
    of its group in that bucket, never the pairs themselves.
 4. Roots are joined to components over all buckets.
 
+A class is represented by one (id, hash of the raw text), never by an id alone: ids may be null
+or shared by different texts.
+
 Defined results: null and empty texts, and texts without any word, have no shingles, so no
 links; equal ones form a class. Repeated rows and ties are copies of one class. Ids may be
 null. Only doc_id and text are read; other columns are ignored; an empty table gives no rows.
@@ -30,7 +33,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, materialize, sorted_groups
@@ -121,7 +124,7 @@ def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
 
-_SKETCHED = "doc_id long, key binary, n int, sketch binary, p1 array<long>, p2 array<long>, a2 array<int>, p3 array<long>, a3 array<int>"
+_SKETCHED = "doc_id long, text_hash binary, key binary, n int, sketch binary, p1 array<long>, p2 array<long>, a2 array<int>, p3 array<long>, a3 array<int>"
 
 
 def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,9 +140,9 @@ def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for out, x in zip((*paths, *parents), (*p, *a), strict=True):
                 out.append(x)
         yield pa.record_batch(
-            [batch.column("doc_id").cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(n, pa.int32()), pa.array(minima, pa.binary())]
+            [batch.column("doc_id").cast(pa.int64()), batch.column("text_hash"), pa.array(keys, pa.binary()), pa.array(n, pa.int32()), pa.array(minima, pa.binary())]
             + [_lists(paths[0], pa.int64()), _lists(paths[1], pa.int64()), _lists(parents[0], pa.int32()), _lists(paths[2], pa.int64()), _lists(parents[1], pa.int32())],
-            names=["doc_id", "key", "n", "sketch", "p1", "p2", "a2", "p3", "a3"],
+            names=["doc_id", "text_hash", "key", "n", "sketch", "p1", "p2", "a2", "p3", "a3"],
         )
 
 
@@ -291,14 +294,20 @@ def find_buckets(classes: DataFrame, small: int = SMALL) -> DataFrame:
     return rows.select(unit.alias("unit"), "bucket", "side", lo.alias("lo"), hi.alias("hi"), "key")
 
 
-def ngram_jaccard_join(docs: DataFrame, small: int = SMALL) -> DataFrame:
-    """doc_id, class_id (the smallest id of its group of linked classes), copy_id (the smallest id
-    with the same set), n_copies (rows with the same set), n_links (classes it is linked to)."""
-    pairs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _text_hash() -> Column:
+    """Tells texts under one id apart; null and empty are one text."""
+    return F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+
+
+def _groups(docs: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
+    """All rows (doc_id, text_hash, key and sketches), and a row for each class: key, rep (its row
+    with the smallest id, null ids last), root, head (the smallest rep of its group), n_copies, n_links."""
+    pairs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("text_hash", _text_hash())
     sketched = materialize(pairs.mapInArrow(_sketch, _SKETCHED), "sketches")
     wide = ("n", "sketch", "p1", "p2", "a2", "p3", "a3")
+    rep = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
     # all members of a class have the same values, so any row's will do
-    classes = sketched.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"), *(F.first(c).alias(c) for c in wide))
+    classes = sketched.groupBy("key").agg(F.min(rep).alias("rep"), F.count("*").alias("n_copies"), *(F.first(c).alias(c) for c in wide))
     classes = materialize(classes, "classes")
     live = classes.where("n > 0")
 
@@ -307,7 +316,7 @@ def ngram_jaccard_join(docs: DataFrame, small: int = SMALL) -> DataFrame:
     seen = members.join(own, "key").join(live.select("key", "n", "sketch"), "key")
     pruned = seen.repartition("unit").sortWithinPartitions("unit").mapInArrow(_prune, _PRUNED)
     wanted = pruned.groupBy("key").agg(F.collect_list(F.struct("unit", "bucket", "side", "lo", "hi")).alias("units"), F.first("buckets").alias("buckets"))
-    wanted = wanted.join(classes.select("key", "rep"), "key")
+    wanted = wanted.join(classes.select("key", F.col("rep.doc_id").alias("rep")), "key")
     texts = pairs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")))
     texts = texts.groupBy("rep", "key").agg(F.first("text").alias("text"), F.first("units").alias("units"), F.first("buckets").alias("buckets"))
     whole = texts.mapInArrow(_tokens_of, _PRUNED + ", tokens binary")
@@ -318,24 +327,34 @@ def ngram_jaccard_join(docs: DataFrame, small: int = SMALL) -> DataFrame:
     roots = connected_components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
     grouped = classes.select("key", "rep", "n_copies").join(links, "key", "left").join(roots.withColumnRenamed("node", "key"), "key", "left")
     grouped = grouped.withColumn("root", F.coalesce("root", "key"))
-    heads = grouped.groupBy("root").agg(F.min("rep").alias("class_id"))
-    table = grouped.join(heads, "root").select("key", F.col("rep").alias("copy_id"), "class_id", "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    heads = grouped.groupBy("root").agg(F.min("rep").alias("head"))
+    return sketched, grouped.join(heads, "root").withColumn("n_links", F.coalesce("n_links", F.lit(0)))
+
+
+def ngram_jaccard_join(docs: DataFrame, small: int = SMALL) -> DataFrame:
+    """doc_id, class_id (the smallest id of its group of linked classes), copy_id (the smallest id
+    with the same set), n_copies (rows with the same set), n_links (classes it is linked to)."""
+    sketched, classes = _groups(docs, small)
+    table = classes.select("key", F.col("rep.doc_id").alias("copy_id"), F.col("head.doc_id").alias("class_id"), "n_copies", "n_links")
     return sketched.select("doc_id", "key").join(table, "key").select("doc_id", "class_id", "copy_id", "n_copies", "n_links")
 
 
-def keep_one_of_each(docs: DataFrame) -> DataFrame:
+def keep_one_of_each(docs: DataFrame, small: int = SMALL) -> DataFrame:
     """The rows of `docs`, with all their columns, less all but one of each group: the row with the
-    smallest id stays (of several rows with that id, any one)."""
-    heads = ngram_jaccard_join(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").count()
-    heads = materialize(heads.select(F.col("class_id").alias("_head"), F.col("count").alias("_rows")), "heads")
+    smallest id stays, null ids last (of several rows with that id and the same text, any one)."""
+    sketched, classes = _groups(docs, small)
+    heads = classes.where("rep = head").select("key", F.col("head.doc_id").alias("_head"), F.col("head.text_hash").alias("_text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_head")) & (F.col("text_hash") == F.col("_text"))
+    heads = sketched.select("key", "doc_id", "text_hash").join(heads, "key").where(same).groupBy("_head", "_text").agg(F.count("*").alias("_rows"))
     # one row per document that stays: as large as the corpus, so it is never broadcast
-    heads = heads.hint("merge")
-    kept = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("_head")), "left_semi")
+    heads = materialize(heads, "heads").hint("merge")
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col("doc_id").cast("long").alias("_id"), _text_hash().alias("_hash"))
+    found = F.col("_id").eqNullSafe(F.col("_head")) & (F.col("_hash") == F.col("_text"))
     if heads.where("_rows > 1").isEmpty():
-        return kept
-    once = docs.join(heads.where("_rows = 1"), F.col("doc_id").eqNullSafe(F.col("_head")), "left_semi")
-    more = docs.join(heads.where("_rows > 1"), F.col("doc_id").eqNullSafe(F.col("_head")), "left_semi")
-    return once.unionByName(more.dropDuplicates(["doc_id"]))
+        return packed.join(heads, found, "left_semi").select("_row.*")
+    once = packed.join(heads.where("_rows = 1"), found, "left_semi")
+    more = packed.join(heads.where("_rows > 1"), found, "left_semi")
+    return once.unionByName(more.dropDuplicates(["_id", "_hash"])).select("_row.*")
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

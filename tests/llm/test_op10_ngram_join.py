@@ -101,3 +101,19 @@ def test_odd_and_empty(odd, empty):
     ids = [r.doc_id for r in kept.collect()]
     assert len(ids) == len(set(ids))
     assert M.ngram_jaccard_join(empty).count() == 0 and M.keep_one_of_each(empty).count() == 0
+
+
+def mixed_ids(spark, near=""):
+    """Seven groups whose rows have null or shared ids; `near` is appended to some copies."""
+    rng = random.Random(5)
+    text = lambda: " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+    a, b, c, d, e, f, g = (text() for _ in range(7))
+    data = [(None, a), (None, a), (None, a + near), (None, b), (None, c), (7, d), (7, e), (7, e), (3, f), (9, f + near), (9, g), (None, g.upper())]
+    return [a, b, c, d, e, f, g], spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in data], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+
+
+def test_rows_of_null_and_shared_ids_stay_or_go_by_their_own_group(spark):
+    groups, docs = mixed_ids(spark)
+    kept = [(r.doc_id, r.text.removesuffix(" more")) for r in M.keep_one_of_each(docs).collect()]
+    want = list(zip([None, None, None, 7, 7, 3, 9], groups, strict=True))
+    assert sorted(kept, key=str) == sorted(want, key=str)
