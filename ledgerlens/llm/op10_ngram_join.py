@@ -217,7 +217,7 @@ def _tokens_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, size = [], 0
         for i, tokens in enumerate(_sets(texts)):
             if _key(tokens, texts[i]) != keys[i]:
-                continue  # another text under the same id
+                raise ValueError("a text was fetched for another class")
             for u in units[i]:
                 out.append(u | {"key": keys[i], "buckets": buckets[i], "tokens": tokens.tobytes()})
                 size += tokens.nbytes
@@ -296,7 +296,7 @@ def find_buckets(classes: DataFrame, small: int = SMALL) -> DataFrame:
 
 def _text_hash() -> Column:
     """Tells texts under one id apart; null and empty are one text."""
-    return F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")))
+    return F.unhex(F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"), 256))
 
 
 def _groups(docs: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
@@ -316,9 +316,10 @@ def _groups(docs: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
     seen = members.join(own, "key").join(live.select("key", "n", "sketch"), "key")
     pruned = seen.repartition("unit").sortWithinPartitions("unit").mapInArrow(_prune, _PRUNED)
     wanted = pruned.groupBy("key").agg(F.collect_list(F.struct("unit", "bucket", "side", "lo", "hi")).alias("units"), F.first("buckets").alias("buckets"))
-    wanted = wanted.join(classes.select("key", F.col("rep.doc_id").alias("rep")), "key")
-    texts = pairs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")))
-    texts = texts.groupBy("rep", "key").agg(F.first("text").alias("text"), F.first("units").alias("units"), F.first("buckets").alias("buckets"))
+    wanted = wanted.join(classes.select("key", F.col("rep.doc_id").alias("_id"), F.col("rep.text_hash").alias("_hash")), "key")
+    # a text belongs to one class, so rows of a null or hot id meet the classes of their own text only
+    texts = pairs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+    texts = texts.groupBy("key").agg(F.first("text").alias("text"), F.first("units").alias("units"), F.first("buckets").alias("buckets"))
     whole = texts.mapInArrow(_tokens_of, _PRUNED + ", tokens binary")
     found = whole.repartition("unit").sortWithinPartitions("unit").mapInArrow(_verify, "key binary, links long, root binary")
     found = materialize(found, "links")
@@ -333,10 +334,11 @@ def _groups(docs: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
 
 def ngram_jaccard_join(docs: DataFrame, small: int = SMALL) -> DataFrame:
     """doc_id, class_id (the smallest id of its group of linked classes), copy_id (the smallest id
-    with the same set), n_copies (rows with the same set), n_links (classes it is linked to)."""
+    with the same set), n_copies (rows with the same set), n_links (classes it is linked to),
+    class_key and copy_key (they tell groups and sets apart where the smallest id is null or shared)."""
     sketched, classes = _groups(docs, small)
-    table = classes.select("key", F.col("rep.doc_id").alias("copy_id"), F.col("head.doc_id").alias("class_id"), "n_copies", "n_links")
-    return sketched.select("doc_id", "key").join(table, "key").select("doc_id", "class_id", "copy_id", "n_copies", "n_links")
+    table = classes.select("key", F.col("rep.doc_id").alias("copy_id"), F.col("head.doc_id").alias("class_id"), "n_copies", "n_links", F.hex("root").alias("class_key"), F.hex("key").alias("copy_key"))
+    return sketched.select("doc_id", "key").join(table, "key").drop("key").select("doc_id", "class_id", "copy_id", "n_copies", "n_links", "class_key", "copy_key")
 
 
 def keep_one_of_each(docs: DataFrame, small: int = SMALL) -> DataFrame:

@@ -117,3 +117,12 @@ def test_rows_of_null_and_shared_ids_stay_or_go_by_their_own_group(spark):
     kept = [(r.doc_id, r.text.removesuffix(" more")) for r in M.keep_one_of_each(docs).collect()]
     want = list(zip([None, None, None, 7, 7, 3, 9], groups, strict=True))
     assert sorted(kept, key=str) == sorted(want, key=str)
+
+
+def test_links_of_null_and_shared_ids(spark):
+    groups, docs = mixed_ids(spark, " more")
+    got = M.ngram_jaccard_join(docs).collect()
+    assert len({r.class_key for r in got}) == len(groups) and len({r.copy_key for r in got}) == len(groups) + 2
+    assert sorted((r.doc_id or 0, r.class_id or 0, r.n_copies, r.n_links) for r in got if r.n_links) == [(0, 0, 1, 1), (0, 0, 2, 1), (0, 0, 2, 1), (3, 3, 1, 1), (9, 3, 1, 1)]
+    kept = sorted((r.doc_id or 0, r.text.removesuffix(" more")) for r in M.keep_one_of_each(docs).collect())
+    assert kept == sorted(zip([0, 0, 0, 7, 7, 3, 9], groups, strict=True))
