@@ -10,20 +10,22 @@ Targets are tempered shares: the share of a level in the corpus to a power below
 sources are used less and small ones more, times the budget (`KEEP` of all tokens); no level is
 to give more than nine tenths of its tokens.
 
-The `TOP_SOURCES` sources and `TOP_LANGUAGES` languages with most tokens are strata of their
-own; all others share one stratum of their marginal. That bounds the table of cells, which is
-all that reaches the driver or is broadcast, whatever the input. Documents are not shuffled.
+Every source and language is a stratum of its own, however many there are. Up to `DRIVER_CELLS`
+cells (levels of the marginals multiplied) are raked as an array and broadcast; more are raked by
+the same rule on Spark, a join and a grouped sum for each marginal and round, and joined to the
+documents. `TOP_SOURCES` and `TOP_LANGUAGES`, unset by default, pool all but those with most tokens.
 
 Defined results: null source, language and text count as `(none)`, `(none)` and no tokens;
 documents without tokens are kept with the probability of their cell like any other; a marginal
 whose target cannot be reached (too few tokens) gets all it has; repeated rows of one id are
-kept or left together; null ids share one draw. Other columns are passed on unread; an empty
+kept or left together; rows of null ids are drawn by their text. Other columns are passed on unread; an empty
 table gives no rows.
 """
 
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,10 +34,12 @@ from pyspark.sql import functions as F
 
 from .common import documents, materialize
 
-TOP_SOURCES = 500
-TOP_LANGUAGES = 50
+TOP_SOURCES: int | None = None
+TOP_LANGUAGES: int | None = None
+DRIVER_CELLS = 200_000
 KEEP = 0.5
 POWERS = (0.6, 0.7, 0.8)
+AXES = ("s", "l", "t")
 OTHER, NONE = "(other)", "(none)"
 TOPICS = ("table", "shout", "contact", "notice", "short", "long", "prose")
 
@@ -92,31 +96,87 @@ def tempered(totals: np.ndarray, power: float, total: float, most: float = 0.9)
     return target
 
 
+def tempered_on_spark(cells: DataFrame, axis: str, power: float, total: float) -> DataFrame:
+    """(axis, target) as `tempered` gives it, of the levels that have tokens."""
+    most = 0.9
+    totals = materialize(cells.groupBy(axis).agg(F.sum("n").cast("double").alias("n")).where("n > 0"), "totals")
+    left = min(total, most * (totals.agg(F.sum("n")).first()[0] or 0.0))
+    share, factor, capped = F.pow("n", F.lit(power)), 0.0, -1
+    while True:
+        # the factor only grows, so a level that can't take its share never can
+        over = F.lit(factor) * share > most * F.col("n")
+        held, free, now = totals.agg(F.sum(F.when(over, F.col("n"))), F.sum(F.when(~over, share)), F.count_if(over)).first()
+        if not free or now == capped:
+            return totals.select(axis, F.when(over, most * F.col("n")).otherwise(factor * share).alias("target"))
+        factor, capped = max(factor, (left - most * (held or 0.0)) / free), now
+
+
+def _forget(df: DataFrame) -> None:
+    """Remove a scratch table that nothing reads any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+
+
+def rake_on_spark(cells: DataFrame, keep: float, powers: tuple[float, float, float], base: float, rounds: int = 500, tol: float = 1e-9) -> DataFrame:
+    """(s, l, t, prob) of all `cells` (s, l, t, n): what `rake` does, with no more than one row a task
+    or a few numbers in the driver."""
+    total = float(cells.agg(F.sum("n")).first()[0] or 0)
+    targets = [tempered_on_spark(cells, a, w, keep * total) for a, w in zip(AXES, powers, strict=True)]
+    targets = [materialize(t, "targets") for t in targets]
+    start = min(1.0, (targets[0].agg(F.sum("target")).first()[0] or 0.0) / max(total, 1))
+    state = materialize(cells.where("n > 0").withColumn("prob", F.lit(start)), "rake")
+    for _ in range(rounds):
+        after, scales = state.withColumn("_before", F.col("prob")), []
+        for axis, target in zip(AXES, targets, strict=True):
+            sums = after.groupBy(axis).agg(F.sum(F.col("prob") * F.col("n")).alias("now"))
+            scale = F.when(F.col("now") > 0, F.col("target") / F.col("now")).otherwise(1.0)
+            scales.append(materialize(sums.join(target, axis).select(axis, scale.alias("_scale")), "scale"))
+            after = after.join(scales[-1], axis).withColumn("prob", F.least(F.lit(1.0), F.col("prob") * F.col("_scale"))).drop("_scale")
+        after = materialize(after, "rake")
+        change = after.agg(F.max(F.abs(F.col("prob") - F.col("_before")))).first()[0] or 0.0
+        for old in (state, *scales):
+            _forget(old)
+        state = after.drop("_before")
+        if change < tol:
+            break
+    without = cells.where("n = 0").select(*AXES, F.lit(base).alias("prob"))
+    return state.select(*AXES, "prob").unionByName(without)
+
+
 @dataclass
 class Mix:
-    sources: list[str]
-    languages: list[str]
-    cells: list[dict]  # source, lang, topic, tokens, prob
+    sources: list[str] | None
+    languages: list[str] | None
+    cells: list[dict] | DataFrame  # source, lang, topic, prob
 
     def attach(self, docs: DataFrame) -> DataFrame:
         """`docs` with _tokens, _source, _lang, _topic, _prob and _kept."""
-        schema = "array<struct<source:string,lang:string,topic:string,prob:double>>"
-        lit = F.from_json(F.lit(json.dumps(self.cells)), schema)
-        cells = docs.sparkSession.range(1).select(F.inline(lit)).toDF("_source", "_lang", "_topic", "_prob")
+        if isinstance(self.cells, DataFrame):
+            cells = self.cells.toDF("_source", "_lang", "_topic", "_prob")
+        else:
+            schema = "array<struct<source:string,lang:string,topic:string,prob:double>>"
+            lit = F.from_json(F.lit(json.dumps(self.cells)), schema)
+            # at most DRIVER_CELLS
+            cells = F.broadcast(docs.sparkSession.range(1).select(F.inline(lit)).toDF("_source", "_lang", "_topic", "_prob"))
         rows = docs.withColumn("_tokens", n_tokens()).withColumn("_topic", topic(F.col("_tokens")))
         rows = rows.withColumn("_source", _stratum("source", self.sources)).withColumn("_lang", _stratum("lang", self.languages))
-        draw = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.col("doc_id")), 11) / float(1 << 53)
-        # at most (TOP_SOURCES + 2) * (TOP_LANGUAGES + 2) * len(TOPICS) cells
-        joined = rows.join(F.broadcast(cells), ["_source", "_lang", "_topic"])
+        draw = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.col("text"))), 11) / float(1 << 53)
+        joined = rows.join(cells, ["_source", "_lang", "_topic"])
         return joined.withColumn("_kept", draw < F.col("_prob"))
 
 
-def _stratum(column: str, names: list[str]) -> Column:
+def _stratum(column: str, names: list[str] | None) -> Column:
     value = F.coalesce(F.col(column).cast("string"), F.lit(NONE))
+    if names is None:
+        return value
     return F.when(value.isin(names), value).otherwise(OTHER) if names else F.lit(OTHER)
 
 
-def _top(sums: DataFrame, column: str, n: int) -> list[str]:
+def _top(sums: DataFrame, column: str, n: int | None) -> list[str] | None:
+    if n is None:
+        return None
     named = sums.groupBy(F.col(column).alias("name")).agg(F.sum("tokens").alias("t"))
     return [r["name"] for r in named.orderBy(F.desc("t"), "name").limit(n).collect()]
 
@@ -129,15 +189,19 @@ def fit_mix(docs: DataFrame, keep: float = KEEP, powers: tuple[float, float, flo
     sums = materialize(rows.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")), "mix")
     sources, languages = _top(sums, "source", TOP_SOURCES), _top(sums, "lang", TOP_LANGUAGES)
     strata = sums.select(_stratum("source", sources).alias("s"), _stratum("lang", languages).alias("l"), F.col("topic").alias("t"), "tokens")
-    cells = strata.groupBy("s", "l", "t").agg(F.sum("tokens").alias("n")).collect()
-    axes = [sorted({r[k] for r in cells}) for k in ("s", "l", "t")]
+    cells = materialize(strata.groupBy("s", "l", "t").agg(F.sum("tokens").alias("n")), "cells")
+    base = min(1.0, keep)  # of cells without tokens
+    levels = cells.agg(*(F.count_distinct(c) for c in AXES)).first()
+    if math.prod(levels) > DRIVER_CELLS:
+        return Mix(sources, languages, rake_on_spark(cells, keep, powers, base))
+    cells = cells.collect()
+    axes = [sorted({r[k] for r in cells}) for k in AXES]
     index = [{v: i for i, v in enumerate(a)} for a in axes]
     tokens = np.zeros([len(a) for a in axes])
     for r in cells:
         tokens[index[0][r["s"]], index[1][r["l"]], index[2][r["t"]]] = r["n"]
     targets = [tempered(tokens.sum(axis=tuple(b for b in range(3) if b != a)), powers[a], keep * tokens.sum()) for a in range(3)]
     p = rake(tokens, targets)
-    base = min(1.0, keep)  # of cells without tokens
     out = []
     for r in sorted(cells, key=lambda r: (r["s"], r["l"], r["t"])):
         at = (index[0][r["s"]], index[1][r["l"]], index[2][r["t"]])

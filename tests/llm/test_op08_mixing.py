@@ -58,3 +58,35 @@ def test_odd_and_empty(odd, empty):
     got = M.mix_documents(odd).collect()
     assert len(got) == 8 and all(0 <= r.prob <= 1 for r in got)
     assert M.mix_documents(empty).count() == 0
+
+
+def test_every_source_meets_its_own_target(spark):
+    """Also beyond the 500 sources that once had strata of their own."""
+    data = [(i, "w " * (1 + i % 7 + 20 * (i % 560 == 0)), "en", f"s{i % 560}", 1) for i in range(1680)]
+    got = M.mix_documents(spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")).toPandas()
+    g = got.assign(e=got.n_tokens * got.prob).groupby("source_stratum")
+    n, e = g.n_tokens.sum(), g.e.sum()
+    assert len(n) == 560
+    assert np.allclose(e, M.tempered(n.to_numpy(float), M.POWERS[0], M.KEEP * n.sum()), rtol=1e-4)
+
+
+def test_raking_on_spark_gives_the_same(spark, monkeypatch):
+    docs = corpus(spark, 300)
+    want = {r.doc_id: r.prob for r in M.mix_documents(docs).collect()}
+    monkeypatch.setattr(M, "DRIVER_CELLS", 0)
+    got = {r.doc_id: r.prob for r in M.mix_documents(docs).collect()}
+    assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-6 for i in want)
+    assert M.mix_documents(docs.limit(0)).count() == 0
+
+
+def test_tempered_on_spark(spark):
+    for totals, power, total in (([1000.0, 10.0, 5.0, 80.0], 0.1, 700.0), ([9.0, 1.0], 0.7, 5.0), ([3.0, 2.0], 0.5, 50.0), ([1000.0, 40.0, 2.0, 1.0], 0.3, 150.0)):
+        cells = spark.createDataFrame([(str(i), t) for i, t in enumerate(totals)], "s string, n double")
+        got = sorted((r.s, r.target) for r in M.tempered_on_spark(cells, "s", power, total).collect())
+        assert np.allclose([t for _, t in got], M.tempered(np.array(totals), power, total))
+
+
+def test_null_ids_are_drawn_one_by_one(spark):
+    docs = corpus(spark, 400).selectExpr("CAST(NULL AS long) doc_id", "concat(text, ' ', doc_id) text", "'en' lang", "'a' source", "n_chars")
+    got = M.mix_documents(docs).toPandas()
+    assert abs(got[got.kept].n_tokens.sum() / got.n_tokens.sum() - M.KEEP) < 0.1
