@@ -5,12 +5,17 @@ by exact, linear-time patterns over the whole text and always stay. The value of
 assignment, and of further credential contexts (`CONTEXT`: passphrases, bearer tokens, private keys
 and the like), is segmented at minimum cost by dynamic programming into common words (any
 case, reversed, or with look-alike digits), dates, repeats, sequences, keyboard walks, and
-brute-force spans; the cost is the logarithm of the guesses for such a combination, with the
-factorial of the number of segments. A value of a further context whose cost reaches `STRONG`
-is reported as a span of kind `context`.
-
-Segments but brute-force ones are at most `LONGEST` characters, and values are weighed in parts of
-`PART` characters whose costs add up, so work is linear in the text.
+brute-force spans. A segment costs the logarithm of its guesses plus that of the number of
+kinds of segment, since a guesser has to pick one each time; costs add up, so one pass over the
+value gives the exact minimum over all its segmentations, whatever its length and however many
+segments it takes. A value of a further context whose cost reaches `STRONG` is reported as a
+span of kind `context`.
+
+What a segment can be is part of the model: words are those of `WORDS`, a repeated unit has up to
+`UNIT` characters (and may be repeated any number of times; its own cost is found by the same
+rule), a walk has up to `WALK` keys. Between a context word and its value there is a colon, an
+equals sign or one blank; after a blank, where prose may follow, a value that is written like a
+word (letters of one case, or with a capital first) doesn't count.
 
 Defined results: null texts count as empty; without spans the digest is that of the empty
 string, and max_log10_guesses is null without a credential value. Repeated rows give equal
@@ -25,6 +30,7 @@ import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,15 +39,17 @@ from .common import documents
 
 KINDS = ("assign", "access", "hex", "context")
 STRONG = 10.0
-LONGEST = 24
-PART = 128
-SEGMENTS = 12
+UNIT = 64
+WALK = 48
+#: Words, dates, repeats, sequences, walks and brute force.
+KIND = math.log10(6)
 Span = tuple[int, int, str]
 
 _ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-CONTEXT = re.compile(r"""(?i:passphrase|passcode|\bpwd|\bpass|credentials?|private_?key|access_?key|bearer)["']?(?:\x20*[:=]\x20*|\x20)["']?([^\s"'<>,;]{8,})""", re.ASCII)
+CONTEXT = re.compile(r"""(?i:passphrase|passcode|\bpwd|\bpass|credentials?|private_?key|access_?key|bearer)["']?(\x20*[:=]\x20*|\x20)["']?([^\s"'<>,;]{8,})""", re.ASCII)
+_PROSE = re.compile(r"[^\W\d_]?(?:[^\W\d_A-Z]+|[A-Z]+)[.!?:)]*|[^\W\d_]+(?:['-][^\W\d_A-Z]+)+[.!?:)]*")
 _HINTS = ("passw", "secret", "token", "api")
 _MORE_HINTS = ("passphrase", "passcode", "pwd", "pass", "credential", "private", "access", "bearer")
 
@@ -64,6 +72,11 @@ def _ranks() -> dict[str, int]:
     return {w: i + 1 for i, w in enumerate(WORDS)}
 
 
+@lru_cache(maxsize=1)
+def _lengths() -> list[int]:
+    return sorted({len(w) for w in WORDS})
+
+
 @lru_cache(maxsize=1)
 def _neighbours() -> dict[str, str]:
     """Keys next to each key: in its row, and above and below in rows shifted by half a key each."""
@@ -109,43 +122,37 @@ def _date_cost(s: str) -> float | None:
 
 
 def _walk_cost(length: int, turns: int) -> float:
+    """A start key, a direction for each straight stretch, and where the stretches end."""
     keys, degree = sum(map(len, ROWS)), 4.6
-    total = sum(math.comb(i - 1, j - 1) * keys * degree**j for i in range(2, length + 1) for j in range(1, min(turns, i - 1) + 1))
-    return math.log10(max(total, 10))
+    ways = math.lgamma(length) - math.lgamma(turns) - math.lgamma(length - turns + 1)
+    return math.log10(keys) + turns * math.log10(degree) + ways / math.log(10)
 
 
 def _spans_from(s: str, i: int) -> Iterator[tuple[int, float]]:
-    """(end, log10 guesses) of the segments that start at i, but brute-force ones."""
-    top = min(len(s), i + LONGEST)
-    for j in range(i + 3, top + 1):
-        part = s[i:j]
-        cost = _word_cost(part)
+    """(end, log10 guesses) of the words, dates, sequences and walks that start at i."""
+    n = len(s)
+    for length in _lengths():
+        if i + length > n:
+            break
+        cost = _word_cost(s[i : i + length])
         if cost is not None:
-            yield j, cost
-        if 4 <= j - i <= 10 and part[0].isdigit() and part[-1].isdigit():
-            cost = _date_cost(part)
-            if cost is not None:
-                yield j, cost
-    j = i + 1  # one character repeated
-    while j < top and s[j] == s[i]:
-        j += 1
-        if j - i >= 3:
-            yield j, math.log10(12 * (j - i))
-    for unit in range(2, 7):  # longer units repeated
-        times = 1
-        while i + unit * (times + 1) <= top and s[i + unit * times : i + unit * (times + 1)] == s[i : i + unit]:
-            times += 1
-            yield i + unit * times, unit + math.log10(times)
-    if i + 1 < top and s[i].isalnum():  # a sequence
+            yield i + length, cost
+    if s[i].isdigit():
+        for j in range(i + 4, min(n, i + 10) + 1):
+            if s[j - 1].isdigit():
+                cost = _date_cost(s[i:j])
+                if cost is not None:
+                    yield j, cost
+    if i + 1 < n and s[i].isascii() and s[i].isalnum():  # a sequence
         step = ord(s[i + 1]) - ord(s[i])
         if step in (1, -1):
             j = i + 2
-            while j < top and s[j].isalnum() and ord(s[j]) - ord(s[j - 1]) == step:
+            while j < n and s[j].isascii() and s[j].isalnum() and ord(s[j]) - ord(s[j - 1]) == step:
                 j += 1
                 if j - i >= 3:
                     start = 4 if s[i] in "aAzZ019" else 10 if s[i].isdigit() else 26
                     yield j, math.log10(start * (j - i) * (1 if step > 0 else 2))
-    near, low = _neighbours(), s[i:top].lower()
+    near, low = _neighbours(), s[i : i + WALK].lower()
     turns, last = 0, None
     for k in range(1, len(low)):
         if low[k] not in near.get(low[k - 1], ""):
@@ -157,33 +164,53 @@ def _spans_from(s: str, i: int) -> Iterator[tuple[int, float]]:
             yield i + k + 1, _walk_cost(k + 1, turns)
 
 
-def log10_guesses(value: str) -> float:
-    """The least cost over all segmentations: sum of the segments' costs plus log10 of (number of segments)!."""
-    return sum(_part_guesses(value[lo : lo + PART]) for lo in range(0, len(value), PART))
+def _repeats(s: str) -> dict[int, list[tuple[int, int]]]:
+    """By start: (length of the unit, how often it stands there in a row, at least twice). Units that
+    are themselves repeats are left out: the same characters repeat their own unit more often."""
+    codes = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
+    out: dict[int, list[tuple[int, int]]] = {}
+    left = np.full(codes.size, codes.size + 1)  # the shortest unit found at each place, and how far it reaches
+    reach = np.zeros(codes.size, np.int64)
+    for unit in range(1, min(UNIT, codes.size // 2) + 1):
+        differs = np.flatnonzero(codes[:-unit] != codes[unit:])
+        begin = np.concatenate([[0], differs + 1])
+        end = np.concatenate([differs, [codes.size - unit]])
+        for a, b in zip(begin[end - begin >= unit].tolist(), end[end - begin >= unit].tolist(), strict=True):
+            for i in range(a, b - unit + 1):
+                if unit % left[i] == 0 and reach[i] >= i + unit:
+                    continue
+                if unit == 1 and i >= a + UNIT:
+                    break  # a segment that ends so far inside a run of one character is no cheaper than one more of that run
+                if left[i] > codes.size:
+                    left[i], reach[i] = unit, b + unit
+                out.setdefault(i, []).append((unit, 1 + (b - i) // unit))
+            if unit == 1:
+                left[a:b], reach[a:b] = 1, b + 1
+    return out
 
 
-def _part_guesses(s: str) -> float:
-    n = len(s)
-    inf = math.inf
-    # by end and number of segments: ended by a pattern, ended by brute force
-    done = [[inf] * (SEGMENTS + 1) for _ in range(n + 1)]
-    open_ = [[inf] * (SEGMENTS + 1) for _ in range(n + 1)]
-    done[0][0] = 0.0
-    step = [0.0] + [math.log10(k) for k in range(1, SEGMENTS + 1)]
+def log10_guesses(value: str) -> float:
+    """The least cost over all segmentations: the segments' log10 guesses, and `KIND` for each."""
+    n = len(value)
+    # by end: the last segment is a pattern, or a brute-force span that may go on
+    done, free = np.full(n + 1, np.inf), np.full(n + 1, np.inf)
+    done[0] = 0.0
+    repeats = _repeats(value)
     for i in range(n):
-        spans = list(_spans_from(s, i))
-        for k in range(SEGMENTS + 1):
-            both = min(done[i][k], open_[i][k])
-            if both == inf:
-                continue
-            if open_[i][k] < inf:  # one more character of brute force
-                open_[i + 1][k] = min(open_[i + 1][k], open_[i][k] + 1.0)
-            if k < SEGMENTS:
-                if done[i][k] < inf:
-                    open_[i + 1][k + 1] = min(open_[i + 1][k + 1], done[i][k] + 1.0 + step[k + 1])
-                for j, cost in spans:
-                    done[j][k + 1] = min(done[j][k + 1], both + cost + step[k + 1])
-    return min(*done[n], *open_[n])
+        best = min(done[i], free[i])
+        free[i + 1] = min(free[i] + 1.0, done[i] + 1.0 + KIND)
+        for j, cost in _spans_from(value, i):
+            if best + cost + KIND < done[j]:
+                done[j] = best + cost + KIND
+        for unit, times in repeats.get(i, ()):
+            ends = done[i + 2 * unit : i + unit * times + 1 : unit]
+            np.minimum(ends, best + KIND + _unit_cost(value[i : i + unit]) + np.log10(np.arange(2, times + 1)), out=ends)
+    return float(min(done[n], free[n]))
+
+
+@lru_cache(maxsize=4096)
+def _unit_cost(unit: str) -> float:
+    return log10_guesses(unit)
 
 
 def base_matches(text: str) -> tuple[list[Span], list[tuple[int, int]]]:
@@ -211,13 +238,15 @@ def find_secrets(text: str) -> tuple[list[Span], list[Span], float | None]:
     if any(h in low for h in _MORE_HINTS):
         taken = 0
         for m in CONTEXT.finditer(text):
-            a, b = m.span(1)
+            a, b = m.span(2)
+            if m[1] == " " and _PROSE.fullmatch(m[2]):
+                continue
             while taken < len(base) and base[taken][1] <= a:
                 taken += 1
             if taken < len(base) and base[taken][0] < b:
                 continue  # a base span already covers it
             cost = log10_guesses(text[a:b])
-            if cost >= STRONG and any(c.isdigit() for c in text[a:b]):
+            if cost >= STRONG:
                 more.append((a, b, "context"))
                 costs.append(cost)
     return base, sorted([*base, *more], key=lambda s: (s[0], KINDS.index(s[2]))), max(costs, default=None)
