@@ -74,6 +74,21 @@ def test_blocks_and_drop(spark, make, monkeypatch):
     assert kept.columns == make(texts).columns and {r.doc_id for r in kept.collect()} == set(range(8, 20))
 
 
+def test_short_items_match_exactly_between_word_bounds(spark, make):
+    items = ["Oslo", "the sea", "x" * (M.PIECE - 1), "x" * M.PIECE]
+    texts = ["It is Oslo.", "Osloer", "in OSLO, by The  Sea", "bathe seats", "oslo", "a" + "x" * (M.PIECE - 1), "x" * (M.PIECE - 1), "y" + "x" * M.PIECE, None, ""]
+    got = {(r.doc_id, r.item_id, r.edits) for r in M.contaminated(make(texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")).collect()}
+    want = set()
+    for i, t in enumerate(texts):
+        for k, item in enumerate(items):
+            a, b = M.normalise(item), M.normalise(t)
+            if (f" {a} " in f" {b} ") if len(a) < M.PIECE else a in b:
+                want.add((i, k, 0))
+    assert got == want == {(0, 0, 0), (2, 0, 0), (2, 1, 0), (4, 0, 0), (6, 2, 0), (7, 3, 0)}
+    kept = M.drop_contaminated(make(texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == {1, 3, 5, 8, 9}
+
+
 def test_odd_and_empty(spark, odd, empty):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "short"), (None, "the the of and the the of and the the of and")], "item_id long, text string")
     got = M.contaminated(odd, bench).collect()
