@@ -1,14 +1,18 @@
 """Personal data by a semi-Markov conditional random field over whole spans.
 
 Base spans (e-mail, IP, card, phone) are found by exact, linear-time patterns over the whole text
-and always stay. Around marks that personal data needs (digits, @, a plus sign, a title or a
-cue word) the text is cut into tokens, and the model chooses segments: each span of up to
-`MAX_TOKENS` tokens is scored as a whole by features of its shape, its cue words and its
-neighbours, for each type, plus weights for adjacent types. Dynamic programming over
-boundaries and types (bounded segment length, so linear in the tokens) gives the best
-segmentation; base spans are fixed segments in it. The types are the base kinds and
-`ssn` (social security numbers), `iban`, `date` (dates of birth after a cue) and `name`
-(names after a title or cue). Segments of a base kind that fail that kind's own test are not reported.
+and always stay. The model segments the tokens of the whole text: each span of up to `MAX_TOKENS`
+tokens and `MAX_CHARS` characters is scored as a whole by features of its written form, its arithmetic (check digits,
+calendar, octets), its cue words and what it touches, for each type, plus weights for adjacent
+types. Dynamic programming over boundaries and types (bounded segment length, so linear in the
+tokens) gives the best segmentation; base spans are fixed segments in it. The types are the base
+kinds (so spelled-out e-mail addresses, national phone numbers or cards with other separators are
+found) and `ssn` (social security numbers), `iban`, `date` (dates of birth) and `name`. What the
+model decides is reported; no pattern filters it afterwards.
+
+Only spans with a digit, a spelled-out at-sign or a name's cue may be typed, so text without
+such marks nearby is `other` for certain and is passed over; tokens around marks stream through
+and finished segments are forgotten, so memory grows neither with the text nor with its digits.
 
 The weights are learned here, by conditional log-likelihood over segmentations of sentences
 made from patterns (`training_sentences`, a fixed seed): no row of the corpus is used.
@@ -23,11 +27,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import islice
+from itertools import islice, takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +42,8 @@ from .common import documents
 KINDS = ("email", "ip", "card", "phone")
 MORE = ("ssn", "iban", "date", "name")
 TYPES = ("other", *KINDS, *MORE)
-MAX_TOKENS = 12
+MAX_TOKENS = 16
+MAX_CHARS = 64
 Span = tuple[int, int, str]
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -97,302 +101,448 @@ _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|[^\w\s]|_|[^\W]")
 #: Words that announce personal data, and titles before names.
 CUES = {
     "ssn": ("ssn", "social", "security"),
-    "iban": ("iban", "account", "konto", "compte"),
-    "date": ("born", "birth", "dob", "birthday", "geboren", "naissance", "nacido"),
-    "name": ("mr", "mrs", "ms", "dr", "prof", "herr", "frau", "monsieur", "madame", "contact", "sincerely"),
+    "iban": ("iban", "account", "konto", "compte", "cuenta"),
+    "date": ("born", "birth", "dob", "birthday", "geboren", "geburtsdatum", "naissance", "nacido"),
+    "name": ("mr", "mrs", "ms", "dr", "prof", "herr", "frau", "monsieur", "madame", "mme", "señor", "señora", "contact", "sincerely", "signed"),
+    "phone": ("phone", "tel", "telephone", "mobile", "cell", "fax", "call", "telefon", "téléphone", "teléfono"),
+    "email": ("mail", "email", "write", "courriel", "correo"),
 }
 _CUE_OF = {w: k for k, ws in CUES.items() for w in ws}
-_CUE = re.compile(r"\b(?:" + "|".join(sorted(_CUE_OF)) + r")\b", re.IGNORECASE)
-_MARK = re.compile(r"[0-9]{2}|@")
-AROUND = 48
-
-
-def marks(text: str) -> list[tuple[int, int]]:
-    """Where the text has two digits, an @ or a cue word, in order."""
-    out = [m.span() for m in _MARK.finditer(text)]
-    low = text.lower()
-    if len(low) != len(text):
-        out += [m.span() for m in _CUE.finditer(text)]
-    else:
-        for cue in _CUE_OF:
-            at = low.find(cue)
-            while at >= 0:
-                end = at + len(cue)
-                if not (at and low[at - 1].isalnum()) and not low[end : end + 1].isalnum():
-                    out.append((at, end))
-                at = low.find(cue, end)
-    return sorted(out)
+_CUE_REACH = 6
+_AT = r"[(\[{] ?at ?[)\]}]"
+_AT_SIGN = re.compile(_AT, re.IGNORECASE)
+_AT_END = re.compile(_AT + r"\Z", re.IGNORECASE)
+_MARK = re.compile(rf"[0-9]+|{_AT}|(?<![^\W\d_])(?:{'|'.join(sorted(_CUE_OF, key=len, reverse=True))})(?![^\W\d_])", re.IGNORECASE)
+#: No candidate and no cue reaches over more tokens than this, and a token holds no blank.
+_REACH = MAX_TOKENS + _CUE_REACH
 
 
 def regions(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches of text around marks, joined where they meet and widened to white space."""
-    lo = hi = -1
-    for start, end in marks(text):
-        a, b = max(0, start - AROUND), min(len(text), end + AROUND)
-        while a > 0 and a > start - 2 * AROUND and not text[a - 1].isspace():
-            a -= 1
-        while b < len(text) and b < end + 2 * AROUND and not text[b].isspace():
-            b += 1
-        if lo < 0:
-            lo, hi = a, b
-        elif a <= hi:
-            hi = max(hi, b)
-        else:
+    """Stretches that hold every candidate: `_REACH` blank-separated pieces on both sides of each mark
+    (a run of digits, a spelled-out at-sign, a cue), joined where they meet. Elsewhere every token
+    is `other`, so the best segmentation of the regions is that of the whole text."""
+    lo = hi = last = -1
+    for m in _MARK.finditer(text):
+        if lo >= 0:
+            if m.start() > hi:
+                hi = _right(text, last)
+            a = m.start() if m.start() <= hi else _left(text, m.start())
+            if a <= hi:
+                last = m.end()
+                continue
             yield lo, hi
-            lo, hi = a, b
+            lo = a
+        else:
+            lo = _left(text, m.start())
+        hi = last = m.end()
     if lo >= 0:
-        yield lo, hi
+        yield lo, _right(text, last)
+
+
+def _left(text: str, at: int) -> int:
+    for _ in range(_REACH):
+        at = text.rfind(" ", 0, at)
+        if at < 0:
+            return 0
+    return at
+
+
+def _right(text: str, at: int) -> int:
+    for _ in range(_REACH):
+        at = text.find(" ", at + 1)
+        if at < 0:
+            return len(text)
+    return at
+
+
+class _Kinds(dict):
+    """Characters by kind: 9, A, a, a blank, or themselves."""
 
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        kind = "9" if c in "0123456789" else "A" if c.isupper() else "a" if c.isalpha() else " " if c.isspace() else c
+        self[code] = kind
+        return kind
 
-def _shape(s: str) -> str:
-    """Runs of one kind of character: A, a, 9, or the character itself."""
+
+_KIND_OF = _Kinds()
+_RUNS = re.compile(r"(.)\1+")
+#: Written forms of whole spans, over kinds of characters.
+_FORMS = [
+    ("ssn", re.compile(r"999[- ]99[- ]9999")),
+    ("iban", re.compile(r"AA99(?: ?[A9]{4}){2,7}(?: ?[A9]{1,4})?")),
+    ("date", re.compile(r"9999[-./]99[-./]99|99?[-./]99?[-./](?:99)?99|99?\.? [Aa]a{2,9} 9999|[Aa]a{2,9} 99?, 9999")),
+    ("name", re.compile(r"Aa+(?:-Aa+)?(?: (?:A\.|Aa+(?:-Aa+)?)){1,3}")),
+    ("phone", re.compile(r"(?:\(9{2,5}\)|9{2,5})[-/. ]{0,2}9{2,4}(?:[-. ]9{2,4}){1,3}|99{9,11}")),
+    ("card", re.compile(r"9{14,19}|9{4}([-. ])9{4}(?:\1)9{4}(?:\1)9{2,4}|9{4}[- ]9{6}[- ]9{4,5}")),
+    ("ip", re.compile(r"9{1,3}(?:\.9{1,3}){3}")),
+    ("email", re.compile(r"[aA9._-]+ ?[(\[{] ?aa ?[)\]}] ?[aA9-]+(?: ?(?:\.|[(\[{] ?aaa ?[)\]}]) ?[aA9-]+)+")),
+]
+
+
+def _checks(s: str, forms: tuple[str, ...]) -> tuple[str, ...]:
+    """What arithmetic says of a span of the given forms."""
     out = []
-    for c in s:
-        x = "9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else " " if c.isspace() else c
-        if not out or out[-1] != x or x not in "9Aa ":
-            out.append(x)
-    return "".join(out)
-
-
-_SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}")
-_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?")
-_DATE = re.compile(r"(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})")
-_NAME = re.compile(r"[A-ZÀ-Þ][a-zß-ÿ]+(?: [A-ZÀ-Þ][a-zß-ÿ]+){1,2}")
-_FULL = [("ssn", _SSN), ("iban", _IBAN), ("date", _DATE), ("name", _NAME), ("card", _CARD), ("phone", _PHONE), ("ip", _IP)]
-
-
-def _iban_ok(s: str) -> bool:
-    plain = s.replace(" ", "")
-    return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
-
-
-def segment_features(text: str, start: int, end: int, cue: str, before: str, after: str) -> list[str]:
-    """Features of a whole candidate span."""
-    s = text[start:end]
-    found = [f"cue={cue}", f"words={min(4, s.count(' ') + 1)}"]
-    digits = sum(c.isdigit() for c in s)
-    found.append(f"digits={min(digits, 20) // 2}")
-    shape = _shape(s)
-    found.append(f"shape={shape}" if len(shape) <= 8 else "shape=long")
-    for kind, pattern in _FULL:
-        if pattern.fullmatch(s):
-            found += [f"full={kind}", f"full={kind}&cue={cue}"]
-    if before.isalnum() or before in "-._@" and before:
-        found.append("joined-before")
-    if after.isalnum() or after in "-@" and after:
-        found.append("joined-after")
-    if "@" in s:
-        found.append("at")
-    if digits >= 12 and luhn("".join(c for c in s if c in "0123456789")):
-        found.append("luhn")
-    if _IBAN.fullmatch(s) and _iban_ok(s):
-        found.append("mod97")
-    return found
-
-
-def _reportable(kind: str, s: str) -> bool:
-    """The test of each kind that a reported segment has to pass."""
-    if kind == "ssn":
-        return bool(_SSN.fullmatch(s)) and s[:3] not in ("000", "666") and s[0] != "9" and s[4:6] != "00" and s[7:] != "0000"
-    if kind == "iban":
-        return bool(_IBAN.fullmatch(s)) and _iban_ok(s)
-    if kind == "date":
-        return bool(_DATE.fullmatch(s))
-    return kind == "name" and bool(_NAME.fullmatch(s))
+    digits = "".join(c for c in s if c in "0123456789")
+    for form in forms:
+        if form == "card":
+            out.append("luhn" if luhn(digits) else "not-luhn")
+        elif form == "iban":
+            plain = s.replace(" ", "")
+            ok = 15 <= len(plain) <= 34 and plain.isascii() and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+            out.append("mod97" if ok else "not-mod97")
+        elif form == "ssn":
+            out.append("issued" if digits[:3] not in ("000", "666") and digits[0] != "9" and digits[3:5] != "00" and digits[5:] != "0000" else "never-issued")
+        elif form == "ip":
+            out.append("octets" if all(int(p) <= 255 for p in s.split(".")) else "not-octets")
+        elif form == "date":
+            parts = [int(p) for p in re.findall("[0-9]+", s)]
+            year = max(parts)
+            rest = [p for p in parts if p != year]
+            ok = (1900 <= year <= 2025 or year < 100) and all(1 <= p <= 31 for p in rest) and (len(rest) < 2 or min(rest) <= 12)
+            out.append("calendar" if ok else "not-calendar")
+    return tuple(out)
 
 
 class Weights:
-    def __init__(self) -> None:
-        self.state: dict[tuple[str, str], float] = defaultdict(float)
-        self.step: dict[tuple[str, str], float] = defaultdict(float)
+    """Weights of span features by type, and of adjacent types."""
 
-    def span(self, kind: str, features: list[str]) -> float:
-        get = self.state.get
-        return sum(get((kind, f), 0.0) for f in features) + get((kind, "bias"), 0.0)
+    def __init__(self) -> None:
+        self.state: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(TYPES)))
+        self.step = np.zeros((len(TYPES), len(TYPES)))
+        self.known: dict[tuple, np.ndarray] = {}
+
+    def scores(self, seen: tuple) -> np.ndarray:
+        """The score of a span as each type (none as `other`), by what is seen of it."""
+        found = self.known.get(seen)
+        if found is None:
+            if len(self.known) > 50_000:
+                self.known.clear()
+            found = sum((self.state[f] for f in features(seen) if f in self.state), np.zeros(len(TYPES)))
+            found[0] = -np.inf
+            self.known[seen] = found
+        return found
+
+
+@lru_cache(maxsize=100_000)
+def _written(raw: str) -> tuple[tuple[str, ...], tuple]:
+    """The forms of a span by its kinds of characters, and the coarse measures that features use."""
+    forms = tuple(k for k, p in _FORMS if p.fullmatch(raw))
+    digits, letters, shape = raw.count("9"), raw.count("A") + raw.count("a"), _RUNS.sub(r"\1", raw)
+    return forms, (min(5, raw.count(" ") + 1), min(digits, 24) // 2, min(letters, 24) // 4, shape if len(shape) <= 7 else "long")
+
+
+def seen_of(text: str, a: int, b: int, cue: str) -> tuple | None:
+    """All that the features of text[a:b] depend on: measures, cue, what it touches, forms and checks.
+    None if it has no known written form and no cue, so nothing speaks for a type."""
+    s = text[a:b]
+    forms, measures = _written(s.translate(_KIND_OF))
+    if "email" in forms and not _AT_SIGN.search(s):
+        forms = tuple(f for f in forms if f != "email")
+    if not forms and not cue:
+        return None
+    before, after = text[a - 1 : a] if a else "", text[b : b + 1]
+    touch = (before.isalnum() or before in "-._@/" and before != "", after.isalnum() or after in "-@/" and after != "")
+    return measures, cue, touch, forms, _checks(s, forms) if forms else ()
+
+
+@lru_cache(maxsize=50_000)
+def features(seen: tuple) -> tuple[str, ...]:
+    (words, digits, letters, shape), cue, touch, forms, checks = seen
+    found = ["bias", f"cue={cue}", f"words={words}", f"digits={digits}", f"letters={letters}", f"shape={shape}"]
+    if not forms:
+        found += ["no-form", f"no-form&cue={cue}"]
+    for f in forms:
+        found += [f"form={f}", f"form={f}&cue={'own' if cue == f else 'other' if cue else 'none'}"]
+        found += [f"form={f}&{c}" for c in checks]
+    if touch[0]:
+        found.append("joined-before")
+    if touch[1]:
+        found.append("joined-after")
+    return tuple(found)
 
 
-def _tokens(text: str, lo: int, hi: int) -> list[tuple[int, int]]:
-    return [m.span() for m in _TOKEN.finditer(text, lo, hi)]
+class _Window:
+    """The tokens of a stretch and which spans of them may be typed.
 
+    A typed span starts at a digit, a plus sign, an opening bracket before a digit or a capital (or at any
+    letter if it has a spelled-out at-sign), ends at a letter or digit, has no line break and no gap
+    of two characters, and has a digit, a spelled-out at-sign or a name's cue before it. It has a known
+    written form or follows a cue."""
 
-def _candidates(text: str, tokens: list[tuple[int, int]]) -> dict[int, list[tuple[int, str | None, list[str]]]]:
-    """By last token + 1: (first token, None) for a single outside token, or a span to be typed, with features.
+    def __init__(self, text: str) -> None:
+        self.text, self.tokens, self.cues, self.mark, self.gap = text, [], [], [], []
+        self._cue, self._where = "", -99
 
-    A typed span starts and ends at letters or digits (or a plus sign), spans no line break,
-    and has a digit or follows a cue; nothing else can be personal data of these types.
-    """
-    out: dict[int, list] = defaultdict(list)
-    words = [text[a:b] for a, b in tokens]
-    for j in range(len(tokens)):
-        out[j + 1].append((j, None, []))
-    cue_at, last, where = [], "", -99
-    for j, w in enumerate(words):
-        cue_at.append(last if j - where <= 6 else "")
+    def add(self, a: int, b: int) -> None:
+        w, j = self.text[a:b], len(self.tokens)
+        self.cues.append(self._cue if j - self._where <= _CUE_REACH else "")
+        self.gap.append(bool(self.tokens) and (a - self.tokens[-1][1] > 1 or "\n" in self.text[self.tokens[-1][1] : a]))
+        self.tokens.append((a, b))
+        # the last token with a digit, or that ends a spelled-out at-sign
+        marked = w[0] in "0123456789" or (w in ")]}" and _AT_END.search(self.text, max(0, b - 6), b) is not None)
+        self.mark.append(j if marked else self.mark[-1] if j else -99)
         kind = _CUE_OF.get(w.lower())
         if kind:
-            last, where = kind, j
-    for i, (a, _) in enumerate(tokens):
-        first = text[a]
-        if not (first.isalnum() or first == "+"):
-            continue
-        cue, digit = cue_at[i], False
-        if not cue and not (first.isdigit() or first == "+" or first.isupper()):
-            continue
-        for j in range(i, min(len(tokens), i + MAX_TOKENS)):
-            if j > i and (tokens[j][0] - tokens[j - 1][1] > 1 or "\n" in text[tokens[j - 1][1] : tokens[j][0]]):
-                break
-            b = tokens[j][1]
-            digit = digit or words[j][0].isdigit()
-            if (digit or cue == "name") and text[b - 1].isalnum():
-                before, after = text[a - 1 : a], text[b : b + 1]
-                out[j + 1].append((i, "typed", segment_features(text, a, b, cue, before, after)))
-    return out
+            self._cue, self._where = kind, j
+
+    def drop(self, n: int) -> None:
+        """Forget the first n tokens."""
+        for x in (self.tokens, self.cues, self.mark, self.gap):
+            del x[:n]
+        self.mark = [m - n for m in self.mark]
+        self._where -= n
+
+    def spans_ending_at(self, j: int) -> Iterator[tuple[int, tuple]]:
+        """(first token, what is seen) of the spans whose last token is j."""
+        text, tokens, mark = self.text, self.tokens, self.mark[j]
+        b = tokens[j][1]
+        if not text[b - 1].isalnum() or (mark <= j - MAX_TOKENS and "name" not in self.cues[max(0, j - MAX_TOKENS + 1) : j + 1]):
+            return
+        for i in range(j, max(-1, j - MAX_TOKENS), -1):
+            a, cue = tokens[i][0], self.cues[i]
+            if b - a > MAX_CHARS:
+                return
+            c = text[a]
+            if c.isdigit() or c == "+" or c.isupper() or (c == "(" and text[a + 1 : a + 2].isdigit()):
+                may = mark >= i or (cue == "name" and c.isupper())
+            else:
+                may = mark >= i and c.isalpha() and _AT_SIGN.search(text, a, b) is not None
+            seen = seen_of(text, a, b, cue) if may else None
+            if seen is not None:
+                yield i, seen
+            if self.gap[i]:
+                return
 
 
-def decode(text: str, tokens: list[tuple[int, int]], w: Weights, fixed: dict[int, tuple[int, str]]) -> list[tuple[int, int, str]]:
-    """The best segmentation (first token, last token + 1, type). `fixed` maps the last token + 1 of a base
-    span to its first token and kind; no other segment may cover or cross it."""
-    n = len(tokens)
-    inside = np.zeros(n + 1, bool)
-    for end, (start, _) in fixed.items():
-        inside[start:end] = True
-    taken = np.cumsum(inside) - inside
-    candidates = _candidates(text, tokens)
-    best: list[dict[str, tuple[float, int, str]]] = [{"other": (0.0, -1, "")}]
-    for j in range(1, n + 1):
-        here: dict[str, tuple[float, int, str]] = {}
-        options = [(fixed[j][0], fixed[j][1], 0.0)] if j in fixed else []
-        if not options:
-            for i, typed, features in candidates[j]:
-                if inside[i] or taken[j] - taken[i]:
-                    continue
-                if typed is None:
-                    options.append((i, "other", 0.0))
-                else:
-                    options += [(i, kind, w.span(kind, features)) for kind in TYPES[1:]]
-        for i, kind, score in options:
-            for last, (sofar, _, _) in best[i].items():
-                total = sofar + score + w.step.get((last, kind), 0.0)
-                if kind not in here or total > here[kind][0]:
-                    here[kind] = (total, i, last)
-        best.append(here)
-    if not best[n]:
-        return []
-    out, j, kind = [], n, max(best[n], key=lambda k: best[n][k][0])
-    while j > 0:
-        _, i, last = best[j][kind]
-        if kind != "other":
-            out.append((i, j, kind))
-        j, kind = i, last
-    return out[::-1]
-
-
-def training_sentences(seed: int = 5, n: int = 120) -> list[tuple[str, list[Span]]]:
-    """Sentences made from patterns, with the spans of their personal data."""
+def decode(text: str, lo: int, hi: int, w: Weights, fixed: list[Span], block: int = 512) -> Iterator[Span]:
+    """The typed segments of the best segmentation of text[lo:hi], as (start, end, type).
+
+    `fixed` are base spans in order: each is a segment of its kind, and no other may touch its tokens.
+    Tokens stream through; once more than `block` are held, the segments that all open paths
+    share are given out and forgotten, so memory does not grow with the stretch.
+    """
+    win, step = _Window(text), w.step
+    start = np.full(len(TYPES), -np.inf)
+    start[0] = 0.0
+    best, back = [start], [(np.zeros(len(TYPES), np.int64), np.zeros(len(TYPES), np.int64))]
+    into: list[tuple[np.ndarray, np.ndarray]] = []
+    held: list[bool] = []  # tokens of fixed spans
+    at, limit = 0, block
+
+    def path(j: int, k: int) -> list[Span]:
+        out = []
+        while j > 0:
+            length, last = int(back[j][0][k]), int(back[j][1][k])
+            if k:
+                out.append((win.tokens[j - length][0], win.tokens[j - 1][1], TYPES[k]))
+            j, k = j - length, last
+        return out[::-1]
+
+    for m in _TOKEN.finditer(text, lo, hi):
+        a, b = m.span()
+        j = len(win.tokens)
+        win.add(a, b)
+        while at < len(fixed) and fixed[at][1] <= a:
+            at += 1
+        inside = at < len(fixed) and fixed[at][0] < b
+        held.append(inside)
+        arrive = best[j][:, None] + step
+        into.append((arrive.max(axis=0), arrive.argmax(axis=0)))
+        now, length, last = np.full(len(TYPES), -np.inf), np.ones(len(TYPES), np.int64), np.zeros(len(TYPES), np.int64)
+        if inside:
+            if fixed[at][1] <= b or _TOKEN.search(text, b, min(hi, fixed[at][1])) is None:  # its last token
+                i = j
+                while i > 0 and held[i - 1] and win.tokens[i - 1][1] > fixed[at][0]:
+                    i -= 1
+                k = TYPES.index(fixed[at][2])
+                now[k], length[k], last[k] = into[i][0][k], j + 1 - i, into[i][1][k]
+                taken_to = b
+                at += 1
+                while at < len(fixed) and fixed[at][0] < taken_to:  # base spans of different kinds may overlap; the first holds its tokens
+                    at += 1
+        else:
+            now[0], last[0] = into[j][0][0], into[j][1][0]
+            for i, seen in win.spans_ending_at(j):
+                if held[i]:
+                    break
+                score = into[i][0] + w.scores(seen)
+                better = score > now
+                if better.any():
+                    now[better], length[better], last[better] = score[better], j + 1 - i, into[i][1][better]
+        best.append(now)
+        back.append((length, last))
+        if j + 1 >= limit and np.isfinite(now).any():
+            open_ = {(x, int(k)) for x in range(max(0, j + 2 - MAX_TOKENS), j + 2) for k in np.flatnonzero(np.isfinite(best[x]))}
+            while len(open_) > 1:
+                x, k = max(open_)
+                open_.remove((x, k))
+                open_.add((x - int(back[x][0][k]), int(back[x][1][k])))
+            x, k = open_.pop()
+            yield from path(x, k)
+            kept = np.full(len(TYPES), -np.inf)
+            kept[k] = best[x][k]
+            arrive = kept[:, None] + step
+            into = [(arrive.max(axis=0), arrive.argmax(axis=0)), *into[x + 1 :]] if x < len(into) else []
+            best = [kept, *best[x + 1 :]]
+            back, held = back[x:], held[x:]
+            win.drop(x)
+            limit = len(win.tokens) + block
+    n = len(win.tokens)
+    final = best[n] + (step[:, 0] if _TOKEN.search(text, hi) else 0.0)
+    if np.isfinite(final).any():
+        yield from path(n, int(final.argmax()))
+
+
+def training_sentences(seed: int = 5, n: int = 260) -> list[tuple[str, list[Span]]]:
+    """Sentences made from patterns, with the spans of their personal data, and look-alikes without."""
     rng = random.Random(seed)
     digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
-    plain = "the report was sent on time and we met at noon near gate with order number total items page version".split()
-    given, family = "Anna Peter Maria Jean Carlos Lena Paul Sofia".split(), "Smith Keller Garcia Martin Weber Dupont Lopez Brown".split()
+    pick = rng.choice
+
+    def word(k: int = 3) -> str:
+        return "".join(pick("bcdfghjklmnprstvwz") + pick("aeiouéä") for _ in range(rng.randrange(1, k))) + pick(("", "n", "r", "s"))
+
+    def capital() -> str:
+        return (word(3) + pick("aeilmnorst")).capitalize()
 
     def iban() -> str:
-        body = "".join(rng.choice("0123456789") for _ in range(18))
-        check = 98 - int("".join(str(int(c, 36)) for c in body + "DE00")) % 97
-        return f"DE{check:02d}{body}"
+        country, body = pick(("DE", "FR", "GB", "ES", "NL", "IT")), pick(("", "ABCD", "WXYZ")) + digits(pick((14, 16, 18, 20)))
+        check = 98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97
+        plain = f"{country}{check:02d}{body}"
+        return " ".join(plain[i : i + 4] for i in range(0, len(plain), 4)) if rng.random() < 0.5 else plain
+
+    def card(valid: bool) -> str:
+        body = pick("3456") + digits(pick((13, 14, 14, 14, 15)))
+        plain = next(body + d for d in "0123456789" if luhn(body + d) == valid)
+        gap = pick(("", " ", "-", "."))
+        return gap.join(plain[i : i + 4] for i in range(0, len(plain), 4))
+
+    def date(valid: bool) -> str:
+        y, m, d = rng.randrange(1925, 2010), rng.randrange(1, 13), rng.randrange(13, 29)
+        if not valid:
+            m, d = rng.randrange(32, 99), rng.randrange(32, 99)
+        return pick((f"{y}-{m:02d}-{d:02d}", f"{d}.{m}.{y}", f"{m}/{d}/{y}", f"{d:02d}/{m:02d}/{y}", f"{d} {capital()} {y}" if valid else f"{d}.{m}.{y}"))
 
-    def card() -> str:
-        body = "4" + digits(14)
-        return next(body + d for d in "0123456789" if luhn(body + d))
+    def phone() -> str:
+        return pick((f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"0{digits(3)} {digits(3)} {digits(4)}", f"0{digits(2)}/{digits(4)}-{digits(3)}", f"+{digits(2)} {digits(3)} {digits(3)} {digits(4)}", f"0{digits(10)}"))
+
+    def ssn(valid: bool) -> str:
+        return f"{rng.randrange(100, 600)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}" if valid else pick((f"000-{digits(2)}-{digits(4)}", f"9{digits(2)}-{digits(2)}-{digits(4)}"))
+
+    def name() -> str:
+        return pick((f"{capital()} {capital()}", f"{capital()} {capital()}", f"{capital()} {pick('ABCDEFGHKLM')}. {capital()}", f"{capital()}-{capital()} {capital()}"))
+
+    def mail() -> str:
+        local, host = pick((word(4), f"{word(3)}.{word(3)}", f"{word(3)}{digits(2)}")), pick((word(4), f"{word(3)}-{word(2)}"))
+        return pick((f"{local} [at] {host} [dot] com", f"{local} (at) {host}.org", f"{local}[at]{host}.net", f"{local} (at) {host} (dot) com")).replace("é", "e").replace("ä", "a")
 
     made = {
-        "email": lambda: ("", f"{rng.choice(family).lower()}.{digits(2)}@mail{digits(1)}.example.com"),
-        "ip": lambda: ("", ".".join(str(rng.randrange(1, 255)) for _ in range(4))),
-        "card": lambda: ("", card()),
-        "phone": lambda: ("", f"+1 ({digits(3)}) 555-{digits(4)}"),
-        "ssn": lambda: (rng.choice(["SSN ", "social security "]), f"{rng.randrange(100, 600)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}"),
-        "iban": lambda: (rng.choice(["IBAN ", "account "]), iban()),
-        "date": lambda: (rng.choice(["born ", "dob ", "birth "]), rng.choice([f"19{digits(2)}-0{rng.randrange(1, 9)}-1{digits(1)}", f"1{digits(1)}.0{rng.randrange(1, 9)}.19{digits(2)}"])),
-        "name": lambda: (rng.choice(["Mr ", "Mrs ", "Dr ", "contact "]), f"{rng.choice(given)} {rng.choice(family)}"),
-        "": lambda: ("", rng.choice([digits(4), f"version {digits(1)}.{digits(1)}", f"{digits(2)}-{digits(2)}", f"19{digits(2)}-01-1{digits(1)}", digits(16), f"Gate {digits(2)}", "Then The", f"{rng.randrange(300, 900)}.{rng.randrange(300, 900)}.1.1"])),
+        "email": lambda: (pick(("mail ", "email ", "write to ", "")), mail()),
+        "ip": lambda: (pick(("", "host ", "from ")), ".".join(str(rng.randrange(1, 255)) for _ in range(4))),
+        "card": lambda: (pick(("", "card ", "paid with ")), card(True)),
+        "phone": lambda: (pick(("phone ", "tel: ", "call ", "mobile ", "fax ", "Telefon ", "call me at ")), phone()),
+        "ssn": lambda: (pick(("SSN ", "ssn: ", "social security number ", "SSN is ", "")), ssn(True)),
+        "iban": lambda: (pick(("IBAN ", "account ", "Konto ", "IBAN: ", "")), iban()),
+        "date": lambda: (pick(("born ", "born on ", "dob: ", "date of birth ", "geboren am ", "birthday ")), date(True)),
+        "name": lambda: (pick(("Mr ", "Mrs. ", "Dr. ", "contact ", "Herr ", "Frau ", "Madame ", "sincerely, ", "signed ")), name()),
     }
+    plain = [
+        lambda: digits(rng.randrange(1, 9)), lambda: f"{digits(1)}.{digits(1)}.{digits(1)}", lambda: f"{digits(2)}-{digits(2)}", lambda: date(rng.random() < 0.7), lambda: "on " + date(True),
+        lambda: card(False), lambda: digits(16) + "7", lambda: f"{capital()} {digits(2)}", lambda: f"{capital()} {capital()}", lambda: f"{rng.randrange(300, 900)}.{rng.randrange(300, 900)}.1.1",
+        lambda: f"${digits(2)},{digits(3)}.{digits(2)}", lambda: f"{digits(2)}:{digits(2)}", lambda: f"order {digits(3)}-{digits(3)}-{digits(4)}-{digits(2)}", lambda: f"part no {capital()[:2].upper()}{digits(6)}",
+        lambda: ssn(False), lambda: f"call of the {capital()}", lambda: f"contact {word()} {word()}", lambda: f"(see {digits(2)}) at {word()}", lambda: f"{digits(4)} {digits(4)}", lambda: f"ISBN {digits(3)}-{digits(1)}-{digits(5)}-{digits(3)}-{digits(1)}",
+        lambda: f"version {digits(2)}.{digits(2)}.{digits(4)}.{digits(1)}", lambda: f"the account of {word()} {digits(2)}", lambda: f"Table {digits(1)} {digits(3)} {digits(3)} {digits(3)}",
+    ]
     out = []
     for k in range(n):
         text, spans = "", []
-        for kind in rng.sample(list(made), 2) + [""] * (k % 3):
-            text += " ".join(rng.choice(plain) for _ in range(rng.randrange(1, 5))) + " "
-            cue, value = made[kind]()
+        for kind in rng.sample([*rng.sample(list(made), 2), *[""] * (1 + k % 3)], 3 + k % 3):
+            text += " ".join(word() for _ in range(rng.randrange(1, 4))) + pick((" ", ", ", ": ", " ", "\n", ". "))
+            cue, value = made[kind]() if kind else ("", pick(plain)())
             text += cue
             if kind:
                 spans.append((len(text), len(text) + len(value), kind))
-            text += value + " "
-        out.append((text + rng.choice(plain) + ".", spans))
+            text += value + pick((" ", " ", ". ", ", ", "\n", "; "))
+        out.append((text + word() + pick((".", "")), spans))
     return out
 
 
-def _gold(tokens: list[tuple[int, int]], spans: list[Span]) -> list[tuple[int, int, str]]:
-    start, end = {a: i for i, (a, _) in enumerate(tokens)}, {b: i + 1 for i, (_, b) in enumerate(tokens)}
-    return [(start[a], end[b], kind) for a, b, kind in spans]
+def _candidates(text: str) -> tuple[_Window, list[tuple[int, int, tuple]]]:
+    """All tokens of a text, and (first token, last token + 1, what is seen) of every span that may be typed."""
+    win, out = _Window(text), []
+    for j, m in enumerate(_TOKEN.finditer(text)):
+        win.add(*m.span())
+        out += [(i, j + 1, seen) for i, seen in win.spans_ending_at(j)]
+    return win, out
 
 
 @lru_cache(maxsize=1)
-def trained(rounds: int = 6, rate: float = 0.3, decay: float = 1e-3) -> Weights:
+def trained(rounds: int = 5, rate: float = 0.3, decay: float = 1e-3) -> Weights:
     """Stochastic gradient ascent of the conditional log-likelihood of the training segmentations."""
-    w = Weights()
-    data = []
+    w, data = Weights(), []
     for text, spans in training_sentences():
-        tokens = _tokens(text, 0, len(text))
-        data.append((tokens, _candidates(text, tokens), {(i, j): k for i, j, k in _gold(tokens, spans)}))
+        win, candidates = _candidates(text)
+        first, end = {a: i for i, (a, _) in enumerate(win.tokens)}, {b: i + 1 for i, (_, b) in enumerate(win.tokens)}
+        gold = {(first[a], end[b]): TYPES.index(k) for a, b, k in spans}
+        data.append((len(win.tokens), [(i, j, features(seen)) for i, j, seen in candidates], gold))
     for r in range(rounds):
-        for tokens, candidates, gold in data:
-            _ascend(w, len(tokens), candidates, gold, rate / (1 + 0.3 * r), decay)
+        for n, candidates, gold in data:
+            _ascend(w, n, candidates, gold, rate / (1 + 0.3 * r), decay)
+    w.state = dict(w.state)
     return w
 
 
-def _ascend(w: Weights, n: int, candidates: dict, gold: dict[tuple[int, int], str], rate: float, decay: float) -> None:
+def _ascend(w: Weights, n: int, candidates: list, gold: dict[tuple[int, int], int], rate: float, decay: float) -> None:
     """One step: observed minus expected features, by forward-backward over segments."""
-    options = []  # (i, j, kind, features, score)
-    for j in range(1, n + 1):
-        for i, typed, features in candidates[j]:
-            if typed is None:
-                options.append((i, j, "other", [], 0.0))
-            else:
-                options += [(i, j, kind, features, w.span(kind, features)) for kind in TYPES[1:]]
-    index = {k: x for x, k in enumerate(TYPES)}
-    step = np.array([[w.step.get((a, b), 0.0) for b in TYPES] for a in TYPES])
-    alpha = np.full((n + 1, len(TYPES)), -np.inf)
-    alpha[0, 0] = 0.0
-    for i, j, kind, _, score in options:  # in order of j
-        k = index[kind]
-        alpha[j, k] = np.logaddexp(alpha[j, k], score + np.logaddexp.reduce(alpha[i] + step[:, k]))
-    beta = np.full((n + 1, len(TYPES)), -np.inf)
-    beta[n] = 0.0
-    for i, j, kind, _, score in reversed(options):
-        k = index[kind]
-        beta[i] = np.logaddexp(beta[i], step[:, k] + score + beta[j, k])
+    size = len(TYPES)
+    alpha, beta = np.full((n + 1, size), -np.inf), np.full((n + 1, size), -np.inf)
+    alpha[0, 0], beta[n] = 0.0, 0.0
+    scores = [sum((w.state[f] for f in fs), np.zeros(size)) for _, _, fs in candidates]
+    for x in scores:
+        x[0] = -np.inf
+    by_end: dict[int, list[int]] = defaultdict(list)
+    by_start: dict[int, list[int]] = defaultdict(list)
+    for c, (i, j, _) in enumerate(candidates):
+        by_end[j].append(c)
+        by_start[i].append(c)
+    into = np.full((n + 1, size), -np.inf)
+    for j in range(n + 1):
+        if j:
+            alpha[j, 0] = into[j - 1, 0]
+            for c in by_end[j]:
+                alpha[j] = np.logaddexp(alpha[j], into[candidates[c][0]] + scores[c])
+        into[j] = np.logaddexp.reduce(alpha[j][:, None] + w.step, axis=0)
+    for i in range(n - 1, -1, -1):
+        ahead = np.full(size, -np.inf)
+        ahead[0] = beta[i + 1, 0]
+        for c in by_start[i]:
+            ahead = np.logaddexp(ahead, scores[c] + beta[candidates[c][1]])
+        beta[i] = np.logaddexp.reduce(w.step + ahead, axis=1)
     total = np.logaddexp.reduce(alpha[n])
-    change_state: dict = defaultdict(float)
-    change_step = np.zeros_like(step)
-    for i, j, kind, features, score in options:
-        k = index[kind]
-        flow = np.exp(alpha[i] + step[:, k] + score + beta[j, k] - total)
-        change_step[:, k] -= flow
-        p = flow.sum()
-        if kind != "other":
-            p -= gold.get((i, j)) == kind
-            if abs(p) > 1e-6:
-                for f in (*features, "bias"):
-                    change_state[kind, f] -= p
-    last, at = 0, 0
+    change = np.zeros_like(w.step)
+    push: dict[str, np.ndarray] = {}
+    for c, (i, j, fs) in enumerate(candidates):
+        flow = np.exp(alpha[i][:, None] + w.step + (scores[c] + beta[j]) - total)
+        change -= flow
+        p = -flow.sum(axis=0)
+        k = gold.get((i, j))
+        if k is not None:
+            p[k] += 1
+        if np.abs(p).max() > 1e-6:
+            for f in fs:
+                push[f] = push[f] + p if f in push else p
+    for i in range(n):
+        change[:, 0] -= np.exp(alpha[i] + w.step[:, 0] + beta[i + 1, 0] - total)
     ends = {i: (j, k) for (i, j), k in gold.items()}
+    at = last = 0
     while at < n:
-        at, kind = ends.get(at, (at + 1, "other"))
-        change_step[last, index[kind]] += 1
-        last = index[kind]
-    for key, x in change_state.items():
-        w.state[key] += rate * (x - decay * w.state[key])
-    for a, ka in enumerate(TYPES):
-        for b, kb in enumerate(TYPES):
-            if change_step[a, b]:
-                w.step[ka, kb] += rate * (change_step[a, b] - decay * w.step[ka, kb])
+        at, k = ends.get(at, (at + 1, 0))
+        change[last, k] += 1
+        last = k
+    for f, p in push.items():
+        w.state[f] = w.state[f] + rate * (p - decay * w.state[f])
+    w.step += rate * (change - decay * w.step)
 
 
 def find_spans(text: str, w: Weights) -> tuple[list[Span], list[Span]]:
@@ -401,23 +551,9 @@ def find_spans(text: str, w: Weights) -> tuple[list[Span], list[Span]]:
     more: list[Span] = []
     at = 0
     for lo, hi in regions(text):
-        tokens = _tokens(text, lo, hi)
-        begins, ends = [x for x, _ in tokens], [y for _, y in tokens]
-        fixed: dict[int, tuple[int, str]] = {}
-        last = 0
         while at < len(base) and base[at][1] <= lo:
             at += 1
-        for a, b, kind in islice(base, at, None):
-            if a >= hi:
-                break
-            first, end = bisect_right(ends, a), bisect_left(begins, b)
-            if last <= first < end:  # base spans of different kinds may overlap; the first fixes its tokens
-                fixed[end] = (first, kind)
-                last = end
-        for i, j, kind in decode(text, tokens, w, fixed):
-            a, b = tokens[i][0], tokens[j - 1][1]
-            if kind in MORE and (j not in fixed) and _reportable(kind, text[a:b]):
-                more.append((a, b, kind))
+        more += decode(text, lo, hi, w, list(takewhile(lambda s, hi=hi: s[0] < hi, islice(base, at, None))))
     return base, sorted({*base, *more}, key=lambda s: (s[0], TYPES.index(s[2])))
 
 
