@@ -17,6 +17,12 @@ TEXTS = [
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
     "license mit", "CC BY-NC 4.0", None, "", "general public general public license license",
     "redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "Redistribution and use in source and binary forms, also with some modification, are permitted provided that the following conditions are met",
+    "redistribution and use in source and binary forms with a great many more words put in between is permitted provided that the following conditions are met",
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software "
+    "Foundation, that is, either version 2 of the License or (at your option) any later version. Redistribution of it is under the MIT License. " * 2,
+    "provided that the following conditions are met redistribution and use in source and binary forms",
+    "permission is granted to anyone to use this software for any purpose in no event will the authors be held liable for any damages",
 ]
 
 
@@ -41,6 +47,19 @@ def test_base_equals_brute_force(make):
     assert got[5].labels == "gpl,gpl-3.0" and got[8].labels == "cc-by-nc-4.0" and got[12].labels == "bsd"
 
 
+def test_a_word_put_in_between_phrases_does_not_hide_a_notice(make):
+    got = {r.doc_id: r for r in M.scan(make(TEXTS)).collect()}
+    assert got[13].labels == "bsd" and got[13].score < got[12].score and got[14].labels == ""
+    assert got[15].labels == "gpl,gpl-2.0-or-later,mit" and got[15].n_notices == 4 and got[15].score > 0.9
+    assert got[16].labels == got[17].labels == ""
+
+
+def test_postings_are_the_rarest_words_and_intersect(make):
+    index = {t["label"]: t for t in M.index_postings({w: 5 if w == "license" else 1 for t in M.templates() for p in t["phrases"] for w in p["words"]}, 10)}
+    assert [p["word"] for p in index["apache"]["postings"]] == ["apache", "license"]
+    assert all(len(t["postings"]) == min(M.RARE, len(t["key"])) for t in index.values())
+
+
 def test_sql_gives_the_same(make):
     df = make(TEXTS * 3)
     con = duckdb.connect()
