@@ -6,14 +6,18 @@ language, then topic, caps them at 1, and repeats until all marginals hold. Docu
 sampled independently with the probability of their cell, by a hash of their id, so a rerun
 keeps the same ones and the expected tokens of each marginal are the targets.
 
-Targets are tempered shares: the share of a level in the corpus to a power below 1, so large
-sources are used less and small ones more, times the budget (`KEEP` of all tokens); no level is
-to give more than nine tenths of its tokens.
-
-Every source and language is a stratum of its own, however many there are. Up to `DRIVER_CELLS`
+Targets are the given weights of the levels of an axis (`weights`, e.g. {"source": {"web": 3, "books": 1}};
+levels without a weight get no tokens) or, for an axis without weights, tempered shares: the share of a
+level in the corpus to a power below 1, so large sources are used less and small ones more. They are
+multiplied by the budget (`KEEP` of all tokens); no level is to give more than nine tenths of its tokens,
+and what it can't give goes to the others in proportion. If an axis can't reach the budget, all
+axes get the smaller one.
+
+Every source, language and topic is a stratum of its own, however many there are. Up to `DRIVER_CELLS`
 cells (levels of the marginals multiplied) are raked as an array and broadcast; more are raked by
 the same rule on Spark, a join and a grouped sum for each marginal and round, and joined to the
-documents. `TOP_SOURCES` and `TOP_LANGUAGES`, unset by default, pool all but those with most tokens.
+documents. `gap` tells how far the worst marginal is from its target, as a share of it, when raking ends
+(conflicting targets can't all be met; the last axis then holds best).
 
 Defined results: null source, language and text count as `(none)`, `(none)` and no tokens;
 documents without tokens are kept with the probability of their cell like any other; a marginal
@@ -34,14 +38,14 @@ from pyspark.sql import functions as F
 
 from .common import documents, materialize
 
-TOP_SOURCES: int | None = None
-TOP_LANGUAGES: int | None = None
-DRIVER_CELLS = 200_000
+DRIVER_CELLS = 20_000
 KEEP = 0.5
 POWERS = (0.6, 0.7, 0.8)
 AXES = ("s", "l", "t")
-OTHER, NONE = "(other)", "(none)"
-TOPICS = ("table", "shout", "contact", "notice", "short", "long", "prose")
+COLUMNS = ("source", "lang", "topic")
+NONE = "(none)"
+MOST = 0.9
+Weights = dict[str, dict[str, float]]
 
 
 def n_tokens() -> Column:
@@ -49,13 +53,15 @@ def n_tokens() -> Column:
 
 
 def topic(tokens: Column) -> Column:
-    """A coarse content type from plain marks of the text."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    """A coarse content type by shares of signs and by length."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    signs = lambda chars: F.length(text) - F.length(F.translate(text, chars, ""))
     return (
-        F.when(text.contains(" | "), "table")
-        .when(text.contains("!! "), "shout")
-        .when(text.contains("@"), "contact")
-        .when(text.contains("icense"), "notice")
+        F.when(tokens == 0, "empty")
+        .when(signs("|\t") * 10 >= tokens, "table")
+        .when(signs("{}=<>;\\") * 3 >= tokens, "code")
+        .when(signs("0123456789") * 10 >= F.length(text), "figures")
+        .when(signs("!?\"\u201e\u201c\u00ab\u00bb") * 10 >= tokens, "talk")
         .when(tokens < 100, "short")
         .when(tokens >= 1000, "long")
         .otherwise("prose")
@@ -69,8 +75,7 @@ def rake(tokens: np.ndarray, targets: list[np.ndarray], rounds: int = 500, tol:
     for _ in range(rounds):
         before = p.copy()
         for axis, target in enumerate(targets):
-            others = tuple(a for a in range(tokens.ndim) if a != axis)
-            now = (p * tokens).sum(axis=others)
+            now = _marginal(p * tokens, axis)
             scale = np.divide(target, now, out=np.ones_like(now), where=now > 0)
             shape = [1] * tokens.ndim
             shape[axis] = -1
@@ -80,35 +85,61 @@ def rake(tokens: np.ndarray, targets: list[np.ndarray], rounds: int = 500, tol:
     return p
 
 
-def tempered(totals: np.ndarray, power: float, total: float, most: float = 0.9) -> np.ndarray:
-    """Targets in proportion to the tempered shares, none above `most` of what its level has; what
-    such levels can't take goes to the others in proportion."""
+def _marginal(x: np.ndarray, axis: int) -> np.ndarray:
+    return x.sum(axis=tuple(a for a in range(x.ndim) if a != axis))
+
+
+def gap_of(p: np.ndarray, tokens: np.ndarray, targets: list[np.ndarray]) -> float:
+    """The largest distance of a marginal's expected tokens from its target, as a share of the target."""
+    return max((float((np.abs(_marginal(p * tokens, a) - t) / np.where(t > 0, t, 1)).max(initial=0)) for a, t in enumerate(targets)), default=0.0)
+
+
+def shared_out(totals: np.ndarray, share: np.ndarray, total: float, most: float = MOST) -> np.ndarray:
+    """Targets in proportion to `share`, none above `most` of what its level has; what such levels
+    can't take goes to the others in proportion."""
     target = np.zeros_like(totals, float)
-    free, left = totals > 0, min(total, most * totals.sum())
+    free = (totals > 0) & (share > 0)
+    left = min(total, most * totals[free].sum())
     while free.any():
-        share = np.where(free, totals, 0.0) ** power * free
-        share = share / share.sum() * left
-        over = free & (share > most * totals)
+        part = np.where(free, share, 0.0)
+        part = part / part.sum() * left
+        over = free & (part > most * totals)
         if not over.any():
-            return target + share
+            return target + part
         target[over] = most * totals[over]
         left, free = left - target[over].sum(), free & ~over
     return target
 
 
-def tempered_on_spark(cells: DataFrame, axis: str, power: float, total: float) -> DataFrame:
-    """(axis, target) as `tempered` gives it, of the levels that have tokens."""
-    most = 0.9
-    totals = materialize(cells.groupBy(axis).agg(F.sum("n").cast("double").alias("n")).where("n > 0"), "totals")
-    left = min(total, most * (totals.agg(F.sum("n")).first()[0] or 0.0))
-    share, factor, capped = F.pow("n", F.lit(power)), 0.0, -1
+def tempered(totals: np.ndarray, power: float, total: float, most: float = MOST) -> np.ndarray:
+    return shared_out(totals, np.where(totals > 0, totals, 0.0) ** power * (totals > 0), total, most)
+
+
+def shared_out_on_spark(totals: DataFrame, axis: str, total: float) -> DataFrame:
+    """(axis, target) as `shared_out` gives it, of the levels of `totals` (axis, n, share)."""
+    totals = materialize(totals.where("n > 0 AND share > 0"), "totals")
+    left = min(total, MOST * (totals.agg(F.sum("n")).first()[0] or 0.0))
+    factor, capped = 0.0, -1
     while True:
         # the factor only grows, so a level that can't take its share never can
-        over = F.lit(factor) * share > most * F.col("n")
-        held, free, now = totals.agg(F.sum(F.when(over, F.col("n"))), F.sum(F.when(~over, share)), F.count_if(over)).first()
+        over = F.lit(factor) * F.col("share") > MOST * F.col("n")
+        held, free, now = totals.agg(F.sum(F.when(over, F.col("n"))), F.sum(F.when(~over, F.col("share"))), F.count_if(over)).first()
         if not free or now == capped:
-            return totals.select(axis, F.when(over, most * F.col("n")).otherwise(factor * share).alias("target"))
-        factor, capped = max(factor, (left - most * (held or 0.0)) / free), now
+            return totals.select(axis, F.when(over, MOST * F.col("n")).otherwise(factor * F.col("share")).alias("target"))
+        factor, capped = max(factor, (left - MOST * (held or 0.0)) / free), now
+
+
+def shares_on_spark(cells: DataFrame, axis: str, power: float, weights: dict[str, float] | None) -> DataFrame:
+    """(axis, n, share) of all levels."""
+    totals = cells.groupBy(axis).agg(F.sum("n").cast("double").alias("n"))
+    if weights is None:
+        return totals.withColumn("share", F.pow("n", F.lit(power)))
+    given = cells.sparkSession.createDataFrame(sorted(weights.items()), f"{axis} string, share double")
+    return totals.join(given, axis, "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
+
+
+def tempered_on_spark(cells: DataFrame, axis: str, power: float, total: float) -> DataFrame:
+    return shared_out_on_spark(shares_on_spark(cells, axis, power, None), axis, total)
 
 
 def _forget(df: DataFrame) -> None:
@@ -119,14 +150,15 @@ def _forget(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
-def rake_on_spark(cells: DataFrame, keep: float, powers: tuple[float, float, float], base: float, rounds: int = 500, tol: float = 1e-9) -> DataFrame:
-    """(s, l, t, prob) of all `cells` (s, l, t, n): what `rake` does, with no more than one row a task
-    or a few numbers in the driver."""
+def rake_on_spark(cells: DataFrame, keep: float, powers: tuple[float, float, float], weights: Weights, base: float, rounds: int = 500, tol: float = 1e-9) -> tuple[DataFrame, float]:
+    """(s, l, t, prob) of all `cells` (s, l, t, n), and the gap: what `rake` does, with no more than one row
+    a task or a few numbers in the driver."""
     total = float(cells.agg(F.sum("n")).first()[0] or 0)
-    targets = [tempered_on_spark(cells, a, w, keep * total) for a, w in zip(AXES, powers, strict=True)]
-    targets = [materialize(t, "targets") for t in targets]
-    start = min(1.0, (targets[0].agg(F.sum("target")).first()[0] or 0.0) / max(total, 1))
-    state = materialize(cells.where("n > 0").withColumn("prob", F.lit(start)), "rake")
+    shares = [materialize(shares_on_spark(cells, a, w, weights.get(c)), "shares") for a, c, w in zip(AXES, COLUMNS, powers, strict=True)]
+    reach = [MOST * (x.where("share > 0").agg(F.sum("n")).first()[0] or 0.0) for x in shares]
+    budget = min(keep * total, *reach)
+    targets = [materialize(x.select(a).join(shared_out_on_spark(x, a, budget), a, "left").na.fill(0.0), "targets") for a, x in zip(AXES, shares, strict=True)]
+    state = materialize(cells.where("n > 0").withColumn("prob", F.lit(min(1.0, budget / max(total, 1)))), "rake")
     for _ in range(rounds):
         after, scales = state.withColumn("_before", F.col("prob")), []
         for axis, target in zip(AXES, targets, strict=True):
@@ -141,15 +173,19 @@ def rake_on_spark(cells: DataFrame, keep: float, powers: tuple[float, float, flo
         state = after.drop("_before")
         if change < tol:
             break
+    gap = 0.0
+    for axis, target in zip(AXES, targets, strict=True):
+        sums = state.groupBy(axis).agg(F.sum(F.col("prob") * F.col("n")).alias("now")).join(target, axis)
+        off = F.abs(F.col("now") - F.col("target")) / F.when(F.col("target") > 0, F.col("target")).otherwise(1.0)
+        gap = max(gap, sums.agg(F.max(off)).first()[0] or 0.0)
     without = cells.where("n = 0").select(*AXES, F.lit(base).alias("prob"))
-    return state.select(*AXES, "prob").unionByName(without)
+    return state.select(*AXES, "prob").unionByName(without), gap
 
 
 @dataclass
 class Mix:
-    sources: list[str] | None
-    languages: list[str] | None
     cells: list[dict] | DataFrame  # source, lang, topic, prob
+    gap: float
 
     def attach(self, docs: DataFrame) -> DataFrame:
         """`docs` with _tokens, _source, _lang, _topic, _prob and _kept."""
@@ -161,57 +197,45 @@ class Mix:
             # at most DRIVER_CELLS
             cells = F.broadcast(docs.sparkSession.range(1).select(F.inline(lit)).toDF("_source", "_lang", "_topic", "_prob"))
         rows = docs.withColumn("_tokens", n_tokens()).withColumn("_topic", topic(F.col("_tokens")))
-        rows = rows.withColumn("_source", _stratum("source", self.sources)).withColumn("_lang", _stratum("lang", self.languages))
+        rows = rows.withColumn("_source", _stratum("source")).withColumn("_lang", _stratum("lang"))
         draw = F.shiftrightunsigned(F.xxhash64(F.lit("mix"), F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.col("text"))), 11) / float(1 << 53)
         joined = rows.join(cells, ["_source", "_lang", "_topic"])
         return joined.withColumn("_kept", draw < F.col("_prob"))
 
 
-def _stratum(column: str, names: list[str] | None) -> Column:
-    value = F.coalesce(F.col(column).cast("string"), F.lit(NONE))
-    if names is None:
-        return value
-    return F.when(value.isin(names), value).otherwise(OTHER) if names else F.lit(OTHER)
-
-
-def _top(sums: DataFrame, column: str, n: int | None) -> list[str] | None:
-    if n is None:
-        return None
-    named = sums.groupBy(F.col(column).alias("name")).agg(F.sum("tokens").alias("t"))
-    return [r["name"] for r in named.orderBy(F.desc("t"), "name").limit(n).collect()]
+def _stratum(column: str) -> Column:
+    return F.coalesce(F.col(column).cast("string"), F.lit(NONE))
 
 
-def fit_mix(docs: DataFrame, keep: float = KEEP, powers: tuple[float, float, float] = POWERS) -> Mix:
+def fit_mix(docs: DataFrame, keep: float = KEEP, powers: tuple[float, float, float] = POWERS, weights: Weights | None = None) -> Mix:
+    weights = weights or {}
     rows = docs.withColumn("_tokens", n_tokens())
-    names = [F.coalesce(F.col(c).cast("string"), F.lit(NONE)).alias(c) for c in ("source", "lang")]
-    rows = rows.select(*names, topic(F.col("_tokens")).alias("topic"), F.col("_tokens").alias("tokens"))
-    # one pass over the texts; a row for each combination of names and each task at most is shuffled
-    sums = materialize(rows.groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens")), "mix")
-    sources, languages = _top(sums, "source", TOP_SOURCES), _top(sums, "lang", TOP_LANGUAGES)
-    strata = sums.select(_stratum("source", sources).alias("s"), _stratum("lang", languages).alias("l"), F.col("topic").alias("t"), "tokens")
-    cells = materialize(strata.groupBy("s", "l", "t").agg(F.sum("tokens").alias("n")), "cells")
+    rows = rows.select(_stratum("source").alias("s"), _stratum("lang").alias("l"), topic(F.col("_tokens")).alias("t"), F.col("_tokens").alias("n"))
+    # one pass over the texts; a row for each cell and task at most is shuffled
+    cells = materialize(rows.groupBy(*AXES).agg(F.sum("n").alias("n")), "cells")
     base = min(1.0, keep)  # of cells without tokens
     levels = cells.agg(*(F.count_distinct(c) for c in AXES)).first()
     if math.prod(levels) > DRIVER_CELLS:
-        return Mix(sources, languages, rake_on_spark(cells, keep, powers, base))
-    cells = cells.collect()
+        return Mix(*rake_on_spark(cells, keep, powers, weights, base))
+    cells = sorted(cells.collect())
     axes = [sorted({r[k] for r in cells}) for k in AXES]
     index = [{v: i for i, v in enumerate(a)} for a in axes]
+    at = [tuple(x[r[k]] for x, k in zip(index, AXES, strict=True)) for r in cells]
     tokens = np.zeros([len(a) for a in axes])
-    for r in cells:
-        tokens[index[0][r["s"]], index[1][r["l"]], index[2][r["t"]]] = r["n"]
-    targets = [tempered(tokens.sum(axis=tuple(b for b in range(3) if b != a)), powers[a], keep * tokens.sum()) for a in range(3)]
+    for where, r in zip(at, cells, strict=True):
+        tokens[where] = r["n"]
+    totals = [_marginal(tokens, a) for a in range(3)]
+    shares = [np.array([weights[c].get(v, 0.0) for v in levels]) if c in weights else n**power * (n > 0) for c, levels, n, power in zip(COLUMNS, axes, totals, powers, strict=True)]
+    budget = min(keep * tokens.sum(), *(MOST * n[x > 0].sum() for n, x in zip(totals, shares, strict=True)))
+    targets = [shared_out(n, x, budget) for n, x in zip(totals, shares, strict=True)]
     p = rake(tokens, targets)
-    out = []
-    for r in sorted(cells, key=lambda r: (r["s"], r["l"], r["t"])):
-        at = (index[0][r["s"]], index[1][r["l"]], index[2][r["t"]])
-        out.append({"source": r["s"], "lang": r["l"], "topic": r["t"], "prob": float(p[at]) if r["n"] else base})
-    return Mix(sources, languages, out)
+    out = [{"source": r["s"], "lang": r["l"], "topic": r["t"], "prob": float(p[where]) if r["n"] else base} for where, r in zip(at, cells, strict=True)]
+    return Mix(out, gap_of(p, tokens, targets))
 
 
-def mix_documents(docs: DataFrame, keep: float = KEEP) -> DataFrame:
+def mix_documents(docs: DataFrame, keep: float = KEEP, weights: Weights | None = None) -> DataFrame:
     """doc_id, n_tokens, source, lang and topic strata, prob, weight (prob over the budget's share), kept, for every row."""
-    out = fit_mix(docs, keep).attach(docs.select("doc_id", "text", "lang", "source"))
+    out = fit_mix(docs, keep, weights=weights).attach(docs.select("doc_id", "text", "lang", "source"))
     return out.select(
         "doc_id",
         F.col("_tokens").alias("n_tokens"),

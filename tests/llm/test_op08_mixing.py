@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pytest
 
 from ledgerlens.llm import op08_mixing as M
 
@@ -48,10 +49,49 @@ def test_expected_tokens_equal_targets_and_the_sample_follows(spark):
     assert set(got[got.kept].doc_id) == set(again[again.kept].doc_id)
 
 
-def test_few_strata_share_the_rest(spark, monkeypatch):
-    monkeypatch.setattr(M, "TOP_SOURCES", 1)
-    got = M.mix_documents(corpus(spark, 200)).toPandas()
-    assert set(got.source_stratum) == {"a", M.OTHER} and len(got) == 200
+def scaled(cells, targets, rounds=3000):
+    """Proportional fitting of a plain table {(source, lang, topic): tokens}, one level after the other."""
+    p = {c: min(1.0, sum(targets[0].values()) / sum(cells.values())) for c, n in cells.items() if n}
+    for _ in range(rounds):
+        for axis, target in enumerate(targets):
+            for level, want in target.items():
+                own = [c for c in p if c[axis] == level]
+                have = sum(p[c] * cells[c] for c in own)
+                for c in own if have else ():
+                    p[c] = min(1.0, p[c] * want / have)
+    return p
+
+
+@pytest.mark.parametrize("on_spark", [False, True])
+def test_given_weights_against_plain_fitting(spark, monkeypatch, on_spark):
+    if on_spark:
+        monkeypatch.setattr(M, "DRIVER_CELLS", 0)
+    weights = {"source": {"a": 1.0, "b": 1.0, "c": 2.0}, "lang": {"en": 1.0, "de": 1.0, M.NONE: 0.5}}
+    docs = corpus(spark, 500)
+    mixed = M.fit_mix(docs, 0.2, weights=weights)
+    got = mixed.attach(docs).toPandas()
+    cells = {k: int(n) for k, n in got.groupby(["_source", "_lang", "_topic"])._tokens.sum().items()}
+    totals = [{} for _ in range(3)]
+    for c, n in cells.items():
+        for axis in range(3):
+            totals[axis][c[axis]] = totals[axis].get(c[axis], 0) + n
+    budget = 0.2 * sum(cells.values())
+    targets = []
+    for axis, name in enumerate(M.COLUMNS):
+        share = [weights[name].get(x, 0.0) if name in weights else n ** M.POWERS[axis] for x, n in totals[axis].items()]
+        targets.append(dict(zip(totals[axis], M.shared_out(np.array(list(totals[axis].values()), float), np.array(share), budget), strict=True)))
+    assert targets[0][M.NONE] == 0 and abs(targets[0]["c"] - 2 * targets[0]["a"]) < 1e-6
+    want = scaled(cells, targets, 300)
+    for key, p in got.groupby(["_source", "_lang", "_topic"])._prob.first().items():
+        assert abs(p - want.get(key, 0.2)) < 1e-4, key
+    assert mixed.gap < 1e-3
+
+
+def test_conflicting_targets_are_told(spark):
+    data = [(1, "w " * 100, "en", "a", 1), (2, "w " * 100, "de", "b", 1)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    assert M.fit_mix(docs, weights={"source": {"a": 1.0}, "lang": {"de": 1.0}}).gap > 0.5
+    assert M.fit_mix(docs).gap < 1e-6
 
 
 def test_odd_and_empty(odd, empty):
