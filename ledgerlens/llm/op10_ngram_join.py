@@ -4,13 +4,18 @@ A document is the set of its five-word shingles (lower-cased words of letters an
 shorter text has one shingle of all its words). Documents with equal sets form one class.
 The join finds all pairs of classes whose sets have a Jaccard similarity of 0.8 or more:
 
-1. One pass over the texts picks, in each of `RUNS` runs, the tokens t of a set x with
+1. One pass over the texts picks, in each of several runs, the tokens t of a set x with
    r(run, t) < 1 / (0.8 |x|). Each such token is a bucket of level 1. From each bucket on the
-   set picks tokens again by r(path, t), for levels 2 and 3. Similar sets tend to pick the
-   same tokens; others soon part. `recall()` gives the chance that a pair meets.
-2. Buckets of more than `SMALL` classes are split into their sub-buckets, level by level. One
-   that is still larger after level 3 is dealt over pairs of blocks, so no task holds more than
-   about `SMALL` sets and nothing is dropped.
+   set picks tokens again by r(path, t), for the next level. Similar sets tend to pick the
+   same tokens; others soon part.
+2. A bucket with more than `SMALL` classes or `WEIGHT` tokens is split into its sub-buckets, level by
+   level, until all are small: the first `LEVELS` levels come from the first pass, deeper ones from the
+   texts of the members of large buckets alone. Members of a bucket that share a common passage and little
+   else pick ever fewer tokens together, so their buckets die out. A bucket whose members agree with one of
+   them on `ALIKE` of the minima or more is a group of near copies, which no path parts: it isn't split but dealt
+   over pairs of blocks, so no task holds much more than a small bucket and nothing is dropped.
+   `recall()` gives the chance that a pair meets; there are as many runs as `TARGET` needs at
+   the first `LEVELS` levels, and sets that went deeper get as many more as it needs there.
 3. Small buckets are compared by brute force: first on sketches of minima, then, for those
    with a possible partner, on whole sets. A pair belongs to the smallest bucket that both
    share, so it is counted once. A bucket gives each member's number of links and the root
@@ -29,7 +34,8 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -42,19 +48,21 @@ from .textnum import mix, shingles, word_hashes
 
 K = 5
 SIMILARITY = 0.8
-RUNS = 16
+TARGET = 0.999
 LEVELS = 3
 SKETCH = 24
 #: Of SKETCH minima, this many must agree for a pair to be verified; a pair of similarity 0.8 has
 #: fewer with probability below 1e-4.
 AGREE = 11
 SMALL = 1000
-
-_SEEDS = mix(np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+WEIGHT = 4_000_000
+ALIKE = 0.6
+#: Large buckets of deeper levels, if there ever are any, are dealt over blocks like near copies.
+DEEPEST = 40
 _SLICE = 1 << 16
 
 
-def recall(runs: int = RUNS, levels: int = LEVELS) -> float:
+def recall(runs: int, levels: int = LEVELS) -> float:
     """The chance that a pair of similarity 0.8 meets in a bucket of the given level, at worst
     (one set within the other: a token of theirs is picked by both once per level on average)."""
     alive = 1.0
@@ -63,6 +71,18 @@ def recall(runs: int = RUNS, levels: int = LEVELS) -> float:
     return 1 - (1 - alive) ** runs
 
 
+def runs_for(target: float = TARGET, levels: int = LEVELS) -> int:
+    """The least number of runs with that recall."""
+    return math.ceil(math.log(1 - target) / math.log(1 - recall(1, levels)))
+
+
+RUNS = runs_for()
+
+
+def _seeds(lo: int, hi: int) -> np.ndarray:
+    return mix(np.arange(lo + 1, hi + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def _spread(x: np.ndarray) -> np.ndarray:
     x = x * np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(32)
@@ -82,22 +102,31 @@ def _picked(paths: np.ndarray, tokens: np.ndarray, limit: np.uint64) -> tuple[np
     return np.concatenate(subs), np.concatenate(parents)
 
 
-def sketch_and_paths(tokens: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    """The minima of a non-empty set, its buckets on each level, and the parents of the deeper ones."""
-    limit = np.uint64(min(2**64 - 1, int(2**64 / (SIMILARITY * tokens.size))))
+def _limit(tokens: np.ndarray) -> np.uint64:
+    return np.uint64(min(2**64 - 1, int(2**64 / (SIMILARITY * tokens.size))))
+
+
+def sketch_of(tokens: np.ndarray) -> np.ndarray:
+    """The minima of a non-empty set under `SKETCH` hashes."""
     least = np.full(SKETCH, 2**64 - 1, np.uint64)
-    first = []
     for lo in range(0, tokens.size, _SLICE):
-        v = _spread(tokens[None, lo : lo + _SLICE] ^ _SEEDS[:, None])
-        np.minimum(least, v.min(axis=1), out=least)
-        run, j = np.nonzero(v[:RUNS] < limit)
-        first.append(_spread(v[run, j] + _SEEDS[run]))
+        np.minimum(least, _spread(tokens[None, lo : lo + _SLICE] ^ _seeds(0, SKETCH)[:, None]).min(axis=1), out=least)
+    return (least >> np.uint64(32)).astype("<u4")
+
+
+def paths_of(tokens: np.ndarray, first_run: int, runs: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The buckets of a non-empty set on each of the first levels, and the parents of the deeper ones."""
+    limit, seeds, first = _limit(tokens), _seeds(first_run, first_run + runs), []
+    for lo in range(0, tokens.size, _SLICE):
+        v = _spread(tokens[None, lo : lo + _SLICE] ^ seeds[:, None])
+        run, j = np.nonzero(v < limit)
+        first.append(_spread(v[run, j] + seeds[run]))
     paths, parents = [np.concatenate(first)], []
     for _ in range(LEVELS - 1):
         subs, at = _picked(paths[-1], tokens, limit)
         paths.append(subs)
         parents.append(at)
-    return (least >> np.uint64(32)).astype("<u4"), paths, parents
+    return paths, parents
 
 
 def _key(tokens: np.ndarray, text: str) -> bytes:
@@ -124,28 +153,75 @@ def _lists(parts: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))
 
 
-_SKETCHED = "doc_id long, text_hash binary, key binary, n int, sketch binary, p1 array<long>, p2 array<long>, a2 array<int>, p3 array<long>, a3 array<int>"
+_PATHS = [("p1", pa.int64()), ("p2", pa.int64()), ("a2", pa.int32()), ("p3", pa.int64()), ("a3", pa.int32())]
+_PATHS_SQL = "p1 array<long>, p2 array<long>, a2 array<int>, p3 array<long>, a3 array<int>"
+_SKETCHED = f"doc_id long, text_hash binary, key binary, n int, sketch binary, {_PATHS_SQL}"
+
+
+class _Paths:
+    """Columns of buckets and parents."""
+
+    def __init__(self) -> None:
+        self.columns: list[list[np.ndarray]] = [[] for _ in _PATHS]
+
+    def add(self, tokens: np.ndarray, first_run: int, runs: int) -> None:
+        (p1, p2, p3), (a2, a3) = paths_of(tokens, first_run, runs) if tokens.size else ([tokens] * 3, [tokens] * 2)
+        for column, x in zip(self.columns, (p1, p2, a2, p3, a3), strict=True):
+            column.append(x)
+
+    def arrays(self) -> list[pa.Array]:
+        return [_lists(c, kind) for c, (_, kind) in zip(self.columns, _PATHS, strict=True)]
 
 
 def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    none = np.empty(0, np.uint64)
     for batch in batches:
         texts = _texts(batch)
-        keys, n, minima, paths, parents = [], [], [], ([], [], []), ([], [])
+        keys, n, minima, paths = [], [], [], _Paths()
         for text, tokens in zip(texts, _sets(texts), strict=True):
             keys.append(_key(tokens, text))
             n.append(tokens.size)
-            least, p, a = sketch_and_paths(tokens) if tokens.size else (none, [none] * 3, [none] * 2)
-            minima.append(least.tobytes())
-            for out, x in zip((*paths, *parents), (*p, *a), strict=True):
-                out.append(x)
+            minima.append(sketch_of(tokens).tobytes() if tokens.size else b"")
+            paths.add(tokens, 0, RUNS)
         yield pa.record_batch(
-            [batch.column("doc_id").cast(pa.int64()), batch.column("text_hash"), pa.array(keys, pa.binary()), pa.array(n, pa.int32()), pa.array(minima, pa.binary())]
-            + [_lists(paths[0], pa.int64()), _lists(paths[1], pa.int64()), _lists(parents[0], pa.int32()), _lists(paths[2], pa.int64()), _lists(parents[1], pa.int32())],
-            names=["doc_id", "text_hash", "key", "n", "sketch", "p1", "p2", "a2", "p3", "a3"],
+            [batch.column("doc_id").cast(pa.int64()), batch.column("text_hash"), pa.array(keys, pa.binary()), pa.array(n, pa.int32()), pa.array(minima, pa.binary()), *paths.arrays()],
+            names=["doc_id", "text_hash", "key", "n", "sketch", *(c for c, _ in _PATHS)],
         )
 
 
+def _checked(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """The sets of texts that were fetched for classes."""
+    texts, keys = _texts(batch), batch.column("key").to_pylist()
+    for text, key, tokens in zip(texts, keys, _sets(texts), strict=True):
+        if _key(tokens, text) != key:
+            raise ValueError("a text was fetched for another class")
+        yield tokens
+
+
+def _more_paths(more: int):
+    """The buckets of `more` further runs."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = _Paths()
+            for tokens in _checked(batch):
+                paths.add(tokens, RUNS, more)
+            yield pa.record_batch([batch.column("key"), batch.column("n"), batch.column("sketch"), *paths.arrays()], names=["key", "n", "sketch", *(c for c, _ in _PATHS)])
+
+    return run
+
+
+def _deeper(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sub-buckets of each class in the large buckets it is in."""
+    for batch in batches:
+        keys, n, hot = (batch.column(c).to_pylist() for c in ("key", "n", "hot"))
+        out: list[tuple] = []
+        for i, tokens in enumerate(_checked(batch)):
+            subs, _ = _picked(np.array(hot[i], np.int64).view(np.uint64), tokens, _limit(tokens))
+            out += [(keys[i], n[i], b) for b in subs.view(np.int64).tolist()]
+        cols = list(zip(*out, strict=True)) or [()] * 3
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.binary(), pa.int32(), pa.int64()), strict=True)], names=["key", "n", "bucket"])
+
+
 def common_counts(sets: list[np.ndarray], columns: int = 4096) -> np.ndarray:
     """How many elements each two of the sets share (the diagonal is left 0)."""
     m = len(sets)
@@ -212,12 +288,9 @@ _MEMBER_ARROW = pa.schema([*_PRUNED_ARROW, ("tokens", pa.binary())])
 def _tokens_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row with the whole set for each unit in which a document is to be verified."""
     for batch in batches:
-        texts = _texts(batch)
         keys, units, buckets = (batch.column(c).to_pylist() for c in ("key", "units", "buckets"))
         out, size = [], 0
-        for i, tokens in enumerate(_sets(texts)):
-            if _key(tokens, texts[i]) != keys[i]:
-                raise ValueError("a text was fetched for another class")
+        for i, tokens in enumerate(_checked(batch)):
             for u in units[i]:
                 out.append(u | {"key": keys[i], "buckets": buckets[i], "tokens": tokens.tobytes()})
                 size += tokens.nbytes
@@ -262,32 +335,58 @@ def _verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _level(classes: DataFrame, level: int, hot: DataFrame | None) -> DataFrame:
-    """(key, bucket) of one level, below the buckets of `hot` only."""
+    """(key, n, bucket) of one of the first levels, below the buckets of `hot` only."""
     if level == 1:
-        return classes.select("key", F.explode("p1").alias("bucket"))
+        return classes.select("key", "n", F.explode("p1").alias("bucket"))
     up, own, at = f"p{level - 1}", f"p{level}", f"a{level}"
-    deeper = classes.select("key", up, F.posexplode(F.arrays_zip(own, at)).alias("_i", "_x")).select("key", F.col(f"_x.{own}").alias("bucket"), F.element_at(up, F.col(f"_x.{at}") + 1).alias("parent"))
-    return deeper.join(hot.select(F.col("bucket").alias("parent")), "parent", "left_semi").select("key", "bucket").distinct()
-
-
-def find_buckets(classes: DataFrame, small: int = SMALL) -> DataFrame:
-    """unit, bucket, side, lo, hi, key: the members of all buckets to compare, of two classes or more."""
-    found, hot = [], None
-    for level in range(1, LEVELS + 1):
-        rows = _level(classes, level, hot)
-        sizes = rows.groupBy("bucket").count().where("count > 1")
+    deeper = classes.select("key", "n", up, F.posexplode(F.arrays_zip(own, at)).alias("_i", "_x"))
+    deeper = deeper.select("key", "n", F.col(f"_x.{own}").alias("bucket"), F.element_at(up, F.col(f"_x.{at}") + 1).alias("parent"))
+    return deeper.join(hot.select(F.col("bucket").alias("parent")).distinct(), "parent", "left_semi").drop("parent").distinct()
+
+
+def _agreement(large: DataFrame, classes: DataFrame) -> DataFrame:
+    """(bucket, alike): the mean share of minima on which the members of each bucket agree with the one of least key."""
+    rows = large.select("key", "bucket").join(classes.select("key", "sketch"), "key")
+    first = rows.groupBy("bucket").agg(F.min(F.struct("key", "sketch")).getField("sketch").alias("_first"))
+    same = sum((F.substring("sketch", 4 * i + 1, 4) == F.substring("_first", 4 * i + 1, 4)).cast("int") for i in range(SKETCH))
+    return rows.join(first, "bucket").groupBy("bucket").agg((F.avg(same) / SKETCH).alias("alike"))
+
+
+def find_buckets(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], small: int = SMALL) -> tuple[DataFrame, DataFrame, int]:
+    """(key, bucket, count, tokens) of the members of all buckets to compare, of two classes or more; the
+    classes that went deeper than the first levels; and the deepest level."""
+    found, hot, deep = [], None, classes.select("key").where("false")
+    level = 1
+    while True:
+        if level <= LEVELS:
+            rows = _level(classes, level, hot)
+        else:
+            if level == LEVELS + 1:
+                deep = hot.select("key").distinct()
+            paths = hot.groupBy("key", "n").agg(F.collect_list("bucket").alias("hot"))
+            rows = materialize(texts_of(paths).mapInArrow(_deeper, "key binary, n int, bucket long").distinct(), f"rows-{level}")
+        sizes = rows.groupBy("bucket").agg(F.count("*").alias("count"), F.sum("n").alias("tokens")).where("count > 1")
         members = materialize(rows.join(sizes, "bucket"), f"paths-{level}")
-        hot = materialize(members.where(F.col("count") > small).select("bucket").distinct(), f"hot-{level}")
-        if level == LEVELS or hot.isEmpty():
-            found.append(members)
-            break
-        found.append(members.where(F.col("count") <= small))
-    rows = found[0]
-    for more in found[1:]:
-        rows = rows.unionByName(more)
-    blocks = F.ceil(F.col("count") / (small / 2)).cast("int")
-    chunks = F.when(F.col("count") > small, blocks).otherwise(1)
-    rows = rows.withColumn("_c", chunks).withColumn("side", F.pmod(F.xxhash64("key"), F.col("_c")).cast("int"))
+        is_large = ((F.col("count") > small) | (F.col("tokens") > WEIGHT)) & (F.col("count") > 2)
+        large = members.where(is_large)
+        if level == DEEPEST or large.isEmpty():
+            found.append(members.select("key", "bucket", "count", "tokens"))
+            return reduce(DataFrame.unionByName, found), deep, level
+        alike = materialize(_agreement(large, classes), f"alike-{level}")
+        found.append(members.where(~is_large).select("key", "bucket", "count", "tokens"))
+        found.append(large.join(alike.where(F.col("alike") >= ALIKE), "bucket", "left_semi").select("key", "bucket", "count", "tokens"))
+        hot = materialize(large.join(alike.where(F.col("alike") < ALIKE), "bucket", "left_semi").select("key", "n", "bucket"), f"hot-{level}")
+        if hot.isEmpty():
+            return reduce(DataFrame.unionByName, found), deep, level
+        level += 1
+
+
+def deal(members: DataFrame, small: int = SMALL) -> DataFrame:
+    """unit, bucket, side, lo, hi, key: buckets that are still large over pairs of blocks."""
+    blocks = F.ceil(F.greatest(F.col("count") / (small / 2), F.col("tokens") / (WEIGHT / 2))).cast("int")
+    large = (F.col("count") > small) | (F.col("tokens") > WEIGHT)
+    rows = members.withColumn("_c", F.when(large, F.least(blocks, F.col("count").cast("int"))).otherwise(1))
+    rows = rows.withColumn("side", F.pmod(F.xxhash64("key"), F.col("_c")).cast("int"))
     rows = rows.withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_c") - 1)))
     lo, hi = F.least("side", "_j"), F.greatest("side", "_j")
     unit = F.when(F.col("_c") == 1, F.col("bucket")).otherwise(F.xxhash64("bucket", lo, hi))
@@ -311,16 +410,25 @@ def _groups(docs: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
     classes = materialize(classes, "classes")
     live = classes.where("n > 0")
 
-    members = materialize(find_buckets(live, small), "buckets")
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """`wanted` (key, ...) with the text of each class."""
+        columns = [c for c in wanted.columns if c != "key"]
+        wanted = wanted.join(classes.select("key", F.col("rep.doc_id").alias("_id"), F.col("rep.text_hash").alias("_hash")), "key")
+        # a text belongs to one class, so rows of a null or hot id meet the classes of their own text only
+        texts = pairs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
+        return texts.groupBy("key").agg(F.first("text").alias("text"), *(F.first(c).alias(c) for c in columns))
+
+    members, deep, depth = find_buckets(live, texts_of, small)
+    more = runs_for(levels=depth) - RUNS
+    if more > 0:
+        again = texts_of(deep.join(live.select("key", "n", "sketch"), "key")).mapInArrow(_more_paths(more), f"key binary, n int, sketch binary, {_PATHS_SQL}")
+        members = members.unionByName(find_buckets(materialize(again, "runs"), texts_of, small)[0])
+    members = materialize(deal(members, small), "buckets")
     own = members.select("key", "bucket").distinct().groupBy("key").agg(F.sort_array(F.collect_list("bucket")).alias("buckets"))
     seen = members.join(own, "key").join(live.select("key", "n", "sketch"), "key")
     pruned = seen.repartition("unit").sortWithinPartitions("unit").mapInArrow(_prune, _PRUNED)
     wanted = pruned.groupBy("key").agg(F.collect_list(F.struct("unit", "bucket", "side", "lo", "hi")).alias("units"), F.first("buckets").alias("buckets"))
-    wanted = wanted.join(classes.select("key", F.col("rep.doc_id").alias("_id"), F.col("rep.text_hash").alias("_hash")), "key")
-    # a text belongs to one class, so rows of a null or hot id meet the classes of their own text only
-    texts = pairs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
-    texts = texts.groupBy("key").agg(F.first("text").alias("text"), F.first("units").alias("units"), F.first("buckets").alias("buckets"))
-    whole = texts.mapInArrow(_tokens_of, _PRUNED + ", tokens binary")
+    whole = texts_of(wanted).mapInArrow(_tokens_of, _PRUNED + ", tokens binary")
     found = whole.repartition("unit").sortWithinPartitions("unit").mapInArrow(_verify, "key binary, links long, root binary")
     found = materialize(found, "links")
 
