@@ -3,12 +3,18 @@
 A text is a vector of character 1- to 3-grams (lower-cased, other characters than letters
 collapsed into word edges), hashed into `DIMS` places: log term frequency times inverse
 document frequency, scaled to length 1. Each language has up to `CLUSTERS` centroids, found
-by spherical k-means. The language of the centroid with the largest cosine wins. A text is
-rejected if that cosine is lower than `SLACK` times the lowest that training texts of about
-as many n-grams have to the centroids of their own language.
+by spherical k-means. The language of the centroid with the largest cosine wins.
 
-Training reads at most about `PER_LANGUAGE` labelled rows of each language (picked by a hash of
-the id, so the same rows at any partitioning); its vectors, not its texts, reach the driver.
+Rejection is for texts of none of the learned languages: `lang_pred` still names the nearest one, and
+`rejected` tells that even it is too far. A text is rejected if its best cosine is lower than `SLACK` times
+the lowest that training texts of about as many letters have to the centroids of their own
+language. Texts that mix learned languages, and junk in a learned one, are within that; other scripts
+and other languages of the same script are not. Of texts with too few letters to have been learned
+from (less than the shortest class of lengths with `ENOUGH` training texts) none is rejected.
+
+Training reads at most about `PER_LANGUAGE` labelled rows of each language and `TRAIN_ROWS` in all (picked by
+a hash of the id, so the same rows at any partitioning), of the `LANGUAGES` most frequent languages; its
+vectors, not its texts, reach the driver.
 
 Defined results: null texts and texts without a letter get `und`, score 0 and are rejected.
 Null languages are not learned. If there is nothing to learn from, all rows are `und`.
@@ -34,8 +40,11 @@ DIMS_BITS = 13
 DIMS = 1 << DIMS_BITS
 #: The bound of the training sample: labelled rows of each language.
 PER_LANGUAGE = 1000
+TRAIN_ROWS = 40_000
+LANGUAGES = 400
 CLUSTERS = 4
 SLACK = 0.35
+ENOUGH = 20
 UNKNOWN = "und"
 _DOCS = 128
 
@@ -137,9 +146,11 @@ def _train_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, clusters: int = CLUSTERS) -> Model | None:
     """Learn from rows with a language whose id is not held out."""
     usable = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    # at most LANGUAGES rows
+    sizes = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not sizes:
         return None
+    per_language = min(per_language, TRAIN_ROWS // len(sizes))
     share = F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(1.0, per_language / n))])
     luck = F.pmod(F.xxhash64(F.lit("train"), F.col("doc_id")), F.lit(1_000_000)) / 1_000_000
     sample = usable.where(luck < share[F.col("lang")]).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
@@ -164,9 +175,11 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, clusters: int = CLUST
         bits.append(_bits(np.array([r["n"] for r in own])))
     model.of, model.centroids = np.array(of), np.concatenate(centroids).astype(np.float32)
     near, bits = np.concatenate(near), np.concatenate(bits)
+    known = 0.0  # longer texts than any class that was learned are held to the last one's floor
     for b in range(32):
-        if (bits == b).sum() >= 20:  # elsewhere nothing is known, and nothing rejected
-            model.floor[b] = SLACK * near[bits == b].min()
+        if (bits == b).sum() >= ENOUGH:
+            known = SLACK * near[bits == b].min()
+        model.floor[b] = known
     return model
 
 

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 from ledgerlens.llm import op06_language_id as M
 
@@ -33,6 +34,48 @@ def test_strange_text_is_rejected_and_rows_pass_whole(spark):
     assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [4]
 
 
+FOREIGN = """kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto
+wszyscy ludzie rodzą się wolni i równi pod względem swej godności i swych praw są oni obdarzeni rozumem i sumieniem
+watu wote wamezaliwa huru hadhi na haki zao ni sawa wote wamejaliwa akili na dhamiri hivyo yapasa watendeane kindugu
+minden emberi lény szabadon születik és egyenlő méltósága és joga van az emberek ésszel és lelkiismerettel bírván
+όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα είναι προικισμένοι με λογική""".splitlines()
+
+
+def test_foreign_texts_are_rejected_and_mixed_ones_are_not(spark):
+    docs = corpus(spark)
+    model = M.fit(docs)
+    rows = [r for r in docs.collect()]
+    by = {k: [r.text for r in rows if r.lang == k] for k in STEMS}
+    mixed = [by["en"][i] + " " + by["de"][i] for i in range(20)] + [by["fr"][i] + " " + by["en"][i] + " 12 !!" for i in range(20)]
+    long = [by["en"][0] * 400]
+    texts = FOREIGN + [t + " " + t for t in FOREIGN] + mixed + long
+    got = {r.doc_id: r for r in M.identify(spark.createDataFrame([(i, t, None, "x", 0) for i, t in enumerate(texts)], docs.schema), model).collect()}
+    assert [got[i].rejected for i in range(10)] == [True] * 10
+    assert not any(got[i].rejected for i in range(10, len(texts)))
+    assert {got[i].lang_pred for i in range(10)} <= set(STEMS) and all(got[i].lang_pred in ("en", "de") for i in range(10, 30))
+
+
+def nearest(text, model):
+    """The language by one dot product after the other, from n-grams counted one by one."""
+    low, grams = text.lower(), {}
+    words = re.findall(r"[^\W\d_]+", low)
+    for w in words:
+        padded = " " + w + " "
+        for g in [*w, *(padded[i : i + 2] for i in range(len(padded) - 1)), *(padded[i : i + 3] for i in range(len(padded) - 2))]:
+            grams[g] = grams.get(g, 0) + 1
+    return sum(grams.values()), max(range(len(model.of)), key=lambda k: model.vectors(next(iter(M.gram_counts([text])))[1])[0] @ model.centroids[k])
+
+
+def test_against_brute_force(spark):
+    docs = corpus(spark, 150)
+    model = M.fit(docs)
+    got = {r.doc_id: r for r in M.identify(docs, model).collect()}
+    for r in docs.collect()[:60]:
+        n, k = nearest(r.text, model)
+        assert got[r.doc_id].lang_pred == model.languages[model.of[k]]
+        assert n == next(iter(M.gram_counts([r.text])))[1].sum()
+
+
 def test_same_model_at_any_partitioning(spark):
     docs = corpus(spark, 120)
     a, b = M.fit(docs.repartition(1)), M.fit(docs.repartition(7))
