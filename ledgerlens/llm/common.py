@@ -20,14 +20,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one is made only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that all executors share. Only a session whose executors are threads of this machine
+    (tests, a notebook) may go without one; on a cluster rows written to local folders would be lost."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
-        found = spark.sparkContext.getCheckpointDir()
-        if not found:
-            found = "file://" + tempfile.mkdtemp(prefix="ledgerlens-")
-            spark.sparkContext.setCheckpointDir(found)
-        named = found
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="ledgerlens-")
+        spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
 
 

@@ -3,6 +3,9 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 
+import pytest
+from pyspark.sql import functions as F
+
 from ledgerlens.llm import op03_sharding as M
 
 
@@ -47,6 +50,37 @@ def test_overflow_goes_clockwise():
     assert [p["shard"] for p in parts] == seen
 
 
+def walked(keys, shards, vnodes, slack):
+    """Keys dealt one by one: home keys first, in ring order, then the overflow clockwise."""
+    nodes = M.ring(shards, vnodes)
+    total = len(keys)
+    room = [-(-total * (1 + slack) // shards)] * shards if slack else [total // shards + (s < total % shards) for s in range(shards)]
+    out, waiting = {}, []
+    for cell, key in sorted(keys):
+        at = next((k for k, (c, _) in enumerate(nodes) if c >= cell), 0)
+        if room[nodes[at][1]] >= 1:
+            room[nodes[at][1]] -= 1
+            out[key] = nodes[at][1]
+        else:
+            waiting.append((cell, key, at))
+    for _, key, at in waiting:
+        while room[nodes[at][1]] < 1:
+            at = (at + 1) % len(nodes)
+        room[nodes[at][1]] -= 1
+        out[key] = nodes[at][1]
+    return out
+
+
+@pytest.mark.parametrize("slack", [0.0, 0.1])
+def test_against_dealing_one_by_one(make, slack):
+    df = make([f"text {i}" for i in range(700)])
+    got = {r.doc_id: r.shard for r in M.shard_documents(df, 7, 8, slack).collect()}
+    hashed = df.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()
+    cells = [((((r.h % 2**64) >> (64 - M.CELL_BITS)), (r.h, r.doc_id))) for r in hashed]
+    want = walked(cells, 7, 8, slack)
+    assert got == {key[1]: s for key, s in want.items()}
+
+
 def test_odd_and_empty(odd, empty):
     got = M.shard_documents(odd).collect()
     assert len(got) == 8 and Counter(r.size for r in got)[16] == 2

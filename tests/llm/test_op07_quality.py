@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 
 from ledgerlens.llm import op07_quality as M
 
@@ -62,3 +63,19 @@ def test_odd_and_empty(spark, odd, empty):
     assert M.score_quality(empty, model).count() == 0
     assert M.fit(docs, labels.where("false")) is None and M.fit(empty, labels) is None
     assert {r.score for r in M.score_quality(odd, None).collect()} == {0.5}
+
+
+def test_training_passages_are_bounded_and_scoring_reads_all(spark, monkeypatch):
+    docs, labels = corpus(spark, 60)
+    long = spark.createDataFrame([(1, "Calm words here. " * 20_000, "en", "s", 1)], docs.schema)
+    first = next(iter(M._described([pa.RecordBatch.from_pydict({"doc_id": [1], "label": [1.0], "text": [long.first().text]})])))
+    assert len(first.column("bag")[0].as_py()) == 4 * M.WIDTH * M.TRAIN_PASSAGES
+    model = M.fit(docs, labels)
+    for text in ("", "short", "WORDS!! " * 900, "Calm words. " * 300 + "LOUD!! " * 200):  # against one passage at a time
+        feats, starts = M.passages([text])
+        x = np.clip((feats - model.mean) / model.scale, -8, 8)
+        h = [np.tanh(row @ model.p["E"] + model.p["e"]) for row in x]
+        a = np.exp([float((np.tanh(v @ model.p["V"]) * M._sigmoid(v @ model.p["U"])) @ model.p["w"]) for v in h])
+        z = sum(w * v for w, v in zip(a / a.sum(), h, strict=True))
+        assert len(feats) == max(1, -(-len(text) // M.PASSAGE))
+        assert abs(float(M._sigmoid(z @ model.p["c"] + model.p["b"])[0]) - float(model.score(feats, starts)[0])) < 1e-6
