@@ -112,29 +112,46 @@ _CUE_REACH = 6
 _AT = r"[(\[{] ?at ?[)\]}]"
 _AT_SIGN = re.compile(_AT, re.IGNORECASE)
 _AT_END = re.compile(_AT + r"\Z", re.IGNORECASE)
-_MARK = re.compile(rf"[0-9]+|{_AT}|(?<![^\W\d_])(?:{'|'.join(sorted(_CUE_OF, key=len, reverse=True))})(?![^\W\d_])", re.IGNORECASE)
+_MARK = re.compile(r"[0-9]+|[(\[{] ?[aA][tT] ?[)\]}]")
+_CUE = re.compile(rf"(?<![^\W\d_])(?:{'|'.join(sorted(_CUE_OF, key=len, reverse=True))})(?![^\W\d_])", re.IGNORECASE)
 #: No candidate and no cue reaches over more tokens than this, and a token holds no blank.
 _REACH = MAX_TOKENS + _CUE_REACH
 
 
+def marks(text: str) -> list[tuple[int, int]]:
+    """Runs of digits, spelled-out at-signs and cues, in order."""
+    out = [m.span() for m in _MARK.finditer(text)]
+    low = text.lower()
+    if len(low) != len(text):
+        return sorted(out + [m.span() for m in _CUE.finditer(text)])
+    for cue in _CUE_OF:  # plain searches for each cue take a tenth of the time of one pattern of all
+        at = low.find(cue)
+        while at >= 0:
+            end = at + len(cue)
+            if not (at and low[at - 1].isalpha()) and not low[end : end + 1].isalpha():
+                out.append((at, end))
+            at = low.find(cue, end)
+    return sorted(out)
+
+
 def regions(text: str) -> Iterator[tuple[int, int]]:
-    """Stretches that hold every candidate: `_REACH` blank-separated pieces on both sides of each mark
-    (a run of digits, a spelled-out at-sign, a cue), joined where they meet. Elsewhere every token
-    is `other`, so the best segmentation of the regions is that of the whole text."""
+    """Stretches that hold every candidate: `_REACH` blank-separated pieces on both sides of each mark,
+    joined where they meet. Elsewhere every token is `other`, so the best segmentation of the
+    regions is that of the whole text."""
     lo = hi = last = -1
-    for m in _MARK.finditer(text):
+    for start, end in marks(text):
         if lo >= 0:
-            if m.start() > hi:
+            if start > hi:
                 hi = _right(text, last)
-            a = m.start() if m.start() <= hi else _left(text, m.start())
+            a = start if start <= hi else _left(text, start)
             if a <= hi:
-                last = m.end()
+                last = max(last, end)
                 continue
             yield lo, hi
             lo = a
         else:
-            lo = _left(text, m.start())
-        hi = last = m.end()
+            lo = _left(text, start)
+        hi = last = end
     if lo >= 0:
         yield lo, _right(text, last)
 
@@ -328,7 +345,8 @@ def decode(text: str, lo: int, hi: int, w: Weights, fixed: list[Span], block: in
     best, back = [start], [(np.zeros(len(TYPES), np.int64), np.zeros(len(TYPES), np.int64))]
     into: list[tuple[np.ndarray, np.ndarray]] = []
     held: list[bool] = []  # tokens of fixed spans
-    at, limit = 0, block
+    shut, one, none = np.full(len(TYPES), -np.inf), np.ones(len(TYPES), np.int64), np.zeros(len(TYPES), np.int64)
+    at, limit, plain = 0, block, True
 
     def path(j: int, k: int) -> list[Span]:
         out = []
@@ -347,9 +365,13 @@ def decode(text: str, lo: int, hi: int, w: Weights, fixed: list[Span], block: in
             at += 1
         inside = at < len(fixed) and fixed[at][0] < b
         held.append(inside)
-        arrive = best[j][:, None] + step
-        into.append((arrive.max(axis=0), arrive.argmax(axis=0)))
-        now, length, last = np.full(len(TYPES), -np.inf), np.ones(len(TYPES), np.int64), np.zeros(len(TYPES), np.int64)
+        if plain:  # only `other` is open here
+            into.append((best[j][0] + step[0], none))
+        else:
+            arrive = best[j][:, None] + step
+            into.append((arrive.max(axis=0), arrive.argmax(axis=0)))
+        now, length, last = shut.copy(), one.copy(), none.copy()
+        plain = not inside
         if inside:
             if fixed[at][1] <= b or _TOKEN.search(text, b, min(hi, fixed[at][1])) is None:  # its last token
                 i = j
@@ -369,6 +391,7 @@ def decode(text: str, lo: int, hi: int, w: Weights, fixed: list[Span], block: in
                 score = into[i][0] + w.scores(seen)
                 better = score > now
                 if better.any():
+                    plain = False
                     now[better], length[better], last[better] = score[better], j + 1 - i, into[i][1][better]
         best.append(now)
         back.append((length, last))
