@@ -157,17 +157,3 @@ SLOPES = (
     stage(_do=f"obv - lag(obv) {PREV}"),
     stage(obv_slope=f"CASE WHEN count(_do) {last(5)} = 5 THEN avg(_do) {last(5)} END", price_slope=f"CASE WHEN count(_dc) {last(5)} = 5 THEN avg(_dc) {last(5)} END"),
 )
-
-
-def ema_fold(values: str, span: int) -> tuple[str, str]:
-    """The exponential average e = a x + (1 - a) e of a list, from its first value."""
-    a = 2 / (span + 1)
-    return (
-        f"aggregate(slice({values}, 2, size({values})), element_at({values}, 1), (e, x) -> {a!r}D * x + {1 - a!r}D * e)",
-        f"list_reduce({values}, lambda e, x: {a!r}::DOUBLE * x + {1 - a!r}::DOUBLE * e)",
-    )
-
-
-def running_list(column: str) -> tuple[str, str]:
-    w = over("UNBOUNDED PRECEDING AND CURRENT ROW")
-    return f"collect_list({column}) {w}", f"list({column}) {w}"

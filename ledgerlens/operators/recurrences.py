@@ -12,13 +12,8 @@ from pyspark.sql import DataFrame
 
 
 def _ema(x: np.ndarray, span: int) -> np.ndarray:
-    a = 2 / (span + 1)
-    out = np.empty(len(x))
-    e = x[0] if len(x) else 0.0
-    for i, v in enumerate(x):
-        e = v if i == 0 else a * v + (1 - a) * e
-        out[i] = e
-    return out
+    """e = a x + (1 - a) e from the first value on."""
+    return pd.Series(x).ewm(span=span, adjust=False).mean().to_numpy()
 
 
 def ema(bars: DataFrame, spans: tuple[int, ...] = (12, 26)) -> DataFrame:
@@ -46,23 +41,36 @@ def macd(bars: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9) -> Da
 
 
 def zigzag(bars: DataFrame, min_pct: float = 0.05) -> DataFrame:
-    """Pivots of the close: a reversal of at least `min_pct` from the running extreme confirms a
-    pivot there; the last leg ends at the last extreme. symbol, pivot_no, dt, price, kind."""
+    """Pivots of the close: symbol, pivot_no, dt, price, kind (peak or valley).
+
+    The first move of at least `min_pct` from bar 0 names bar 0 a valley or a peak; from then on the running
+    extreme is a pivot once the close has turned from it by `min_pct`. The last leg ends at its extreme,
+    unless that is the last pivot's bar. If nothing moved so far, bar 0 is the one pivot, a valley. Symbols of
+    fewer than three bars have none."""
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("dt")
         x, dates = g["close"].to_numpy(float), g["dt"].to_list()
-        out, way, lo, hi = [], 0, 0, 0
-        for i in range(1, len(x)):
-            lo, hi = (i if x[i] < x[lo] else lo), (i if x[i] > x[hi] else hi)
-            if way >= 0 and x[i] <= x[hi] * (1 - min_pct):
-                out.append((hi, "high"))
-                way, lo, hi = -1, i, i
-            elif way <= 0 and x[i] >= x[lo] * (1 + min_pct):
-                out.append((lo, "low"))
-                way, lo, hi = 1, i, i
-        if out and way:
-            out.append((hi, "high") if way > 0 else (lo, "low"))
-        return pd.DataFrame({"symbol": g["symbol"].iloc[0], "pivot_no": range(len(out)), "dt": [dates[i] for i, _ in out], "price": [x[i] for i, _ in out], "kind": [k for _, k in out]})
+        out: list[tuple[int, str]] = []
+        way, extreme = 0, 0
+        for i in range(1, len(x) if len(x) >= 3 else 0):
+            change = (x[i] - x[extreme]) / x[extreme]
+            if way == 0:
+                if abs(change) >= min_pct:
+                    way = 1 if change > 0 else -1
+                    out.append((extreme, "valley" if way > 0 else "peak"))
+                    extreme = i
+            elif way * change > 0:
+                extreme = i
+            elif -way * change >= min_pct:
+                out.append((extreme, "peak" if way > 0 else "valley"))
+                way, extreme = -way, i
+        if out and extreme != out[-1][0]:
+            out.append((extreme, "peak" if x[extreme] > x[out[-1][0]] else "valley"))
+        elif not out and len(x) >= 3:
+            out.append((extreme, "valley"))
+        at = [i for i, _ in out]
+        dts = pd.Series([dates[i] for i in at], dtype=object)
+        return pd.DataFrame({"symbol": pd.Series([g["symbol"].iloc[0]] * len(at), dtype=object), "pivot_no": np.arange(len(at)), "dt": dts, "price": x[at] if at else np.empty(0), "kind": pd.Series([k for _, k in out], dtype=object)})
 
     return bars.select("symbol", "dt", "close").groupBy("symbol").applyInPandas(run, "symbol string, pivot_no long, dt date, price double, kind string")

@@ -48,6 +48,95 @@ WEEKLY_TREND = (
     stage(weekly_trend="CASE WHEN n_weeks < 20 THEN 'unknown' WHEN above6 >= 5 AND w5 > w10 AND w10 > w20 AND w_s5 > 0 AND w_s10 > 0 THEN 'up' WHEN below6 >= 5 AND w5 < w10 AND w10 < w20 AND w_s5 < 0 AND w_s10 < 0 THEN 'down' WHEN crosses >= 3 OR w_gap < 0.02 THEN 'ranging' ELSE 'repairing' END"),
 )
 
+_BEFORE = {n: over(f"{n} PRECEDING AND 1 PRECEDING") for n in (4, 5, 9, 13, 19)}
+
+#: What a week's days need of the weeks before it: sums and counts of closes, flags, lagged averages, and movements.
+WEEKS_BEFORE = (
+    *WEEKLY_TREND,
+    stage(
+        p_n="n_weeks - 1",
+        p_s4=f"sum(close) {_BEFORE[4]}",
+        p_s9=f"sum(close) {_BEFORE[9]}",
+        p_s19=f"sum(close) {_BEFORE[19]}",
+        p_above=f"sum(w_above) {_BEFORE[5]}",
+        p_below=f"sum(w_below) {_BEFORE[5]}",
+        p_crosses=f"sum(CASE WHEN w_c5 < 0 OR w_c10 < 0 THEN 1 ELSE 0 END) {_BEFORE[9]}",
+        p_w5=f"lag(w5, 3) {PREV}",
+        p_w10=f"lag(w10, 3) {PREV}",
+        p_d5=f"lag(close - w5) {PREV}",
+        p_d10=f"lag(close - w10) {PREV}",
+    ),
+)
+
+#: The weekly trend as of each day: the weeks before it and the week up to that day. A day sees no later one.
+WEEK_TO_DATE = (
+    stage(
+        w5="(coalesce(p_s4, 0) + close) / (least(p_n, 4) + 1)",
+        w10="(coalesce(p_s9, 0) + close) / (least(p_n, 9) + 1)",
+        w20="(coalesce(p_s19, 0) + close) / (least(p_n, 19) + 1)",
+    ),
+    stage(
+        above6="CAST(coalesce(p_above, 0) + CASE WHEN close > w5 AND close > w10 THEN 1 ELSE 0 END AS BIGINT)",
+        below6="CAST(coalesce(p_below, 0) + CASE WHEN close < w5 AND close < w10 THEN 1 ELSE 0 END AS BIGINT)",
+        crosses="CAST(coalesce(p_crosses, 0) + CASE WHEN (close - w5) * p_d5 < 0 OR (close - w10) * p_d10 < 0 THEN 1 ELSE 0 END AS BIGINT)",
+        w_s5="w5 / nullif(p_w5, 0) - 1",
+        w_s10="w10 / nullif(p_w10, 0) - 1",
+        w_gap="coalesce(abs(w5 - w10) / nullif(w10, 0), 0)",
+    ),
+    stage(
+        weekly_trend="""CASE WHEN p_n < 19 THEN 'unknown'
+ WHEN above6 >= 5 AND w5 > w10 AND w10 > w20 AND w_s5 > 0 AND w_s10 > 0 THEN 'up'
+ WHEN below6 >= 5 AND w5 < w10 AND w10 < w20 AND w_s5 < 0 AND w_s10 < 0 THEN 'down'
+ WHEN crosses >= 3 OR w_gap < 0.02 THEN 'ranging' ELSE 'repairing' END"""
+    ),
+)
+
+#: Weekly movements, and their sums over the weeks before, for the directional index as of each day.
+WEEKLY_MOVES = (
+    *adx(),
+    stage(
+        q_high=f"lag(high) {PREV}",
+        q_low=f"lag(low) {PREV}",
+        q_close=f"lag(close) {PREV}",
+        q_n=f"count(*) {_BEFORE[13]}",
+        q_tr=f"sum(tr) {_BEFORE[13]}",
+        q_plus=f"sum(plus_dm) {_BEFORE[13]}",
+        q_minus=f"sum(minus_dm) {_BEFORE[13]}",
+        q_dx=f"sum(dx) {_BEFORE[13]}",
+    ),
+)
+_DAYS = "OVER (PARTITION BY symbol, week ORDER BY dt ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+WEEKLY_ADX_TO_DATE = (
+    stage(w_high=f"max(high) {_DAYS}", w_low=f"min(low) {_DAYS}"),
+    stage(
+        w_tr="greatest(w_high - w_low, abs(w_high - q_close), abs(w_low - q_close))",
+        w_up="greatest(coalesce(w_high - q_high, 0), 0)",
+        w_down="greatest(coalesce(q_low - w_low, 0), 0)",
+    ),
+    stage(w_plus="CASE WHEN w_up > w_down THEN w_up ELSE 0 END"),
+    stage(w_minus="CASE WHEN w_down > w_plus THEN w_down ELSE 0 END"),
+    stage(
+        weekly_plus_di="100 * (coalesce(q_plus, 0) + w_plus) / nullif(coalesce(q_tr, 0) + w_tr, 0)",
+        weekly_minus_di="100 * (coalesce(q_minus, 0) + w_minus) / nullif(coalesce(q_tr, 0) + w_tr, 0)",
+    ),
+    stage(w_dx="coalesce(100 * abs(weekly_plus_di - weekly_minus_di) / nullif(weekly_plus_di + weekly_minus_di, 0), 0)"),
+    stage(weekly_adx="(coalesce(q_dx, 0) + w_dx) / (coalesce(q_n, 0) + 1)"),
+)
+
+#: Rising, falling or flat rails of the last 40 bars, as of each bar.
+_RAIL = over("39 PRECEDING AND CURRENT ROW")
+CHANNEL = (
+    stage(_bar=f"CAST(row_number() {over()} AS DOUBLE)"),
+    stage(_rails=f"count(*) {_RAIL}", _level=f"avg(close) {_RAIL}", _sh=f"regr_slope(high, _bar) {_RAIL}", _sl=f"regr_slope(low, _bar) {_RAIL}"),
+    stage(_uh="_sh / nullif(_level, 0)", _ul="_sl / nullif(_level, 0)"),
+    stage(
+        channel="""CASE WHEN _rails < 40 OR _uh IS NULL OR _ul IS NULL THEN 'none'
+ WHEN abs(_uh) > 0.01 OR abs(_ul) > 0.01 OR (abs(_uh) < 0.005 AND abs(_ul) < 0.005) THEN 'box'
+ WHEN _uh > 0 AND _ul > 0 THEN 'up_channel' WHEN _uh < 0 AND _ul < 0 THEN 'down_channel' ELSE 'none' END"""
+    ),
+)
+
+
 def levels_source(bars: str, lookback: int = 250) -> tuple[str, str]:
     """Touches of support and resistance of the last `lookback` bars, in buckets."""
     out = []

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from ..plans.stages import Stage, last, over, stage
 from .indicators import BOLL_STATE, PREV, VOLUME_CONTEXT, bias
-from .structure import TREND_INPUTS
+from .structure import CHANNEL, TREND_INPUTS
 
 STAGE = stage(
     trend_stage="""CASE
@@ -29,16 +29,17 @@ VOLUME_SCORE = stage(
  ELSE CASE WHEN volume_ratio >= 1.5 THEN 1 WHEN volume_ratio >= 1.2 THEN 3 WHEN volume_ratio >= 0.8 THEN 4 ELSE 5 END END"""
 )
 
-#: Points: the week 25/10/5, the 20-bar average 20/12/12/8/5, structure 5, volume 1-9, bands 7/5, less heat 5 and 3.
+#: Points: the week 25/10/5, the 20-bar average 20/12/12/8/5, structure 12/5, volume 1-9, bands 7/5, less heat 5 and 3.
 HEALTH = (
     *TREND_STAGE,
+    *CHANNEL,
     *VOLUME_CONTEXT,
     VOLUME_SCORE,
     *bias(5),
     stage(
         _pts="""CASE weekly_trend WHEN 'up' THEN 25 WHEN 'ranging' THEN 10 ELSE 5 END
  + CASE WHEN ma20_dir = 'up' AND close > ma20 THEN 20 WHEN ma20_dir = 'up' THEN 12 WHEN ma20_dir = 'flat' AND close > ma20 THEN 12 WHEN ma20_dir = 'flat' THEN 8 ELSE 5 END
- + 5 + volume_score + CASE WHEN boll_state = 'opening' THEN 7 ELSE 5 END
+ + CASE WHEN channel = 'up_channel' THEN 12 ELSE 5 END + volume_score + CASE WHEN boll_state = 'opening' THEN 7 ELSE 5 END
  - CASE WHEN rsi > 75 THEN 5 ELSE 0 END - CASE WHEN bias5 > 5 THEN 3 ELSE 0 END"""
     ),
     stage(_clamped="least(greatest(_pts, 0), 100)", _held="ma60_dir = 'up' AND close > ma60"),
@@ -74,16 +75,24 @@ JUDGMENT = (
     stage(confidence="CASE sample_rank WHEN 3 THEN 'high' WHEN 2 THEN 'medium' ELSE 'low' END"),
 )
 
-#: The momentum check takes the side of the 12- and 26-bar averages, which a window can give.
+#: Over bars with the weekly index as of each day and the lines of the moving-average oscillator. The floor of
+#: the turnover is that of the home market; the other market's is 1.3 times the volume and 30 million.
+TURNOVER, VOLUME_TIMES = 100_000_000, 1.5
 TRIGGERS = (
     *JUDGMENT,
-    stage(_neck=f"max(high) {over('30 PRECEDING AND 6 PRECEDING')}", _fast=f"avg(close) {last(12)}", _slow=f"avg(close) {last(26)}", direction="CASE WHEN plus_di > minus_di THEN 'bullish' WHEN plus_di < minus_di THEN 'bearish' ELSE 'none' END"),
+    stage(_neck=f"max(high) {over('30 PRECEDING AND 6 PRECEDING')}", direction="CASE WHEN plus_di > minus_di THEN 'bullish' WHEN plus_di < minus_di THEN 'bearish' ELSE 'none' END"),
     stage(_trigger="CASE WHEN direction = 'bullish' THEN _neck + 0.3 * atr14 ELSE _neck - 0.3 * atr14 END", _body="abs(close - open) >= 0.3 * atr14"),
     stage(
-        price_check="CASE WHEN _trigger IS NULL OR direction = 'none' THEN 'unknown' WHEN direction = 'bullish' AND close >= _trigger AND least(open, close) > _neck AND _body THEN 'pass' WHEN direction = 'bearish' AND close <= _trigger AND greatest(open, close) < _neck AND _body THEN 'pass' ELSE 'pending' END",
-        trend_check="CASE WHEN adx IS NULL OR plus_di IS NULL THEN 'unknown' WHEN adx >= 25 AND direction <> 'none' THEN 'pass' ELSE 'pending' END",
-        volume_check="CASE WHEN volume_ratio IS NULL THEN 'unknown' WHEN volume_ratio >= 1.5 AND amount >= 100000 THEN 'pass' ELSE 'pending' END",
-        momentum_check="CASE WHEN rsi IS NULL OR direction = 'none' THEN 'unknown' WHEN direction = 'bullish' AND _fast >= _slow AND rsi BETWEEN 40 AND 70 THEN 'pass' WHEN direction = 'bearish' AND _fast <= _slow AND rsi BETWEEN 30 AND 60 THEN 'pass' ELSE 'pending' END",
+        price_check="""CASE WHEN _trigger IS NULL OR direction = 'none' THEN 'unknown'
+ WHEN direction = 'bullish' AND close >= _trigger AND least(open, close) > _neck AND _body THEN 'pass'
+ WHEN direction = 'bearish' AND close <= _trigger AND greatest(open, close) < _neck AND _body THEN 'pass' ELSE 'pending' END""",
+        trend_check="""CASE WHEN weekly_adx IS NULL OR weekly_plus_di IS NULL OR weekly_minus_di IS NULL THEN 'unknown'
+ WHEN weekly_adx >= 25 AND direction = 'bullish' AND weekly_plus_di > weekly_minus_di THEN 'pass'
+ WHEN weekly_adx >= 25 AND direction = 'bearish' AND weekly_minus_di > weekly_plus_di THEN 'pass' ELSE 'pending' END""",
+        volume_check=f"CASE WHEN volume_ratio IS NULL THEN 'unknown' WHEN volume_ratio >= {VOLUME_TIMES} AND (amount IS NULL OR amount >= {TURNOVER}) THEN 'pass' ELSE 'pending' END",
+        momentum_check="""CASE WHEN macd IS NULL OR macd_signal IS NULL OR rsi IS NULL OR direction = 'none' THEN 'unknown'
+ WHEN direction = 'bullish' AND macd >= macd_signal AND rsi BETWEEN 40 AND 70 THEN 'pass'
+ WHEN direction = 'bearish' AND macd <= macd_signal AND rsi BETWEEN 30 AND 60 THEN 'pass' ELSE 'pending' END""",
     ),
     stage(passed="CASE price_check WHEN 'pass' THEN 1 ELSE 0 END + CASE trend_check WHEN 'pass' THEN 1 ELSE 0 END + CASE volume_check WHEN 'pass' THEN 1 ELSE 0 END + CASE momentum_check WHEN 'pass' THEN 1 ELSE 0 END"),
     stage(execution="CASE WHEN judgment = 'invalid' THEN 'invalid' WHEN _neck IS NULL OR direction = 'none' THEN 'unavailable' WHEN passed = 4 THEN 'triggered' ELSE 'pending' END"),

@@ -6,7 +6,8 @@ from ..operators import indicators as ind
 from ..operators import structure as st
 from ..operators import trend as tr
 from ..sources.tables import BARS, FRIDAY, INDEX_BARS, WEEKLY_BARS
-from .stages import Query, last, nested, over, stage
+from .folds import MACD
+from .stages import Query, last, over, stage
 
 
 def r6(*cols: str) -> tuple[str, ...]:
@@ -17,15 +18,26 @@ def bars(stages, *select: str, source=BARS, where=None) -> Query:
     return Query(source, tuple(stages), ("symbol", "dt", *select), where)
 
 
-#: Daily bars with the trend of their week.
+_BEFORE = "p_n p_s4 p_s9 p_s19 p_above p_below p_crosses p_w5 p_w10 p_d5 p_d10 q_high q_low q_close q_n q_tr q_plus q_minus q_dx".split()
+#: What the days of each week need of the weeks before it.
+WEEKS = Query(WEEKLY_BARS, (*st.WEEKS_BEFORE, *st.WEEKLY_MOVES), ("symbol", "dt AS friday", *_BEFORE))
+#: Daily bars with the weeks before them.
 TREND_BARS = tuple(
-    f"SELECT d.*, w.weekly_trend FROM ({BARS}) d LEFT JOIN (SELECT symbol AS w_symbol, dt AS w_dt, weekly_trend FROM ({nested(WEEKLY_BARS, st.WEEKLY_TREND, spark)}) v) w ON d.symbol = w.w_symbol AND {FRIDAY[0 if spark else 1]} = w.w_dt"
-    for spark in (True, False)
+    f"""SELECT d.*, {", ".join(f"w.{c}" for c in _BEFORE)} FROM (SELECT *, {end} AS week FROM ({BARS}) b) d
+LEFT JOIN (SELECT symbol AS w_symbol, * FROM weeks) w ON d.symbol = w.w_symbol AND d.week = w.friday"""
+    for end in FRIDAY
 )
+WITH_LINES = tuple(f"SELECT t.*, l.macd, l.macd_signal FROM ({t}) t LEFT JOIN (SELECT symbol AS l_symbol, dt AS l_dt, macd, macd_signal FROM lines) l ON t.symbol = l.l_symbol AND t.dt = l.l_dt" for t in TREND_BARS)
 
 
-def judged(stages, *select: str, where=None) -> Query:
-    return bars(stages, *select, source=TREND_BARS, where=where)
+def judged(stages, *select: str, where=None, final=None) -> Query:
+    """Over daily bars with their weekly trend to date."""
+    return Query(TREND_BARS, (*st.WEEK_TO_DATE, *stages), ("symbol", "dt", *select), where, final, uses={"weeks": WEEKS})
+
+
+def triggered(stages, *select: str, where=None, final=None) -> Query:
+    """As `judged`, with the weekly directional index to date and the oscillator's lines."""
+    return Query(WITH_LINES, (*st.WEEK_TO_DATE, *st.WEEKLY_ADX_TO_DATE, *stages), ("symbol", "dt", *select), where, final, uses={"weeks": WEEKS, "lines": MACD})
 
 
 GAPS = (stage(prev_close=f"lag(close) {ind.PREV}"), stage(ratio="close / nullif(prev_close, 0)"), stage(is_gap="coalesce(abs(ratio - 1) > 0.25, false)"))
@@ -183,12 +195,11 @@ FROM t GROUP BY symbol""",
     "q_j07_invalidation": judged(tr.INVALIDATION, "level_kind", "invalidation", *r6("level", "distance_pct")),
     "q_j08_judgment": judged(tr.JUDGMENT, "judgment"),
     "q_j09_quality_cap": judged((*tr.JUDGMENT, *GAPS, stage(_g=f"max(CASE WHEN is_gap THEN 1 ELSE 0 END) {over('UNBOUNDED PRECEDING AND CURRENT ROW')}"), stage(cap="CASE WHEN _g = 1 THEN 0 ELSE sample_rank END")), "sample_rank", "cap"),
-    "q_j10_trigger_checks": judged(tr.TRIGGERS, "price_check", "trend_check", "volume_check", "momentum_check"),
-    "q_j11_execution": judged(tr.TRIGGERS, "execution", "action"),
-    "q_j12_display_mode": judged(tr.TRIGGERS, "display_mode"),
+    "q_j10_trigger_checks": triggered(tr.TRIGGERS, "price_check", "trend_check", "volume_check", "momentum_check"),
+    "q_j11_execution": triggered(tr.TRIGGERS, "execution", "action"),
+    "q_j12_display_mode": triggered(tr.TRIGGERS, "display_mode"),
     "q_j13_alignment": judged(tr.ALIGNMENT, "posture", "alignment"),
-    "q_j14_scenario_ladder": Query(
-        TREND_BARS,
+    "q_j14_scenario_ladder": judged(
         (*tr.TREND_INPUTS, *ind.bollinger(), stage(rk="row_number() OVER (PARTITION BY symbol ORDER BY dt DESC)", hi60=f"max(high) {last(60)}", lo60=f"min(low) {last(60)}"), stage(where="rk = 1")),
         final="""SELECT symbol, side, round(level, 4) AS level, source, CAST(step AS BIGINT) AS step FROM (
 SELECT symbol, side, level, source, row_number() OVER (PARTITION BY symbol, side ORDER BY abs(level - close), source) AS step FROM (
@@ -197,7 +208,11 @@ SELECT symbol, close, ma20 AS level, 'ma20' AS source FROM t UNION ALL SELECT sy
 UNION ALL SELECT symbol, close, boll_lower, 'boll_lower' FROM t UNION ALL SELECT symbol, close, hi60, 'high60' FROM t UNION ALL SELECT symbol, close, lo60, 'low60' FROM t) a
 WHERE abs(level / close - 1) >= 0.005) b) c WHERE step <= 3""",
     ),
-    "q_j16_judgment_table": Query(TREND_BARS, (*tr.TRIGGERS, stage(rk="row_number() OVER (PARTITION BY symbol ORDER BY dt DESC)")), ("symbol", "dt", "'technical_judgment.v1' AS schema_version", "judgment", "health", "confidence", "execution", "display_mode", "action"), "rk = 1"),
+    "q_j16_judgment_table": triggered(
+        (*tr.TRIGGERS, stage(rk="row_number() OVER (PARTITION BY symbol ORDER BY dt DESC)")),
+        "'technical_judgment.v1' AS schema_version", "judgment", "health", "confidence", "execution", "display_mode", "action",
+        where="rk = 1",
+    ),
     "q_j17_advice": judged(tr.ADVICE, "bias_text", "boll_text", "rsi_text"),
     "q_j18_staged_entry": judged(tr.STRATEGY, "staged_entry"),
     "q_j19_index_stage": bars(tr.INDEX_STAGE, "index_stage", source=INDEX_BARS),
@@ -228,10 +243,9 @@ FROM sm JOIN mm ON sm.dt = mm.dt""",
     "q_t09_target_status": judged(tr.TARGET, "target_status"),
 }
 
-FLAGSHIP = Query(
-    TREND_BARS,
+FLAGSHIP = judged(
     (*tr.HEALTH, stage(rk="row_number() OVER (PARTITION BY symbol ORDER BY dt DESC)")),
-    ("symbol", "dt", "close", *r6("ma20", "boll_upper", "boll_lower", "rsi", "adx"), "trend_stage", "health", "health_grade"),
-    "rk = 1",
+    "close", *r6("ma20", "boll_upper", "boll_lower", "rsi", "adx"), "trend_stage", "health", "health_grade",
+    where="rk = 1",
 )
 QUERIES["q_flagship"] = FLAGSHIP

@@ -6,7 +6,7 @@ from __future__ import annotations
 from ..functions.text import all_re, both, count_re, first_re, match_re, replace_re, sha256
 from ..operators import trend as tr
 from ..sources.tables import BARS, FRIDAY
-from .market import TREND_BARS
+from .market import judged, triggered
 from .scoring import hits
 from .stages import Query, Stage, stage
 from .texts import CANONICAL, CLAIM_SOURCE, CLAIMS, DOCS, PAGE_ROWS, PAGES, POSTS, SCORE, SENTENCES, STRIP, VERIFY
@@ -73,8 +73,8 @@ SELECT symbol, {end} AS dt, count(*) AS days, sum(CASE WHEN abs(ratio - 1) > 0.2
         ),
         (), ("symbol", "dt", "days", "CAST(gaps AS BIGINT) AS gaps", "top_log_factor", "CASE WHEN gaps > 0 THEN 'gap_ratio' ELSE 'none' END AS lineage"),
     ),
-    "q_j15_path_text": Query(TREND_BARS, (*tr.JUDGMENT,), ("symbol", "dt", "concat_ws('; ', concat('stage ', trend_stage), concat('judgment ', judgment), concat('grade ', health_grade)) AS reading")),
-    "q_t08_structure_summary": Query(TREND_BARS, (*tr.TARGET,), ("symbol", "dt", "CASE WHEN _neck IS NULL THEN 'levels' WHEN converged THEN 'pattern_and_fib' ELSE 'pattern' END AS method", "CASE WHEN daily_trend = 'ranging' THEN 'neutral' WHEN (daily_trend = 'up') = bull THEN 'aligned' ELSE 'opposed' END AS alignment")),
+    "q_j15_path_text": judged((*tr.JUDGMENT,), "concat_ws('; ', concat('stage ', trend_stage), concat('judgment ', judgment), concat('grade ', health_grade)) AS reading"),
+    "q_t08_structure_summary": judged((*tr.TARGET,), "CASE WHEN _neck IS NULL THEN 'levels' WHEN converged THEN 'pattern_and_fib' ELSE 'pattern' END AS method", "CASE WHEN daily_trend = 'ranging' THEN 'neutral' WHEN (daily_trend = 'up') = bull THEN 'aligned' ELSE 'opposed' END AS alignment"),
     "q_v19_sector_risks": Query("SELECT s.s_suppkey, n.n_regionkey, r.risk FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN (SELECT 0 AS k, 'currency' AS risk UNION ALL SELECT 1, 'policy' UNION ALL SELECT 2, 'supply' UNION ALL SELECT 3, 'demand' UNION ALL SELECT 4, 'energy') r ON r.k = n.n_regionkey", (), ("s_suppkey", "n_regionkey", "risk"), tables=("supplier", "nation")),
     "q_q12_topic_quota": Query(
         POSTS, (*SCORE, stage(h=sha256("content")), stage(best="row_number() OVER (PARTITION BY h ORDER BY quality DESC, seq)"), stage(where="best = 1"), stage(bucket="CASE WHEN contains(content, 'icense') THEN 'policy' WHEN contains(content, ' | ') THEN 'table' WHEN contains(content, '@') THEN 'contact' WHEN contains(content, '!!') THEN 'heat' ELSE 'other' END"), stage(in_bucket="row_number() OVER (PARTITION BY source, bucket ORDER BY quality DESC, seq)"), stage(pick="row_number() OVER (PARTITION BY source ORDER BY CASE WHEN in_bucket = 1 THEN 0 ELSE 1 END, quality DESC, seq)")),
@@ -123,5 +123,9 @@ SELECT q.doc_id, q.num, g.num IS NOT NULL AS grounded FROM q LEFT JOIN g ON q.do
         final=" UNION ALL ".join(f"SELECT doc_id, '{code}' AS code FROM t WHERE {c}" for c, code in (("r1", "secret_in_text"), ("r2", "shouting"), ("r3", "over_compressed"), ("r4", "empty_cell"))), tables=DOCS,
     ),
     "q_r01_assembly": Query(POSTS, (*SCORE, stage(where="action <> 'discard'"), stage(rk="row_number() OVER (PARTITION BY source ORDER BY quality DESC, seq)"), stage(where="rk <= 5")), final=("SELECT source, concat('# ', source, ': ', array_join(transform(array_sort(collect_list(struct(rk, seq))), x -> CAST(x.seq AS STRING)), ', ')) AS section FROM t GROUP BY source", "SELECT source, concat('# ', source, ': ', string_agg(CAST(seq AS VARCHAR), ', ' ORDER BY rk)) AS section FROM t GROUP BY source"), tables=DOCS),
-    "q_r06_executive_view": Query(TREND_BARS, (*tr.TRIGGERS, stage(rk="row_number() OVER (PARTITION BY symbol ORDER BY dt DESC)")), ("symbol", "dt", "trend_stage", "judgment", "health_grade", "execution", "action"), "rk = 1"),
+    "q_r06_executive_view": triggered(
+        (*tr.TRIGGERS, stage(rk="row_number() OVER (PARTITION BY symbol ORDER BY dt DESC)")),
+        "trend_stage", "judgment", "health_grade", "execution", "action",
+        where="rk = 1",
+    ),
 }

@@ -8,8 +8,9 @@ expression is a pair (Spark, other).
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,6 +56,28 @@ def apply(df: DataFrame, stages: Iterable[Stage]) -> DataFrame:
     return df
 
 
+class Source(Protocol):
+    """What gives a DataFrame and the SQL for the same rows."""
+
+    def run(self, spark: SparkSession, sf_dir: str) -> DataFrame: ...
+
+    def to_sql(self) -> str: ...
+
+
+@dataclass(frozen=True)
+class Given:
+    """A source whose two forms are written independently of each other."""
+
+    frame: Callable[[SparkSession, str], DataFrame]
+    sql: str
+
+    def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        return self.frame(spark, sf_dir)
+
+    def to_sql(self) -> str:
+        return self.sql
+
+
 @dataclass(frozen=True)
 class Query:
     """A source (SQL over the input tables), stages, and the columns to return.
@@ -69,6 +92,7 @@ class Query:
     final: Expr | None = None
     tables: tuple[str, ...] = ("orders",)
     replaces: tuple[str, ...] = ()  # columns of the source that a stage redefines
+    uses: Mapping[str, Source] = field(default_factory=dict)  # results of other queries, by the names the source calls them
 
     def _columns(self, spark: bool) -> list[str]:
         """Dates are returned as text, which every engine writes alike."""
@@ -82,6 +106,7 @@ class Query:
 
     def run(self, spark: SparkSession, sf_dir: str) -> DataFrame:
         frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in self.tables}
+        frames |= {name: q.run(spark, sf_dir) for name, q in self.uses.items()}
         df = apply(spark.sql(_named(pick(self.source, True), frames), **frames), self.stages)
         if self.final is None:
             if self.where is not None:
@@ -90,7 +115,8 @@ class Query:
         return spark.sql(_named(self._final(True), {"t": df}), t=df)
 
     def to_sql(self) -> str:
-        parts, prev, seen = [f"s0 AS ({pick(self.source, False)})"], "s0", set(self.replaces)
+        parts, prev, seen = [f"{name} AS ({q.to_sql()})" for name, q in self.uses.items()], "s0", set(self.replaces)
+        parts.append(f"s0 AS ({pick(self.source, False)})")
         for k, s in enumerate(self.stages, 1):
             new = ", ".join(f"{pick(e, False)} AS {n}" for n, e in s.columns.items())
             again = sorted(seen & s.columns.keys())
