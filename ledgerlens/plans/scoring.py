@@ -169,13 +169,13 @@ PEER_CONFIDENCE: tuple[Stage, ...] = (
 
 #: At most five members of each industry are peers; they and their measures travel as one small array per industry.
 _MEASURES = ("price", "mcap", "eps_this", "eps_next", "revenue")
-_SPARK_VALUES = ", ".join(f"'{m}', {{0}}.{m}, {{1}}.{m}" for m in _MEASURES)
+_SPARK_VALUES = ", ".join(f"'{m}', {m}, other.{m}" for m in _MEASURES)
 PEER_ROWS = (
     f"""WITH q AS ({QUOTES}),
 c AS (SELECT *, row_number() OVER (PARTITION BY industry ORDER BY code) AS pos FROM q),
 g AS (SELECT *, collect_list(CASE WHEN pos <= 5 THEN struct(code, {", ".join(_MEASURES)}) END) OVER (PARTITION BY industry) AS members FROM c),
-p AS (SELECT g.*, posexplode(slice(array_sort(filter(members, m -> m.code <> g.code)), 1, 4)) AS (peer_rank, p) FROM g),
-j AS (SELECT code, p.code AS peer, peer_rank, stack({len(_MEASURES)}, {_SPARK_VALUES.format("p0", "p").replace("p0.", "")}) AS (metric, target_value, peer_value) FROM p),
+p AS (SELECT g.*, posexplode(slice(array_sort(filter(members, m -> m.code <> g.code)), 1, 4)) AS (peer_rank, other) FROM g),
+j AS (SELECT code, other.code AS peer, peer_rank, stack({len(_MEASURES)}, {_SPARK_VALUES}) AS (metric, target_value, peer_value) FROM p),
 k AS (SELECT *, row_number() OVER (PARTITION BY code, metric ORDER BY peer_rank) AS rk FROM j WHERE target_value IS NOT NULL AND peer_value IS NOT NULL),
 l AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY metric, rk) AS pos FROM k WHERE rk <= 2)
 SELECT * FROM l WHERE pos <= 8""",

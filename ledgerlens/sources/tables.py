@@ -40,15 +40,43 @@ SELECT doc_id AS seq, source AS symbol, substr(text, 1, 60) AS title, text AS co
   (doc_id * 7) % 100 AS likes, (doc_id * 13) % 40 AS comments, (doc_id * 3) % 20 AS reposts
 FROM documents"""
 
-#: Annual facts in exact decimals: a company per supplier nation.
-FACTS = """
+#: Annual facts in exact decimals: a company per supplier nation. Each is a sum over the lines of the year.
+_AMOUNT = "CAST(l.l_extendedprice AS DECIMAL(18,2))"
+FACT_COLUMNS = {
+    "revenue": f"{_AMOUNT} * CAST(1 - l.l_discount AS DECIMAL(4,2))",
+    "cost": f"{_AMOUNT} * CAST(0.55 + 2 * l.l_tax AS DECIMAL(4,2))",
+    "net_profit": f"{_AMOUNT} * CAST(0.15 - l.l_discount * 2 AS DECIMAL(4,2))",
+    "operating_cash_flow": f"CASE WHEN l.l_returnflag = 'R' THEN -{_AMOUNT} WHEN l.l_returnflag = 'A' THEN {_AMOUNT} ELSE CAST(0.04 AS DECIMAL(4,2)) * {_AMOUNT} END",
+    "receivables": f"CASE WHEN l.l_linestatus = 'O' THEN {_AMOUNT} ELSE CAST(0.1 AS DECIMAL(4,2)) * {_AMOUNT} END",
+    "inventory": f"CASE WHEN l.l_quantity > 40 THEN {_AMOUNT} ELSE CAST(0.05 AS DECIMAL(4,2)) * {_AMOUNT} END",
+    "impairment": f"CASE WHEN l.l_quantity > 48 THEN CAST(0.2 AS DECIMAL(4,2)) * {_AMOUNT} ELSE CAST(0 AS DECIMAL(18,2)) END",
+    "cash": f"CASE WHEN l.l_returnflag = 'N' THEN CAST(0.3 AS DECIMAL(4,2)) * {_AMOUNT} ELSE CAST(0 AS DECIMAL(18,2)) END",
+    "rd_expense": f"CASE WHEN l.l_tax >= 0.06 THEN CAST(0.4 AS DECIMAL(4,2)) * {_AMOUNT} ELSE CAST(0 AS DECIMAL(18,2)) END",
+    "rd_capitalised": f"CASE WHEN l.l_tax >= 0.07 AND l.l_discount > 0.04 THEN CAST(0.4 AS DECIMAL(4,2)) * {_AMOUNT} ELSE CAST(0 AS DECIMAL(18,2)) END",
+    "deducted_profit": f"{_AMOUNT} * CAST(0.13 - l.l_discount * 2 AS DECIMAL(4,2))",
+    "subsidies": f"CASE WHEN l.l_linenumber = 1 THEN CAST(0.05 AS DECIMAL(4,2)) * {_AMOUNT} ELSE CAST(0 AS DECIMAL(18,2)) END",
+    "old_receivables": f"CASE WHEN l.l_linestatus = 'O' AND l.l_returnflag = 'N' AND l.l_discount > 0.07 THEN {_AMOUNT} ELSE CAST(0 AS DECIMAL(18,2)) END",
+    "fixed_assets": f"CASE WHEN l.l_linenumber >= 4 THEN {_AMOUNT} ELSE CAST(0 AS DECIMAL(18,2)) END",
+    "construction": f"CASE WHEN l.l_linenumber >= 4 AND l.l_discount > 0.05 THEN {_AMOUNT} ELSE CAST(0 AS DECIMAL(18,2)) END",
+    "restricted_assets": f"CASE WHEN l.l_quantity < 2 THEN {_AMOUNT} ELSE CAST(0 AS DECIMAL(18,2)) END",
+    "acquisitions": f"CASE WHEN l.l_linenumber = 7 THEN {_AMOUNT} ELSE CAST(0 AS DECIMAL(18,2)) END",
+    "fair_value_assets": f"CASE WHEN l.l_linenumber = 6 THEN {_AMOUNT} ELSE CAST(0 AS DECIMAL(18,2)) END",
+}
+_FACT_SUMS = ",\n  ".join(f"CAST(sum({e}) AS DECIMAL(24,2)) AS {c}" for c, e in FACT_COLUMNS.items())
+FACTS = f"""
 SELECT n.n_name AS stock_code, year(l.l_shipdate) AS report_year,
-  CAST(sum(CAST(l.l_extendedprice AS DECIMAL(18,2)) * CAST(1 - l.l_discount AS DECIMAL(4,2))) AS DECIMAL(24,2)) AS revenue,
-  CAST(sum(CAST(l.l_extendedprice AS DECIMAL(18,2)) * CAST(0.15 - l.l_discount * 2 AS DECIMAL(4,2))) AS DECIMAL(24,2)) AS net_profit,
-  CAST(sum(CASE WHEN l.l_returnflag = 'R' THEN -CAST(l.l_extendedprice AS DECIMAL(18,2)) WHEN l.l_returnflag = 'A' THEN CAST(l.l_extendedprice AS DECIMAL(18,2)) ELSE CAST(0.04 AS DECIMAL(4,2)) * CAST(l.l_extendedprice AS DECIMAL(18,2)) END) AS DECIMAL(24,2)) AS operating_cash_flow
+  {_FACT_SUMS}
 FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey
 GROUP BY n.n_name, year(l.l_shipdate)"""
 
+#: The largest five customers' share of each company's year, in per cent.
+TOP_CUSTOMERS = """
+SELECT stock_code AS c_code, report_year AS c_year, CAST(100 * sum(CASE WHEN rk <= 5 THEN v END) / sum(v) AS DOUBLE) AS top5_share FROM (
+SELECT *, row_number() OVER (PARTITION BY stock_code, report_year ORDER BY v DESC, o_custkey) AS rk FROM (
+SELECT n.n_name AS stock_code, year(l.l_shipdate) AS report_year, o.o_custkey, sum(CAST(l.l_extendedprice AS DECIMAL(18,2))) AS v
+FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN supplier s ON l.l_suppkey = s.s_suppkey JOIN nation n ON s.s_nationkey = n.n_nationkey
+GROUP BY n.n_name, year(l.l_shipdate), o.o_custkey) a) b GROUP BY stock_code, report_year"""
+
 #: Fund flow per symbol and day, from events.
 FLOW = """
 SELECT symbol, dt, main_in, main_out, small, main_in - main_out AS main_net, total,
