@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions.lexicon import METRIC_GROUPS
 from ..functions.text import all_re, both, count_re, first_re, match_re, sha256
 from ..operators import indicators as ind
 from ..sources.tables import BARS, INDEX_BARS
@@ -12,15 +13,18 @@ from .texts import DOCS, POSTS, SCORE, SENTENCES
 
 NUMBER = "[0-9]+(?:[.][0-9]+)?"
 
+#: A marker with up to 80 characters of its sentence on both sides.
+SNIPPET = "[^.\\n]{0,80}(?:[Ll]icen[cs]e|password|token|@)[^.\\n]{0,80}"
+
 #: Card families by the marks of a sentence, in order of precedence.
-FAMILY = "CASE WHEN contains(sentence, 'icense') THEN 'legal' WHEN contains(sentence, '@') THEN 'contact' WHEN contains(sentence, '|') THEN 'table' WHEN contains(sentence, 'tion') THEN 'driver' ELSE 'context' END"
+FAMILY = "CASE WHEN has(sentence, policy) THEN 'legal' WHEN contains(sentence, '@') THEN 'contact' WHEN contains(sentence, '|') THEN 'table' WHEN has(sentence, driver) THEN 'driver' ELSE 'context' END"
 
 QUERIES: dict[str, Query] = {
     "q_s06_index_chain": Query(
         f"SELECT 1 AS priority, 'cache' AS source, symbol, dt, close FROM ({INDEX_BARS}) a WHERE volume % 3 = 0 UNION ALL SELECT 2, 'primary', symbol, dt, close FROM ({INDEX_BARS}) b WHERE volume % 2 = 0 UNION ALL SELECT 3, 'stale_cache', symbol, dt, close FROM ({INDEX_BARS}) c",
         (stage(rk="row_number() OVER (PARTITION BY symbol, dt ORDER BY priority)"),), ("symbol", "dt", "source", "close"), "rk = 1",
     ),
-    "q_s32_report_match": Query(POSTS, (stage(year="CAST(2020 + seq % 4 AS INT)", keyword="contains(title, 'The')"), stage(where="keyword"), stage(rk="row_number() OVER (PARTITION BY lang, source, year ORDER BY published DESC, seq)")), ("seq", "lang", "source", "year"), "rk = 1", tables=DOCS),
+    "q_s32_report_match": Query(POSTS, (stage(year="CAST(2020 + seq % 4 AS INT)", keyword="has(content, annual_report) OR has(content, policy)"), stage(where="keyword"), stage(rk="row_number() OVER (PARTITION BY lang, source, year ORDER BY published DESC, seq)")), ("seq", "lang", "source", "year"), "rk = 1", tables=DOCS),
     "q_p12_double_bottom": Query(
         BARS,
         (
@@ -41,13 +45,31 @@ coalesce(max(d1) < max(d2) AND max(w2) <= max(w1) * 1.03 AND max(CASE WHEN dt BE
         LINES, (*HEADS, stage(where="NOT is_head AND line <> ''"), stage(kind="CASE WHEN contains(line, '|') THEN 'segment' WHEN contains(line, '%') THEN 'share' WHEN contains(line, '@') THEN 'customer' WHEN contains(line, '+') THEN 'region' END", nums=count_re("line", NUMBER)), stage(where="kind IS NOT NULL")),
         final="SELECT doc_id, section, kind, count(*) AS line_count, CAST(sum(nums) AS BIGINT) AS numbers FROM t GROUP BY doc_id, section, kind", tables=DOCS,
     ),
-    "q_x12_financial_metrics": Query(SENTENCES, (stage(metric_group="CASE WHEN contains(sentence, 'password') THEN 'access' WHEN contains(sentence, '555-') THEN 'phone' WHEN contains(sentence, 'Version') THEN 'version' WHEN contains(sentence, '@') THEN 'mail' END", raw=first_re("sentence", f"({NUMBER})")), stage(where="metric_group IS NOT NULL AND raw <> ''"), stage(rk="row_number() OVER (PARTITION BY doc_id, metric_group ORDER BY pos)")), ("doc_id", "metric_group", "raw"), "rk = 1", tables=DOCS),
-    "q_x16_project_evidence": sentences((stage(bucket=both("CASE WHEN {0} THEN 'chain' WHEN {1} THEN 'model' WHEN {2} THEN 'status' END", match_re("sentence", "@[a-z]+[0-9]"), match_re("sentence", "[|].*[|]"), match_re("sentence", "[Rr]eleased|[Ll]icensed")), context=hits("sentence", ("tion", "ing", "the", "de "))), stage(where="bucket IS NOT NULL AND context > 0")), "bucket", "context"),
-    "q_x26_scaled_cells": sentences((stage(nums=all_re("sentence", "[0-9]{3,9}")), stage(current=("get(nums, 0)", "nums[1]"), prior=("get(nums, 1)", "nums[2]")), stage(where="current IS NOT NULL"), stage(thousands="CAST(current AS DOUBLE) / 1000", change="CASE WHEN CAST(prior AS DOUBLE) > 0 THEN round(CAST(current AS DOUBLE) / CAST(prior AS DOUBLE) - 1, 6) END")), "thousands", "change"),
-    "q_x27_snippets": Query("SELECT doc_id, text FROM documents", (stage(snippet=first_re("text", "([^.\n]{0,80}(?:icense|password|@)[^.\n]{0,80})")), stage(snippet="trim(snippet)")), ("doc_id", "CAST(length(snippet) AS BIGINT) AS chars", both("{0} AS snippet_sha", sha256("snippet"))), "length(snippet) >= 16", tables=DOCS),
+    "q_x12_financial_metrics": Query(
+        SENTENCES,
+        (
+            stage(found="concat_ws(',', " + ", ".join(f"CASE WHEN has(sentence, {g}) THEN '{g[2:]}' END" for g in METRIC_GROUPS) + ")"),
+            stage(where="found <> ''"),
+            stage(raw=first_re("sentence", f"({NUMBER})"), unit=first_re("lower(sentence)", f"{NUMBER} ?(%|million|mio|billion|mrd|milliard|thousand|tsd)")),
+        ),
+        final=tuple(
+            f"SELECT doc_id, metric_group, raw, unit FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, metric_group ORDER BY CASE WHEN raw = '' THEN 1 ELSE 0 END, pos) AS rk FROM (SELECT doc_id, pos, raw, unit, {e} AS metric_group FROM t) x) y WHERE rk = 1"
+            for e in ("explode(split(found, ','))", "unnest(string_split(found, ','))")
+        ),
+        tables=DOCS,
+    ),
+    "q_x16_project_evidence": sentences((stage(bucket="CASE WHEN has(sentence, product) THEN 'model' WHEN has(sentence, status) THEN 'status' WHEN has(sentence, driver) OR has(sentence, peer) THEN 'chain' END", context="terms(sentence, signal) + terms(sentence, logic)"), stage(where="bucket IS NOT NULL AND context > 0")), "bucket", "context"),
+    "q_x26_scaled_cells": sentences((stage(nums=all_re("sentence", "[0-9]+")), stage(nums=("filter(nums, x -> length(x) >= 3)", "list_filter(nums, lambda x: length(x) >= 3)")), stage(current=("get(nums, 0)", "nums[1]"), prior=("get(nums, 1)", "nums[2]")), stage(where="current IS NOT NULL"), stage(thousands="CAST(current AS DOUBLE) / 1000", change="CASE WHEN CAST(prior AS DOUBLE) > 0 THEN round(CAST(current AS DOUBLE) / CAST(prior AS DOUBLE) - 1, 6) END")), "thousands", "change"),
+    "q_x27_snippets": Query(
+        tuple(
+            f"SELECT doc_id, trim(s) AS snippet FROM (SELECT doc_id, {e} AS s FROM documents) x"
+            for e in (f"explode(array_distinct(regexp_extract_all(text, r'{SNIPPET}', 0)))", f"unnest(list_distinct(regexp_extract_all(text, '{SNIPPET}')))")
+        ),
+        (stage(snippet_sha=sha256("snippet")),), ("doc_id", "CAST(length(snippet) AS BIGINT) AS chars", "snippet_sha"), "length(snippet) >= 16", tables=DOCS,
+    ),
     "q_e06_pack_errors": sentences((stage(unit_id=both("substr({0}, 1, 16)", sha256("sentence"))), stage(again="count(*) OVER (PARTITION BY doc_id, unit_id)"), stage(errors="concat_ws(',', CASE WHEN again > 1 THEN 'duplicate_unit' END, CASE WHEN length(sentence) > 600 THEN 'too_long' END, CASE WHEN contains(sentence, '!!') THEN 'noise' END)")), "unit_id", "errors", where="errors <> ''"),
     "q_e09_display_cards": Query(SENTENCES, (stage(family=FAMILY), stage(where="family <> 'context'"), stage(ref="dense_rank() OVER (PARTITION BY source ORDER BY doc_id)"), stage(rk="row_number() OVER (PARTITION BY doc_id, family ORDER BY length(sentence) DESC, pos)")), ("doc_id", "family", "CAST(ref AS BIGINT) AS ref", "CAST(length(sentence) AS BIGINT) AS chars"), "rk = 1", tables=DOCS),
-    "q_g06_digest_cards": sentences((stage(signal=hits("sentence", ("tion", "ing", "ment", "ung")), noise=count_re("sentence", "[!#$%&*|]")), stage(score="CAST(least(60, signal * 15) + 8 - least(40, noise * 2) AS INT)"), stage(where="noise < 20"), stage(rk="row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos)"), stage(n_units="count(*) OVER (PARTITION BY doc_id)"), stage(cap="CASE WHEN n_units <= 10 THEN 3 WHEN n_units <= 40 THEN 5 ELSE 8 END")), "score", "CAST(rk AS BIGINT) AS rk", where="rk <= cap"),
+    "q_g06_digest_cards": sentences((stage(signal="terms(sentence, signal)", noise=count_re("sentence", "[!#$%&*|]")), stage(score="CAST(least(60, signal * 15) + 8 - least(40, noise * 2) AS INT)"), stage(where="noise < 20"), stage(rk="row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos)"), stage(n_units="count(*) OVER (PARTITION BY doc_id)"), stage(cap="CASE WHEN n_units <= 10 THEN 3 WHEN n_units <= 40 THEN 5 ELSE 8 END")), "score", "CAST(rk AS BIGINT) AS rk", where="rk <= cap"),
     "q_a01_narrative_cards": Query(
         SENTENCES,
         (stage(family=FAMILY, noise="contains(sentence, '!!') OR length(sentence) > 600"), stage(bad="max(CASE WHEN noise THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id)"), stage(where="bad = 0"), stage(_new="CASE WHEN family = lag(family) OVER (PARTITION BY doc_id ORDER BY pos) THEN 0 ELSE 1 END"), stage(run="CAST(sum(_new) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT)")),

@@ -46,6 +46,28 @@ s AS (SELECT j.doc_id, j.first_pos, j.pos, {both_} AS common, a.n AS na, b.n AS
 SELECT doc_id, pos, min(first_pos) AS kept_pos FROM s WHERE common >= 0.85 * (na + nb - common) GROUP BY doc_id, pos"""
 
 
+#: Checks of a report's text: a pattern over its lower-cased text, or a condition in a tuple.
+REPORT_RULES: dict[str, str | tuple[str]] = {
+    "malformed_citation_marker": "\\[\\^[a-z]+\\]|\\[\\^\\]|\\[[0-9]+,\\]",
+    "ev_na_percent": "n/a ?%",
+    "financial_fact_unit_conflict": "(?:million|mio|milliard)[^.\n]{0,20}(?:thousand|tsd|mille )|[0-9]%[^.\n]{0,5}(?:million|mio)",
+    "financial_data_missing_contradiction": "(?:no data|not available|keine angaben|non disponible|sin datos)[^.\n]{0,60}[0-9]+[.,][0-9]+",
+    "financial_profit_direction_contradiction": "(?:profit|gewinn|bénéfice|beneficio)[^.\n]{0,30}(?:rose|stieg|augment|aument)[^.\n]{0,30}(?:-[0-9]|loss|verlust|perte|pérdida)",
+    "fundflow_claim_without_fundflow_pack": "(?:net inflow|net outflow|mittelzufluss|flux net|flujo neto)",
+    "industry_chain_unmatched_claim": "(?:upstream|downstream|supply chain|lieferkette|chaîne d.approvisionnement|cadena de suministro)",
+    "vague_supply_chain_position": "(?:important|key|central) (?:link|position|player) in the (?:supply )?chain",
+    "section_too_generic": ("length(text) > 0 AND NOT has(low, signal) AND NOT has(low, logic)",),
+    "empty_executive_summary_body": "#+ *(?:executive summary|zusammenfassung|résumé|resumen)[ \n]*(?:#|$)",
+    "header_config_missing": ("length(text) >= 60 AND NOT contains(substr(text, 1, 200), chr(10))",),
+    "over_compressed": ("length(text) < 60",),
+    "secret_in_text": ("has(low, secret)",),
+    "shouting": "!! ?[a-z]",
+    "empty_table_cell": "[|] *[|]",
+    "core_fact_unknown_evidence": "(?:unknown source|source unknown|quelle unbekannt|source inconnue|fuente desconocida)",
+    "external_map_unverified_claim_framing": "(?:unverified|unbestätigt|non vérifié|sin verificar)",
+    "funding_claim_without_funding_support": "(?:raised|funding round|finanzierungsrunde|levée de fonds|ronda de financiación)",
+}
+
 QUERIES: dict[str, Query] = {
     "q_s02_cache_freshness": Query(
         ("SELECT user_id % 40 AS symbol, CAST(max(ts) AS DATE) AS latest, CAST(max(CASE WHEN event_type <> 'view' THEN ts END) AS DATE) AS fetched FROM events GROUP BY user_id % 40",) * 2,
@@ -62,8 +84,13 @@ QUERIES: dict[str, Query] = {
         ("symbol", "dt", "close"), "back <= 120",
     ),
     "q_s08_blocks": Query("SELECT event_id, event_type, props FROM events", (stage(k=("CAST(get_json_object(props, '$.k') AS BIGINT)", "CAST(json_extract_string(props, '$.k') AS BIGINT)")), stage(block="CASE WHEN k < 30 THEN 'concept' WHEN k < 60 THEN 'industry' ELSE 'region' END")), final="SELECT block, event_type, count(*) AS members, CAST(min(k) AS BIGINT) AS low, CAST(max(k) AS BIGINT) AS high FROM t GROUP BY block, event_type", tables=("events",)),
-    "q_s24_adapters": Query(("SELECT 'announcement' AS origin, doc_id AS id, 98 AS credit, substr(text, 1, 40) AS title FROM documents WHERE contains(text, 'icense') UNION ALL SELECT 'news', page_id, 72, url FROM pages WHERE contains(url, 'www.') UNION ALL SELECT 'chat', conv_id, 30, substr(text, 1, 40) FROM conversations WHERE role = 'user'",) * 2, (), ("origin", "id", "credit", "title"), tables=("documents", "pages", "conversations")),
-    "q_s35_note_scan": Query("SELECT doc_id, concat('---', chr(10), chr(123), '\"seq\": ', CAST(doc_id AS VARCHAR(12)), chr(125), chr(10), '---', chr(10), substr(text, 1, 80)) AS note FROM documents", (stage(front=first_re("note", "---\n([^\n]*)\n---")), stage(seq=("CAST(get_json_object(front, '$.seq') AS BIGINT)", "CAST(json_extract_string(front, '$.seq') AS BIGINT)"), body="substr(note, length(front) + 10)")), ("doc_id", "seq", "CAST(length(body) AS BIGINT) AS body_chars"), tables=DOCS),
+    "q_s24_adapters": Query(("SELECT 'announcement' AS origin, doc_id AS id, 98 AS credit, substr(text, 1, 40) AS title FROM documents WHERE has(text, policy) UNION ALL SELECT 'news', page_id, 72, url FROM pages WHERE contains(url, 'www.') UNION ALL SELECT 'chat', conv_id, 30, substr(text, 1, 40) FROM conversations WHERE role = 'user'",) * 2, (), ("origin", "id", "credit", "title"), tables=("documents", "pages", "conversations")),
+    "q_s35_note_scan": Query(
+        # notes: a text with its fields as front matter
+        "SELECT doc_id, concat('---', chr(10), 'lang: ', coalesce(lang, ''), chr(10), 'source: ', coalesce(source, ''), chr(10), '---', chr(10), coalesce(text, '')) AS note FROM documents",
+        (stage(front=first_re("note", "^---\n((?:[a-z]+: [^\n]*\n)*)---\n")), stage(note_lang=first_re("front", "lang: ([^\n]*)"), note_source=first_re("front", "source: ([^\n]*)"), body="substr(note, length(front) + 9)"), stage(body_sha=sha256("body"))),
+        ("doc_id", "note_lang", "note_source", "CAST(length(body) AS BIGINT) AS body_chars", "body_sha"), tables=DOCS,
+    ),
     "q_b07_repair_chain": Query(
         tuple(
             f"""WITH b AS ({BARS}), g AS (SELECT *, close / nullif(lag(close) OVER (PARTITION BY symbol ORDER BY dt), 0) AS ratio FROM b),
@@ -77,7 +104,7 @@ SELECT symbol, {end} AS dt, count(*) AS days, sum(CASE WHEN abs(ratio - 1) > 0.2
     "q_t08_structure_summary": judged((*tr.TARGET,), "CASE WHEN _neck IS NULL THEN 'levels' WHEN converged THEN 'pattern_and_fib' ELSE 'pattern' END AS method", "CASE WHEN daily_trend = 'ranging' THEN 'neutral' WHEN (daily_trend = 'up') = bull THEN 'aligned' ELSE 'opposed' END AS alignment"),
     "q_v19_sector_risks": Query("SELECT s.s_suppkey, n.n_regionkey, r.risk FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN (SELECT 0 AS k, 'currency' AS risk UNION ALL SELECT 1, 'policy' UNION ALL SELECT 2, 'supply' UNION ALL SELECT 3, 'demand' UNION ALL SELECT 4, 'energy') r ON r.k = n.n_regionkey", (), ("s_suppkey", "n_regionkey", "risk"), tables=("supplier", "nation")),
     "q_q12_topic_quota": Query(
-        POSTS, (*SCORE, stage(h=sha256("content")), stage(best="row_number() OVER (PARTITION BY h ORDER BY quality DESC, seq)"), stage(where="best = 1"), stage(bucket="CASE WHEN contains(content, 'icense') THEN 'policy' WHEN contains(content, ' | ') THEN 'table' WHEN contains(content, '@') THEN 'contact' WHEN contains(content, '!!') THEN 'heat' ELSE 'other' END"), stage(in_bucket="row_number() OVER (PARTITION BY source, bucket ORDER BY quality DESC, seq)"), stage(pick="row_number() OVER (PARTITION BY source ORDER BY CASE WHEN in_bucket = 1 THEN 0 ELSE 1 END, quality DESC, seq)")),
+        POSTS, (*SCORE, stage(h=sha256("content")), stage(best="row_number() OVER (PARTITION BY h ORDER BY quality DESC, seq)"), stage(where="best = 1"), stage(bucket="CASE WHEN has(content, policy) THEN 'policy' WHEN contains(content, ' | ') THEN 'table' WHEN contains(content, '@') THEN 'contact' WHEN contains(content, '!!') THEN 'heat' ELSE 'other' END"), stage(in_bucket="row_number() OVER (PARTITION BY source, bucket ORDER BY quality DESC, seq)"), stage(pick="row_number() OVER (PARTITION BY source ORDER BY CASE WHEN in_bucket = 1 THEN 0 ELSE 1 END, quality DESC, seq)")),
         ("seq", "source", "bucket", "CAST(pick AS BIGINT) AS pick"), "pick <= 25", tables=DOCS,
     ),
     "q_q15_category_pick": Query(
@@ -93,9 +120,9 @@ SELECT symbol, {end} AS dt, count(*) AS days, sum(CASE WHEN abs(ratio - 1) > 0.2
     "q_c06_pair_score": Query(CLAIM_SOURCE, CLAIMS, final="SELECT l.doc_id, s.claim_tier, max(60 + CASE WHEN abs(l.day - s.day) <= 30 THEN 10 ELSE 0 END) AS best_score FROM t l JOIN (SELECT DISTINCT lang, topic, claim_tier, day FROM t WHERE claim_tier <> 'low') s ON l.lang = s.lang AND l.topic = s.topic WHERE l.claim_tier = 'low' GROUP BY l.doc_id, s.claim_tier", tables=DOCS),
     "q_c08_plan_summary": Query(CLAIM_SOURCE, CLAIMS, final=f"{VERIFY[:-len(' WHERE c.claim_tier = ' + repr('low'))]}".replace("SELECT c.doc_id, c.topic,", "SELECT action, CAST(count(*) AS BIGINT) AS claims, max(confidence) AS top_confidence FROM (SELECT c.doc_id, c.topic,") + " WHERE c.claim_tier = 'low') z GROUP BY action", tables=DOCS),
     "q_x03_sections": Query(LINES, HEADS, final="SELECT doc_id, section, max(heading) AS heading, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM t GROUP BY doc_id, section", tables=DOCS),
-    "q_x05_observations": sentences((stage(kind=both("CASE WHEN {0} THEN 'risk' WHEN {1} THEN 'plan' WHEN {2} THEN 'structure' END", match_re("sentence", "moron|stupid|password"), match_re("sentence", "[Vv]ersion|[Ll]icense"), match_re("sentence", "[|]")), rank_score=hits("sentence", ("tion", "ing", "ment"))), stage(where="kind IS NOT NULL"), stage(rk="row_number() OVER (PARTITION BY doc_id, kind ORDER BY rank_score DESC, pos)")), "kind", where="rk <= 3"),
+    "q_x05_observations": sentences((stage(kind="CASE WHEN has(sentence, risk) THEN 'risk' WHEN has(sentence, plan) OR has(sentence, policy) THEN 'plan' WHEN has(sentence, structure) THEN 'structure' END", rank_score="terms(sentence, signal)"), stage(where="kind IS NOT NULL"), stage(rk="row_number() OVER (PARTITION BY doc_id, kind ORDER BY rank_score DESC, pos)")), "kind", where="rk <= 3"),
     "q_x06_metric_value": sentences((stage(raw=first_re("sentence", "(?:Version|mail|555-) ?([0-9]+[.]?[0-9]*)"), unit="CASE WHEN contains(sentence, 'Version') THEN 1 ELSE 1000 END"), stage(value="try_cast(nullif(raw, '') AS DOUBLE) * unit")), "value", where="value IS NOT NULL"),
-    "q_x09_evidence_pack": Query(SENTENCES, (stage(usage="CASE WHEN contains(sentence, 'icense') THEN 'legal' WHEN contains(sentence, '@') THEN 'contact' WHEN contains(sentence, '|') THEN 'table' WHEN contains(sentence, 'tion') THEN 'narrative' END"), stage(where="usage IS NOT NULL"), stage(n="row_number() OVER (PARTITION BY doc_id, usage ORDER BY pos)"), stage(cap="CASE usage WHEN 'narrative' THEN 3 WHEN 'table' THEN 2 ELSE 1 END"), stage(where="n <= cap"), stage(block_id="concat(usage, '-', CAST(n AS VARCHAR(9)))", slot="row_number() OVER (PARTITION BY doc_id ORDER BY CASE usage WHEN 'legal' THEN 0 WHEN 'contact' THEN 1 WHEN 'table' THEN 2 ELSE 3 END, pos)")), ("doc_id", "block_id", "CAST(slot AS BIGINT) AS slot"), "slot <= 6", tables=DOCS),
+    "q_x09_evidence_pack": Query(SENTENCES, (stage(usage="CASE WHEN has(sentence, policy) THEN 'legal' WHEN contains(sentence, '@') THEN 'contact' WHEN contains(sentence, '|') THEN 'table' WHEN has(sentence, driver) THEN 'narrative' END"), stage(where="usage IS NOT NULL"), stage(n="row_number() OVER (PARTITION BY doc_id, usage ORDER BY pos)"), stage(cap="CASE usage WHEN 'narrative' THEN 3 WHEN 'table' THEN 2 ELSE 1 END"), stage(where="n <= cap"), stage(block_id="concat(usage, '-', CAST(n AS VARCHAR(9)))", slot="row_number() OVER (PARTITION BY doc_id ORDER BY CASE usage WHEN 'legal' THEN 0 WHEN 'contact' THEN 1 WHEN 'table' THEN 2 ELSE 3 END, pos)")), ("doc_id", "block_id", "CAST(slot AS BIGINT) AS slot"), "slot <= 6", tables=DOCS),
     "q_x14_fact_anchor": sentences((stage(nums=all_re("sentence", "[0-9]+(?:[.][0-9]+)?"), cell="CAST(doc_id % 10 AS VARCHAR(9))"), stage(anchored=("exists(nums, x -> abs(CAST(x AS DOUBLE) - CAST(cell AS DOUBLE)) <= 0.5)", "len(list_filter(nums, lambda x: abs(CAST(x AS DOUBLE) - CAST(cell AS DOUBLE)) <= 0.5)) > 0")), stage(where=("size(nums) > 0", "len(nums) > 0"))), "anchored"),
     "q_x15_fidelity": Query(
         tuple(
@@ -107,20 +134,21 @@ SELECT q.doc_id, q.num, g.num IS NOT NULL AS grounded FROM q LEFT JOIN g ON q.do
         ),
         (), ("doc_id", "num", "grounded"), tables=DOCS,
     ),
-    "q_x18_risk_dedupe": sentences((stage(risk=both("CASE WHEN {0} THEN 'conduct' WHEN {1} THEN 'leak' END", match_re("sentence", "moron|stupid|clown|disgusting"), match_re("sentence", "password|token|AKIA"))), stage(where="risk IS NOT NULL"), stage(r1="row_number() OVER (PARTITION BY doc_id, risk ORDER BY pos)"), stage(where="r1 = 1"), stage(ck=replace_re("lower(sentence)", "[^a-z]+", "")), stage(r2="row_number() OVER (PARTITION BY doc_id, CASE WHEN length(ck) >= 20 THEN substr(ck, 1, 40) ELSE risk END ORDER BY pos)")), "risk", where="r2 = 1"),
-    "q_x19_explanations": sentences((stage(reason=hits("sentence", ("because", "therefore", "tion", "with"))), stage(where="reason > 1"), stage(rk="row_number() OVER (PARTITION BY doc_id ORDER BY reason DESC, pos)")), "reason", where="rk <= 3"),
+    "q_x18_risk_dedupe": sentences((stage(risk="CASE WHEN has(sentence, abuse) THEN 'conduct' WHEN has(sentence, secret) THEN 'leak' WHEN has(sentence, risk) THEN 'loss' END"), stage(where="risk IS NOT NULL"), stage(r1="row_number() OVER (PARTITION BY doc_id, risk ORDER BY pos)"), stage(where="r1 = 1"), stage(ck=replace_re("lower(sentence)", "[^a-z]+", "")), stage(r2="row_number() OVER (PARTITION BY doc_id, CASE WHEN length(ck) >= 20 THEN substr(ck, 1, 40) ELSE risk END ORDER BY pos)")), "risk", where="r2 = 1"),
+    "q_x19_explanations": sentences((stage(reason="terms(sentence, mechanism) + terms(sentence, logic)"), stage(where="reason > 1"), stage(rk="row_number() OVER (PARTITION BY doc_id ORDER BY reason DESC, pos)")), "reason", where="rk <= 3"),
     "q_x22_statement_lines": Query(LINES, (stage(nums=count_re("line", "[0-9]+(?:[.][0-9]+)?")), stage(where="nums >= 2"), stage(first_num=first_re("line", "([0-9]+(?:[.][0-9]+)?)"), unit_rank="CASE WHEN contains(line, '%') THEN 0 WHEN contains(line, '=') THEN 1 ELSE 2 END"), stage(rk="row_number() OVER (PARTITION BY doc_id ORDER BY unit_rank, pos)")), ("doc_id", "CAST(pos AS BIGINT) AS pos", "first_num"), "rk = 1", tables=DOCS),
-    "q_x23_largest_amount": Query("SELECT doc_id, text FROM documents", (stage(nums=all_re("text", "[0-9]{2,9}")), stage(largest=("array_max(transform(nums, x -> CAST(x AS BIGINT)))", "list_max(list_transform(nums, lambda x: CAST(x AS BIGINT)))"))), ("doc_id", "largest"), "largest IS NOT NULL", tables=DOCS),
+    "q_x23_largest_amount": Query("SELECT doc_id, text FROM documents", (stage(nums=all_re("text", "[0-9]+")), stage(largest=("array_max(transform(nums, x -> CAST(x AS DOUBLE)))", "list_max(list_transform(nums, lambda x: CAST(x AS DOUBLE)))"))), ("doc_id", "largest"), "largest IS NOT NULL", tables=DOCS),
     "q_x24_table_rows": Query(LINES, (stage(cells=count_re("line", "[|]")), stage(where="cells >= 2"), stage(label=first_re("line", "^([^|]*)[|]"), second=first_re("line", "^[^|]*[|]([^|]*)")), stage(rk="row_number() OVER (PARTITION BY doc_id, label ORDER BY pos)")), ("doc_id", "trim(label) AS label", "trim(second) AS second", "CAST(cells AS BIGINT) AS cells"), "rk = 1", tables=DOCS),
     "q_e10_preview": Query(PAGE_ROWS, (*CANONICAL, stage(k="coalesce(canonical, url)"), stage(rk="row_number() OVER (PARTITION BY k ORDER BY page_id)"), stage(where="rk = 1"), stage(n="row_number() OVER (PARTITION BY domain ORDER BY page_id)")), ("page_id", "domain"), "n <= 10", tables=PAGES),
     "q_g02_section_candidates": Query(LINES, (*HEADS, stage(where="is_head"), stage(next_pos="lead(pos) OVER (PARTITION BY doc_id ORDER BY pos)")), ("doc_id", "heading", "CAST(pos AS BIGINT) AS pos", "CAST(coalesce(next_pos - pos, 20) AS BIGINT) AS span"), tables=DOCS),
-    "q_g04_unit_roles": sentences((stage(claim="contains(sentence, 'tion')", evidence=match_re("sentence", "[0-9]"), mechanism="contains(sentence, 'with')", driver="contains(sentence, 'ing')", risk=match_re("sentence", "moron|stupid")), stage(roles="CAST(claim AS INT) + CAST(evidence AS INT) + CAST(mechanism AS INT) + CAST(driver AS INT) + CAST(risk AS INT)")), "claim", "evidence", "mechanism", "driver", "risk", "roles"),
+    "q_g04_unit_roles": sentences((stage(claim="has(sentence, claim)", evidence=match_re("sentence", "[0-9]"), mechanism="has(sentence, mechanism)", driver="has(sentence, driver)", risk="has(sentence, risk)"), stage(roles="CAST(claim AS INT) + CAST(evidence AS INT) + CAST(mechanism AS INT) + CAST(driver AS INT) + CAST(risk AS INT)")), "claim", "evidence", "mechanism", "driver", "risk", "roles"),
     "q_g07_digest_items": Query(POSTS, (*SCORE, stage(where="action <> 'discard'"), stage(note_id=both("substr({0}, 1, 16)", sha256("content")))), ("seq", "note_id", "source", "published", "round(quality, 4) AS quality"), tables=DOCS),
     "q_a04_pack_select": Query("SELECT doc_id, source, text, doc_id % 2 = 0 AS is_v2, doc_id - doc_id % 2 AS card_id FROM documents", (stage(has_v2="max(CASE WHEN is_v2 THEN 1 ELSE 0 END) OVER (PARTITION BY card_id)"), stage(state="CASE WHEN is_v2 THEN 'v2' WHEN has_v2 = 1 THEN 'covered' WHEN length(text) < 80 THEN 'invalid' ELSE 'actionable' END")), final="SELECT source, state, count(*) AS cards FROM t GROUP BY source, state", tables=DOCS),
-    "q_a06_editorial": Query(POSTS, (*SCORE, stage(role="CASE WHEN contains(content, 'icense') THEN 'policy' WHEN contains(content, ' | ') THEN 'financial' WHEN n > 3000 THEN 'strategy' WHEN n > 1000 THEN 'business' ELSE 'brief' END"), stage(budget="CASE role WHEN 'policy' THEN 3 WHEN 'financial' THEN 6 WHEN 'strategy' THEN 4 ELSE 3 END", rk="row_number() OVER (PARTITION BY source, role ORDER BY quality DESC, n, seq)")), ("seq", "source", "role", "CAST(rk AS BIGINT) AS rk"), "rk <= budget", tables=DOCS),
+    "q_a06_editorial": Query(POSTS, (*SCORE, stage(role="CASE WHEN has(content, policy) THEN 'policy' WHEN has(content, finance) THEN 'financial' WHEN has(content, strategy) THEN 'strategy' WHEN has(content, product) OR n > 1000 THEN 'business' ELSE 'brief' END"), stage(budget="CASE role WHEN 'policy' THEN 3 WHEN 'financial' THEN 6 WHEN 'strategy' THEN 4 ELSE 3 END", rk="row_number() OVER (PARTITION BY source, role ORDER BY quality DESC, n, seq)")), ("seq", "source", "role", "CAST(rk AS BIGINT) AS rk"), "rk <= budget", tables=DOCS),
     "q_l03_report_rules": Query(
-        "SELECT doc_id, text FROM documents", (stage(r1=match_re("text", "password=|token ="), r2=match_re("text", "!! [A-Z]"), r3="length(text) < 60", r4=match_re("text", "[|] *[|]")),),
-        final=" UNION ALL ".join(f"SELECT doc_id, '{code}' AS code FROM t WHERE {c}" for c, code in (("r1", "secret_in_text"), ("r2", "shouting"), ("r3", "over_compressed"), ("r4", "empty_cell"))), tables=DOCS,
+        "SELECT doc_id, coalesce(text, '') AS text, lower(coalesce(text, '')) AS low FROM documents",
+        (stage(**{code: (match_re("low", p) if isinstance(p, str) else p[0]) for code, p in REPORT_RULES.items()}),),
+        final=" UNION ALL ".join(f"SELECT doc_id, '{code}' AS code FROM t WHERE {code}" for code in REPORT_RULES), tables=DOCS,
     ),
     "q_r01_assembly": Query(POSTS, (*SCORE, stage(where="action <> 'discard'"), stage(rk="row_number() OVER (PARTITION BY source ORDER BY quality DESC, seq)"), stage(where="rk <= 5")), final=("SELECT source, concat('# ', source, ': ', array_join(transform(array_sort(collect_list(struct(rk, seq))), x -> CAST(x.seq AS STRING)), ', ')) AS section FROM t GROUP BY source", "SELECT source, concat('# ', source, ': ', string_agg(CAST(seq AS VARCHAR), ', ' ORDER BY rk)) AS section FROM t GROUP BY source"), tables=DOCS),
     "q_r06_executive_view": triggered(

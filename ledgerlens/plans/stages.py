@@ -14,6 +14,8 @@ from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.lexicon import expand
+
 Expr = str | tuple[str, str]
 DATES = frozenset({"dt", "latest_gap", "first_touch", "published", "week"})
 
@@ -30,7 +32,7 @@ def last(n: int) -> str:
 
 
 def pick(e: Expr, spark: bool) -> str:
-    chosen = e if isinstance(e, str) else e[0 if spark else 1]
+    chosen = expand(e if isinstance(e, str) else e[0 if spark else 1], spark)
     return chosen.replace("starts_with(", "startswith(") if spark else chosen
 
 
@@ -147,4 +149,4 @@ def _named(sql: str, frames: dict[str, DataFrame]) -> str:
     import re
 
     names = "|".join(sorted(frames, key=len, reverse=True))
-    return re.sub(rf"\b(FROM|JOIN)\s+({names})\b", r"\1 {\2}", sql)
+    return re.sub(rf"\b(FROM|JOIN)\s+({names})\b", r"\1 {\2}", sql.replace("{", "{{").replace("}", "}}"))

@@ -6,15 +6,14 @@ Keyword lists are parameters; the defaults suit the given corpus.
 
 from __future__ import annotations
 
+from ..functions.lexicon import DATA
 from ..functions.text import all_re, both, count_re, first_re, host, match_re, replace_re, sha256
-from .scoring import hits
+from .scoring import RISK, stocks
 from .stages import Query, Stage, stage
 
 DOCS, PAGES = ("documents",), ("pages",)
-DATA = ("[0-9]+[.][0-9]+", "[0-9]{4}", "[%]", "[$]")
-LOGIC = ("tion", "ment", "ung", "aci", "because", "therefore", "that", "with")
-TITLE_WORDS = ("The", "Ing", "Der", "De ")
-THEMES = {"growth": ("tion", "ing "), "risk": ("moron", "stupid", "!!"), "policy": ("icense", "Version"), "table": (" | ",)}
+#: Themes of posts: lists of the lexicon.
+THEMES = {"growth": "driver", "risk": "risk", "policy": "policy", "finance": "finance"}
 
 POSTS = """SELECT doc_id AS seq, source, lang, substr(text, 1, 60) AS title, text AS content,
   (doc_id * 7) % 100 AS likes, (doc_id * 13) % 40 AS comments, (doc_id * 3) % 20 AS reposts,
@@ -27,9 +26,9 @@ FLAGS: tuple[Stage, ...] = (
         n="length(content)",
         interaction="likes + comments + reposts",
         data_kinds=both("(CAST({0} AS INT) + CAST({1} AS INT) + CAST({2} AS INT) + CAST({3} AS INT))", *(match_re("both_texts", p) for p in DATA)),
-        logic_words=hits("both_texts", LOGIC),
-        title_words=hits("title", TITLE_WORDS),
-        key_words=hits("both_texts", TITLE_WORDS),
+        logic_words="terms(both_texts, logic)",
+        title_words="terms(title, title)",
+        key_words="terms(both_texts, signal)",
     ),
 )
 GATE: tuple[Stage, ...] = (
@@ -89,8 +88,8 @@ def pages(stages, *select, where=None, final=None) -> Query:
     return Query(PAGE_ROWS, tuple(stages), ("page_id", *select), where, final, PAGES)
 
 
-def theme(words: tuple[str, ...], column: str = "content") -> str:
-    return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
+def theme(name: str, column: str = "content") -> str:
+    return f"has({column}, {name})"
 
 
 #: Claims of low-credit sources are matched to those of better ones about the same topic in the same language.
@@ -99,7 +98,7 @@ CLAIM_SOURCE = (
     """SELECT doc_id, lang, source, CAST(substr(source, 4) AS INTEGER) AS src, text, CAST(doc_id % 60 AS INTEGER) AS day FROM documents""",
 )
 CLAIMS: tuple[Stage, ...] = (
-    stage(credit="CASE WHEN src % 5 = 0 THEN 90 WHEN src % 5 = 1 THEN 60 WHEN src % 5 = 2 THEN 35 ELSE 20 END", topic="CASE WHEN contains(text, 'icense') THEN 'policy' WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, '@') THEN 'contact' WHEN contains(text, '!!') THEN 'heat' END"),
+    stage(credit="CASE WHEN src % 5 = 0 THEN 90 WHEN src % 5 = 1 THEN 60 WHEN src % 5 = 2 THEN 35 ELSE 20 END", topic="CASE WHEN has(text, policy) THEN 'policy' WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, '@') THEN 'contact' WHEN contains(text, '!!') THEN 'heat' END"),
     stage(where="topic IS NOT NULL AND credit >= 30"),
     stage(claim_tier="CASE WHEN credit >= 80 THEN 'high' WHEN credit >= 55 THEN 'medium' ELSE 'low' END"),
 )
@@ -111,6 +110,9 @@ SELECT c.doc_id, c.topic, coalesce(CASE b.claim_tier WHEN 'high' THEN 'verified'
   CAST(CASE b.claim_tier WHEN 'high' THEN least(100, 70 + floor(b.score / 5)) WHEN 'medium' THEN least(69, 40 + floor(b.score / 5)) ELSE 20 END AS BIGINT) AS confidence, b.source_claim AS verified_by
 FROM t c LEFT JOIN (SELECT * FROM b WHERE rk = 1) b ON c.doc_id = b.doc_id WHERE c.claim_tier = 'low'"""
 
+#: Labels before an amount or a rate.
+LABELS = "(revenue|profit|cash|margin|share|version|page|price|order|umsatz|gewinn|anteil|chiffre|marge|ingresos|precio|mail)"
+
 #: Reports: documents as sections of Markdown with citation marks.
 REPORTS = "SELECT doc_id, text, CAST(doc_id % 5 AS INT) AS body_refs, CAST(doc_id % 7 AS INT) AS table_refs FROM documents"
 
@@ -122,20 +124,20 @@ QUERIES: dict[str, Query] = {
     "q_s23_interactions": Query("SELECT doc_id, concat('likes ', CAST(doc_id * 7 % 100 AS VARCHAR(9)), ' comments ', CAST(doc_id % 30 AS VARCHAR(9)), CASE WHEN doc_id % 3 = 0 THEN '' ELSE ' reposts 4' END) AS line FROM documents", (stage(likes="CAST(nullif(regexp_extract(line, 'likes ([0-9]+)', 1), '') AS INT)", comments="CAST(nullif(regexp_extract(line, 'comments ([0-9]+)', 1), '') AS INT)", reposts="CAST(nullif(regexp_extract(line, 'reposts ([0-9]+)', 1), '') AS INT)"),), ("doc_id", "likes", "comments", "reposts"), tables=DOCS),
     "q_s25_intake_status": Query(POSTS, FLAGS, final="SELECT source, count(*) AS items, CASE WHEN count(*) = 0 THEN 'empty' WHEN sum(interaction) < 1000 THEN 'partial' ELSE 'ok' END AS status FROM t GROUP BY source", tables=DOCS),
     "q_s26_lookback": posts((stage(inside="coalesce(published BETWEEN DATE '2024-06-01' AND DATE '2025-03-01', true)"),), "published", "inside"),
-    "q_s27_category": posts((stage(category="CASE WHEN contains(content, 'icense') THEN 'notice' WHEN contains(content, ' | ') THEN 'table' ELSE 'other' END", low_signal="length(content) < 120"),), "category", "low_signal"),
+    "q_s27_category": posts((stage(category="CASE WHEN has(content, policy) THEN 'notice' WHEN has(content, finance) THEN 'finance' WHEN has(content, event) THEN 'event' WHEN has(content, contact) THEN 'contact' ELSE 'other' END", low_signal="length(content) < 120 OR (terms(content, signal) = 0 AND terms(content, logic) = 0)", stock_reference=match_re("content", "[(][0-9]{6}[)]|[$][A-Z]{1,5}[$]?|[0-9]{6}[.](?:SH|SZ|HK)")),), "category", "low_signal", "stock_reference"),
     "q_s28_jsonp": Query("SELECT event_id, concat('cb(', props, ');') AS payload FROM events", (stage(inner_json=first_re("payload", "^[a-z]+[(](.*)[)];$")), stage(k=("CAST(get_json_object(inner_json, '$.k') AS BIGINT)", "CAST(json_extract_string(inner_json, '$.k') AS BIGINT)"))), ("event_id", "k"), tables=("events",)),
     "q_s30_queries": Query(("SELECT s_suppkey, explode(array(concat(s_name, ' results'), concat(s_name, ' risk'), concat(s_name, ' order'))) AS q FROM supplier", "SELECT s_suppkey, unnest([concat(s_name, ' results'), concat(s_name, ' risk'), concat(s_name, ' order')]) AS q FROM supplier"), (), ("s_suppkey", "q"), tables=("supplier",)),
-    "q_s31_report_choice": posts((stage(year="CAST(2020 + seq % 4 AS INT)", fits="CASE WHEN contains(content, 'icense') THEN 0 ELSE 1 END"), stage(rk="row_number() OVER (PARTITION BY source, year ORDER BY fits, seq)")), "source", "year", where="rk = 1"),
+    "q_s31_report_choice": posts((stage(year="CAST(2020 + seq % 4 AS INT)", fits="CASE WHEN has(content, policy) THEN 0 ELSE 1 END"), stage(rk="row_number() OVER (PARTITION BY source, year ORDER BY fits, seq)")), "source", "year", where="rk = 1"),
     "q_q01_hard_gate": posts(GATE, "gate"),
     "q_q02_rule_score": posts(SCORE, "round(quality, 4) AS quality"),
     "q_q03_action": posts(SCORE, "action"),
     "q_q04_gate_pipeline": Query(POSTS, SCORE, final="SELECT action, count(*) AS items, round(min(quality), 4) AS lowest, round(max(quality), 4) AS highest FROM t GROUP BY action", tables=DOCS),
     "q_q06_featured": posts((*FLAGS, stage(cut="contains(both_texts, '...')"), stage(featured="(cut AND data_kinds > 0 AND logic_words > 0) OR (n >= 80 AND likes + comments > 5)")), "featured"),
     "q_q07_content_score": posts((*FLAGS, stage(score="CAST(CASE WHEN contains(both_texts, '...') THEN 3 ELSE 0 END + CASE WHEN data_kinds > 0 THEN 2 ELSE 0 END + CASE WHEN logic_words > 0 THEN 2 ELSE 0 END + CASE WHEN key_words > 0 THEN 1 ELSE 0 END + CASE WHEN likes + comments > 20 THEN 2 WHEN likes + comments > 10 THEN 1 WHEN likes + comments > 3 THEN 0.5 ELSE 0 END + least(n / 100.0, 3.0) AS DOUBLE)")), "round(score, 4) AS score"),
-    "q_q08_funnel": posts((*SCORE, stage(age=("datediff(DATE '2025-06-01', published)", "datediff('day', published, DATE '2025-06-01')"), ttl="CASE WHEN contains(content, 'icense') THEN 180 WHEN contains(content, ' | ') THEN 90 WHEN n > 2000 THEN 60 ELSE 14 END"), stage(level="CASE WHEN age > 365 OR age < 0 THEN 'L1_old' WHEN quality < 30 THEN 'L2_poor' WHEN age > ttl THEN 'L3_expired' ELSE 'kept' END")), "CAST(age AS INT) AS age", "ttl", "level"),
+    "q_q08_funnel": posts((*SCORE, stage(age=("datediff(DATE '2025-06-01', published)", "datediff('day', published, DATE '2025-06-01')"), ttl="CASE WHEN has(content, policy) THEN 180 WHEN contains(content, ' | ') THEN 90 WHEN n > 2000 THEN 60 ELSE 14 END"), stage(level="CASE WHEN age > 365 OR age < 0 THEN 'L1_old' WHEN quality < 30 THEN 'L2_poor' WHEN age > ttl THEN 'L3_expired' ELSE 'kept' END")), "CAST(age AS INT) AS age", "ttl", "level"),
     "q_q09_web_score": posts((*FLAGS, stage(relevance="least(25, title_words * 10 + logic_words * 2)", credibility="CAST(substr(source, 4) AS INT) % 26", evidence="least(20, data_kinds * 5)", substance="least(20, CAST(floor(n / 100) AS INT))", engagement="least(10, CAST(floor(interaction / 10) AS INT))"), stage(total="relevance + credibility + evidence + substance + engagement"), stage(verdict="CASE WHEN credibility >= 13 THEN CASE WHEN total >= 60 THEN 'keep' WHEN total >= 35 THEN 'demote' ELSE 'drop' END ELSE CASE WHEN total >= 50 THEN 'keep' WHEN total >= 30 THEN 'demote' ELSE 'drop' END END")), "CAST(total AS INT) AS total", "verdict"),
     "q_q10_portal_page": pages((*STRIP, stage(links=count_re("html", "<a "), blocks=count_re("html", "<p>"), title=first_re("html", "<title>([^<]*)")), stage(portal="(CASE WHEN links > 0.5 * greatest(blocks, 1) THEN 1 ELSE 0 END + CASE WHEN length(plain) / greatest(blocks, 1) < 40 THEN 1 ELSE 0 END + CASE WHEN contains(html, '<nav>') AND contains(html, '<footer>') THEN 1 ELSE 0 END + CASE WHEN length(title) < 8 THEN 1 ELSE 0 END) >= 2")), "portal"),
-    "q_q11_topics": posts((stage(**{f"is_{k}": theme(w) for k, w in THEMES.items()}), stage(topics="concat_ws(',', CASE WHEN is_growth THEN 'growth' END, CASE WHEN is_risk THEN 'risk' END, CASE WHEN is_policy THEN 'policy' END, CASE WHEN is_table THEN 'table' END)")), "CASE WHEN topics = '' THEN 'sentiment_only' ELSE topics END AS topics"),
+    "q_q11_topics": posts((stage(**{f"is_{k}": theme(w) for k, w in THEMES.items()}), stage(topics="concat_ws(',', CASE WHEN is_growth THEN 'growth' END, CASE WHEN is_risk THEN 'risk' END, CASE WHEN is_policy THEN 'policy' END, CASE WHEN is_finance THEN 'finance' END)")), "CASE WHEN topics = '' THEN 'sentiment_only' ELSE topics END AS topics"),
     "q_q13_attempts": Query(POSTS, (*FLAGS, stage(h=sha256("content")), stage(dup="row_number() OVER (PARTITION BY h ORDER BY seq)"), stage(drop_reason="CASE WHEN n < 80 THEN 'too_short' WHEN dup > 1 THEN 'duplicate' WHEN interaction < 5 THEN 'no_interaction' END")), final="SELECT source, count(*) AS attempts, count(drop_reason) AS dropped, count(drop_reason) > 0.4 * count(*) AS refill FROM t GROUP BY source", tables=DOCS),
     "q_q14_triage": posts((*FLAGS, stage(h=sha256("content")), stage(dup="row_number() OVER (PARTITION BY h ORDER BY seq)"), stage(triage="CASE WHEN dup > 1 THEN 'duplicate' WHEN n < 100 THEN 'drop' WHEN contains(content, ' | ') THEN 'product_signal' ELSE 'keep' END", triage_score="CAST(least(80, logic_words * 8 + data_kinds * 10) AS INT)")), "triage", "triage_score"),
     "q_q16_research_select": posts((*FLAGS, stage(uid="seq % 400", rank_score="logic_words + data_kinds"), stage(best="row_number() OVER (PARTITION BY uid ORDER BY rank_score DESC, seq)"), stage(where="best = 1"), stage(recent=("datediff(DATE '2025-06-01', published) BETWEEN 0 AND 90", "datediff('day', published, DATE '2025-06-01') BETWEEN 0 AND 90"), wide=("datediff(DATE '2025-06-01', published) BETWEEN 0 AND 180", "datediff('day', published, DATE '2025-06-01') BETWEEN 0 AND 180")), stage(n_recent="count(CASE WHEN recent THEN 1 END) OVER (PARTITION BY source)"), stage(where="CASE WHEN n_recent >= 3 THEN recent ELSE wide END"), stage(rk="row_number() OVER (PARTITION BY source ORDER BY published DESC, rank_score DESC, seq)")), "source", "published", "CAST(rank_score AS INT) AS rank_score", where="rk <= 5"),
@@ -150,55 +152,110 @@ QUERIES: dict[str, Query] = {
     "q_d15_note_identity": pages((*CANONICAL, stage(note_id=both("CASE WHEN canonical IS NOT NULL THEN concat('url:', regexp_replace(domain || path, '[.](html|htm|php)$', '')) ELSE concat('sha:', {0}) END", sha256("html")))), "note_id"),
     "q_d16_claim_status": pages(CREDIT, "claim_tier"),
     "q_d17_union": Query("SELECT 'doc' AS origin, doc_id AS id, source AS platform, substr(text, 1, 60) AS title FROM documents UNION ALL SELECT 'page', page_id, 'web', url FROM pages UNION ALL SELECT 'chat', conv_id * 1000 + turn, role, substr(text, 1, 60) FROM conversations", (), ("origin", "id", "platform", "title"), tables=("documents", "pages", "conversations")),
-    "q_d18_viewpoint_dedupe": posts((*SCORE, stage(cluster_no="CASE WHEN contains(content, 'icense') THEN 1 WHEN contains(content, ' | ') THEN 2 WHEN n > 2000 THEN 3 ELSE 4 END"), stage(rk="row_number() OVER (PARTITION BY source, lang, cluster_no ORDER BY quality DESC, n DESC, seq)")), "source", "lang", "cluster_no", "round(quality, 4) AS quality", where="rk = 1"),
+    "q_d18_viewpoint_dedupe": posts((*SCORE, stage(cluster_no="CASE WHEN has(content, policy) THEN 1 WHEN contains(content, ' | ') THEN 2 WHEN n > 2000 THEN 3 ELSE 4 END"), stage(rk="row_number() OVER (PARTITION BY source, lang, cluster_no ORDER BY quality DESC, n DESC, seq)")), "source", "lang", "cluster_no", "round(quality, 4) AS quality", where="rk = 1"),
     "q_c01_claim_id": on_sentences((stage(claim_id=both("substr({0}, 1, 12)", sha256("concat_ws('|', source, sentence)"))),), "claim_id"),
     "q_c02_claim_merge": Query(SENTENCES, (stage(norm=replace_re("lower(sentence)", "[^a-z0-9]+", "")), stage(where="length(norm) >= 12"), stage(norm_key=sha256("norm"))), final="SELECT norm_key, count(*) AS mentions, count(DISTINCT source) AS sources, max(tier_no) AS best_tier, min(doc_id) AS first_doc FROM t GROUP BY norm_key HAVING count(*) > 1", tables=DOCS),
-    "q_c04_topic": on_sentences((stage(topic="CASE WHEN contains(sentence, 'icense') THEN 'policy' WHEN contains(sentence, '|') THEN 'table' WHEN contains(sentence, '@') THEN 'contact' WHEN tier_no = 0 THEN 'official' ELSE 'general' END"),), "topic", where="topic <> 'general'"),
+    "q_c04_topic": on_sentences((stage(topic="CASE WHEN has(sentence, policy) THEN 'policy' WHEN contains(sentence, '|') THEN 'table' WHEN contains(sentence, '@') THEN 'contact' WHEN tier_no = 0 THEN 'official' ELSE 'general' END"),), "topic", where="topic <> 'general'"),
     "q_c05_credit_tier": Query(CLAIM_SOURCE, CLAIMS, ("doc_id", "credit", "claim_tier"), "claim_tier <> 'low'", tables=DOCS),
     "q_c07_verify": Query(CLAIM_SOURCE, CLAIMS, final=VERIFY, tables=DOCS),
-    "q_c09_risk_signals": on_sentences((stage(signal=both("CASE WHEN {0} AND NOT {1} THEN 'abuse' WHEN {2} THEN 'leak' WHEN {3} THEN 'licence_limit' END", match_re("sentence", "stupid|moron|clown|disgusting"), match_re("sentence", "not (stupid|moron)"), match_re("sentence", "password=|token ="), match_re("sentence", "BY-NC"))),), "signal", where="signal IS NOT NULL"),
-    "q_n01_news_relevance": posts((*FLAGS, stage(chain="CASE WHEN contains(content, 'icense') THEN 'licence' WHEN contains(content, '@') THEN 'contact' END", support="least(1.0, logic_words / 4.0)"), stage(relevance="CAST(CASE WHEN title_words > 1 THEN 0.95 WHEN chain IS NOT NULL THEN 0.25 + 0.35 * support + CASE WHEN data_kinds > 1 THEN 0.20 ELSE 0.08 END WHEN logic_words > 0 THEN 0.25 ELSE 0 END AS DOUBLE)")), "chain", "round(relevance, 6) AS relevance"),
-    "q_n02_manifest": posts((stage(chain="CASE WHEN contains(content, 'icense') THEN 'licence' WHEN contains(content, '@') THEN 'contact' END"), stage(where="chain IS NOT NULL"), stage(rk="row_number() OVER (PARTITION BY source, chain ORDER BY seq)")), "source", "chain", where="rk = 1"),
-    "q_n03_direct_relevance": posts((stage(direct="CASE WHEN source = 'src0' THEN 'platform' WHEN contains(content, ' | ') THEN 'product' WHEN contains(content, '@') THEN 'peer' WHEN contains(title, 'The') THEN 'name' ELSE 'none' END"),), "direct"),
+    "q_c09_risk_signals": on_sentences((stage(signal=both("CASE WHEN has(sentence, abuse) AND NOT has(sentence, not_abuse) THEN 'abuse' WHEN has(sentence, secret) THEN 'leak' WHEN {0} THEN 'licence_limit' WHEN has(sentence, risk) AND NOT has(sentence, abuse) THEN 'loss' WHEN has(sentence, qualified_opinion) AND NOT has(sentence, clean_opinion) THEN 'audit' END", match_re("sentence", "BY-NC"))),), "signal", where="signal IS NOT NULL"),
+    "q_n01_news_relevance": posts((*FLAGS, stage(chain="CASE WHEN has(content, policy) THEN 'licence' WHEN contains(content, '@') THEN 'contact' END", support="least(1.0, logic_words / 4.0)"), stage(relevance="CAST(CASE WHEN title_words > 1 THEN 0.95 WHEN chain IS NOT NULL THEN 0.25 + 0.35 * support + CASE WHEN data_kinds > 1 THEN 0.20 ELSE 0.08 END WHEN logic_words > 0 THEN 0.25 ELSE 0 END AS DOUBLE)")), "chain", "round(relevance, 6) AS relevance"),
+    "q_n02_manifest": posts((stage(chain="CASE WHEN has(content, policy) THEN 'licence' WHEN contains(content, '@') THEN 'contact' END"), stage(where="chain IS NOT NULL"), stage(rk="row_number() OVER (PARTITION BY source, chain ORDER BY seq)")), "source", "chain", where="rk = 1"),
+    "q_n03_direct_relevance": posts((stage(direct="CASE WHEN has(title, product) OR has(title, finance) THEN 'title' WHEN has(content, product) THEN 'product' WHEN has(content, peer) THEN 'peer' WHEN has(content, own) THEN 'name' ELSE 'none' END"),), "direct"),
     "q_n04_theme_budget": Query(
         POSTS, (stage(**{f"is_{k}": theme(w) for k, w in THEMES.items()}), ),
         final=" UNION ALL ".join(f"SELECT source, '{k}' AS theme, count(*) AS items, min(seq) AS first_ref, max(seq) AS last_ref FROM t WHERE is_{k} GROUP BY source" for k in THEMES), tables=DOCS,
     ),
     "q_n05_evidence_profile": Query(POSTS, SCORE, final="SELECT source, count(CASE WHEN action = 'keep' THEN 1 END) AS formal, count(DISTINCT lang) AS langs, CASE WHEN count(CASE WHEN action = 'keep' THEN 1 END) >= 20 THEN 'formal_rich' WHEN count(CASE WHEN action <> 'discard' THEN 1 END) >= 10 THEN 'medium' WHEN count(*) >= 40 THEN 'thin_external_rich' ELSE 'thin_all' END AS profile FROM t GROUP BY source", tables=DOCS),
     "q_n06_freshness": Query(POSTS, (stage(age=("datediff(DATE '2025-06-01', published)", "datediff('day', published, DATE '2025-06-01')")),), final="SELECT source, CAST(max(published) AS VARCHAR(10)) AS latest, CASE WHEN max(CASE WHEN age BETWEEN 0 AND 120 THEN 1 ELSE 0 END) = 1 THEN 'fresh' WHEN min(age) < 0 THEN 'unknown' ELSE 'stale' END AS freshness FROM t GROUP BY source", tables=DOCS),
-    "q_n07_topic_families": on_sentences((stage(families=hits("sentence", ("tion", "icense", "@", " | "))),), "families", where="families > 1"),
+    "q_n07_topic_families": on_sentences((stage(families="CAST(has(sentence, driver) AS INT) + CAST(has(sentence, policy) AS INT) + CAST(has(sentence, contact) AS INT) + CAST(has(sentence, finance) AS INT)"),), "families", where="families > 1"),
     "q_e01_blocks": Query(
         ("SELECT doc_id, pos, block FROM (SELECT doc_id, posexplode(split(text, '\n')) AS (pos, block) FROM documents) x WHERE trim(block) <> ''", "SELECT doc_id, pos, block FROM (SELECT doc_id, unnest(range(len(p))) AS pos, unnest(p) AS block FROM (SELECT doc_id, string_split(text, '\n') AS p FROM documents) y) x WHERE trim(block) <> ''"),
         (stage(block_hash=sha256("block"), noise="length(block) < 20 OR contains(block, '!!')"),), ("doc_id", "CAST(pos AS BIGINT) AS pos", "block_hash", "noise"), tables=DOCS,
     ),
     "q_e02_units": on_sentences((stage(chars="length(sentence)"), stage(start_at="coalesce(sum(chars) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)", admission="CASE WHEN chars > 400 THEN 'too_long' WHEN contains(sentence, '!!') THEN 'noise' ELSE 'admitted' END")), "CAST(start_at AS BIGINT) AS start_at", "CAST(chars AS BIGINT) AS chars", "admission"),
-    "q_e03_scope": on_sentences((stage(named="CASE WHEN contains(sentence, 'The') THEN 'target' WHEN contains(sentence, 'Der') OR contains(sentence, 'De') THEN 'peer' END"), stage(owner=("first_value(named) IGNORE NULLS OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)", "first_value(named IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")), stage(scope="CASE WHEN named IS NOT NULL THEN concat('explicit_', named) WHEN contains(sentence, 'tion') THEN 'industry' WHEN owner = 'peer' THEN 'block_peer' WHEN owner = 'target' THEN 'document_target' ELSE 'ambiguous' END")), "scope"),
+    "q_e03_scope": on_sentences((stage(named="CASE WHEN has(sentence, peer) THEN 'peer' WHEN has(sentence, own) THEN 'target' END"), stage(owner=("first_value(named) IGNORE NULLS OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)", "first_value(named IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")), stage(scope="CASE WHEN named IS NOT NULL THEN concat('explicit_', named) WHEN has(sentence, driver) THEN 'industry' WHEN owner = 'peer' THEN 'block_peer' WHEN owner = 'target' THEN 'document_target' ELSE 'ambiguous' END")), "scope"),
     "q_e04_argument_cards": Query(
         SENTENCES,
-        (stage(family="CASE WHEN contains(sentence, 'tion') THEN 'driver' WHEN contains(sentence, 'ing') THEN 'event' ELSE 'other' END"), stage(_new="CASE WHEN family = lag(family) OVER (PARTITION BY doc_id ORDER BY pos) THEN 0 ELSE 1 END"), stage(run="CAST(sum(_new) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT)")),
+        (stage(family="CASE WHEN has(sentence, driver) THEN 'driver' WHEN has(sentence, event) THEN 'event' ELSE 'other' END"), stage(_new="CASE WHEN family = lag(family) OVER (PARTITION BY doc_id ORDER BY pos) THEN 0 ELSE 1 END"), stage(run="CAST(sum(_new) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT)")),
         final="SELECT doc_id, run, min(family) AS family, count(*) AS units, CAST(min(pos) AS BIGINT) AS first_pos, CAST(max(pos) AS BIGINT) AS last_pos FROM t GROUP BY doc_id, run", tables=DOCS,
     ),
     "q_e07_narrative_plan": Query(
-        SENTENCES, (stage(topic="CASE WHEN contains(sentence, 'icense') THEN 1 WHEN contains(sentence, '@') THEN 2 ELSE 3 END"),),
+        SENTENCES, (stage(topic="CASE WHEN has(sentence, policy) THEN 1 WHEN contains(sentence, '@') THEN 2 ELSE 3 END"),),
         final=("SELECT doc_id, topic, array_join(transform(array_sort(collect_list(pos)), x -> CAST(x AS STRING)), ',') AS plan FROM t WHERE topic < 3 GROUP BY doc_id, topic", "SELECT doc_id, topic, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS plan FROM t WHERE topic < 3 GROUP BY doc_id, topic"), tables=DOCS,
     ),
-    "q_e08_citation_lint": on_sentences((stage(strong=match_re("sentence", "[Cc]onfirm|proven|tionwh"), low_credit="tier_no IN (2, 3)"), stage(violation="strong AND low_credit")), "violation", where="violation"),
+    "q_e08_citation_lint": on_sentences((stage(strong="has(sentence, strong)", low_credit="tier_no IN (2, 3)"), stage(violation="strong AND low_credit")), "violation", where="violation"),
     "q_x01_clean": Query("SELECT doc_id, text FROM documents", (stage(c=replace_re("text", r"\[[0-9]+\]", "")), stage(c=("regexp_replace(c, '([0-9]) +%', '$1%')", "regexp_replace(c, '([0-9]) +%', '\\1%', 'g')")), stage(clean_sha=sha256("c"))), ("doc_id", "clean_sha", "CAST(length(c) AS BIGINT) AS clean_chars"), tables=DOCS),
-    "q_x02_report_type": Query("SELECT doc_id, substr(text, 1, 5000) AS head FROM documents", (stage(report_type="CASE WHEN contains(head, 'License') THEN 'licensed' WHEN contains(head, ' | ') THEN 'table' WHEN contains(head, '!!') THEN 'bulletin' ELSE 'narrative' END", opinion=both("CASE WHEN {0} THEN 'qualified' ELSE 'none' END", match_re("head", "[Vv]ersion [0-9]"))),), ("doc_id", "report_type", "opinion"), tables=DOCS),
-    "q_x04_sentence_rank": on_sentences((stage(score=hits("sentence", ("tion", "ing", "icense", "@")), prefix="substr(sentence, 1, 60)"), stage(where="score > 0"), stage(dup="row_number() OVER (PARTITION BY doc_id, prefix ORDER BY score DESC, pos)"), stage(where="dup = 1"), stage(rk="row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos)")), "score", "CAST(rk AS BIGINT) AS rk", where="rk <= 5"),
-    "q_x21_labelled_amount": on_sentences((stage(raw=first_re("sentence", "(?:password|token|Version|version) ?=? ?([0-9]+[.]?[0-9]*)")), stage(amount=("try_cast(nullif(raw, '') AS DOUBLE)", "try_cast(nullif(raw, '') AS DOUBLE)"))), "amount", where="amount IS NOT NULL"),
-    "q_x20_coverage": Query(SENTENCES, (stage(section="CAST(floor(pos / 5) AS BIGINT)", prio="length(sentence) > 60", chosen="contains(sentence, 'tion')"),), final="SELECT doc_id, section, count(*) AS extracted, count(CASE WHEN prio THEN 1 END) AS prioritised, count(CASE WHEN prio AND chosen THEN 1 END) AS selected FROM t GROUP BY doc_id, section", tables=DOCS),
+    "q_x02_report_type": Query(
+        "SELECT doc_id, text, substr(text, 1, 5000) AS head FROM documents",
+        (
+            stage(
+                report_type="CASE WHEN has(head, annual_report) THEN 'annual' WHEN has(head, half_report) THEN 'half_year' WHEN has(head, quarter_report) THEN 'quarterly' WHEN has(head, policy) THEN 'notice' ELSE 'unknown' END",
+                opinion="CASE WHEN has(text, clean_opinion) AND NOT has(text, qualified_opinion) THEN 'unqualified' WHEN has(text, qualified_opinion) THEN 'qualified' ELSE 'none' END",
+            ),
+        ),
+        ("doc_id", "report_type", "opinion"), tables=DOCS,
+    ),
+    "q_x04_sentence_rank": on_sentences((stage(score="terms(sentence, signal) + CAST(has(sentence, contact) AS INT) + CAST(has(sentence, risk) AS INT)", prefix="substr(sentence, 1, 60)"), stage(where="score > 0"), stage(dup="row_number() OVER (PARTITION BY doc_id, prefix ORDER BY score DESC, pos)"), stage(where="dup = 1"), stage(rk="row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos)")), "score", "CAST(rk AS BIGINT) AS rk", where="rk <= 5"),
+    "q_x21_labelled_amount": on_sentences(
+        (
+            stage(label=first_re("lower(sentence)", LABELS), raw=first_re("lower(sentence)", LABELS + "[^0-9]{0,20}([0-9]+(?:[.,][0-9]+)*)", 2), unit=first_re("lower(sentence)", LABELS + "[^0-9]{0,20}[0-9]+(?:[.,][0-9]+)* ?(%|million|mio|billion|mrd|milliard|thousand|tsd)?", 2)),
+            stage(amount="try_cast(nullif(replace(raw, ',', ''), '') AS DOUBLE) * CASE unit WHEN 'million' THEN 1000000 WHEN 'mio' THEN 1000000 WHEN 'billion' THEN 1000000000 WHEN 'mrd' THEN 1000000000 WHEN 'milliard' THEN 1000000000 WHEN 'thousand' THEN 1000 WHEN 'tsd' THEN 1000 ELSE 1 END", kind="CASE WHEN unit = '%' THEN 'rate' ELSE 'amount' END"),
+        ),
+        "label", "kind", "amount", where="amount IS NOT NULL",
+    ),
+    "q_x20_coverage": Query(SENTENCES, (stage(section="CAST(floor(pos / 5) AS BIGINT)", prio="length(sentence) > 60", chosen="has(sentence, driver)"),), final="SELECT doc_id, section, count(*) AS extracted, count(CASE WHEN prio THEN 1 END) AS prioritised, count(CASE WHEN prio AND chosen THEN 1 END) AS selected FROM t GROUP BY doc_id, section", tables=DOCS),
     "q_g01_length_class": posts((stage(n="length(content)"), stage(length_class="CASE WHEN n <= 1500 THEN 'short' WHEN n <= 6000 THEN 'medium' ELSE 'long' END"), stage(cards="CASE length_class WHEN 'short' THEN 3 WHEN 'medium' THEN 5 ELSE 8 END")), "length_class", "cards"),
-    "q_g03_candidate_score": on_sentences((stage(signal=hits("sentence", ("tion", "ing", "ment", "ung")), noise=count_re("sentence", "[!#$%&*|]")), stage(score="CAST(least(60, signal * 15) + CASE WHEN length(sentence) > 80 THEN 12 ELSE 4 END + 8 - least(40, noise * 2) AS INT)"), stage(severe="noise >= 20")), "score", "severe"),
-    "q_g05_driver_score": on_sentences((stage(clusters=hits("sentence", ("tion", "icense", "@")), terms=hits("sentence", ("the", "der", "que", "de"))), stage(driver_score="3 * clusters + 2 * terms")), "CAST(driver_score AS INT) AS driver_score", where="clusters > 0"),
+    "q_g03_candidate_score": on_sentences((stage(signal="terms(sentence, signal)", noise=count_re("sentence", "[!#$%&*|]")), stage(score="CAST(least(60, signal * 15) + CASE WHEN length(sentence) > 80 THEN 12 ELSE 4 END + 8 - least(40, noise * 2) AS INT)"), stage(severe="noise >= 20")), "score", "severe"),
+    "q_g05_driver_score": on_sentences((stage(clusters="CAST(has(sentence, driver) AS INT) + CAST(has(sentence, policy) AS INT) + CAST(has(sentence, event) AS INT)", words_found="terms(sentence, driver) + terms(sentence, policy) + terms(sentence, event)"), stage(driver_score="3 * clusters + 2 * words_found")), "CAST(driver_score AS INT) AS driver_score", where="clusters > 0"),
     "q_a02_card_errors": on_sentences((stage(errors="concat_ws(',', CASE WHEN length(sentence) > 500 THEN 'too_long' END, CASE WHEN contains(sentence, '!!') THEN 'noise' END, CASE WHEN contains(sentence, '|') THEN 'table_fragment' END)"),), "errors", where="errors <> ''"),
-    "q_a03_excerpt_score": on_sentences((stage(score="CAST(least(10, greatest(0, 5 + CASE WHEN contains(sentence, 'tion') THEN 1 ELSE 0 END + CASE WHEN length(sentence) > 120 THEN 1 ELSE 0 END - CASE WHEN contains(sentence, '!!') THEN 3 ELSE 0 END - CASE WHEN length(sentence) < 40 THEN 1 ELSE 0 END)) AS INT)"),), "score"),
+    "q_a03_excerpt_score": on_sentences((stage(score="CAST(least(10, greatest(0, 5 + CASE WHEN has(sentence, driver) THEN 1 ELSE 0 END + CASE WHEN length(sentence) > 120 THEN 1 ELSE 0 END - CASE WHEN contains(sentence, '!!') THEN 3 ELSE 0 END - CASE WHEN length(sentence) < 40 THEN 1 ELSE 0 END)) AS INT)"),), "score"),
     "q_a05_snapshot_refs": posts((*SCORE, stage(where="action <> 'discard'"), stage(ref="dense_rank() OVER (PARTITION BY source ORDER BY seq)")), "source", "CAST(ref AS BIGINT) AS ref", "action"),
     "q_a07_incremental": Query(POSTS, (stage(anchor=first_re("content", "(mail[0-9])"), owner="CAST(substr(source, 4) AS INT) % 2 = 0"), stage(where="anchor <> ''")), final="SELECT e.seq, e.anchor FROM t e LEFT JOIN (SELECT DISTINCT anchor FROM t WHERE owner) o ON e.anchor = o.anchor WHERE NOT e.owner AND o.anchor IS NULL", tables=DOCS),
-    "q_l01_citations": Query(("SELECT doc_id, sequence(1, 1 + CAST(doc_id % 5 AS INT)) AS b, sequence(1, 1 + CAST(doc_id % 7 AS INT)) AS c FROM documents", "SELECT doc_id, range(1, 2 + CAST(doc_id % 5 AS INTEGER)) AS b, range(1, 2 + CAST(doc_id % 7 AS INTEGER)) AS c FROM documents"), (stage(missing=("size(array_except(b, c))", "len(list_filter(b, lambda x: NOT list_contains(c, x)))"), unused=("size(array_except(c, b))", "len(list_filter(c, lambda x: NOT list_contains(b, x)))")), stage(issue="CASE WHEN missing > 0 THEN 'global_citation_missing_refs' WHEN unused > 0 THEN 'global_citation_unused_refs' END")), ("doc_id", "CAST(missing AS BIGINT) AS missing", "CAST(unused AS BIGINT) AS unused", "issue"), tables=DOCS),
-    "q_l02_contradictions": Query("SELECT doc_id, (doc_id * 17) % 100 AS health, ((doc_id * 31) % 100) / 10.0 AS total, text FROM documents", (stage(issue="CASE WHEN health < 45 AND total >= 7.5 THEN 'health_total_conflict' WHEN health < 30 AND total >= 8 THEN 'weak_trend_high_total' WHEN contains(text, 'N/A%') THEN 'na_percent' END"),), ("doc_id", "issue"), "issue IS NOT NULL", tables=DOCS),
-    "q_l04_prose": on_sentences((stage(issue="CASE WHEN length(sentence) > 300 THEN 'long_sentence' WHEN contains(sentence, '!!') THEN 'strong_assertion' END"),), "issue", where="issue IS NOT NULL"),
-    "q_l05_source_boundary": on_sentences((stage(bad=match_re("sentence", "password=|AKIA|token =")),), "bad", where="bad AND pos > 0"),
-    "q_l06_citation_marks": Query("SELECT doc_id, concat(substr(text, 1, 40), ' [', CAST(doc_id % 9 AS VARCHAR(3)), '] [^x] [^3]') AS line FROM documents", (stage(line=replace_re("line", r"\[\^[a-z]+\]", "")), stage(line=(r"regexp_replace(line, r'\[([0-9]+)\]', '[^$1]')", r"regexp_replace(line, '\[([0-9]+)\]', '[^\1]', 'g')"))), ("doc_id", "line"), tables=DOCS, replaces=("line",)),
+    "q_l01_citations": Query(
+        "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+        (
+            # the table of sources is what follows a line that names it; marks before it are the body's
+            stage(cut=("regexp_instr(lower(text), r'\n#* *(?:references|sources|quellen|fuentes)')", "CASE WHEN regexp_matches(lower(text), '\n#* *(?:references|sources|quellen|fuentes)') THEN length(regexp_extract(lower(text), '^(?s:(.*?))\n#* *(?:references|sources|quellen|fuentes)', 1)) + 1 ELSE 0 END")),
+            stage(body="CASE WHEN cut > 0 THEN substr(text, 1, cut - 1) ELSE text END", sources="CASE WHEN cut > 0 THEN substr(text, cut) ELSE '' END"),
+            stage(b=all_re("body", "\\[\\^?([0-9]+)\\]", 1), c=all_re("sources", "\\[\\^?([0-9]+)\\]", 1)),
+            stage(missing=("size(array_except(b, c))", "len(list_filter(list_distinct(b), lambda x: NOT list_contains(c, x)))"), unused=("size(array_except(c, b))", "len(list_filter(list_distinct(c), lambda x: NOT list_contains(b, x)))")),
+            stage(issue="CASE WHEN missing > 0 THEN 'global_citation_missing_refs' WHEN unused > 0 THEN 'global_citation_unused_refs' END"),
+        ),
+        ("doc_id", "CAST(missing AS BIGINT) AS missing", "CAST(unused AS BIGINT) AS unused", "issue"), tables=DOCS,
+    ),
+    "q_l02_contradictions": stocks(
+        (
+            *RISK,
+            stage(weak="trend_stage IN ('broken', 'weakening', 'near_break')", wants="final_label IN ('strong_buy', 'buy')"),
+            stage(
+                issues="""concat_ws(',', CASE WHEN weak AND total_score >= 8 THEN 'contradiction_weak_trend_high_total_score' END,
+ CASE WHEN weak AND technical_score >= 8 THEN 'contradiction_weak_trend_high_technical_score' END,
+ CASE WHEN health < 45 AND total_score >= 7.5 THEN 'contradiction_low_trend_health_high_total_score' END,
+ CASE WHEN weak AND wants THEN 'contradiction_weak_trend_strong_recommendation' END,
+ CASE WHEN wants AND constraint_code IN ('wait_for_entry', 'severe_technical') THEN 'contradiction_blocked_entry_strong_recommendation' END,
+ CASE WHEN ev IS NULL THEN 'ev_na_percent' END, CASE WHEN wants AND risk_band IN ('high', 'very_high') THEN 'risk_position_label_mismatch' END)"""
+            ),
+        ),
+        "issues",
+    ),
+    "q_l04_prose": on_sentences(
+        (
+            stage(norm=replace_re("lower(sentence)", "[^a-z0-9äöüßéèàçñ]+", " ")),
+            stage(again="count(*) OVER (PARTITION BY doc_id, norm)", moves="sum(CASE WHEN has(sentence, logic) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id)", all_units="count(*) OVER (PARTITION BY doc_id)"),
+            stage(issue="concat_ws(',', CASE WHEN length(sentence) > 300 THEN 'long_sentence' END, CASE WHEN again >= 3 THEN 'repeated_theme' END, CASE WHEN has(sentence, strong) THEN 'strong_assertion' END, CASE WHEN has(sentence, logic) AND moves >= 3 AND moves * 2 > all_units THEN 'transitions' END)"),
+        ),
+        "issue", where="issue <> ''",
+    ),
+    "q_l05_source_boundary": on_sentences((stage(bad="has(sentence, secret)"),), "bad", where="bad AND pos > 0"),
+    "q_l06_citation_marks": Query(
+        "SELECT doc_id, coalesce(text, '') AS line FROM documents",
+        (
+            stage(line=replace_re("line", r"\[\^[A-Za-z]+\]", "")),
+            stage(line=(r"regexp_replace(line, r'\[([0-9]+)\]', '[^$1]')", r"regexp_replace(line, '\[([0-9]+)\]', '[^\1]', 'g')")),
+            stage(line_sha=sha256("line"), marks=count_re("line", r"\[\^[0-9]+\]")),
+        ),
+        ("doc_id", "line_sha", "CAST(marks AS BIGINT) AS marks"), tables=DOCS, replaces=("line",),
+    ),
     "q_r07_period_filter": posts((stage(y="year(published)", q="quarter(published)"), stage(where="y = 2024 AND q = 3")), "published"),
 }
