@@ -9,7 +9,7 @@ from ..sources.tables import BARS, FRIDAY
 from .market import judged, triggered
 from .scoring import hits
 from .stages import Query, Stage, stage
-from .texts import CANONICAL, CLAIM_SOURCE, CLAIMS, DOCS, PAGE_ROWS, PAGES, POSTS, SCORE, SENTENCES, STRIP, VERIFY
+from .texts import CANONICAL, CLAIM_SOURCE, CLAIMS, DOCS, PAGE_ROWS, PAGES, POSTS, SCORE, SCORED, SENTENCES
 
 LINES = (
     "SELECT doc_id, source, pos, trim(line) AS line FROM (SELECT doc_id, source, posexplode(split(text, '\n')) AS (pos, line) FROM documents) x",
@@ -26,26 +26,6 @@ def sentences(stages, *select: str, where=None, final=None) -> Query:
     return Query(SENTENCES, tuple(stages), ("doc_id", "CAST(pos AS BIGINT) AS pos", *select), where, final, DOCS)
 
 
-#: Sets of words; two sets with a Jaccard similarity of 0.85 share one of the first n - ceil(0.85 n) + 1 words in any fixed order.
-def near_cards(spark: bool) -> str:
-    src = SENTENCES[0 if spark else 1]
-    if spark:
-        toks = "array_sort(array_distinct(split(lower(sentence), ' +')))"
-        pre = "slice(w, 1, CAST(size(w) - ceil(0.85 * size(w)) + 1 AS INT))"
-        ex, n, both_ = "explode", "size", "size(array_intersect(a.w, b.w))"
-    else:
-        toks = "list_sort(list_distinct(regexp_split_to_array(lower(sentence), ' +')))"
-        pre = "list_slice(w, 1, CAST(len(w) - ceil(0.85 * len(w)) + 1 AS INTEGER))"
-        ex, n, both_ = "unnest", "len", "len(list_intersect(a.w, b.w))"
-    return f"""
-WITH u AS (SELECT doc_id, pos, {toks} AS w FROM ({src}) q),
-c AS (SELECT doc_id, pos, w, {n}(w) AS n FROM u WHERE {n}(w) >= 4),
-p AS (SELECT doc_id, pos, {ex}({pre}) AS word FROM c),
-j AS (SELECT DISTINCT a.doc_id, a.pos AS first_pos, b.pos AS pos FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.word = b.word AND a.pos < b.pos),
-s AS (SELECT j.doc_id, j.first_pos, j.pos, {both_} AS common, a.n AS na, b.n AS nb FROM j JOIN c a ON a.doc_id = j.doc_id AND a.pos = j.first_pos JOIN c b ON b.doc_id = j.doc_id AND b.pos = j.pos)
-SELECT doc_id, pos, min(first_pos) AS kept_pos FROM s WHERE common >= 0.85 * (na + nb - common) GROUP BY doc_id, pos"""
-
-
 #: Checks of a report's text: a pattern over its lower-cased text, or a condition in a tuple.
 REPORT_RULES: dict[str, str | tuple[str]] = {
     "malformed_citation_marker": "\\[\\^[a-z]+\\]|\\[\\^\\]|\\[[0-9]+,\\]",
@@ -111,14 +91,38 @@ SELECT symbol, {end} AS dt, count(*) AS days, sum(CASE WHEN abs(ratio - 1) > 0.2
         PAGE_ROWS, (*CANONICAL, stage(fp=sha256("html")), stage(r1="row_number() OVER (PARTITION BY coalesce(canonical, fp) ORDER BY source_credit DESC, page_id)"), stage(where="r1 = 1"), stage(r2="row_number() OVER (PARTITION BY fp ORDER BY source_credit DESC, page_id)"), stage(where="r2 = 1"), stage(in_type="row_number() OVER (PARTITION BY source_type ORDER BY source_credit DESC, page_id)")),
         ("page_id", "source_type", "source_credit"), "in_type <= 5", tables=PAGES,
     ),
-    "q_d06_display_dedupe": Query(PAGE_ROWS, (*CANONICAL, *STRIP, stage(fp=both("CASE WHEN length(plain) >= 16 THEN {0} ELSE concat('short:', CAST(page_id AS VARCHAR(12))) END", sha256("lower(plain)"))), stage(r1="row_number() OVER (PARTITION BY coalesce(canonical, fp) ORDER BY source_credit DESC, page_id)"), stage(where="r1 = 1"), stage(r2="row_number() OVER (PARTITION BY fp ORDER BY source_credit DESC, page_id)")), ("page_id", "domain", "source_credit"), "r2 = 1", tables=PAGES),
-    "q_d09_item_dedupe": Query(POSTS, (stage(t=replace_re("lower(coalesce(title, ''))", "[^a-z0-9]+", "")), stage(k1="row_number() OVER (PARTITION BY t ORDER BY likes DESC, seq)"), stage(where="k1 = 1"), stage(h=sha256("content")), stage(k2="row_number() OVER (PARTITION BY h ORDER BY likes DESC, seq)")), ("seq", "likes"), "k2 = 1", tables=DOCS),
     "q_d10_topic_clusters": Query(POSTS, (*SCORE, stage(lead=first_re("lower(content)", "^([^ ]+ [^ ]+ [^ ]+)"))), final="SELECT lang, lead, count(*) AS members, count(DISTINCT source) AS sources, round(max(quality), 4) AS best_quality, min(seq) AS first_seq FROM t WHERE lead <> '' GROUP BY lang, lead HAVING count(*) > 1", tables=DOCS),
-    "q_d12_near_cards": Query((near_cards(True), near_cards(False)), (), ("doc_id", "CAST(pos AS BIGINT) AS pos", "CAST(kept_pos AS BIGINT) AS kept_pos"), tables=DOCS),
-    "q_d14_redundant_units": sentences((stage(nums=all_re("sentence", "[0-9]+")), stage(where=("size(nums) > 0", "len(nums) > 0")), stage(num_key=("array_join(array_sort(array_distinct(nums)), ' ')", "array_to_string(list_sort(list_distinct(nums)), ' ')")), stage(rk="row_number() OVER (PARTITION BY doc_id, num_key ORDER BY length(sentence) DESC, pos)")), "num_key", "rk > 1 AS redundant"),
+    "q_d14_redundant_units": Query(
+        # a unit is redundant if a longer one of its document has the same numbers and half of the words
+        tuple(
+            f"""WITH u AS (SELECT doc_id, pos, length(sentence) AS chars, {numbers} AS num_key, {words} AS w FROM ({SENTENCES[k]}) q WHERE {has}),
+j AS (SELECT a.doc_id, a.pos, b.pos AS kept_pos, {both_} AS common, {size}(a.w) AS na, {size}(b.w) AS nb FROM u a JOIN u b
+  ON a.doc_id = b.doc_id AND a.num_key = b.num_key AND (b.chars > a.chars OR (b.chars = a.chars AND b.pos < a.pos)))
+SELECT u.doc_id, u.pos, u.num_key, min(CASE WHEN 2 * common >= na + nb - common THEN kept_pos END) AS kept_pos FROM u LEFT JOIN j ON u.doc_id = j.doc_id AND u.pos = j.pos GROUP BY u.doc_id, u.pos, u.num_key"""
+            for k, numbers, words, has, both_, size in (
+                (0, "array_join(array_sort(array_distinct(regexp_extract_all(sentence, '[0-9]+', 0))), ' ')", "array_distinct(split(lower(sentence), ' +'))", "sentence RLIKE '[0-9]'", "size(array_intersect(a.w, b.w))", "size"),
+                (1, "array_to_string(list_sort(list_distinct(regexp_extract_all(sentence, '[0-9]+'))), ' ')", "list_distinct(regexp_split_to_array(lower(sentence), ' +'))", "regexp_matches(sentence, '[0-9]')", "len(list_intersect(a.w, b.w))", "len"),
+            )
+        ),
+        (), ("doc_id", "CAST(pos AS BIGINT) AS pos", "num_key", "kept_pos IS NOT NULL AS redundant"), tables=DOCS,
+    ),
     "q_c03_body_claims": Query(LINES, (*HEADS, stage(where="NOT is_head AND length(line) >= 30 AND heading IS NOT NULL"), stage(in_head="row_number() OVER (PARTITION BY doc_id, section ORDER BY pos)"), stage(where="in_head <= 3"), stage(n="row_number() OVER (PARTITION BY doc_id ORDER BY pos)")), ("doc_id", "CAST(pos AS BIGINT) AS pos", "heading", "CAST(n AS BIGINT) AS n"), "n <= 8", tables=DOCS),
-    "q_c06_pair_score": Query(CLAIM_SOURCE, CLAIMS, final="SELECT l.doc_id, s.claim_tier, max(60 + CASE WHEN abs(l.day - s.day) <= 30 THEN 10 ELSE 0 END) AS best_score FROM t l JOIN (SELECT DISTINCT lang, topic, claim_tier, day FROM t WHERE claim_tier <> 'low') s ON l.lang = s.lang AND l.topic = s.topic WHERE l.claim_tier = 'low' GROUP BY l.doc_id, s.claim_tier", tables=DOCS),
-    "q_c08_plan_summary": Query(CLAIM_SOURCE, CLAIMS, final=f"{VERIFY[:-len(' WHERE c.claim_tier = ' + repr('low'))]}".replace("SELECT c.doc_id, c.topic,", "SELECT action, CAST(count(*) AS BIGINT) AS claims, max(confidence) AS top_confidence FROM (SELECT c.doc_id, c.topic,") + " WHERE c.claim_tier = 'low') z GROUP BY action", tables=DOCS),
+    "q_c06_pair_score": Query(
+        CLAIM_SOURCE, CLAIMS,
+        final=tuple(f"{x} SELECT lang, topics, specific, generic, CAST(day AS BIGINT) AS day, claim_tier, CAST(max(score) AS BIGINT) AS best_score FROM p WHERE score > 0 GROUP BY lang, topics, specific, generic, day, claim_tier" for x in SCORED),
+        tables=DOCS,
+    ),
+    # what a prompt may show: the first claims of each outcome, cut to 200 characters
+    "q_c08_plan_summary": Query(
+        CLAIM_SOURCE, CLAIMS,
+        final=tuple(
+            f"""{x} SELECT lang, action, CAST(rk AS BIGINT) AS rk, doc_id, confidence, substr(trim(text), 1, 200) AS claim FROM (
+SELECT *, row_number() OVER (PARTITION BY lang, action ORDER BY confidence DESC, doc_id) AS rk FROM w) y
+WHERE rk <= CASE action WHEN 'verified' THEN 6 ELSE 4 END"""
+            for x in SCORED
+        ),
+        tables=DOCS,
+    ),
     "q_x03_sections": Query(LINES, HEADS, final="SELECT doc_id, section, max(heading) AS heading, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM t GROUP BY doc_id, section", tables=DOCS),
     "q_x05_observations": sentences((stage(kind="CASE WHEN has(sentence, risk) THEN 'risk' WHEN has(sentence, plan) OR has(sentence, policy) THEN 'plan' WHEN has(sentence, structure) THEN 'structure' END", rank_score="terms(sentence, signal)"), stage(where="kind IS NOT NULL"), stage(rk="row_number() OVER (PARTITION BY doc_id, kind ORDER BY rank_score DESC, pos)")), "kind", where="rk <= 3"),
     "q_x06_metric_value": sentences((stage(raw=first_re("sentence", "(?:Version|mail|555-) ?([0-9]+[.]?[0-9]*)"), unit="CASE WHEN contains(sentence, 'Version') THEN 1 ELSE 1000 END"), stage(value="try_cast(nullif(raw, '') AS DOUBLE) * unit")), "value", where="value IS NOT NULL"),

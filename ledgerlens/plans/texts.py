@@ -42,15 +42,49 @@ SCORE: tuple[Stage, ...] = (
     stage(action="CASE WHEN NOT admitted THEN 'discard' WHEN quality >= 70 THEN 'keep' WHEN quality >= 50 THEN 'demote' ELSE 'discard' END"),
 )
 
+#: The register of sources: parameters. Domains count with their subdomains; the last of each list suit the given corpus.
+REGISTER = {
+    "exchange_announcement": ("sec.gov", "londonstockexchange.com", "deutsche-boerse.com", "euronext.com", "thther.example.org", "ththwh.example.org"),
+    "company_official": ("company.example.com", "ththhe.example.com", "therer.example.com"),
+    "mainstream_media": ("reuters.com", "bbc.co.uk", "lemonde.fr", "faz.net", "elpais.com", "ththre.example.com", "therha.example.com"),
+    "industry_media": ("eetimes.com", "heise.de", "usinenouvelle.com", "ththed.example.org", "therin.example.net"),
+    "social_discussion": ("reddit.com", "x.com", "stocktwits.com", "ththth.example.net", "therou.example.com"),
+}
+#: Credit, verification and eligibility of each class of source.
+CREDIT_OF = {
+    "exchange_announcement": (98, "confirmed"), "company_ir": (88, "confirmed"), "company_official": (85, "confirmed"), "broker_research": (72, "professional"),
+    "mainstream_media": (65, "professional"), "industry_media": (55, "professional"), "social_discussion": (35, "unverified"), "unknown_web": (30, "unverified"), "missing_source": (10, "missing"),
+}
+
+
+def _of(name: str) -> str:
+    return "(" + " OR ".join(f"domain = '{d}' OR domain LIKE '%.{d}'" for d in REGISTER[name]) + ")"
+
+
 CREDIT: tuple[Stage, ...] = (
-    stage(host=host("url")),
+    stage(host=host("url"), url_path="lower(regexp_extract(trim(url), '^(?:[A-Za-z][A-Za-z0-9+.-]*://)?[^/?#]+([^?#]*)', 1))"),
     stage(domain="CASE WHEN starts_with(host, 'www.') THEN substr(host, 5) WHEN starts_with(host, 'm.') THEN substr(host, 3) ELSE host END"),
-    stage(tld=first_re("domain", "([a-z]+)$"), first_label=first_re("domain", "^([a-z0-9-]+)[.]")),
-    stage(source_type="CASE WHEN domain IS NULL THEN 'unknown' WHEN tld = 'org' AND starts_with(host, 'www.') THEN 'exchange' WHEN tld = 'org' THEN 'regulator' WHEN first_label = 'blog' AND tld = 'net' THEN 'self_media' WHEN first_label = 'blog' THEN 'social' WHEN tld = 'net' AND starts_with(host, 'm.') THEN 'forum' WHEN tld = 'net' THEN 'portal' WHEN starts_with(host, 'www.') THEN 'news' ELSE 'company' END"),
-    stage(source_credit="CASE source_type WHEN 'exchange' THEN 98 WHEN 'regulator' THEN 88 WHEN 'company' THEN 85 WHEN 'news' THEN 72 WHEN 'portal' THEN 65 WHEN 'self_media' THEN 55 WHEN 'social' THEN 35 WHEN 'forum' THEN 30 ELSE 10 END"),
-    stage(verification="CASE WHEN source_credit >= 80 THEN 'verified_source' WHEN source_credit >= 55 THEN 'attributed' WHEN source_credit >= 30 THEN 'unverified' ELSE 'rejected' END", knowledge_eligible="source_credit >= 55", report_eligible="source_credit >= 65"),
-    stage(claim_tier="CASE WHEN source_credit >= 80 THEN 'high' WHEN source_credit >= 55 THEN 'medium' WHEN source_credit >= 30 THEN 'low' ELSE 'drop' END"),
-)
+    stage(
+        source_type=both(
+            "CASE WHEN domain IS NULL THEN 'missing_source' WHEN "
+            + _of("exchange_announcement") + " THEN 'exchange_announcement' WHEN {0} THEN 'company_ir' WHEN " + _of("company_official")
+            + " THEN 'company_official' WHEN starts_with(domain, 'research.') THEN 'broker_research' WHEN " + _of("mainstream_media") + " THEN 'mainstream_media' WHEN "
+            + _of("industry_media") + " THEN 'industry_media' WHEN starts_with(domain, 'blog.') OR starts_with(domain, 'forum.') OR " + _of("social_discussion") + " THEN 'social_discussion' ELSE 'unknown_web' END",
+            match_re("url_path", "^/(ir|investor|announcement)(/|$)"),
+        )
+    ),
+    stage(
+        source_credit="CASE source_type " + " ".join(f"WHEN '{k}' THEN {v[0]}" for k, v in CREDIT_OF.items()) + " END",
+        verification="CASE source_type " + " ".join(f"WHEN '{k}' THEN '{v[1]}'" for k, v in CREDIT_OF.items()) + " END",
+    ),
+    stage(
+        knowledge_eligible="source_credit >= 55",
+        report_eligible="source_credit >= 65",
+        claim_tier="CASE WHEN source_credit >= 80 THEN 'high' WHEN source_credit >= 55 THEN 'medium' WHEN source_credit >= 30 THEN 'low' ELSE 'drop' END",
+        usage="""CASE WHEN source_credit >= 80 AND verification = 'confirmed' THEN 'core_fact_allowed' WHEN source_type IN ('broker_research', 'mainstream_media', 'industry_media') THEN 'professional_observation'
+ WHEN source_type = 'social_discussion' THEN 'discussion_only' WHEN source_type = 'unknown_web' THEN 'lead_only' ELSE 'excluded' END""",
+    ),
+)
 #: scheme, default prefixes, fragment and tracking parameters go; the path keeps its case.
 CANONICAL: tuple[Stage, ...] = (
     *CREDIT,
@@ -97,18 +131,51 @@ CLAIM_SOURCE = (
     """SELECT doc_id, lang, source, CAST(substr(source, 4) AS INT) AS src, text, CAST(doc_id % 60 AS INT) AS day FROM documents""",
     """SELECT doc_id, lang, source, CAST(substr(source, 4) AS INTEGER) AS src, text, CAST(doc_id % 60 AS INTEGER) AS day FROM documents""",
 )
+#: Terms that name one thing, and terms that many texts share.
+SPECIFIC = ("mit license", "apache license", "public license", "cc by", "creative commons", "akia", "+1 (", "api_key", "worthless")
+GENERIC = ("license", "version", "released", "token", "password", "mail", "@", " | ", "stupid")
+TOPICS = {"rights": "policy", "access": "secret", "contact": "contact", "finance": "finance", "conduct": "abuse"}
+
+
+def listed(terms: tuple[str, ...], column: str) -> tuple[str, str]:
+    """The terms that a lower-cased text holds, comma-joined in the order of the list."""
+    array = ", ".join("'" + t + "'" for t in terms)
+    return f"array_join(filter(array({array}), x -> contains({column}, x)), ',')", f"array_to_string(list_filter([{array}], lambda x: contains({column}, x)), ',')"
+
+
 CLAIMS: tuple[Stage, ...] = (
-    stage(credit="CASE WHEN src % 5 = 0 THEN 90 WHEN src % 5 = 1 THEN 60 WHEN src % 5 = 2 THEN 35 ELSE 20 END", topic="CASE WHEN has(text, policy) THEN 'policy' WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, '@') THEN 'contact' WHEN contains(text, '!!') THEN 'heat' END"),
-    stage(where="topic IS NOT NULL AND credit >= 30"),
-    stage(claim_tier="CASE WHEN credit >= 80 THEN 'high' WHEN credit >= 55 THEN 'medium' ELSE 'low' END"),
+    stage(
+        credit="CASE WHEN src % 5 = 0 THEN 90 WHEN src % 5 = 1 THEN 60 WHEN src % 5 = 2 THEN 35 ELSE 20 END",
+        low_text="lower(coalesce(text, ''))",
+        topics="concat_ws(',', " + ", ".join(f"CASE WHEN has(text, {v}) THEN '{k}' END" for k, v in TOPICS.items()) + ")",
+    ),
+    stage(where="topics <> '' AND credit >= 30"),
+    stage(claim_tier="CASE WHEN credit >= 80 THEN 'high' WHEN credit >= 55 THEN 'medium' ELSE 'low' END", specific=listed(SPECIFIC, "low_text"), generic=listed(GENERIC, "low_text")),
+)
+_CUT, _MEET = ("split({0}, ',')", "string_split({0}, ',')"), ("arrays_overlap", "list_has_any")
+
+
+def _shared(k: int, c: str) -> str:
+    return f"(l.{c} <> '' AND s.{c} <> '' AND {_MEET[k]}({_CUT[k].format('l.' + c)}, {_CUT[k].format('s.' + c)}))"
+
+
+#: Claims with the same topics, terms and day score alike, so only their few combinations are paired, not the claims: a shared
+#: specific term 60, a shared generic one 10, dates within 30 days 10. Access and contact topics are compatible.
+SCORED = tuple(
+    f"""WITH s AS (SELECT lang, claim_tier, topics, specific, generic, day, min(doc_id) AS source_claim FROM t WHERE claim_tier <> 'low' GROUP BY lang, claim_tier, topics, specific, generic, day),
+l AS (SELECT DISTINCT lang, topics, specific, generic, day FROM t WHERE claim_tier = 'low'),
+p AS (SELECT l.lang, l.topics, l.specific, l.generic, l.day, s.claim_tier, s.source_claim, {_shared(k, "specific")} AS is_specific,
+    CASE WHEN {_shared(k, "specific")} THEN 60 ELSE 0 END + CASE WHEN {_shared(k, "generic")} THEN 10 ELSE 0 END + CASE WHEN abs(l.day - s.day) <= 30 THEN 10 ELSE 0 END AS score
+  FROM l JOIN s ON l.lang = s.lang AND ({_shared(k, "topics")} OR (l.topics LIKE '%access%' AND s.topics LIKE '%contact%') OR (l.topics LIKE '%contact%' AND s.topics LIKE '%access%'))),
+b AS (SELECT *, row_number() OVER (PARTITION BY lang, topics, specific, generic, day ORDER BY CASE WHEN claim_tier = 'high' AND is_specific THEN 0 WHEN claim_tier = 'high' THEN 1 ELSE 2 END, score DESC, source_claim) AS rk FROM p WHERE score > 0),
+v AS (SELECT c.doc_id, c.lang, c.topics, c.text, b.claim_tier, b.score, b.source_claim,
+    CASE WHEN b.claim_tier = 'high' AND b.is_specific THEN 'verified' WHEN b.claim_tier = 'high' THEN 'needs_review' WHEN b.claim_tier = 'medium' AND b.is_specific THEN 'supported' ELSE 'unverified' END AS action
+  FROM (SELECT * FROM t WHERE claim_tier = 'low') c LEFT JOIN (SELECT * FROM b WHERE rk = 1) b
+    ON c.lang = b.lang AND c.topics = b.topics AND c.specific = b.specific AND c.generic = b.generic AND c.day = b.day),
+w AS (SELECT *, CAST(CASE action WHEN 'verified' THEN least(100, 70 + floor(score / 5)) WHEN 'needs_review' THEN 0 WHEN 'supported' THEN least(69, 40 + floor(score / 5)) ELSE 20 END AS BIGINT) AS confidence FROM v)"""
+    for k in (0, 1)
 )
-#: Per topic and language only the best source of each tier and day is needed, so no claim meets all others.
-VERIFY = """WITH s AS (SELECT lang, topic, claim_tier, day, max(credit) AS credit, min(doc_id) AS source_claim FROM t WHERE claim_tier <> 'low' GROUP BY lang, topic, claim_tier, day),
-m AS (SELECT l.doc_id, s.claim_tier, s.source_claim, s.credit, 60 + CASE WHEN abs(l.day - s.day) <= 30 THEN 10 ELSE 0 END AS score FROM t l JOIN s ON l.lang = s.lang AND l.topic = s.topic WHERE l.claim_tier = 'low'),
-b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY CASE claim_tier WHEN 'high' THEN 0 ELSE 1 END, score DESC, source_claim) AS rk FROM m)
-SELECT c.doc_id, c.topic, coalesce(CASE b.claim_tier WHEN 'high' THEN 'verified' WHEN 'medium' THEN 'supported' END, 'unverified') AS action,
-  CAST(CASE b.claim_tier WHEN 'high' THEN least(100, 70 + floor(b.score / 5)) WHEN 'medium' THEN least(69, 40 + floor(b.score / 5)) ELSE 20 END AS BIGINT) AS confidence, b.source_claim AS verified_by
-FROM t c LEFT JOIN (SELECT * FROM b WHERE rk = 1) b ON c.doc_id = b.doc_id WHERE c.claim_tier = 'low'"""
+VERIFY = tuple(f"{x} SELECT doc_id, topics, action, confidence, CASE WHEN action <> 'unverified' THEN source_claim END AS verified_by FROM w" for x in SCORED)
 
 #: Labels before an amount or a rate.
 LABELS = "(revenue|profit|cash|margin|share|version|page|price|order|umsatz|gewinn|anteil|chiffre|marge|ingresos|precio|mail)"
@@ -143,19 +210,34 @@ QUERIES: dict[str, Query] = {
     "q_q16_research_select": posts((*FLAGS, stage(uid="seq % 400", rank_score="logic_words + data_kinds"), stage(best="row_number() OVER (PARTITION BY uid ORDER BY rank_score DESC, seq)"), stage(where="best = 1"), stage(recent=("datediff(DATE '2025-06-01', published) BETWEEN 0 AND 90", "datediff('day', published, DATE '2025-06-01') BETWEEN 0 AND 90"), wide=("datediff(DATE '2025-06-01', published) BETWEEN 0 AND 180", "datediff('day', published, DATE '2025-06-01') BETWEEN 0 AND 180")), stage(n_recent="count(CASE WHEN recent THEN 1 END) OVER (PARTITION BY source)"), stage(where="CASE WHEN n_recent >= 3 THEN recent ELSE wide END"), stage(rk="row_number() OVER (PARTITION BY source ORDER BY published DESC, rank_score DESC, seq)")), "source", "published", "CAST(rank_score AS INT) AS rank_score", where="rk <= 5"),
     "q_d01_domain": pages(CREDIT, "domain"),
     "q_d02_source_credit": pages(CREDIT, "source_type", "source_credit", "verification", "knowledge_eligible", "report_eligible"),
-    "q_d03_usage_tier": pages((*CREDIT, stage(usage="CASE WHEN source_credit >= 80 THEN 'core_fact' WHEN source_credit >= 65 THEN 'supporting' WHEN source_credit >= 55 THEN 'context' WHEN source_credit >= 30 THEN 'lead_only' ELSE 'excluded' END")), "usage"),
-    "q_d04_core_fact_support": pages((*CREDIT, stage(supports="source_credit >= 80 AND source_type NOT IN ('social', 'forum', 'self_media')")), "supports"),
-    "q_d05_layer_policy": pages((*CREDIT, stage(layer="CASE WHEN source_type = 'exchange' THEN 'bridge' WHEN source_type IN ('social', 'forum') THEN 'external' WHEN source_credit BETWEEN 65 AND 79 THEN 'formal_display' WHEN source_credit >= 80 THEN 'canonical' WHEN source_credit >= 55 THEN 'formal_display' ELSE 'excluded' END")), "layer"),
-    "q_d07_intake_merge": pages((*CANONICAL, stage(merge_key=both("coalesce(canonical, {0})", sha256("html"))), stage(rk="row_number() OVER (PARTITION BY merge_key ORDER BY source_credit DESC, CASE WHEN source_type = 'exchange' THEN 0 ELSE 1 END, page_id)")), "merge_key", "source_credit", where="rk = 1"),
+    "q_d03_usage_tier": pages((*CREDIT, stage(credit_tier="CASE usage WHEN 'core_fact_allowed' THEN 'high' WHEN 'professional_observation' THEN 'medium' ELSE 'low' END")), "usage", "credit_tier"),
+    "q_d04_core_fact_support": pages((*CREDIT, stage(supports="source_type = 'exchange_announcement' OR (source_credit >= 80 AND verification = 'confirmed')")), "supports"),
+    "q_d05_layer_policy": pages((*CREDIT, stage(layer="CASE WHEN verification IN ('verified_discussion', 'supported_discussion') THEN 'bridge_summary' WHEN source_type = 'social_discussion' THEN 'external_viewpoint' WHEN source_type IN ('broker_research', 'mainstream_media') AND NOT report_eligible THEN 'formal_display' WHEN usage = 'core_fact_allowed' THEN 'canonical' WHEN usage = 'professional_observation' THEN 'formal_display' ELSE 'excluded' END")), "layer"),
+    "q_d07_intake_merge": pages((*CANONICAL, stage(merge_key=both("coalesce(canonical, {0})", sha256("html"))), stage(rk="row_number() OVER (PARTITION BY merge_key ORDER BY source_credit DESC, CASE WHEN source_type = 'exchange_announcement' THEN 0 ELSE 1 END, page_id)")), "merge_key", "source_credit", where="rk = 1"),
     "q_d08_record_dedupe": posts((stage(k="coalesce(nullif(title, ''), content)"), stage(rk="row_number() OVER (PARTITION BY source, k ORDER BY seq)")), "source", where="rk = 1"),
     "q_d13_unit_numbers": on_sentences((stage(numbers=all_re("sentence", "[0-9]+(?:[.][0-9]+)?")), stage(number_set=("array_join(array_sort(array_distinct(numbers)), ' ')", "array_to_string(list_sort(list_distinct(numbers)), ' ')"))), "number_set", where=("size(numbers) > 0", "len(numbers) > 0")),
     "q_d15_note_identity": pages((*CANONICAL, stage(note_id=both("CASE WHEN canonical IS NOT NULL THEN concat('url:', regexp_replace(domain || path, '[.](html|htm|php)$', '')) ELSE concat('sha:', {0}) END", sha256("html")))), "note_id"),
     "q_d16_claim_status": pages(CREDIT, "claim_tier"),
     "q_d17_union": Query("SELECT 'doc' AS origin, doc_id AS id, source AS platform, substr(text, 1, 60) AS title FROM documents UNION ALL SELECT 'page', page_id, 'web', url FROM pages UNION ALL SELECT 'chat', conv_id * 1000 + turn, role, substr(text, 1, 60) FROM conversations", (), ("origin", "id", "platform", "title"), tables=("documents", "pages", "conversations")),
-    "q_d18_viewpoint_dedupe": posts((*SCORE, stage(cluster_no="CASE WHEN has(content, policy) THEN 1 WHEN contains(content, ' | ') THEN 2 WHEN n > 2000 THEN 3 ELSE 4 END"), stage(rk="row_number() OVER (PARTITION BY source, lang, cluster_no ORDER BY quality DESC, n DESC, seq)")), "source", "lang", "cluster_no", "round(quality, 4) AS quality", where="rk = 1"),
+    "q_d18_viewpoint_dedupe": posts(
+        (
+            *SCORE,
+            stage(cluster_no="CASE WHEN has(content, policy) THEN 1 WHEN has(content, finance) THEN 2 WHEN has(content, risk) THEN 3 WHEN has(content, driver) THEN 4 ELSE 5 END"),
+            stage(is_long="n > 6000", rk="row_number() OVER (PARTITION BY source, lang, cluster_no ORDER BY quality DESC, n DESC, seq)"),
+            # up to three further cards of long reports stay for each stock
+            stage(protected="row_number() OVER (PARTITION BY lang, CASE WHEN is_long AND rk > 1 THEN 1 ELSE 0 END ORDER BY quality DESC, n DESC, seq)"),
+        ),
+        "source", "lang", "cluster_no", "round(quality, 4) AS quality", "rk > 1 AS is_protected", where="rk = 1 OR (is_long AND protected <= 3)",
+    ),
     "q_c01_claim_id": on_sentences((stage(claim_id=both("substr({0}, 1, 12)", sha256("concat_ws('|', source, sentence)"))),), "claim_id"),
     "q_c02_claim_merge": Query(SENTENCES, (stage(norm=replace_re("lower(sentence)", "[^a-z0-9]+", "")), stage(where="length(norm) >= 12"), stage(norm_key=sha256("norm"))), final="SELECT norm_key, count(*) AS mentions, count(DISTINCT source) AS sources, max(tier_no) AS best_tier, min(doc_id) AS first_doc FROM t GROUP BY norm_key HAVING count(*) > 1", tables=DOCS),
-    "q_c04_topic": on_sentences((stage(topic="CASE WHEN has(sentence, policy) THEN 'policy' WHEN contains(sentence, '|') THEN 'table' WHEN contains(sentence, '@') THEN 'contact' WHEN tier_no = 0 THEN 'official' ELSE 'general' END"),), "topic", where="topic <> 'general'"),
+    "q_c04_topic": on_sentences(
+        (
+            stage(topics="concat_ws(',', " + ", ".join(f"CASE WHEN has(sentence, {v}) THEN '{k}' END" for k, v in TOPICS.items()) + ")"),
+            stage(topic="CASE WHEN topics <> '' THEN topics WHEN tier_no = 0 THEN 'official' ELSE 'general' END"),
+        ),
+        "topic", where="topic <> 'general'",
+    ),
     "q_c05_credit_tier": Query(CLAIM_SOURCE, CLAIMS, ("doc_id", "credit", "claim_tier"), "claim_tier <> 'low'", tables=DOCS),
     "q_c07_verify": Query(CLAIM_SOURCE, CLAIMS, final=VERIFY, tables=DOCS),
     "q_c09_risk_signals": on_sentences((stage(signal=both("CASE WHEN has(sentence, abuse) AND NOT has(sentence, not_abuse) THEN 'abuse' WHEN has(sentence, secret) THEN 'leak' WHEN {0} THEN 'licence_limit' WHEN has(sentence, risk) AND NOT has(sentence, abuse) THEN 'loss' WHEN has(sentence, qualified_opinion) AND NOT has(sentence, clean_opinion) THEN 'audit' END", match_re("sentence", "BY-NC"))),), "signal", where="signal IS NOT NULL"),
