@@ -15,12 +15,12 @@ NUMBERS = ("open", "high", "low", "close", "volume", "amount")
 
 
 def normalise_bars(raw: DataFrame, symbol: str | None = None, limit: int | None = None, seq: str | None = None) -> DataFrame:
-    """Renamed and typed bars without incomplete rows; of repeated days the last row (by `seq`) stays, and
+    """Renamed and typed bars without incomplete rows; of repeated days the last row (by `seq`, or as read) stays, and
     of each symbol the last `limit` days."""
     named = raw.select(*(F.col(f"`{c}`").alias(ALIASES.get(c.lower().lstrip("﻿"), c.lower().lstrip("﻿"))) for c in raw.columns))
     if "symbol" not in named.columns:
         named = named.withColumn("symbol", F.lit(symbol))
-    typed = named.select("symbol", F.to_date(F.try_to_timestamp(F.col("dt").cast("string"))).alias("dt"), *(F.expr(f"try_cast({c} AS DOUBLE)").alias(c) if c in named.columns else F.lit(None).cast("double").alias(c) for c in NUMBERS), (F.col(seq) if seq else F.lit(0)).alias("_seq"))
+    typed = named.select("symbol", F.to_date(F.try_to_timestamp(F.col("dt").cast("string"))).alias("dt"), *(F.expr(f"try_cast({c} AS DOUBLE)").alias(c) if c in named.columns else F.lit(None).cast("double").alias(c) for c in NUMBERS), (F.col(seq) if seq else F.monotonically_increasing_id()).alias("_seq"))
     whole = typed.na.drop(subset=["symbol", "dt", "open", "high", "low", "close"])
     once = whole.withColumn("_r", F.row_number().over(Window.partitionBy("symbol", "dt").orderBy(F.desc("_seq"), F.desc("close")))).where("_r = 1")
     if limit is not None:
