@@ -15,7 +15,7 @@ LEXICON: dict[str, tuple[str, ...]] = {
     "driver": ("demand", "capacity", "expansion", "growth", "margin", "price", "efficien", "software", "nachfrage", "wachstum", "kapazität", "croissance", "demande", "crecimiento"),
     "event": ("announce", "releas", "launch", "signed", "acqui", "approved", "granted", "veröffentlicht", "angekündigt", "publié", "lancé", "anunci", "lanz"),
     "mechanism": ("because", "due to", "as a result", "so that", "leads to", "weil ", "deshalb", "dadurch", "parce que", "grâce à", "porque", "debido a", "under the"),
-    "logic": ("because", "therefore", "however", "thus", "hence", "due to", "weil ", "daher", "jedoch", "parce que", "donc ", "cependant", "porque", "sin embargo", "debido", " with ", " mit ", " avec ", " con "),
+    "logic": ("because", "therefore", "however", "thus", "hence", "due to", "weil ", "daher", "jedoch", "parce que", "donc ", "cependant", "porque", "sin embargo", "debido", " with ", " that ", " for ", " by ", " mit ", " auch ", " von ", " für ", " avec ", " que ", " pour ", " par ", " dans ", " con ", " para ", " por "),
     "risk": ("lawsuit", "breach", "loss", "decline", "default", "fraud", "penalty", "worthless", "klage", "verlust", "rückgang", "procès", "perte", "pérdida", "caída", "stupid"),
     "abuse": ("stupid", "moron", "clown", "disgusting", "worthless", "idiot", "dummkopf", "imbécile", "idiota"),
     "not_abuse": ("not stupid", "not a moron", "nicht dumm", "pas idiot", "no idiota"),
@@ -69,10 +69,11 @@ def expand(sql: str, spark: bool) -> str:
 
     def write(m: re.Match) -> str:
         call, column, name = m.groups()
-        found = [f"contains(lower({column}), {_quoted(t) if not spark else _spark_quoted(t)})" for t in LEXICON[name]]
-        if call == "has":
-            return "(" + " OR ".join(found) + ")"
-        return "(" + " + ".join(f"CAST({f} AS INT)" for f in found) + ")"
+        if spark:  # a loop over the list: written out, the terms of several lists outgrow a compiled method
+            loop = f"array({', '.join(map(_spark_quoted, LEXICON[name]))}), x -> contains(lower({column}), x)"
+            return f"exists({loop})" if call == "has" else f"size(filter({loop}))"
+        found = [f"contains(lower({column}), {_quoted(t)})" for t in LEXICON[name]]
+        return "(" + " OR ".join(found) + ")" if call == "has" else "(" + " + ".join(f"CAST({f} AS INT)" for f in found) + ")"
 
     return _CALL.sub(write, sql) if "has(" in sql or "terms(" in sql else sql
 

@@ -9,7 +9,7 @@ from ..sources.tables import BARS, INDEX_BARS
 from .more import HEADS, LINES, sentences
 from .scoring import LI, QUOTES, VALUED, hits
 from .stages import Query, stage
-from .texts import DOCS, POSTS, SCORE, SENTENCES
+from .texts import DOCS, POSTS, SCORE, SENTENCES, dense_refs
 
 NUMBER = "[0-9]+(?:[.][0-9]+)?"
 
@@ -24,7 +24,7 @@ QUERIES: dict[str, Query] = {
         f"SELECT 1 AS priority, 'cache' AS source, symbol, dt, close FROM ({INDEX_BARS}) a WHERE volume % 3 = 0 UNION ALL SELECT 2, 'primary', symbol, dt, close FROM ({INDEX_BARS}) b WHERE volume % 2 = 0 UNION ALL SELECT 3, 'stale_cache', symbol, dt, close FROM ({INDEX_BARS}) c",
         (stage(rk="row_number() OVER (PARTITION BY symbol, dt ORDER BY priority)"),), ("symbol", "dt", "source", "close"), "rk = 1",
     ),
-    "q_s32_report_match": Query(POSTS, (stage(year="CAST(2020 + seq % 4 AS INT)", keyword="has(content, annual_report) OR has(content, policy)"), stage(where="keyword"), stage(rk="row_number() OVER (PARTITION BY lang, source, year ORDER BY published DESC, seq)")), ("seq", "lang", "source", "year"), "rk = 1", tables=DOCS),
+    "q_s32_report_match": Query(POSTS, (stage(year="year(published)", keyword="has(content, annual_report) OR has(content, policy)"), stage(where="keyword"), stage(rk="row_number() OVER (PARTITION BY lang, source, year ORDER BY published DESC, seq)")), ("seq", "lang", "source", "year"), "rk = 1", tables=DOCS),
     "q_p12_double_bottom": Query(
         BARS,
         (
@@ -68,7 +68,14 @@ coalesce(max(d1) < max(d2) AND max(w2) <= max(w1) * 1.03 AND max(CASE WHEN dt BE
         (stage(snippet_sha=sha256("snippet")),), ("doc_id", "CAST(length(snippet) AS BIGINT) AS chars", "snippet_sha"), "length(snippet) >= 16", tables=DOCS,
     ),
     "q_e06_pack_errors": sentences((stage(unit_id=both("substr({0}, 1, 16)", sha256("sentence"))), stage(again="count(*) OVER (PARTITION BY doc_id, unit_id)"), stage(errors="concat_ws(',', CASE WHEN again > 1 THEN 'duplicate_unit' END, CASE WHEN length(sentence) > 600 THEN 'too_long' END, CASE WHEN contains(sentence, '!!') THEN 'noise' END)")), "unit_id", "errors", where="errors <> ''"),
-    "q_e09_display_cards": Query(SENTENCES, (stage(family=FAMILY), stage(where="family <> 'context'"), stage(ref="dense_rank() OVER (PARTITION BY source ORDER BY doc_id)"), stage(rk="row_number() OVER (PARTITION BY doc_id, family ORDER BY length(sentence) DESC, pos)")), ("doc_id", "family", "CAST(ref AS BIGINT) AS ref", "CAST(length(sentence) AS BIGINT) AS chars"), "rk = 1", tables=DOCS),
+    "q_e09_display_cards": Query(
+        SENTENCES, (stage(family=FAMILY), stage(where="family <> 'context'"), stage(rk="row_number() OVER (PARTITION BY doc_id, family ORDER BY length(sentence) DESC, pos)")),
+        final=(
+            f"SELECT x.doc_id, x.family, r.ref, CAST(length(x.sentence) AS BIGINT) AS chars FROM t x JOIN ({dense_refs('doc_id')}) r ON x.source = r.source AND x.doc_id = r.doc_id WHERE x.rk = 1",
+            "SELECT doc_id, family, CAST(ref AS BIGINT) AS ref, CAST(length(sentence) AS BIGINT) AS chars FROM (SELECT *, dense_rank() OVER (PARTITION BY source ORDER BY doc_id) AS ref FROM t) x WHERE rk = 1",
+        ),
+        tables=DOCS,
+    ),
     "q_g06_digest_cards": sentences((stage(signal="terms(sentence, signal)", noise=count_re("sentence", "[!#$%&*|]")), stage(score="CAST(least(60, signal * 15) + 8 - least(40, noise * 2) AS INT)"), stage(where="noise < 20"), stage(rk="row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos)"), stage(n_units="count(*) OVER (PARTITION BY doc_id)"), stage(cap="CASE WHEN n_units <= 10 THEN 3 WHEN n_units <= 40 THEN 5 ELSE 8 END")), "score", "CAST(rk AS BIGINT) AS rk", where="rk <= cap"),
     "q_a01_narrative_cards": Query(
         SENTENCES,

@@ -4,11 +4,13 @@ extraction, filing text mining, near-duplicate cards, evidence packs and assembl
 from __future__ import annotations
 
 from ..functions.text import all_re, both, count_re, first_re, match_re, replace_re, sha256
+from ..operators import structure as st
 from ..operators import trend as tr
+from ..operators.indicators import PREV
 from ..sources.tables import BARS, FRIDAY
 from .market import judged, triggered
 from .scoring import hits
-from .stages import Query, Stage, stage
+from .stages import Query, Stage, over, stage
 from .texts import CANONICAL, CLAIM_SOURCE, CLAIMS, DOCS, PAGE_ROWS, PAGES, POSTS, SCORE, SCORED, SENTENCES
 
 LINES = (
@@ -26,6 +28,9 @@ def sentences(stages, *select: str, where=None, final=None) -> Query:
     return Query(SENTENCES, tuple(stages), ("doc_id", "CAST(pos AS BIGINT) AS pos", *select), where, final, DOCS)
 
 
+_SO_FAR = over("UNBOUNDED PRECEDING AND CURRENT ROW")
+_BEFORE_NOW = over("UNBOUNDED PRECEDING AND 1 PRECEDING")
+
 #: Checks of a report's text: a pattern over its lower-cased text, or a condition in a tuple.
 REPORT_RULES: dict[str, str | tuple[str]] = {
     "malformed_citation_marker": "\\[\\^[a-z]+\\]|\\[\\^\\]|\\[[0-9]+,\\]",
@@ -80,11 +85,37 @@ SELECT symbol, {end} AS dt, count(*) AS days, sum(CASE WHEN abs(ratio - 1) > 0.2
         ),
         (), ("symbol", "dt", "days", "CAST(gaps AS BIGINT) AS gaps", "top_log_factor", "CASE WHEN gaps > 0 THEN 'gap_ratio' ELSE 'none' END AS lineage"),
     ),
-    "q_j15_path_text": judged((*tr.JUDGMENT,), "concat_ws('; ', concat('stage ', trend_stage), concat('judgment ', judgment), concat('grade ', health_grade)) AS reading"),
+    # the last two highs and lows of the swing path, the channel and the level, read together; the trend itself stays as it is
+    "q_j15_path_text": judged(
+        (
+            *tr.JUDGMENT,
+            *st.swings("low", 3, 3, "l"),
+            *st.swings("high", 3, 3, "h"),
+            # a swing is known three bars later
+            stage(_l=f"CASE WHEN lag(l_low, 3) {PREV} THEN lag(low, 3) {PREV} END", _h=f"CASE WHEN lag(h_high, 3) {PREV} THEN lag(high, 3) {PREV} END"),
+            stage(_nl=f"CAST(count(_l) {_SO_FAR} AS BIGINT)", _nh=f"CAST(count(_h) {_SO_FAR} AS BIGINT)"),
+            stage(
+                last_low="max(_l) OVER (PARTITION BY symbol, _nl)", last_high="max(_h) OVER (PARTITION BY symbol, _nh)",
+                _pl=(f"last(_l, true) {_BEFORE_NOW}", f"last_value(_l IGNORE NULLS) {_BEFORE_NOW}"), _ph=(f"last(_h, true) {_BEFORE_NOW}", f"last_value(_h IGNORE NULLS) {_BEFORE_NOW}"),
+            ),
+            stage(prior_low="max(CASE WHEN _l IS NOT NULL THEN _pl END) OVER (PARTITION BY symbol, _nl)", prior_high="max(CASE WHEN _h IS NOT NULL THEN _ph END) OVER (PARTITION BY symbol, _nh)"),
+            stage(
+                lows="CASE WHEN _nl < 2 THEN 'unknown' WHEN last_low > prior_low * 1.01 THEN 'higher' WHEN last_low < prior_low * 0.99 THEN 'lower' ELSE 'flat' END",
+                highs="CASE WHEN _nh < 2 THEN 'unknown' WHEN last_high > prior_high * 1.01 THEN 'higher' WHEN last_high < prior_high * 0.99 THEN 'lower' ELSE 'flat' END",
+            ),
+            stage(
+                path="""CASE WHEN lows = 'unknown' OR highs = 'unknown' THEN 'too few swings' WHEN lows = 'higher' AND highs = 'higher' THEN 'rising swings' WHEN lows = 'lower' AND highs = 'lower' THEN 'falling swings'
+ WHEN lows = 'higher' AND highs = 'lower' THEN 'narrowing swings' WHEN lows = 'lower' AND highs = 'higher' THEN 'widening swings' ELSE 'level swings' END""",
+                agrees="""CASE WHEN judgment IN ('strong_up', 'weak_up') AND (lows = 'lower' OR close < last_low) THEN 'path weakens the trend'
+ WHEN judgment IN ('down', 'invalid') AND (highs = 'higher' OR close > last_high) THEN 'path repairs the trend' ELSE 'path fits the trend' END""",
+            ),
+        ),
+        "concat_ws('; ', path, CASE WHEN channel <> 'none' THEN concat('within a ', replace(channel, '_', ' ')) END, agrees, concat('judged ', judgment)) AS reading",
+    ),
     "q_t08_structure_summary": judged((*tr.TARGET,), "CASE WHEN _neck IS NULL THEN 'levels' WHEN converged THEN 'pattern_and_fib' ELSE 'pattern' END AS method", "CASE WHEN daily_trend = 'ranging' THEN 'neutral' WHEN (daily_trend = 'up') = bull THEN 'aligned' ELSE 'opposed' END AS alignment"),
     "q_v19_sector_risks": Query("SELECT s.s_suppkey, n.n_regionkey, r.risk FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN (SELECT 0 AS k, 'currency' AS risk UNION ALL SELECT 1, 'policy' UNION ALL SELECT 2, 'supply' UNION ALL SELECT 3, 'demand' UNION ALL SELECT 4, 'energy') r ON r.k = n.n_regionkey", (), ("s_suppkey", "n_regionkey", "risk"), tables=("supplier", "nation")),
     "q_q12_topic_quota": Query(
-        POSTS, (*SCORE, stage(h=sha256("content")), stage(best="row_number() OVER (PARTITION BY h ORDER BY quality DESC, seq)"), stage(where="best = 1"), stage(bucket="CASE WHEN has(content, policy) THEN 'policy' WHEN contains(content, ' | ') THEN 'table' WHEN contains(content, '@') THEN 'contact' WHEN contains(content, '!!') THEN 'heat' ELSE 'other' END"), stage(in_bucket="row_number() OVER (PARTITION BY source, bucket ORDER BY quality DESC, seq)"), stage(pick="row_number() OVER (PARTITION BY source ORDER BY CASE WHEN in_bucket = 1 THEN 0 ELSE 1 END, quality DESC, seq)")),
+        POSTS, (*SCORE, stage(h=sha256("content")), stage(best="row_number() OVER (PARTITION BY h ORDER BY quality DESC, seq)"), stage(where="best = 1"), stage(bucket="CASE WHEN has(content, policy) THEN 'policy' WHEN contains(content, ' | ') THEN 'table' WHEN contains(content, '@') THEN 'contact' WHEN contains(content, '!!') THEN 'heat' ELSE 'other' END"), stage(in_bucket="row_number() OVER (PARTITION BY source, bucket ORDER BY quality DESC, seq)"), stage(where="in_bucket <= 25"), stage(pick="row_number() OVER (PARTITION BY source ORDER BY CASE WHEN in_bucket = 1 THEN 0 ELSE 1 END, quality DESC, seq)")),
         ("seq", "source", "bucket", "CAST(pick AS BIGINT) AS pick"), "pick <= 25", tables=DOCS,
     ),
     "q_q15_category_pick": Query(
@@ -148,7 +179,7 @@ SELECT q.doc_id, q.num, g.num IS NOT NULL AS grounded FROM q LEFT JOIN g ON q.do
     "q_g04_unit_roles": sentences((stage(claim="has(sentence, claim)", evidence=match_re("sentence", "[0-9]"), mechanism="has(sentence, mechanism)", driver="has(sentence, driver)", risk="has(sentence, risk)"), stage(roles="CAST(claim AS INT) + CAST(evidence AS INT) + CAST(mechanism AS INT) + CAST(driver AS INT) + CAST(risk AS INT)")), "claim", "evidence", "mechanism", "driver", "risk", "roles"),
     "q_g07_digest_items": Query(POSTS, (*SCORE, stage(where="action <> 'discard'"), stage(note_id=both("substr({0}, 1, 16)", sha256("content")))), ("seq", "note_id", "source", "published", "round(quality, 4) AS quality"), tables=DOCS),
     "q_a04_pack_select": Query("SELECT doc_id, source, text, doc_id % 2 = 0 AS is_v2, doc_id - doc_id % 2 AS card_id FROM documents", (stage(has_v2="max(CASE WHEN is_v2 THEN 1 ELSE 0 END) OVER (PARTITION BY card_id)"), stage(state="CASE WHEN is_v2 THEN 'v2' WHEN has_v2 = 1 THEN 'covered' WHEN length(text) < 80 THEN 'invalid' ELSE 'actionable' END")), final="SELECT source, state, count(*) AS cards FROM t GROUP BY source, state", tables=DOCS),
-    "q_a06_editorial": Query(POSTS, (*SCORE, stage(role="CASE WHEN has(content, policy) THEN 'policy' WHEN has(content, finance) THEN 'financial' WHEN has(content, strategy) THEN 'strategy' WHEN has(content, product) OR n > 1000 THEN 'business' ELSE 'brief' END"), stage(budget="CASE role WHEN 'policy' THEN 3 WHEN 'financial' THEN 6 WHEN 'strategy' THEN 4 ELSE 3 END", rk="row_number() OVER (PARTITION BY source, role ORDER BY quality DESC, n, seq)")), ("seq", "source", "role", "CAST(rk AS BIGINT) AS rk"), "rk <= budget", tables=DOCS),
+    "q_a06_editorial": Query(POSTS, (*SCORE, stage(role="CASE WHEN has(content, policy) THEN 'policy' WHEN has(content, finance) THEN 'financial' WHEN has(content, strategy) THEN 'strategy' WHEN has(content, product) OR n > 1000 THEN 'business' ELSE 'brief' END"), stage(budget="CASE role WHEN 'policy' THEN 3 WHEN 'financial' THEN 6 WHEN 'strategy' THEN 4 ELSE 3 END", rk="row_number() OVER (PARTITION BY source, role ORDER BY quality DESC, n, seq)"), stage(where="rk <= 6")), ("seq", "source", "role", "CAST(rk AS BIGINT) AS rk"), "rk <= budget", tables=DOCS),
     "q_l03_report_rules": Query(
         "SELECT doc_id, coalesce(text, '') AS text, lower(coalesce(text, '')) AS low FROM documents",
         (stage(**{code: (match_re("low", p) if isinstance(p, str) else p[0]) for code, p in REPORT_RULES.items()}),),

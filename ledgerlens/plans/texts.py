@@ -126,6 +126,15 @@ def theme(name: str, column: str = "content") -> str:
     return f"has({column}, {name})"
 
 
+def dense_refs(key: str, by: str = "source", width: int = 4096) -> str:
+    """(by, key, ref): dense ranks of `key` within `by` over table t, in two steps, so that a frequent `by` isn't one task:
+    ranks within ranges of keys, plus how many keys the ranges before hold."""
+    return f"""WITH d AS (SELECT DISTINCT {by}, {key}, floor({key} / {width}) AS part FROM t),
+c AS (SELECT {by}, part, count(*) AS n FROM d GROUP BY {by}, part),
+o AS (SELECT {by}, part, coalesce(sum(n) OVER (PARTITION BY {by} ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
+SELECT d.{by}, d.{key}, CAST(o.before + row_number() OVER (PARTITION BY d.{by}, d.part ORDER BY d.{key}) AS BIGINT) AS ref FROM d JOIN o ON d.{by} = o.{by} AND d.part = o.part"""
+
+
 #: Claims of low-credit sources are matched to those of better ones about the same topic in the same language.
 CLAIM_SOURCE = (
     """SELECT doc_id, lang, source, CAST(substr(source, 4) AS INT) AS src, text, CAST(doc_id % 60 AS INT) AS day FROM documents""",
@@ -194,7 +203,7 @@ QUERIES: dict[str, Query] = {
     "q_s27_category": posts((stage(category="CASE WHEN has(content, policy) THEN 'notice' WHEN has(content, finance) THEN 'finance' WHEN has(content, event) THEN 'event' WHEN has(content, contact) THEN 'contact' ELSE 'other' END", low_signal="length(content) < 120 OR (terms(content, signal) = 0 AND terms(content, logic) = 0)", stock_reference=match_re("content", "[(][0-9]{6}[)]|[$][A-Z]{1,5}[$]?|[0-9]{6}[.](?:SH|SZ|HK)")),), "category", "low_signal", "stock_reference"),
     "q_s28_jsonp": Query("SELECT event_id, concat('cb(', props, ');') AS payload FROM events", (stage(inner_json=first_re("payload", "^[a-z]+[(](.*)[)];$")), stage(k=("CAST(get_json_object(inner_json, '$.k') AS BIGINT)", "CAST(json_extract_string(inner_json, '$.k') AS BIGINT)"))), ("event_id", "k"), tables=("events",)),
     "q_s30_queries": Query(("SELECT s_suppkey, explode(array(concat(s_name, ' results'), concat(s_name, ' risk'), concat(s_name, ' order'))) AS q FROM supplier", "SELECT s_suppkey, unnest([concat(s_name, ' results'), concat(s_name, ' risk'), concat(s_name, ' order')]) AS q FROM supplier"), (), ("s_suppkey", "q"), tables=("supplier",)),
-    "q_s31_report_choice": posts((stage(year="CAST(2020 + seq % 4 AS INT)", fits="CASE WHEN has(content, policy) THEN 0 ELSE 1 END"), stage(rk="row_number() OVER (PARTITION BY source, year ORDER BY fits, seq)")), "source", "year", where="rk = 1"),
+    "q_s31_report_choice": posts((stage(year="year(published)", fits="CASE WHEN has(content, annual_report) THEN 0 WHEN has(content, policy) OR has(content, finance) THEN 1 ELSE 2 END"), stage(rk="row_number() OVER (PARTITION BY source, year ORDER BY fits, seq)")), "source", "year", where="rk = 1"),
     "q_q01_hard_gate": posts(GATE, "gate"),
     "q_q02_rule_score": posts(SCORE, "round(quality, 4) AS quality"),
     "q_q03_action": posts(SCORE, "action"),
@@ -292,7 +301,14 @@ QUERIES: dict[str, Query] = {
     "q_g05_driver_score": on_sentences((stage(clusters="CAST(has(sentence, driver) AS INT) + CAST(has(sentence, policy) AS INT) + CAST(has(sentence, event) AS INT)", words_found="terms(sentence, driver) + terms(sentence, policy) + terms(sentence, event)"), stage(driver_score="3 * clusters + 2 * words_found")), "CAST(driver_score AS INT) AS driver_score", where="clusters > 0"),
     "q_a02_card_errors": on_sentences((stage(errors="concat_ws(',', CASE WHEN length(sentence) > 500 THEN 'too_long' END, CASE WHEN contains(sentence, '!!') THEN 'noise' END, CASE WHEN contains(sentence, '|') THEN 'table_fragment' END)"),), "errors", where="errors <> ''"),
     "q_a03_excerpt_score": on_sentences((stage(score="CAST(least(10, greatest(0, 5 + CASE WHEN has(sentence, driver) THEN 1 ELSE 0 END + CASE WHEN length(sentence) > 120 THEN 1 ELSE 0 END - CASE WHEN contains(sentence, '!!') THEN 3 ELSE 0 END - CASE WHEN length(sentence) < 40 THEN 1 ELSE 0 END)) AS INT)"),), "score"),
-    "q_a05_snapshot_refs": posts((*SCORE, stage(where="action <> 'discard'"), stage(ref="dense_rank() OVER (PARTITION BY source ORDER BY seq)")), "source", "CAST(ref AS BIGINT) AS ref", "action"),
+    "q_a05_snapshot_refs": Query(
+        POSTS, (*SCORE, stage(where="action <> 'discard'")),
+        final=(
+            f"SELECT x.seq, x.source, r.ref, x.action FROM t x JOIN ({dense_refs('seq')}) r ON x.source = r.source AND x.seq = r.seq",
+            "SELECT seq, source, CAST(dense_rank() OVER (PARTITION BY source ORDER BY seq) AS BIGINT) AS ref, action FROM t",
+        ),
+        tables=DOCS,
+    ),
     "q_a07_incremental": Query(POSTS, (stage(anchor=first_re("content", "(mail[0-9])"), owner="CAST(substr(source, 4) AS INT) % 2 = 0"), stage(where="anchor <> ''")), final="SELECT e.seq, e.anchor FROM t e LEFT JOIN (SELECT DISTINCT anchor FROM t WHERE owner) o ON e.anchor = o.anchor WHERE NOT e.owner AND o.anchor IS NULL", tables=DOCS),
     "q_l01_citations": Query(
         "SELECT doc_id, coalesce(text, '') AS text FROM documents",
