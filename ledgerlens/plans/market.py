@@ -42,6 +42,10 @@ def triggered(stages, *select: str, where=None, final=None) -> Query:
 
 GAPS = (stage(prev_close=f"lag(close) {ind.PREV}"), stage(ratio="close / nullif(prev_close, 0)"), stage(is_gap="coalesce(abs(ratio - 1) > 0.25, false)"))
 
+#: A corporate action on each symbol's first day of a year; some years have none.
+ACTIONS = """a AS (SELECT symbol, ex_date, 0.05 * (year(ex_date) % 3) AS bonus
+  FROM (SELECT o_orderpriority AS symbol, min(CAST(o_orderdate AS DATE)) AS ex_date FROM orders GROUP BY o_orderpriority, year(o_orderdate)) y)"""
+
 QUERIES: dict[str, Query] = {
     "q_b00_bars": bars((), "open", "high", "low", "close", "volume", *r6("amount")),
     "q_b01_price_gaps": bars(GAPS, *r6("prev_close", "close", "ratio"), where="is_gap"),
@@ -52,12 +56,17 @@ QUERIES: dict[str, Query] = {
         ("symbol", "n_gaps", "latest_gap", "round(max_gap, 6) AS max_gap", "n_gaps > 0 AS requires_adjustment", "CASE WHEN n_gaps > 0 THEN 'low' ELSE 'medium' END AS confidence_cap"),
         "rk = 1",
     ),
+    # the actions after each bar: one running sum over bars and actions together; the SQL joins them by date
     "q_b03_exact_adjust": Query(
-        f"""WITH b AS ({BARS}),
-a AS (SELECT symbol, ex_date, row_number() OVER (PARTITION BY symbol ORDER BY ex_date) AS k, 0.05 * (year(ex_date) % 3) AS bonus
-  FROM (SELECT o_orderpriority AS symbol, min(CAST(o_orderdate AS DATE)) AS ex_date FROM orders GROUP BY o_orderpriority, year(o_orderdate)) y),
+        (
+            f"""WITH b AS ({BARS}), {ACTIONS},
+u AS (SELECT symbol, dt, close, CAST(0 AS DOUBLE) AS lf, 0 AS is_action FROM b UNION ALL SELECT symbol, ex_date, NULL, ln(1 + bonus), 1 FROM a),
+r AS (SELECT *, coalesce(sum(lf) OVER (PARTITION BY symbol ORDER BY dt DESC, is_action ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS factor FROM u)
+SELECT symbol, dt, close, close / exp(factor) AS adjusted FROM r WHERE is_action = 0""",
+            f"""WITH b AS ({BARS}), {ACTIONS},
 f AS (SELECT b.symbol, b.dt, coalesce(sum(ln(1 + a.bonus)), 0) AS factor FROM b LEFT JOIN a ON a.symbol = b.symbol AND b.dt < a.ex_date GROUP BY b.symbol, b.dt)
 SELECT b.symbol, b.dt, b.close, b.close / exp(f.factor) AS adjusted FROM b JOIN f ON b.symbol = f.symbol AND b.dt = f.dt""",
+        ),
         (),
         ("symbol", "dt", "close", "round(adjusted, 4) AS adjusted"),
     ),

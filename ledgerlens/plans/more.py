@@ -159,15 +159,26 @@ WHERE rk <= CASE action WHEN 'verified' THEN 6 ELSE 4 END"""
     "q_x06_metric_value": sentences((stage(raw=first_re("sentence", "(?:Version|mail|555-) ?([0-9]+[.]?[0-9]*)"), unit="CASE WHEN contains(sentence, 'Version') THEN 1 ELSE 1000 END"), stage(value="try_cast(nullif(raw, '') AS DOUBLE) * unit")), "value", where="value IS NOT NULL"),
     "q_x09_evidence_pack": Query(SENTENCES, (stage(usage="CASE WHEN has(sentence, policy) THEN 'legal' WHEN contains(sentence, '@') THEN 'contact' WHEN contains(sentence, '|') THEN 'table' WHEN has(sentence, driver) THEN 'narrative' END"), stage(where="usage IS NOT NULL"), stage(n="row_number() OVER (PARTITION BY doc_id, usage ORDER BY pos)"), stage(cap="CASE usage WHEN 'narrative' THEN 3 WHEN 'table' THEN 2 ELSE 1 END"), stage(where="n <= cap"), stage(block_id="concat(usage, '-', CAST(n AS VARCHAR(9)))", slot="row_number() OVER (PARTITION BY doc_id ORDER BY CASE usage WHEN 'legal' THEN 0 WHEN 'contact' THEN 1 WHEN 'table' THEN 2 ELSE 3 END, pos)")), ("doc_id", "block_id", "CAST(slot AS BIGINT) AS slot"), "slot <= 6", tables=DOCS),
     "q_x14_fact_anchor": sentences((stage(nums=all_re("sentence", "[0-9]+(?:[.][0-9]+)?"), cell="CAST(doc_id % 10 AS VARCHAR(9))"), stage(anchored=("exists(nums, x -> abs(CAST(x AS DOUBLE) - CAST(cell AS DOUBLE)) <= 0.5)", "len(list_filter(nums, lambda x: abs(CAST(x AS DOUBLE) - CAST(cell AS DOUBLE)) <= 0.5)) > 0")), stage(where=("size(nums) > 0", "len(nums) > 0"))), "anchored"),
+    # the last sentence as a summary: its numbers and names must come from the sentences before
     "q_x15_fidelity": Query(
         tuple(
             f"""WITH s AS ({SENTENCES[k]}), m AS (SELECT doc_id, max(pos) AS last_pos FROM s GROUP BY doc_id),
-n AS (SELECT s.doc_id, s.pos, s.pos = m.last_pos AS summary, {ex}(regexp_extract_all(sentence, '[0-9]+', 0)) AS num FROM s JOIN m ON s.doc_id = m.doc_id),
-g AS (SELECT DISTINCT doc_id, num FROM n WHERE NOT summary), q AS (SELECT DISTINCT doc_id, num FROM n WHERE summary)
-SELECT q.doc_id, q.num, g.num IS NOT NULL AS grounded FROM q LEFT JOIN g ON q.doc_id = g.doc_id AND q.num = g.num"""
-            for k, ex in ((0, "explode"), (1, "unnest"))
+c AS (SELECT s.doc_id, s.pos, s.sentence, s.pos = m.last_pos AS summary FROM s JOIN m ON s.doc_id = m.doc_id),
+n AS (SELECT doc_id, pos, summary, {numbers}),
+b AS (SELECT doc_id, num, CAST(num AS DOUBLE) AS v, lag(CAST(num AS DOUBLE)) OVER (PARTITION BY doc_id ORDER BY pos, k) AS prev FROM n WHERE NOT summary),
+q AS (SELECT DISTINCT doc_id, num, CAST(num AS DOUBLE) AS v FROM n WHERE summary),
+g AS (SELECT q.doc_id, q.num AS item, max(CASE WHEN q.num = b.num THEN 3 WHEN b.v >= 10000 AND abs(q.v - b.v) <= 0.01 * b.v THEN 2 WHEN b.prev > 0 AND abs(q.v - (b.v / b.prev - 1) * 100) <= 0.5 THEN 1 ELSE 0 END) AS how
+  FROM q LEFT JOIN b ON q.doc_id = b.doc_id GROUP BY q.doc_id, q.num),
+x AS (SELECT doc_id, {names.format('[a-z,;] ')} WHERE summary),
+y AS (SELECT doc_id, {names.format('')} WHERE NOT summary),
+e AS (SELECT DISTINCT x.doc_id, x.name AS item, CASE WHEN y.name IS NULL THEN 0 ELSE 3 END AS how FROM x LEFT JOIN (SELECT DISTINCT doc_id, name FROM y) y ON x.doc_id = y.doc_id AND x.name = y.name)
+SELECT doc_id, 'number' AS kind, item, how FROM g UNION ALL SELECT doc_id, 'name', item, how FROM e"""
+            for k, numbers, names in (
+                (0, "posexplode(regexp_extract_all(sentence, r'[0-9]+(?:[.][0-9]+)?', 0)) AS (k, num) FROM c", "explode(regexp_extract_all(sentence, r'{}([A-Z][A-Za-z]+)', 1)) AS name FROM c"),
+                (1, "unnest(range(len(nums))) AS k, unnest(nums) AS num FROM (SELECT *, regexp_extract_all(sentence, '[0-9]+(?:[.][0-9]+)?') AS nums FROM c) z", "unnest(regexp_extract_all(sentence, '{}([A-Z][A-Za-z]+)', 1)) AS name FROM c"),
+            )
         ),
-        (), ("doc_id", "num", "grounded"), tables=DOCS,
+        (), ("doc_id", "kind", "item", "CASE how WHEN 3 THEN 'stated' WHEN 2 THEN 'rounded' WHEN 1 THEN 'growth' ELSE 'ungrounded' END AS grounding"), tables=DOCS,
     ),
     "q_x18_risk_dedupe": sentences((stage(risk="CASE WHEN has(sentence, abuse) THEN 'conduct' WHEN has(sentence, secret) THEN 'leak' WHEN has(sentence, risk) THEN 'loss' END"), stage(where="risk IS NOT NULL"), stage(r1="row_number() OVER (PARTITION BY doc_id, risk ORDER BY pos)"), stage(where="r1 = 1"), stage(ck=replace_re("lower(sentence)", "[^a-z]+", "")), stage(r2="row_number() OVER (PARTITION BY doc_id, CASE WHEN length(ck) >= 20 THEN substr(ck, 1, 40) ELSE risk END ORDER BY pos)")), "risk", where="r2 = 1"),
     "q_x19_explanations": sentences((stage(reason="terms(sentence, mechanism) + terms(sentence, logic)"), stage(where="reason > 1"), stage(rk="row_number() OVER (PARTITION BY doc_id ORDER BY reason DESC, pos)")), "reason", where="rk <= 3"),
