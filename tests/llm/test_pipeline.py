@@ -59,3 +59,17 @@ def test_run_gives_the_same(spark, tmp_path):
     build(spark, str(tmp_path))
     out = P.run(spark, str(tmp_path))
     assert {"doc_id", "shard", "slot"} <= set(out.columns) and out.count() > 50
+
+
+def test_stages_on_odd_rows_and_empty_tables(spark, odd, empty, tmp_path):
+    """Null ids and texts, empty and very long texts, repeats, clashing columns: no crash, whole rows, the same columns."""
+    spark.createDataFrame([(1, "Hello there, you."), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = {"language_id": {3, 4, None}, "near_duplicates": {1, 3, 4, 5, 6}, "decontaminate": {1, 2, 3, 5, 6}}
+    rows = {tuple(r) for r in odd.collect()}
+    for name, stage in P.STAGES:
+        out = stage(spark, odd, str(tmp_path))
+        got = out.collect()
+        if name != "shard":
+            assert out.columns == odd.columns and {tuple(r) for r in got} <= rows
+        assert name not in kept or {r.doc_id for r in got} == kept[name], name
+        assert stage(spark, empty, str(tmp_path)).count() == 0, name
