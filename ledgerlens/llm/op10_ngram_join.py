@@ -22,8 +22,9 @@ The join finds all pairs of classes whose sets have a Jaccard similarity of 0.8
    of its group in that bucket, never the pairs themselves.
 4. Roots are joined to components over all buckets.
 
-A class is represented by one (id, hash of the raw text), never by an id alone: ids may be null
-or shared by different texts.
+A class is told by the hash of its set, and represented by one (id, hash of the raw text), never by an
+id alone: ids may be null or shared by different texts. Texts are never shuffled, only the sets
+of classes that have a possible partner.
 
 Defined results: null and empty texts, and texts without any word, have no shingles, so no
 links; equal ones form a class. Repeated rows and ties are copies of one class. Ids may be
@@ -188,13 +189,41 @@ def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _checked(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-    """The sets of texts that were fetched for classes."""
-    texts, keys = _texts(batch), batch.column("key").to_pylist()
-    for text, key, tokens in zip(texts, keys, _sets(texts), strict=True):
-        if _key(tokens, text) != key:
-            raise ValueError("a text was fetched for another class")
-        yield tokens
+def _place(key: bytes) -> int:
+    return int.from_bytes(key[:3], "big")
+
+
+def _bitmap(keys: DataFrame) -> np.ndarray:
+    """2^24 bits (2 MB, however many keys there are), those at the places of the keys set."""
+    place = F.conv(F.hex(F.substring("key", 1, 3)), 16, 10).cast("long") + 1
+    rows = keys.select(place.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("bits"))
+    out = np.zeros(1 << 21, np.uint8)
+    for r in rows.collect():  # at most 512
+        out[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _whole_sets(bits):
+    """key, n and tokens of the texts whose class may be wanted, by the bitmap."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["key", "n", "tokens"]
+        for batch in batches:
+            texts = _texts(batch)
+            out, size = [], 0
+            for text, tokens in zip(texts, _sets(texts), strict=True):
+                key = _key(tokens, text)
+                at = _place(key)
+                if tokens.size and bits.value[at >> 3] >> (at & 7) & 1:
+                    out.append((key, tokens.size, tokens.tobytes()))
+                    size += tokens.nbytes
+                if size > 1 << 24:
+                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.binary(), pa.int32(), pa.binary()), strict=True)], names=names)
+                    out, size = [], 0
+            if out:
+                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.binary(), pa.int32(), pa.binary()), strict=True)], names=names)
+
+    return run
 
 
 def _more_paths(more: int):
@@ -203,8 +232,8 @@ def _more_paths(more: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             paths = _Paths()
-            for tokens in _checked(batch):
-                paths.add(tokens, RUNS, more)
+            for (tokens,) in _rows(batch, "tokens"):
+                paths.add(np.frombuffer(tokens, np.uint64), RUNS, more)
             yield pa.record_batch([batch.column("key"), batch.column("n"), batch.column("sketch"), *paths.arrays()], names=["key", "n", "sketch", *(c for c, _ in _PATHS)])
 
     return run
@@ -213,11 +242,11 @@ def _more_paths(more: int):
 def _deeper(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The sub-buckets of each class in the large buckets it is in."""
     for batch in batches:
-        keys, n, hot = (batch.column(c).to_pylist() for c in ("key", "n", "hot"))
         out: list[tuple] = []
-        for i, tokens in enumerate(_checked(batch)):
-            subs, _ = _picked(np.array(hot[i], np.int64).view(np.uint64), tokens, _limit(tokens))
-            out += [(keys[i], n[i], b) for b in subs.view(np.int64).tolist()]
+        for key, n, hot, tokens in _rows(batch, "key", "n", "hot", "tokens"):
+            tokens = np.frombuffer(tokens, np.uint64)
+            subs, _ = _picked(np.array(hot, np.int64).view(np.uint64), tokens, _limit(tokens))
+            out += [(key, n, b) for b in subs.view(np.int64).tolist()]
         cols = list(zip(*out, strict=True)) or [()] * 3
         yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, (pa.binary(), pa.int32(), pa.int64()), strict=True)], names=["key", "n", "bucket"])
 
@@ -285,18 +314,24 @@ _PRUNED_ARROW = pa.schema([("unit", pa.int64()), ("bucket", pa.int64()), ("side"
 _MEMBER_ARROW = pa.schema([*_PRUNED_ARROW, ("tokens", pa.binary())])
 
 
+def _rows(batch: pa.RecordBatch, *columns: str) -> Iterator[tuple]:
+    """Rows as Python values, a few at a time: lists of units or sets in a whole batch may be large."""
+    for lo in range(0, batch.num_rows, 32):
+        part = batch.slice(lo, 32)
+        yield from zip(*(part.column(c).to_pylist() for c in columns), strict=True)
+
+
 def _tokens_of(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row with the whole set for each unit in which a document is to be verified."""
     for batch in batches:
-        keys, units, buckets = (batch.column(c).to_pylist() for c in ("key", "units", "buckets"))
         out, size = [], 0
-        for i, tokens in enumerate(_checked(batch)):
-            for u in units[i]:
-                out.append(u | {"key": keys[i], "buckets": buckets[i], "tokens": tokens.tobytes()})
-                size += tokens.nbytes
-            if size > 1 << 24:
-                yield pa.RecordBatch.from_pylist(out, _MEMBER_ARROW)
-                out, size = [], 0
+        for key, units, buckets, tokens in _rows(batch, "key", "units", "buckets", "tokens"):
+            for u in units:
+                out.append(u | {"key": key, "buckets": buckets, "tokens": tokens})
+                size += len(tokens) + 8 * len(buckets) + 200
+                if size > 1 << 23:
+                    yield pa.RecordBatch.from_pylist(out, _MEMBER_ARROW)
+                    out, size = [], 0
         if out:
             yield pa.RecordBatch.from_pylist(out, _MEMBER_ARROW)
 
@@ -352,19 +387,20 @@ def _agreement(large: DataFrame, classes: DataFrame) -> DataFrame:
     return rows.join(first, "bucket").groupBy("bucket").agg((F.avg(same) / SKETCH).alias("alike"))
 
 
-def find_buckets(classes: DataFrame, texts_of: Callable[[DataFrame], DataFrame], small: int = SMALL) -> tuple[DataFrame, DataFrame, int]:
+def find_buckets(classes: DataFrame, sets_of: Callable[[DataFrame], DataFrame], small: int = SMALL) -> tuple[DataFrame, DataFrame | None, int]:
     """(key, bucket, count, tokens) of the members of all buckets to compare, of two classes or more; the
-    classes that went deeper than the first levels; and the deepest level."""
-    found, hot, deep = [], None, classes.select("key").where("false")
+    sets of classes that went deeper than the first levels, if any did; and the deepest level.
+    `sets_of` gives (key, n, tokens) of the classes of given keys."""
+    found, hot, deep = [], None, None
     level = 1
     while True:
         if level <= LEVELS:
             rows = _level(classes, level, hot)
         else:
             if level == LEVELS + 1:
-                deep = hot.select("key").distinct()
-            paths = hot.groupBy("key", "n").agg(F.collect_list("bucket").alias("hot"))
-            rows = materialize(texts_of(paths).mapInArrow(_deeper, "key binary, n int, bucket long").distinct(), f"rows-{level}")
+                deep = sets_of(hot.select("key").distinct())
+            paths = hot.groupBy("key").agg(F.collect_list("bucket").alias("hot")).join(deep, "key")
+            rows = materialize(paths.mapInArrow(_deeper, "key binary, n int, bucket long").distinct(), f"rows-{level}")
         sizes = rows.groupBy("bucket").agg(F.count("*").alias("count"), F.sum("n").alias("tokens")).where("count > 1")
         members = materialize(rows.join(sizes, "bucket"), f"paths-{level}")
         is_large = ((F.col("count") > small) | (F.col("tokens") > WEIGHT)) & (F.col("count") > 2)
@@ -410,25 +446,26 @@ def _groups(docs: DataFrame, small: int) -> tuple[DataFrame, DataFrame]:
     classes = materialize(classes, "classes")
     live = classes.where("n > 0")
 
-    def texts_of(wanted: DataFrame) -> DataFrame:
-        """`wanted` (key, ...) with the text of each class."""
-        columns = [c for c in wanted.columns if c != "key"]
-        wanted = wanted.join(classes.select("key", F.col("rep.doc_id").alias("_id"), F.col("rep.text_hash").alias("_hash")), "key")
-        # a text belongs to one class, so rows of a null or hot id meet the classes of their own text only
-        texts = pairs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")))
-        return texts.groupBy("key").agg(F.first("text").alias("text"), *(F.first(c).alias(c) for c in columns))
+    def sets_of(keys: DataFrame) -> DataFrame:
+        """(key, n, tokens) of the classes of given keys: the texts are read again, and only the sets
+        that are wanted leave their task."""
+        bits = docs.sparkSession.sparkContext.broadcast(_bitmap(keys))
+        found = pairs.select("text").mapInArrow(_whole_sets(bits), "key binary, n int, tokens binary")
+        found = found.groupBy("key").agg(F.first("n").alias("n"), F.first("tokens").alias("tokens"))
+        return materialize(found.join(keys.select("key"), "key", "left_semi"), "sets")
 
-    members, deep, depth = find_buckets(live, texts_of, small)
+    members, deep, depth = find_buckets(live, sets_of, small)
     more = runs_for(levels=depth) - RUNS
-    if more > 0:
-        again = texts_of(deep.join(live.select("key", "n", "sketch"), "key")).mapInArrow(_more_paths(more), f"key binary, n int, sketch binary, {_PATHS_SQL}")
-        members = members.unionByName(find_buckets(materialize(again, "runs"), texts_of, small)[0])
+    if deep is not None and more > 0:
+        again = deep.join(live.select("key", "sketch"), "key").mapInArrow(_more_paths(more), f"key binary, n int, sketch binary, {_PATHS_SQL}")
+        members = members.unionByName(find_buckets(materialize(again, "runs"), lambda keys: deep, small)[0])
     members = materialize(deal(members, small), "buckets")
     own = members.select("key", "bucket").distinct().groupBy("key").agg(F.sort_array(F.collect_list("bucket")).alias("buckets"))
     seen = members.join(own, "key").join(live.select("key", "n", "sketch"), "key")
     pruned = seen.repartition("unit").sortWithinPartitions("unit").mapInArrow(_prune, _PRUNED)
     wanted = pruned.groupBy("key").agg(F.collect_list(F.struct("unit", "bucket", "side", "lo", "hi")).alias("units"), F.first("buckets").alias("buckets"))
-    whole = texts_of(wanted).mapInArrow(_tokens_of, _PRUNED + ", tokens binary")
+    wanted = materialize(wanted, "wanted")
+    whole = wanted.join(sets_of(wanted).select("key", "tokens"), "key").mapInArrow(_tokens_of, _PRUNED + ", tokens binary")
     found = whole.repartition("unit").sortWithinPartitions("unit").mapInArrow(_verify, "key binary, links long, root binary")
     found = materialize(found, "links")
 
