@@ -16,6 +16,11 @@ from .op07_quality import op7_quality
 from .op08_mixing import op8_mixing
 from .op09_secrets import op9_secrets
 from .op10_ngram_join import op10_ngram_jaccard_join
+from .op11_hard_negatives import ORACLE_SQL as NEGATIVES_SQL
+from .op11_hard_negatives import op11_hard_negatives
+from .op12_collision_search import op12_collision_search
+from .op13_filter_audit import ORACLE_SQL as AUDIT_SQL
+from .op13_filter_audit import op13_filter_audit
 
 QUERIES = {
     "op1_winnowing": op1_winnowing,
@@ -28,8 +33,11 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_secrets": op9_secrets,
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_collision_search": op12_collision_search,
+    "op13_filter_audit": op13_filter_audit,
     "pipeline": pipeline,
 }
-ORACLE_SQL: dict[str, str] = {"op2_license_scan": LICENSE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_license_scan": LICENSE_SQL, "op11_hard_negatives": NEGATIVES_SQL, "op13_filter_audit": AUDIT_SQL}
 if PIPELINE_SQL:
     ORACLE_SQL["pipeline"] = PIPELINE_SQL
