@@ -98,29 +98,31 @@ def cells(rows: DataFrame) -> DataFrame:
     return whole.select("part", "good", "toxic", split.alias("c")).select("part", "good", "toxic", "c.mask", "c.n")
 
 
-def _sign(s: int) -> str:
-    return f"(1 - 2 * (bit_count(mask & {s}) % 2))"
+def _sign(a: str, b: str) -> str:
+    return f"(1 - 2 * (bit_count({a} & {b}) % 2))"
 
 
 def parity_sums(masks: DataFrame) -> DataFrame:
-    """For each part and label the 32 sums w0 .. w31; the sum for set s adds n with the sign of the parity of `mask & s`."""
-    return masks.groupBy("part", "good", "toxic").agg(*(F.sum(F.expr(f"n * {_sign(s)}")).alias(f"w{s}") for s in range(MASKS)))
+    """(part, label, sums) of the labels `all`, `good` and `toxic`: the sum for set s adds n with the sign of the parity of `mask & s`."""
+    label = F.explode(F.array_compact(F.array(F.lit("all"), F.when(F.col("good") == 1, "good"), F.when(F.col("toxic") == 1, "toxic")))).alias("label")
+    sums = (F.sum(F.expr(f"n * {_sign('mask', str(s))}")) for s in range(MASKS))
+    return masks.select("part", "mask", "n", label).groupBy("part", "label").agg(F.array(*sums).alias("sums"))
 
 
 def inverted(sums: DataFrame) -> DataFrame:
-    """(part, good, toxic, cells): how many documents have each mask, by the inverse transform."""
-    signed = (" + ".join(f"w{s}" if bin(s & m).count("1") % 2 == 0 else f"-w{s}" for s in range(MASKS)) for m in range(MASKS))
-    return sums.select("part", "good", "toxic", F.expr(f"array({', '.join(f'({x}) div {MASKS}' for x in signed)})").alias("cells"))
+    """(part, label, cells): how many documents have each mask, by the inverse transform."""
+    every = f"sequence(0, {MASKS - 1})"
+    return sums.select("part", "label", F.expr(f"transform({every}, m -> aggregate({every}, 0L, (x, s) -> x + {_sign('m', 's')} * sums[s]) div {MASKS})").alias("cells"))
 
 
 def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row for each part, order of the filters and step, zeros included."""
     by_label = inverted(parity_sums(cells(labelled(failures(docs), labels))))
-    total = lambda name, on: [F.sum(F.when(F.expr(on), F.col("cells")[m]).otherwise(0)).alias(f"{name}{m}") for m in range(MASKS)]
-    parts = by_label.groupBy("part").agg(*total("a", "true"), *total("g", "good = 1"), *total("t", "toxic = 1"))
-    arrays = [F.array(*(F.col(f"{k}{m}") for m in range(MASKS))).alias(k) for k in "agt"]
+    none = F.array_repeat(F.lit(0).cast("long"), MASKS)
+    of_label = (F.coalesce(F.any_value(F.when(F.col("label") == name, F.col("cells")), True), none).alias(name[0]) for name in ("all", "good", "toxic"))
+    parts = by_label.groupBy("part").agg(*of_label)
     orders = F.array(*(F.lit("".join(p)) for p in permutations(FILTERS)))
-    steps = parts.select("part", *arrays, F.explode(orders).alias("filter_order")).select("*", F.posexplode(F.split("filter_order", "")).alias("_at", "_filter"))
+    steps = parts.select("*", F.explode(orders).alias("filter_order")).select("*", F.posexplode(F.split("filter_order", "")).alias("_at", "_filter"))
     bits = " + ".join(f"IF(instr(substr(filter_order, 1, _at), '{f}') > 0, {1 << i}, 0)" for i, f in enumerate(FILTERS))
     steps = steps.withColumn("_bit", F.expr(f"1 << (ascii(_filter) - {ord(FILTERS[0])})")).withColumn("_before", F.expr(bits))
 
