@@ -38,6 +38,17 @@ LEXICON: dict[str, tuple[str, ...]] = {
     "quarter_report": ("quarterly", "first quarter", "third quarter", "quartal", "trimestriel", "trimestral"),
     "clean_opinion": ("unqualified opinion", "true and fair view", "uneingeschränkter bestätigungsvermerk", "sans réserve", "opinión favorable"),
     "qualified_opinion": ("qualified opinion", "except for", "adverse opinion", "disclaimer of opinion", "eingeschränkt", "avec réserve", "opinión con salvedades"),
+    # the ten topics of consolidated items, in their order
+    "t_results": ("revenue", "net profit", "earnings", "quarterly report", "annual report", "eps", "gross margin", "umsatz", "jahresüberschuss", "gewinn", "chiffre d'affaires", "bénéfice", "ingresos", "beneficio neto"),
+    "t_valuation": ("valuation", "price target", "market cap", "share price", "undervalued", "overvalued", "p/e", "p/b", "bewertung", "kursziel", "valorisation", "objectif de cours", "valoración", "precio objetivo"),
+    "t_substitution": ("import substitution", "domestic substitution", "self-sufficien", "supply independence", "eigenversorgung", "souveraineté", "autosuficiencia"),
+    "t_cycle": ("price increase", "supply and demand", "inventory", "capacity", "upcycle", "preiserhöhung", "lagerbestand", "kapazität", "hausse des prix", "stocks", "subida de precios", "existencias"),
+    "t_technology": ("product launch", "breakthrough", "research and development", "patent", "chip design", "tape-out", "mass production", "produkteinführung", "durchbruch", "brevet", "lancement de produit", "licen"),
+    "t_competition": ("competit", "market share", "industry leader", "moat", "barrier", "wettbewerb", "marktanteil", "concurren", "part de marché", "competencia", "cuota de mercado"),
+    "t_flows": ("net inflow", "institutional holding", "stake increase", "stake reduction", "margin buying", "mittelzufluss", "flux de capitaux", "entrada de capital"),
+    "t_policy": ("subsid", "tariff", "interest rate", "central bank", "federal reserve", "macroeconom", "monetary policy", "zoll", "leitzins", "zentralbank", "droits de douane", "taux d'intérêt", "arancel", "tipo de interés"),
+    "t_orders": ("order intake", "supply chain", "key customer", "contract signed", "customer qualification", "auftragseingang", "lieferkette", "carnet de commandes", "cartera de pedidos"),
+    "t_mood": ("sentiment", "panic", "optimis", "bearish", "bullish", "buy the dip", "sell-off", "shakeout", "retail investor", "stimmung", "panik", "optimisme", "pánico", "worthless", "stupid"),
     # the thirteen groups of required financial metrics
     "m_profit": ("net profit", "profit for the year", "jahresüberschuss", "gewinn", "bénéfice net", "beneficio neto"),
     "m_cash_flow": ("operating cash flow", "cash flow", "mittelzufluss", "flux de trésorerie", "flujo de caja"),
@@ -55,6 +66,7 @@ LEXICON: dict[str, tuple[str, ...]] = {
 }
 #: Figures: decimals, years, per cent, money and units.
 DATA = ("[0-9]+[.,][0-9]+", "(?:19|20)[0-9][0-9]", "[0-9] ?%", "[$€£]|\\b(?:USD|EUR|GBP)\\b|[0-9] ?(?:million|billion|Mio|Mrd|milliard|millones|kg|km|GW|tons)")
+TOPICS = tuple(k for k in LEXICON if k.startswith("t_"))
 METRIC_GROUPS = tuple(k for k in LEXICON if k.startswith("m_"))
 
 _CALL = re.compile(r"\b(has|terms)\((\w+), (\w+)\)")
@@ -70,8 +82,9 @@ def expand(sql: str, spark: bool) -> str:
     def write(m: re.Match) -> str:
         call, column, name = m.groups()
         if spark:  # a loop over the list: written out, the terms of several lists outgrow a compiled method
-            loop = f"array({', '.join(map(_spark_quoted, LEXICON[name]))}), x -> contains(lower({column}), x)"
-            return f"exists({loop})" if call == "has" else f"size(filter({loop}))"
+            loop = f"array({', '.join(map(_spark_quoted, LEXICON[name]))}), x -> contains(low, x)"
+            found = f"exists({loop})" if call == "has" else f"size(filter({loop}))"
+            return f"transform(array(lower({column})), low -> {found})[0]"  # bound to a name, the text is lowered once, not once a term
         found = [f"contains(lower({column}), {_quoted(t)})" for t in LEXICON[name]]
         return "(" + " OR ".join(found) + ")" if call == "has" else "(" + " + ".join(f"CAST({f} AS INT)" for f in found) + ")"
 

@@ -21,7 +21,7 @@ def scratch_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def _written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame) -> DataFrame:
     path = f"{scratch_dir(df.sparkSession)}/ledgerlens-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -33,12 +33,12 @@ def shared_key_groups(pairs: DataFrame, rounds: int = 50) -> DataFrame:
     Each round gives every key the least root of its ids and every id the least root of its keys, so labels
     travel one shared key a round; rounds end when no root changes. Rows with a null key stand alone.
     """
-    known = _written(pairs.where("key IS NOT NULL").select("id", "key").distinct())
+    known = written(pairs.where("key IS NOT NULL").select("id", "key").distinct())
     roots = pairs.select("id", F.col("id").alias("root")).distinct()
     for _ in range(rounds):
         by_key = known.join(roots, "id").groupBy("key").agg(F.min("root").alias("low"))
         lower = known.join(by_key, "key").groupBy("id").agg(F.min("low").alias("low"))
-        after = _written(roots.join(lower, "id", "left").select("id", F.least("root", "low").alias("root"), (F.col("low") < F.col("root")).alias("moved")))
+        after = written(roots.join(lower, "id", "left").select("id", F.least("root", "low").alias("root"), (F.col("low") < F.col("root")).alias("moved")))
         roots = after.select("id", "root")
         if after.where("moved").isEmpty():
             return roots

@@ -39,7 +39,6 @@ QUERIES: dict[str, Query] = {
 coalesce(max(d1) < max(d2) AND max(w2) <= max(w1) * 1.03 AND max(CASE WHEN dt BETWEEN d1 AND d2 THEN close END) >= 1.03 * max(w2), false) AS double_bottom FROM t GROUP BY symbol""",
     ),
     "q_f07_competitor_table": Query(QUOTES, (*VALUED, stage(rk="row_number() OVER (PARTITION BY industry ORDER BY mcap DESC, code)")), ("industry", "CAST(rk AS BIGINT) AS rk", "code", "round(mcap, 4) AS mcap", "round(fwd_pe, 4) AS fwd_pe", "round(ps, 4) AS ps"), "rk <= 8", tables=LI),
-    "q_d11_cross_source": Query(POSTS, (*SCORE, stage(lead=first_re("lower(content)", "^([^ ]+ [^ ]+ [^ ]+ [^ ]+)"))), final="SELECT lead, count(*) AS members, count(DISTINCT source) AS sources FROM t WHERE lead <> '' GROUP BY lead HAVING count(DISTINCT source) > 1 ORDER BY members DESC, lead LIMIT 10", tables=DOCS),
     "q_x08_table_values": Query(LINES, (stage(cells=count_re("line", "[|]"), nums=all_re("line", NUMBER)), stage(where="cells >= 2"), stage(n_nums=("size(nums)", "len(nums)"), name=first_re("line", "^([^|]*)[|]"))), ("doc_id", "CAST(pos AS BIGINT) AS pos", "trim(name) AS name", "CAST(n_nums AS BIGINT) AS n_nums"), tables=DOCS),
     "q_x10_business_metrics": Query(
         LINES, (*HEADS, stage(where="NOT is_head AND line <> ''"), stage(kind="CASE WHEN contains(line, '|') THEN 'segment' WHEN contains(line, '%') THEN 'share' WHEN contains(line, '@') THEN 'customer' WHEN contains(line, '+') THEN 'region' END", nums=count_re("line", NUMBER)), stage(where="kind IS NOT NULL")),

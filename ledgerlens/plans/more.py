@@ -122,7 +122,6 @@ SELECT symbol, {end} AS dt, count(*) AS days, sum(CASE WHEN abs(ratio - 1) > 0.2
         PAGE_ROWS, (*CANONICAL, stage(fp=sha256("html")), stage(r1="row_number() OVER (PARTITION BY coalesce(canonical, fp) ORDER BY source_credit DESC, page_id)"), stage(where="r1 = 1"), stage(r2="row_number() OVER (PARTITION BY fp ORDER BY source_credit DESC, page_id)"), stage(where="r2 = 1"), stage(in_type="row_number() OVER (PARTITION BY source_type ORDER BY source_credit DESC, page_id)")),
         ("page_id", "source_type", "source_credit"), "in_type <= 5", tables=PAGES,
     ),
-    "q_d10_topic_clusters": Query(POSTS, (*SCORE, stage(lead=first_re("lower(content)", "^([^ ]+ [^ ]+ [^ ]+)"))), final="SELECT lang, lead, count(*) AS members, count(DISTINCT source) AS sources, round(max(quality), 4) AS best_quality, min(seq) AS first_seq FROM t WHERE lead <> '' GROUP BY lang, lead HAVING count(*) > 1", tables=DOCS),
     "q_d14_redundant_units": Query(
         # a unit is redundant if a longer one of its document has the same numbers and half of the words
         tuple(

@@ -104,9 +104,9 @@ STRIP: tuple[Stage, ...] = (
 #: Sentences of documents, with their place; a source per tier of credit.
 SENTENCES = (
     """SELECT doc_id, pos, trim(sentence) AS sentence, source, lang, tier_no FROM (
-  SELECT doc_id, source, lang, CAST(substr(source, 4) AS INT) % 4 AS tier_no, posexplode(split(text, '[.!?] ')) AS (pos, sentence) FROM documents) x WHERE length(trim(sentence)) >= 18""",
+  SELECT doc_id, source, lang, TRY_CAST(substr(source, 4) AS INT) % 4 AS tier_no, posexplode(split(text, '[.!?] ')) AS (pos, sentence) FROM documents) x WHERE length(trim(sentence)) >= 18""",
     """SELECT doc_id, pos, trim(sentence) AS sentence, source, lang, tier_no FROM (
-  SELECT doc_id, source, lang, CAST(substr(source, 4) AS INTEGER) % 4 AS tier_no, unnest(range(len(p))) AS pos, unnest(p) AS sentence FROM (SELECT *, regexp_split_to_array(text, '[.!?] ') AS p FROM documents) y) x WHERE length(trim(sentence)) >= 18""",
+  SELECT doc_id, source, lang, TRY_CAST(substr(source, 4) AS INTEGER) % 4 AS tier_no, unnest(range(len(p))) AS pos, unnest(p) AS sentence FROM (SELECT *, regexp_split_to_array(text, '[.!?] ') AS p FROM documents) y) x WHERE length(trim(sentence)) >= 18""",
 )
 
 
@@ -137,8 +137,8 @@ SELECT d.{by}, d.{key}, CAST(o.before + row_number() OVER (PARTITION BY d.{by},
 
 #: Claims of low-credit sources are matched to those of better ones about the same topic in the same language.
 CLAIM_SOURCE = (
-    """SELECT doc_id, lang, source, CAST(substr(source, 4) AS INT) AS src, text, CAST(doc_id % 60 AS INT) AS day FROM documents""",
-    """SELECT doc_id, lang, source, CAST(substr(source, 4) AS INTEGER) AS src, text, CAST(doc_id % 60 AS INTEGER) AS day FROM documents""",
+    """SELECT doc_id, lang, source, TRY_CAST(substr(source, 4) AS INT) AS src, text, CAST(doc_id % 60 AS INT) AS day FROM documents""",
+    """SELECT doc_id, lang, source, TRY_CAST(substr(source, 4) AS INTEGER) AS src, text, CAST(doc_id % 60 AS INTEGER) AS day FROM documents""",
 )
 #: Terms that name one thing, and terms that many texts share.
 SPECIFIC = ("mit license", "apache license", "public license", "cc by", "creative commons", "akia", "+1 (", "api_key", "worthless")
@@ -211,7 +211,7 @@ QUERIES: dict[str, Query] = {
     "q_q06_featured": posts((*FLAGS, stage(cut="contains(both_texts, '...')"), stage(featured="(cut AND data_kinds > 0 AND logic_words > 0) OR (n >= 80 AND likes + comments > 5)")), "featured"),
     "q_q07_content_score": posts((*FLAGS, stage(score="CAST(CASE WHEN contains(both_texts, '...') THEN 3 ELSE 0 END + CASE WHEN data_kinds > 0 THEN 2 ELSE 0 END + CASE WHEN logic_words > 0 THEN 2 ELSE 0 END + CASE WHEN key_words > 0 THEN 1 ELSE 0 END + CASE WHEN likes + comments > 20 THEN 2 WHEN likes + comments > 10 THEN 1 WHEN likes + comments > 3 THEN 0.5 ELSE 0 END + least(n / 100.0, 3.0) AS DOUBLE)")), "round(score, 4) AS score"),
     "q_q08_funnel": posts((*SCORE, stage(age=("datediff(DATE '2025-06-01', published)", "datediff('day', published, DATE '2025-06-01')"), ttl="CASE WHEN has(content, policy) THEN 180 WHEN contains(content, ' | ') THEN 90 WHEN n > 2000 THEN 60 ELSE 14 END"), stage(level="CASE WHEN age > 365 OR age < 0 THEN 'L1_old' WHEN quality < 30 THEN 'L2_poor' WHEN age > ttl THEN 'L3_expired' ELSE 'kept' END")), "CAST(age AS INT) AS age", "ttl", "level"),
-    "q_q09_web_score": posts((*FLAGS, stage(relevance="least(25, title_words * 10 + logic_words * 2)", credibility="CAST(substr(source, 4) AS INT) % 26", evidence="least(20, data_kinds * 5)", substance="least(20, CAST(floor(n / 100) AS INT))", engagement="least(10, CAST(floor(interaction / 10) AS INT))"), stage(total="relevance + credibility + evidence + substance + engagement"), stage(verdict="CASE WHEN credibility >= 13 THEN CASE WHEN total >= 60 THEN 'keep' WHEN total >= 35 THEN 'demote' ELSE 'drop' END ELSE CASE WHEN total >= 50 THEN 'keep' WHEN total >= 30 THEN 'demote' ELSE 'drop' END END")), "CAST(total AS INT) AS total", "verdict"),
+    "q_q09_web_score": posts((*FLAGS, stage(relevance="least(25, title_words * 10 + logic_words * 2)", credibility="TRY_CAST(substr(source, 4) AS INT) % 26", evidence="least(20, data_kinds * 5)", substance="least(20, CAST(floor(n / 100) AS INT))", engagement="least(10, CAST(floor(interaction / 10) AS INT))"), stage(total="relevance + credibility + evidence + substance + engagement"), stage(verdict="CASE WHEN credibility >= 13 THEN CASE WHEN total >= 60 THEN 'keep' WHEN total >= 35 THEN 'demote' ELSE 'drop' END ELSE CASE WHEN total >= 50 THEN 'keep' WHEN total >= 30 THEN 'demote' ELSE 'drop' END END")), "CAST(total AS INT) AS total", "verdict"),
     "q_q10_portal_page": pages((*STRIP, stage(links=count_re("html", "<a "), blocks=count_re("html", "<p>"), title=first_re("html", "<title>([^<]*)")), stage(portal="(CASE WHEN links > 0.5 * greatest(blocks, 1) THEN 1 ELSE 0 END + CASE WHEN length(plain) / greatest(blocks, 1) < 40 THEN 1 ELSE 0 END + CASE WHEN contains(html, '<nav>') AND contains(html, '<footer>') THEN 1 ELSE 0 END + CASE WHEN length(title) < 8 THEN 1 ELSE 0 END) >= 2")), "portal"),
     "q_q11_topics": posts((stage(**{f"is_{k}": theme(w) for k, w in THEMES.items()}), stage(topics="concat_ws(',', CASE WHEN is_growth THEN 'growth' END, CASE WHEN is_risk THEN 'risk' END, CASE WHEN is_policy THEN 'policy' END, CASE WHEN is_finance THEN 'finance' END)")), "CASE WHEN topics = '' THEN 'sentiment_only' ELSE topics END AS topics"),
     "q_q13_attempts": Query(POSTS, (*FLAGS, stage(h=sha256("content")), stage(dup="row_number() OVER (PARTITION BY h ORDER BY seq)"), stage(drop_reason="CASE WHEN n < 80 THEN 'too_short' WHEN dup > 1 THEN 'duplicate' WHEN interaction < 5 THEN 'no_interaction' END")), final="SELECT source, count(*) AS attempts, count(drop_reason) AS dropped, count(drop_reason) > 0.4 * count(*) AS refill FROM t GROUP BY source", tables=DOCS),
@@ -309,7 +309,7 @@ QUERIES: dict[str, Query] = {
         ),
         tables=DOCS,
     ),
-    "q_a07_incremental": Query(POSTS, (stage(anchor=first_re("content", "(mail[0-9])"), owner="CAST(substr(source, 4) AS INT) % 2 = 0"), stage(where="anchor <> ''")), final="SELECT e.seq, e.anchor FROM t e LEFT JOIN (SELECT DISTINCT anchor FROM t WHERE owner) o ON e.anchor = o.anchor WHERE NOT e.owner AND o.anchor IS NULL", tables=DOCS),
+    "q_a07_incremental": Query(POSTS, (stage(anchor=first_re("content", "(mail[0-9])"), owner="TRY_CAST(substr(source, 4) AS INT) % 2 = 0"), stage(where="anchor <> ''")), final="SELECT e.seq, e.anchor FROM t e LEFT JOIN (SELECT DISTINCT anchor FROM t WHERE owner) o ON e.anchor = o.anchor WHERE NOT e.owner AND o.anchor IS NULL", tables=DOCS),
     "q_l01_citations": Query(
         "SELECT doc_id, coalesce(text, '') AS text FROM documents",
         (
