@@ -39,11 +39,6 @@ QUERIES: dict[str, Query] = {
 coalesce(max(d1) < max(d2) AND max(w2) <= max(w1) * 1.03 AND max(CASE WHEN dt BETWEEN d1 AND d2 THEN close END) >= 1.03 * max(w2), false) AS double_bottom FROM t GROUP BY symbol""",
     ),
     "q_f07_competitor_table": Query(QUOTES, (*VALUED, stage(rk="row_number() OVER (PARTITION BY industry ORDER BY mcap DESC, code)")), ("industry", "CAST(rk AS BIGINT) AS rk", "code", "round(mcap, 4) AS mcap", "round(fwd_pe, 4) AS fwd_pe", "round(ps, 4) AS ps"), "rk <= 8", tables=LI),
-    "q_x08_table_values": Query(LINES, (stage(cells=count_re("line", "[|]"), nums=all_re("line", NUMBER)), stage(where="cells >= 2"), stage(n_nums=("size(nums)", "len(nums)"), name=first_re("line", "^([^|]*)[|]"))), ("doc_id", "CAST(pos AS BIGINT) AS pos", "trim(name) AS name", "CAST(n_nums AS BIGINT) AS n_nums"), tables=DOCS),
-    "q_x10_business_metrics": Query(
-        LINES, (*HEADS, stage(where="NOT is_head AND line <> ''"), stage(kind="CASE WHEN contains(line, '|') THEN 'segment' WHEN contains(line, '%') THEN 'share' WHEN contains(line, '@') THEN 'customer' WHEN contains(line, '+') THEN 'region' END", nums=count_re("line", NUMBER)), stage(where="kind IS NOT NULL")),
-        final="SELECT doc_id, section, kind, count(*) AS line_count, CAST(sum(nums) AS BIGINT) AS numbers FROM t GROUP BY doc_id, section, kind", tables=DOCS,
-    ),
     "q_x12_financial_metrics": Query(
         SENTENCES,
         (
@@ -58,7 +53,6 @@ coalesce(max(d1) < max(d2) AND max(w2) <= max(w1) * 1.03 AND max(CASE WHEN dt BE
         tables=DOCS,
     ),
     "q_x16_project_evidence": sentences((stage(bucket="CASE WHEN has(sentence, product) THEN 'model' WHEN has(sentence, status) THEN 'status' WHEN has(sentence, driver) OR has(sentence, peer) THEN 'chain' END", context="terms(sentence, signal) + terms(sentence, logic)"), stage(where="bucket IS NOT NULL AND context > 0")), "bucket", "context"),
-    "q_x26_scaled_cells": sentences((stage(nums=all_re("sentence", "[0-9]+")), stage(nums=("filter(nums, x -> length(x) >= 3)", "list_filter(nums, lambda x: length(x) >= 3)")), stage(current=("get(nums, 0)", "nums[1]"), prior=("get(nums, 1)", "nums[2]")), stage(where="current IS NOT NULL"), stage(thousands="CAST(current AS DOUBLE) / 1000", change="CASE WHEN CAST(prior AS DOUBLE) > 0 THEN round(CAST(current AS DOUBLE) / CAST(prior AS DOUBLE) - 1, 6) END")), "thousands", "change"),
     "q_x27_snippets": Query(
         tuple(
             f"SELECT doc_id, trim(s) AS snippet FROM (SELECT doc_id, {e} AS s FROM documents) x"

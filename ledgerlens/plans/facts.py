@@ -160,7 +160,5 @@ FROM (SELECT *, lag(value) OVER w AS prev, report_year - lag(report_year) OVER w
         "flags <> ''",
         tables=(*TABLES, "orders"),
     ),
-    "q_x11_value_cells": facts((stage(cell="concat(CAST(CAST(revenue / 10000 AS DECIMAL(20,2)) AS VARCHAR(40)), ' x10k')"), stage(normalized="CAST(regexp_extract(cell, '^(-?[0-9.]+)', 1) AS DECIMAL(20,2))")), *dbl("normalized")),
     "q_x13_risk_ratios": facts((stage(**{name: pct(num, den) for name, (num, den) in RATIOS.items()}),), *RATIOS),
-    "q_x25_sanitize": facts((stage(share="(CAST(report_year AS INT) * 37) % 130 - 10"), stage(clean="CASE WHEN share BETWEEN 0 AND 100 THEN share END")), "CAST(clean AS INT) AS clean"),
 }

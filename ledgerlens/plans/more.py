@@ -155,7 +155,6 @@ WHERE rk <= CASE action WHEN 'verified' THEN 6 ELSE 4 END"""
     ),
     "q_x03_sections": Query(LINES, HEADS, final="SELECT doc_id, section, max(heading) AS heading, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM t GROUP BY doc_id, section", tables=DOCS),
     "q_x05_observations": sentences((stage(kind="CASE WHEN has(sentence, risk) THEN 'risk' WHEN has(sentence, plan) OR has(sentence, policy) THEN 'plan' WHEN has(sentence, structure) THEN 'structure' END", rank_score="terms(sentence, signal)"), stage(where="kind IS NOT NULL"), stage(rk="row_number() OVER (PARTITION BY doc_id, kind ORDER BY rank_score DESC, pos)")), "kind", where="rk <= 3"),
-    "q_x06_metric_value": sentences((stage(raw=first_re("sentence", "(?:Version|mail|555-) ?([0-9]+[.]?[0-9]*)"), unit="CASE WHEN contains(sentence, 'Version') THEN 1 ELSE 1000 END"), stage(value="try_cast(nullif(raw, '') AS DOUBLE) * unit")), "value", where="value IS NOT NULL"),
     "q_x09_evidence_pack": Query(SENTENCES, (stage(usage="CASE WHEN has(sentence, policy) THEN 'legal' WHEN contains(sentence, '@') THEN 'contact' WHEN contains(sentence, '|') THEN 'table' WHEN has(sentence, driver) THEN 'narrative' END"), stage(where="usage IS NOT NULL"), stage(n="row_number() OVER (PARTITION BY doc_id, usage ORDER BY pos)"), stage(cap="CASE usage WHEN 'narrative' THEN 3 WHEN 'table' THEN 2 ELSE 1 END"), stage(where="n <= cap"), stage(block_id="concat(usage, '-', CAST(n AS VARCHAR(9)))", slot="row_number() OVER (PARTITION BY doc_id ORDER BY CASE usage WHEN 'legal' THEN 0 WHEN 'contact' THEN 1 WHEN 'table' THEN 2 ELSE 3 END, pos)")), ("doc_id", "block_id", "CAST(slot AS BIGINT) AS slot"), "slot <= 6", tables=DOCS),
     "q_x14_fact_anchor": sentences((stage(nums=all_re("sentence", "[0-9]+(?:[.][0-9]+)?"), cell="CAST(doc_id % 10 AS VARCHAR(9))"), stage(anchored=("exists(nums, x -> abs(CAST(x AS DOUBLE) - CAST(cell AS DOUBLE)) <= 0.5)", "len(list_filter(nums, lambda x: abs(CAST(x AS DOUBLE) - CAST(cell AS DOUBLE)) <= 0.5)) > 0")), stage(where=("size(nums) > 0", "len(nums) > 0"))), "anchored"),
     # the last sentence as a summary: its numbers and names must come from the sentences before
@@ -183,7 +182,6 @@ SELECT doc_id, 'number' AS kind, item, how FROM g UNION ALL SELECT doc_id, 'name
     "q_x19_explanations": sentences((stage(reason="terms(sentence, mechanism) + terms(sentence, logic)"), stage(where="reason > 1"), stage(rk="row_number() OVER (PARTITION BY doc_id ORDER BY reason DESC, pos)")), "reason", where="rk <= 3"),
     "q_x22_statement_lines": Query(LINES, (stage(nums=count_re("line", "[0-9]+(?:[.][0-9]+)?")), stage(where="nums >= 2"), stage(first_num=first_re("line", "([0-9]+(?:[.][0-9]+)?)"), unit_rank="CASE WHEN contains(line, '%') THEN 0 WHEN contains(line, '=') THEN 1 ELSE 2 END"), stage(rk="row_number() OVER (PARTITION BY doc_id ORDER BY unit_rank, pos)")), ("doc_id", "CAST(pos AS BIGINT) AS pos", "first_num"), "rk = 1", tables=DOCS),
     "q_x23_largest_amount": Query("SELECT doc_id, text FROM documents", (stage(nums=all_re("text", "[0-9]+")), stage(largest=("array_max(transform(nums, x -> CAST(x AS DOUBLE)))", "list_max(list_transform(nums, lambda x: CAST(x AS DOUBLE)))"))), ("doc_id", "largest"), "largest IS NOT NULL", tables=DOCS),
-    "q_x24_table_rows": Query(LINES, (stage(cells=count_re("line", "[|]")), stage(where="cells >= 2"), stage(label=first_re("line", "^([^|]*)[|]"), second=first_re("line", "^[^|]*[|]([^|]*)")), stage(rk="row_number() OVER (PARTITION BY doc_id, label ORDER BY pos)")), ("doc_id", "trim(label) AS label", "trim(second) AS second", "CAST(cells AS BIGINT) AS cells"), "rk = 1", tables=DOCS),
     "q_e10_preview": Query(PAGE_ROWS, (*CANONICAL, stage(k="coalesce(canonical, url)"), stage(rk="row_number() OVER (PARTITION BY k ORDER BY page_id)"), stage(where="rk = 1"), stage(n="row_number() OVER (PARTITION BY domain ORDER BY page_id)")), ("page_id", "domain"), "n <= 10", tables=PAGES),
     "q_g02_section_candidates": Query(LINES, (*HEADS, stage(where="is_head"), stage(next_pos="lead(pos) OVER (PARTITION BY doc_id ORDER BY pos)")), ("doc_id", "heading", "CAST(pos AS BIGINT) AS pos", "CAST(coalesce(next_pos - pos, 20) AS BIGINT) AS span"), tables=DOCS),
     "q_g04_unit_roles": sentences((stage(claim="has(sentence, claim)", evidence=match_re("sentence", "[0-9]"), mechanism="has(sentence, mechanism)", driver="has(sentence, driver)", risk="has(sentence, risk)"), stage(roles="CAST(claim AS INT) + CAST(evidence AS INT) + CAST(mechanism AS INT) + CAST(driver AS INT) + CAST(risk AS INT)")), "claim", "evidence", "mechanism", "driver", "risk", "roles"),
