@@ -8,9 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import anchors
 from ..operators import filings as read
-from ..sources.filings import CELLS, CUSTOMERS, REVENUE, VENDORS
+from ..sources.filings import CELLS, COST, CUSTOMERS, GROSS, HOMES, REVENUE, TABLES, VENDORS
 from ..sources.filings import filings
+from .stages import _named
 
 METRICS = read.FORMS["metrics"][0]
 PRODUCTS = 6
@@ -57,8 +59,25 @@ def q_x06_metric_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.growth_of(filings(spark, sf_dir), {k: (v,) for k, v in REVENUE.items()}).select("doc_id", "value", "growth")
 
 
+#: A company's facts as a data service delivers them: millions with two decimals, pieces as they are. In ten-thousandths.
+_FACTS = tuple(
+    f"""SELECT concat(company, '-', report_year) AS doc_id, metric, lang, CASE WHEN metric = 'made' THEN v * 10000 ELSE CAST(round(v * u / 1000000.0) AS BIGINT) * 100000000 END AS value, CASE WHEN metric = 'made' THEN 5000 ELSE 50000000 END AS tolerance
+FROM (SELECT company, lang, report_year, metric, CASE metric WHEN 'revenue' THEN revenue WHEN 'cost' THEN -cost WHEN 'gross' THEN revenue - cost ELSE made END AS v, CASE WHEN lang = 'zh' THEN 1 ELSE 1000 END AS u
+  FROM ({cells}) c {many} WHERE section = 'whole') f"""
+    for cells, many in ((CELLS[0], "LATERAL VIEW explode(array('revenue', 'cost', 'gross', 'made')) m AS metric"), (CELLS[1], "CROSS JOIN (SELECT unnest(['revenue', 'cost', 'gross', 'made']) AS metric) m"))
+)
+_MADE = {"en": "Production", "de": "Produktion", "fr": "Production", "es": "Producción", "zh": "生产量"}
+
+
+def q_x14_fact_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
+    facts = spark.sql(_named(_FACTS[0], frames), **frames).select("doc_id", "metric", "value", F.col("tolerance").cast("long").alias("tolerance"), F.lit("").alias("digits"))
+    labels = {k: {"revenue": REVENUE[k], "cost": COST[k], "gross": GROSS[k], "made": _MADE[k]} for k in HOMES.values()}
+    return anchors.anchored(facts, anchors.text_amounts(filings(spark, sf_dir), labels)).select("doc_id", "metric", "value", "status", "part", "amount")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (q_x24_table_rows, q_x10_business_metrics, q_x08_table_values, q_x11_value_cells, q_x25_sanitize, q_x26_scaled_cells, q_x06_metric_value)
+    f.__name__: f for f in (q_x24_table_rows, q_x10_business_metrics, q_x08_table_values, q_x11_value_cells, q_x25_sanitize, q_x26_scaled_cells, q_x06_metric_value, q_x14_fact_anchor)
 }
 
 _UNIT = "CASE WHEN lang = 'zh' THEN 1 ELSE 1000 END"
@@ -77,7 +96,13 @@ _FIVE = " UNION ALL ".join(
     for m, e, w in (("top_five_amount", f"five * {_UNIT} / 100.0", "five > 0"), ("top_five_share", "five_share / 100.0", "true"), ("largest_amount", f"one * {_UNIT} / 100.0", "one > 0"), ("largest_share", "one_share / 100.0", "true"),
         ("related_amount", "0", "lang IN ('en', 'zh')"), ("related_share", "0", "lang IN ('en', 'zh', 'de')"))
 )
+#: What the filing prints beside the label, in ten-thousandths; Chinese filings don't name what was made, and only Spanish ones print it as a whole.
+_PRINTED_FACT = "CASE metric WHEN 'revenue' THEN revenue WHEN 'cost' THEN -cost WHEN 'gross' THEN revenue - cost ELSE CASE WHEN lang = 'es' THEN made * 100 END END * CASE WHEN metric = 'made' OR lang = 'zh' THEN 100 ELSE 100000 END"
 ORACLE_SQL = {
+    "q_x14_fact_anchor": f"""WITH f AS ({_FACTS[1]}), p AS (SELECT {_DOC}, m.metric, lang, {_PRINTED_FACT} AS printed FROM ({CELLS[1]}) c CROSS JOIN (SELECT unnest(['revenue', 'cost', 'gross', 'made']) AS metric) m WHERE section = 'whole'),
+j AS (SELECT f.*, p.printed, p.printed IS NOT NULL AND abs(f.value - p.printed) <= f.tolerance AS hit FROM f JOIN p ON f.doc_id = p.doc_id AND f.metric = p.metric)
+SELECT doc_id, metric, CAST(value AS BIGINT) AS value, CASE WHEN hit THEN 'anchored' WHEN metric = 'made' AND lang = 'zh' THEN 'no_label' ELSE 'no_amount' END AS status,
+  CASE WHEN hit THEN CASE WHEN metric = 'made' THEN 'stock' ELSE 'statement' END END AS part, CASE WHEN hit THEN CAST(printed AS BIGINT) END AS amount FROM j""",
     "q_x24_table_rows": f"SELECT doc_id, section, label, {', '.join(f'CAST({m} AS DOUBLE) AS {m}' for m in METRICS)} FROM ({_ROWS}) r",
     "q_x10_business_metrics": f"SELECT * FROM ({_LONG} UNION ALL {_STOCK} UNION ALL {_FIVE}) x WHERE value IS NOT NULL",
     "q_x08_table_values": f"""SELECT r.doc_id, label, CAST(revenue AS DOUBLE) AS revenue, CAST(cost AS DOUBLE) AS cost, gross_margin, revenue_yoy, margin_delta,

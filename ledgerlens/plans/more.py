@@ -156,7 +156,6 @@ WHERE rk <= CASE action WHEN 'verified' THEN 6 ELSE 4 END"""
     "q_x03_sections": Query(LINES, HEADS, final="SELECT doc_id, section, max(heading) AS heading, count(*) AS lines, CAST(sum(length(line)) AS BIGINT) AS chars FROM t GROUP BY doc_id, section", tables=DOCS),
     "q_x05_observations": sentences((stage(kind="CASE WHEN has(sentence, risk) THEN 'risk' WHEN has(sentence, plan) OR has(sentence, policy) THEN 'plan' WHEN has(sentence, structure) THEN 'structure' END", rank_score="terms(sentence, signal)"), stage(where="kind IS NOT NULL"), stage(rk="row_number() OVER (PARTITION BY doc_id, kind ORDER BY rank_score DESC, pos)")), "kind", where="rk <= 3"),
     "q_x09_evidence_pack": Query(SENTENCES, (stage(usage="CASE WHEN has(sentence, policy) THEN 'legal' WHEN contains(sentence, '@') THEN 'contact' WHEN contains(sentence, '|') THEN 'table' WHEN has(sentence, driver) THEN 'narrative' END"), stage(where="usage IS NOT NULL"), stage(n="row_number() OVER (PARTITION BY doc_id, usage ORDER BY pos)"), stage(cap="CASE usage WHEN 'narrative' THEN 3 WHEN 'table' THEN 2 ELSE 1 END"), stage(where="n <= cap"), stage(block_id="concat(usage, '-', CAST(n AS VARCHAR(9)))", slot="row_number() OVER (PARTITION BY doc_id ORDER BY CASE usage WHEN 'legal' THEN 0 WHEN 'contact' THEN 1 WHEN 'table' THEN 2 ELSE 3 END, pos)")), ("doc_id", "block_id", "CAST(slot AS BIGINT) AS slot"), "slot <= 6", tables=DOCS),
-    "q_x14_fact_anchor": sentences((stage(nums=all_re("sentence", "[0-9]+(?:[.][0-9]+)?"), cell="CAST(doc_id % 10 AS VARCHAR(9))"), stage(anchored=("exists(nums, x -> abs(CAST(x AS DOUBLE) - CAST(cell AS DOUBLE)) <= 0.5)", "len(list_filter(nums, lambda x: abs(CAST(x AS DOUBLE) - CAST(cell AS DOUBLE)) <= 0.5)) > 0")), stage(where=("size(nums) > 0", "len(nums) > 0"))), "anchored"),
     # the last sentence as a summary: its numbers and names must come from the sentences before
     "q_x15_fidelity": Query(
         tuple(
