@@ -194,8 +194,6 @@ REPORTS = "SELECT doc_id, text, CAST(doc_id % 5 AS INT) AS body_refs, CAST(doc_i
 
 QUERIES: dict[str, Query] = {
     "q_s12_platform_of_url": pages((stage(host=host("url")), stage(platform="CASE WHEN contains(host, 'blog.') THEN 'blog' WHEN starts_with(host, 'm.') THEN 'mobile' WHEN starts_with(host, 'www.') THEN 'web' ELSE 'other' END")), "host", "platform"),
-    "q_s19_list_rows": pages((stage(links=count_re("html", "<a href=\"[^\"]*\">[^<]*</a>"), first_link=first_re("html", "<a href=\"([^\"]*)\">[^<]*</a>"), first_text=first_re("html", "<a href=\"[^\"]*\">([^<]*)</a>")), stage(first_url="CASE WHEN first_link <> '' AND starts_with(first_link, '/') THEN concat('https://example.org', first_link) ELSE first_link END"),), "CAST(links AS BIGINT) AS links", "first_url", "first_text"),
-    "q_s20_detail": pages((stage(a=first_re("html", "<article>(.*)</article>"), h=first_re("html", "<h1>([^<]*)</h1>")), stage(paragraphs=count_re("a", "<p>"), title="h")), "title", "CAST(paragraphs AS BIGINT) AS paragraphs", "CAST(length(a) AS BIGINT) AS body_chars"),
     "q_s21_html_clean": pages(STRIP, both("{0} AS plain_sha", sha256("plain")), "CAST(length(plain) AS BIGINT) AS plain_chars"),
     "q_s23_interactions": Query("SELECT doc_id, concat('likes ', CAST(doc_id * 7 % 100 AS VARCHAR(9)), ' comments ', CAST(doc_id % 30 AS VARCHAR(9)), CASE WHEN doc_id % 3 = 0 THEN '' ELSE ' reposts 4' END) AS line FROM documents", (stage(likes="CAST(nullif(regexp_extract(line, 'likes ([0-9]+)', 1), '') AS INT)", comments="CAST(nullif(regexp_extract(line, 'comments ([0-9]+)', 1), '') AS INT)", reposts="CAST(nullif(regexp_extract(line, 'reposts ([0-9]+)', 1), '') AS INT)"),), ("doc_id", "likes", "comments", "reposts"), tables=DOCS),
     "q_s25_intake_status": Query(POSTS, FLAGS, final="SELECT source, count(*) AS items, CASE WHEN count(*) = 0 THEN 'empty' WHEN sum(interaction) < 1000 THEN 'partial' ELSE 'ok' END AS status FROM t GROUP BY source", tables=DOCS),
