@@ -152,8 +152,10 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, clusters: int = CLUST
         return None
     per_language = min(per_language, TRAIN_ROWS // len(sizes))
     share = F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(1.0, per_language / n))])
-    luck = F.pmod(F.xxhash64(F.lit("train"), F.col("doc_id")), F.lit(1_000_000)) / 1_000_000
-    sample = usable.where(luck < share[F.col("lang")]).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text")
+    # by id and text, so that the rows of one id are drawn one by one; repeats of a row count once, and chance may not go beyond the bound
+    luck = F.pmod(F.xxhash64(F.lit("train"), F.col("doc_id"), F.col("text")), F.lit(1_000_000)) / 1_000_000
+    sample = usable.where(luck < share[F.col("lang")]).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").dropDuplicates()
+    sample = sample.orderBy(F.xxhash64("text", "doc_id")).limit(TRAIN_ROWS + TRAIN_ROWS // 4)
     got = sample.mapInArrow(_train_rows, "doc_id long, lang string, n long, at binary, tf binary").collect()
     rows = sorted(got, key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"] or 0, r["n"], bytes(r["at"])))
     if not rows:

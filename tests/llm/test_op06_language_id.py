@@ -97,3 +97,20 @@ def test_odd_and_empty(spark, odd, empty):
     assert M.fit(empty) is None and M.identify(empty, None).count() == 0
     assert {r.lang_pred for r in M.identify(odd, None).collect()} == {"und"}
     assert M.keep_identified(odd, None).count() == 0
+
+
+def test_a_hot_id_neither_fills_nor_empties_the_sample(spark, monkeypatch):
+    """A third of the rows under one id, and a text that is there a thousand times, leave the bound and the languages alone."""
+    from ledgerlens.llm import op06_language_id as op
+
+    monkeypatch.setattr(op, "TRAIN_ROWS", 400)
+    seen = []
+    learn = op._cluster
+    monkeypatch.setattr(op, "_cluster", lambda x, k: (seen.append(len(x)), learn(x, k))[1])
+    words = {"en": "the of and with that from", "de": "der die und mit nicht auch"}
+    text = lambda lang, i: " ".join(words[lang].split()[j % 6] + "aeiou"[(i * j) % 5] for j in range(30)) + f" {i}"
+    hot = next(i for i in range(1, 100) if not spark.range(1).select(op.held_out(op.F.lit(i))).first()[0])
+    rows = [(hot, text("en", i), "en", "a", 0) for i in range(1500)] + [(1000 + i, text("de", i), "de", "a", 0) for i in range(1500)] + [(None, text("en", i), "en", "a", 0) for i in range(500)] + [(7, text("de", 3), "de", "a", 0)] * 1000
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    assert op.fit(df, per_language=200).languages == ["de", "en"]
+    assert sum(seen) <= 500 and min(seen) >= 50

@@ -79,3 +79,15 @@ def test_training_passages_are_bounded_and_scoring_reads_all(spark, monkeypatch)
         z = sum(w * v for w, v in zip(a / a.sum(), h, strict=True))
         assert len(feats) == max(1, -(-len(text) // M.PASSAGE))
         assert abs(float(M._sigmoid(z @ model.p["c"] + model.p["b"])[0]) - float(model.score(feats, starts)[0])) < 1e-6
+
+
+def test_a_hot_id_gives_a_few_texts(spark, monkeypatch):
+    from ledgerlens.llm import op07_quality as op
+
+    hot = next(i for i in range(1, 100) if not spark.range(1).select(op.held_out(op.F.lit(i))).first()[0])
+    docs = spark.createDataFrame([(hot, f"text number {i} of the hot id", "en", "a", 0) for i in range(600)] + [(1000 + i, f"other text {i}", "en", "a", 0) for i in range(300)], "doc_id long, text string, lang string, source string, n_chars long").repartition(4)
+    labels = spark.createDataFrame([(hot, 1, 0)] * 50 + [(1000 + i, i % 2, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    bags = []
+    monkeypatch.setattr(op, "learn", lambda b, y: bags.extend(b))
+    op.fit(docs, labels)
+    assert op.TEXTS_OF_ID < len(bags) <= 300 + op.TEXTS_OF_ID
