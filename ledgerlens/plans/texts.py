@@ -248,8 +248,6 @@ QUERIES: dict[str, Query] = {
     "q_c05_credit_tier": Query(CLAIM_SOURCE, CLAIMS, ("doc_id", "credit", "claim_tier"), "claim_tier <> 'low'", tables=DOCS),
     "q_c07_verify": Query(CLAIM_SOURCE, CLAIMS, final=VERIFY, tables=DOCS),
     "q_c09_risk_signals": on_sentences((stage(signal=both("CASE WHEN has(sentence, abuse) AND NOT has(sentence, not_abuse) THEN 'abuse' WHEN has(sentence, secret) THEN 'leak' WHEN {0} THEN 'licence_limit' WHEN has(sentence, risk) AND NOT has(sentence, abuse) THEN 'loss' WHEN has(sentence, qualified_opinion) AND NOT has(sentence, clean_opinion) THEN 'audit' END", match_re("sentence", "BY-NC"))),), "signal", where="signal IS NOT NULL"),
-    "q_n01_news_relevance": posts((*FLAGS, stage(chain="CASE WHEN has(content, policy) THEN 'licence' WHEN contains(content, '@') THEN 'contact' END", support="least(1.0, logic_words / 4.0)"), stage(relevance="CAST(CASE WHEN title_words > 1 THEN 0.95 WHEN chain IS NOT NULL THEN 0.25 + 0.35 * support + CASE WHEN data_kinds > 1 THEN 0.20 ELSE 0.08 END WHEN logic_words > 0 THEN 0.25 ELSE 0 END AS DOUBLE)")), "chain", "round(relevance, 6) AS relevance"),
-    "q_n02_manifest": posts((stage(chain="CASE WHEN has(content, policy) THEN 'licence' WHEN contains(content, '@') THEN 'contact' END"), stage(where="chain IS NOT NULL"), stage(rk="row_number() OVER (PARTITION BY source, chain ORDER BY seq)")), "source", "chain", where="rk = 1"),
     "q_n03_direct_relevance": posts((stage(direct="CASE WHEN has(title, product) OR has(title, finance) THEN 'title' WHEN has(content, product) THEN 'product' WHEN has(content, peer) THEN 'peer' WHEN has(content, own) THEN 'name' ELSE 'none' END"),), "direct"),
     "q_n04_theme_budget": Query(
         POSTS, (stage(**{f"is_{k}": theme(w) for k, w in THEMES.items()}), ),
