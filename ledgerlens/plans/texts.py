@@ -260,8 +260,6 @@ QUERIES: dict[str, Query] = {
         ("SELECT doc_id, pos, block FROM (SELECT doc_id, posexplode(split(text, '\n')) AS (pos, block) FROM documents) x WHERE trim(block) <> ''", "SELECT doc_id, pos, block FROM (SELECT doc_id, unnest(range(len(p))) AS pos, unnest(p) AS block FROM (SELECT doc_id, string_split(text, '\n') AS p FROM documents) y) x WHERE trim(block) <> ''"),
         (stage(block_hash=sha256("block"), noise="length(block) < 20 OR contains(block, '!!')"),), ("doc_id", "CAST(pos AS BIGINT) AS pos", "block_hash", "noise"), tables=DOCS,
     ),
-    "q_e02_units": on_sentences((stage(chars="length(sentence)"), stage(start_at="coalesce(sum(chars) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)", admission="CASE WHEN chars > 400 THEN 'too_long' WHEN contains(sentence, '!!') THEN 'noise' ELSE 'admitted' END")), "CAST(start_at AS BIGINT) AS start_at", "CAST(chars AS BIGINT) AS chars", "admission"),
-    "q_e03_scope": on_sentences((stage(named="CASE WHEN has(sentence, peer) THEN 'peer' WHEN has(sentence, own) THEN 'target' END"), stage(owner=("first_value(named) IGNORE NULLS OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)", "first_value(named IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)")), stage(scope="CASE WHEN named IS NOT NULL THEN concat('explicit_', named) WHEN has(sentence, driver) THEN 'industry' WHEN owner = 'peer' THEN 'block_peer' WHEN owner = 'target' THEN 'document_target' ELSE 'ambiguous' END")), "scope"),
     "q_e04_argument_cards": Query(
         SENTENCES,
         (stage(family="CASE WHEN has(sentence, driver) THEN 'driver' WHEN has(sentence, event) THEN 'event' ELSE 'other' END"), stage(_new="CASE WHEN family = lag(family) OVER (PARTITION BY doc_id ORDER BY pos) THEN 0 ELSE 1 END"), stage(run="CAST(sum(_new) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT)")),
