@@ -60,7 +60,6 @@ coalesce(max(d1) < max(d2) AND max(w2) <= max(w1) * 1.03 AND max(CASE WHEN dt BE
         ),
         (stage(snippet_sha=sha256("snippet")),), ("doc_id", "CAST(length(snippet) AS BIGINT) AS chars", "snippet_sha"), "length(snippet) >= 16", tables=DOCS,
     ),
-    "q_e06_pack_errors": sentences((stage(unit_id=both("substr({0}, 1, 16)", sha256("sentence"))), stage(again="count(*) OVER (PARTITION BY doc_id, unit_id)"), stage(errors="concat_ws(',', CASE WHEN again > 1 THEN 'duplicate_unit' END, CASE WHEN length(sentence) > 600 THEN 'too_long' END, CASE WHEN contains(sentence, '!!') THEN 'noise' END)")), "unit_id", "errors", where="errors <> ''"),
     "q_e09_display_cards": Query(
         SENTENCES, (stage(family=FAMILY), stage(where="family <> 'context'"), stage(rk="row_number() OVER (PARTITION BY doc_id, family ORDER BY length(sentence) DESC, pos)")),
         final=(
