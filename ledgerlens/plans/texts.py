@@ -303,7 +303,6 @@ QUERIES: dict[str, Query] = {
         ),
         tables=DOCS,
     ),
-    "q_a07_incremental": Query(POSTS, (stage(anchor=first_re("content", "(mail[0-9])"), owner="TRY_CAST(substr(source, 4) AS INT) % 2 = 0"), stage(where="anchor <> ''")), final="SELECT e.seq, e.anchor FROM t e LEFT JOIN (SELECT DISTINCT anchor FROM t WHERE owner) o ON e.anchor = o.anchor WHERE NOT e.owner AND o.anchor IS NULL", tables=DOCS),
     "q_l01_citations": Query(
         "SELECT doc_id, coalesce(text, '') AS text FROM documents",
         (
