@@ -52,7 +52,6 @@ coalesce(max(d1) < max(d2) AND max(w2) <= max(w1) * 1.03 AND max(CASE WHEN dt BE
         ),
         tables=DOCS,
     ),
-    "q_x16_project_evidence": sentences((stage(bucket="CASE WHEN has(sentence, product) THEN 'model' WHEN has(sentence, status) THEN 'status' WHEN has(sentence, driver) OR has(sentence, peer) THEN 'chain' END", context="terms(sentence, signal) + terms(sentence, logic)"), stage(where="bucket IS NOT NULL AND context > 0")), "bucket", "context"),
     "q_x27_snippets": Query(
         tuple(
             f"SELECT doc_id, trim(s) AS snippet FROM (SELECT doc_id, {e} AS s FROM documents) x"

@@ -186,7 +186,6 @@ SELECT doc_id, 'number' AS kind, item, how FROM g UNION ALL SELECT doc_id, 'name
     "q_g04_unit_roles": sentences((stage(claim="has(sentence, claim)", evidence=match_re("sentence", "[0-9]"), mechanism="has(sentence, mechanism)", driver="has(sentence, driver)", risk="has(sentence, risk)"), stage(roles="CAST(claim AS INT) + CAST(evidence AS INT) + CAST(mechanism AS INT) + CAST(driver AS INT) + CAST(risk AS INT)")), "claim", "evidence", "mechanism", "driver", "risk", "roles"),
     "q_g07_digest_items": Query(POSTS, (*SCORE, stage(where="action <> 'discard'"), stage(note_id=both("substr({0}, 1, 16)", sha256("content")))), ("seq", "note_id", "source", "published", "round(quality, 4) AS quality"), tables=DOCS),
     "q_a04_pack_select": Query("SELECT doc_id, source, text, doc_id % 2 = 0 AS is_v2, doc_id - doc_id % 2 AS card_id FROM documents", (stage(has_v2="max(CASE WHEN is_v2 THEN 1 ELSE 0 END) OVER (PARTITION BY card_id)"), stage(state="CASE WHEN is_v2 THEN 'v2' WHEN has_v2 = 1 THEN 'covered' WHEN length(text) < 80 THEN 'invalid' ELSE 'actionable' END")), final="SELECT source, state, count(*) AS cards FROM t GROUP BY source, state", tables=DOCS),
-    "q_a06_editorial": Query(POSTS, (*SCORE, stage(role="CASE WHEN has(content, policy) THEN 'policy' WHEN has(content, finance) THEN 'financial' WHEN has(content, strategy) THEN 'strategy' WHEN has(content, product) OR n > 1000 THEN 'business' ELSE 'brief' END"), stage(budget="CASE role WHEN 'policy' THEN 3 WHEN 'financial' THEN 6 WHEN 'strategy' THEN 4 ELSE 3 END", rk="row_number() OVER (PARTITION BY source, role ORDER BY quality DESC, n, seq)"), stage(where="rk <= 6")), ("seq", "source", "role", "CAST(rk AS BIGINT) AS rk"), "rk <= budget", tables=DOCS),
     "q_l03_report_rules": Query(
         "SELECT doc_id, coalesce(text, '') AS text, lower(coalesce(text, '')) AS low FROM documents",
         (stage(**{code: (match_re("low", p) if isinstance(p, str) else p[0]) for code, p in REPORT_RULES.items()}),),
