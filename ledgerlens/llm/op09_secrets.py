@@ -28,6 +28,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -164,11 +165,46 @@ def _spans_from(s: str, i: int) -> Iterator[tuple[int, float]]:
             yield i + k + 1, _walk_cost(k + 1, turns)
 
 
-def _repeats(s: str) -> dict[int, list[tuple[int, int]]]:
-    """By start: (length of the unit, how often it stands there in a row, at least twice). Units that
-    are themselves repeats are left out: the same characters repeat their own unit more often."""
+@dataclass
+class _Run:
+    """A maximal stretch of one period: units begin at `first` .. `first + len(fresh) - 1` and end at `end` at the latest. `fresh`
+    is False where the unit is itself a repeat (its own unit stands there more often). Of each residue of the
+    period, `starts` keeps the segments that may still be the cheapest: (begin, cost without the count)."""
+
+    first: int
+    end: int
+    unit: int
+    fresh: np.ndarray
+    starts: dict[int, list[tuple[int, float]]] = field(default_factory=dict)
+    costs: dict[int, float] = field(default_factory=dict)
+
+    def cheapest(self, at: int) -> float:
+        """The cost of the best segment of this run that ends at `at`."""
+        out = math.inf
+        for begin, cost in self.starts.get((at - self.first) % self.unit, ()):
+            times = (at - begin) // self.unit
+            if times >= 2:
+                out = min(out, cost + math.log10(times))
+        return out
+
+    def begin(self, value: str, at: int, best: float) -> None:
+        """A segment may begin at `at`, unless an earlier one of the same unit is at least as cheap at every end: for m more
+        units and J >= 2 its count costs log(J + m) - log(J) more, (m + 2) / 2 at most."""
+        k = at - self.first
+        if k >= self.fresh.size or not self.fresh[k]:
+            return
+        residue = k % self.unit
+        if residue not in self.costs:
+            self.costs[residue] = KIND + _unit_cost(value[at : at + self.unit])
+        cost, known = best + self.costs[residue], self.starts.setdefault(residue, [])
+        if not any(cost >= c + math.log10(((at - b) // self.unit + 2) / 2) for b, c in known):
+            known.append((at, cost))
+
+
+def _runs(s: str) -> list[_Run]:
+    """All maximal runs of units of up to `UNIT` characters that stand twice in a row at least, by their beginning."""
     codes = np.frombuffer(s.encode("utf-32-le", "surrogatepass"), np.uint32)
-    out: dict[int, list[tuple[int, int]]] = {}
+    out = []
     left = np.full(codes.size, codes.size + 1)  # the shortest unit found at each place, and how far it reaches
     reach = np.zeros(codes.size, np.int64)
     for unit in range(1, min(UNIT, codes.size // 2) + 1):
@@ -176,17 +212,15 @@ def _repeats(s: str) -> dict[int, list[tuple[int, int]]]:
         begin = np.concatenate([[0], differs + 1])
         end = np.concatenate([differs, [codes.size - unit]])
         for a, b in zip(begin[end - begin >= unit].tolist(), end[end - begin >= unit].tolist(), strict=True):
-            for i in range(a, b - unit + 1):
-                if unit % left[i] == 0 and reach[i] >= i + unit:
-                    continue
-                if unit == 1 and i >= a + UNIT:
-                    break  # a segment that ends so far inside a run of one character is no cheaper than one more of that run
-                if left[i] > codes.size:
-                    left[i], reach[i] = unit, b + unit
-                out.setdefault(i, []).append((unit, 1 + (b - i) // unit))
+            at = np.arange(a, b - unit + 1)
+            fresh = (unit % left[at] != 0) | (reach[at] < at + unit)
+            mine = fresh & (left[at] > codes.size)
+            left[at[mine]], reach[at[mine]] = unit, b + unit
             if unit == 1:
                 left[a:b], reach[a:b] = 1, b + 1
-    return out
+            if fresh.any():
+                out.append(_Run(a, b + unit, unit, fresh))
+    return sorted(out, key=lambda r: r.first)
 
 
 def log10_guesses(value: str) -> float:
@@ -195,16 +229,22 @@ def log10_guesses(value: str) -> float:
     # by end: the last segment is a pattern, or a brute-force span that may go on
     done, free = np.full(n + 1, np.inf), np.full(n + 1, np.inf)
     done[0] = 0.0
-    repeats = _repeats(value)
-    for i in range(n):
+    coming, active = _runs(value)[::-1], []
+    for i in range(n + 1):
+        while coming and coming[-1].first <= i:
+            active.append(coming.pop())
+        if active:
+            active = [r for r in active if i <= r.end]
+            done[i] = min([done[i], *(r.cheapest(i) for r in active)])
+        if i == n:
+            break
         best = min(done[i], free[i])
         free[i + 1] = min(free[i] + 1.0, done[i] + 1.0 + KIND)
         for j, cost in _spans_from(value, i):
             if best + cost + KIND < done[j]:
                 done[j] = best + cost + KIND
-        for unit, times in repeats.get(i, ()):
-            ends = done[i + 2 * unit : i + unit * times + 1 : unit]
-            np.minimum(ends, best + KIND + _unit_cost(value[i : i + unit]) + np.log10(np.arange(2, times + 1)), out=ends)
+        for r in active:
+            r.begin(value, i, best)
     return float(min(done[n], free[n]))
 
 

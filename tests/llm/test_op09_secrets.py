@@ -101,3 +101,20 @@ def test_letters_alone_may_be_a_secret_but_prose_is_not():
 def test_odd_and_empty(odd, empty):
     assert M.secret_spans(odd).count() == 8 and M.secret_spans(empty).count() == 0
     assert M.log10_guesses("") == 0
+
+
+def test_long_repeats_take_time_in_proportion():
+    """Twice the length, about twice the time, also for units of several characters; costs as from all segmentations of short ones."""
+    import time
+
+    from ledgerlens.llm.op09_secrets import log10_guesses
+
+    def seconds(value):
+        began = time.process_time()
+        log10_guesses(value)
+        return time.process_time() - began
+
+    seconds("ab" * 1000)
+    for unit in ("ab", "x7Qp2"):
+        short, long = seconds(unit * 4000), seconds(unit * 16_000)
+        assert long < 8 * max(short, 0.05)
