@@ -38,6 +38,13 @@ LEXICON: dict[str, tuple[str, ...]] = {
     "quarter_report": ("quarterly", "first quarter", "third quarter", "quartal", "trimestriel", "trimestral"),
     "clean_opinion": ("unqualified opinion", "true and fair view", "uneingeschränkter bestätigungsvermerk", "sans réserve", "opinión favorable"),
     "qualified_opinion": ("qualified opinion", "except for", "adverse opinion", "disclaimer of opinion", "eingeschränkt", "avec réserve", "opinión con salvedades"),
+    # risk observations by keyword
+    "k_dilution": ("dilution", "share issue", "rights issue", "private placement", "convertible bond", "kapitalerhöhung", "augmentation de capital", "ampliación de capital"),
+    "k_dispute": ("lawsuit", "litigation", "arbitration", "court", "klage", "rechtsstreit", "procès", "litige", "demanda judicial", "litigio"),
+    "k_delisting": ("delisting", "trading halt", "suspension of trading", "börsenaustritt", "radiation de la cote", "exclusión de cotización"),
+    "k_pledge": ("share pledge", "pledged shares", "margin call", "verpfändung", "nantissement", "pignoración"),
+    "k_leak": ("password", "api_key", "akia", "secret key", "passwort", "mot de passe", "contraseña"),
+    "k_licence": ("license", "licence", "lizenz", "licencia"),
     # the ten topics of consolidated items, in their order
     "t_results": ("revenue", "net profit", "earnings", "quarterly report", "annual report", "eps", "gross margin", "umsatz", "jahresüberschuss", "gewinn", "chiffre d'affaires", "bénéfice", "ingresos", "beneficio neto"),
     "t_valuation": ("valuation", "price target", "market cap", "share price", "undervalued", "overvalued", "p/e", "p/b", "bewertung", "kursziel", "valorisation", "objectif de cours", "valoración", "precio objetivo"),

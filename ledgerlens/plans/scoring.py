@@ -207,7 +207,7 @@ QUERIES: dict[str, Query] = {
         ),
         ("symbol", "name", "seq", "status", "confidence", "effect"), "rk = 1", tables=DOCS,
     ),
-    "q_v09_keyword_risks": Query(POSTS, (stage(_l="lower(content)"), stage(dilution="contains(_l, 'stupid') OR contains(_l, 'moron')", dispute="contains(_l, 'disgusting') OR contains(_l, 'clown')", licence="contains(_l, 'license')")), ("seq", "dilution", "dispute", "licence"), "dilution OR dispute OR licence", tables=DOCS),
+    "q_v09_keyword_risks": Query(POSTS, (stage(**{k: f"has(content, k_{k})" for k in ("dilution", "dispute", "delisting", "pledge", "leak", "licence")}),), ("seq", "dilution", "dispute", "delisting", "pledge", "leak", "licence"), "dilution OR dispute OR delisting OR pledge OR leak OR licence", tables=DOCS),
     "q_v10_entry_constraint": stocks(RISK, "constraint_code"),
     "q_v11_constrained_label": stocks(RISK, "ev_label", "final_label"),
     "q_v12_decision": stocks(RISK, *r6("total_score", "ev", "risk_score"), "risk_band", "constraint_code", "final_label"),

@@ -209,19 +209,20 @@ QUERIES: dict[str, Query] = {
     "q_q06_featured": posts((*FLAGS, stage(cut="contains(both_texts, '...')"), stage(featured="(cut AND data_kinds > 0 AND logic_words > 0) OR (n >= 80 AND likes + comments > 5)")), "featured"),
     "q_q07_content_score": posts((*FLAGS, stage(score="CAST(CASE WHEN contains(both_texts, '...') THEN 3 ELSE 0 END + CASE WHEN data_kinds > 0 THEN 2 ELSE 0 END + CASE WHEN logic_words > 0 THEN 2 ELSE 0 END + CASE WHEN key_words > 0 THEN 1 ELSE 0 END + CASE WHEN likes + comments > 20 THEN 2 WHEN likes + comments > 10 THEN 1 WHEN likes + comments > 3 THEN 0.5 ELSE 0 END + least(n / 100.0, 3.0) AS DOUBLE)")), "round(score, 4) AS score"),
     "q_q08_funnel": posts((*SCORE, stage(age=("datediff(DATE '2025-06-01', published)", "datediff('day', published, DATE '2025-06-01')"), ttl="CASE WHEN has(content, policy) THEN 180 WHEN contains(content, ' | ') THEN 90 WHEN n > 2000 THEN 60 ELSE 14 END"), stage(level="CASE WHEN age > 365 OR age < 0 THEN 'L1_old' WHEN quality < 30 THEN 'L2_poor' WHEN age > ttl THEN 'L3_expired' ELSE 'kept' END")), "CAST(age AS INT) AS age", "ttl", "level"),
-    "q_q09_web_score": posts((*FLAGS, stage(relevance="least(25, title_words * 10 + logic_words * 2)", credibility="TRY_CAST(substr(source, 4) AS INT) % 26", evidence="least(20, data_kinds * 5)", substance="least(20, CAST(floor(n / 100) AS INT))", engagement="least(10, CAST(floor(interaction / 10) AS INT))"), stage(total="relevance + credibility + evidence + substance + engagement"), stage(verdict="CASE WHEN credibility >= 13 THEN CASE WHEN total >= 60 THEN 'keep' WHEN total >= 35 THEN 'demote' ELSE 'drop' END ELSE CASE WHEN total >= 50 THEN 'keep' WHEN total >= 30 THEN 'demote' ELSE 'drop' END END")), "CAST(total AS INT) AS total", "verdict"),
+    "q_q09_web_score": pages((*CREDIT, *STRIP, stage(title=first_re("html", "<h1>([^<]*)</h1>"), content="plain", likes="0", comments="0", reposts="0"), *FLAGS, stage(relevance="least(25, title_words * 10 + logic_words * 2)", credibility="CAST(floor(source_credit / 4) AS INT)", evidence="least(20, data_kinds * 5)", substance="least(20, CAST(floor(n / 100) AS INT))", engagement="least(10, CAST(floor(interaction / 10) AS INT))"), stage(total="relevance + credibility + evidence + substance + engagement"), stage(verdict="CASE WHEN knowledge_eligible THEN CASE WHEN total >= 60 THEN 'keep' WHEN total >= 35 THEN 'demote' ELSE 'drop' END ELSE CASE WHEN total >= 50 THEN 'keep' WHEN total >= 30 THEN 'demote' ELSE 'drop' END END")), "source_type", "CAST(total AS INT) AS total", "verdict"),
     "q_q10_portal_page": pages((*STRIP, stage(links=count_re("html", "<a "), blocks=count_re("html", "<p>"), title=first_re("html", "<title>([^<]*)")), stage(portal="(CASE WHEN links > 0.5 * greatest(blocks, 1) THEN 1 ELSE 0 END + CASE WHEN length(plain) / greatest(blocks, 1) < 40 THEN 1 ELSE 0 END + CASE WHEN contains(html, '<nav>') AND contains(html, '<footer>') THEN 1 ELSE 0 END + CASE WHEN length(title) < 8 THEN 1 ELSE 0 END) >= 2")), "portal"),
     "q_q11_topics": posts((stage(**{f"is_{k}": theme(w) for k, w in THEMES.items()}), stage(topics="concat_ws(',', CASE WHEN is_growth THEN 'growth' END, CASE WHEN is_risk THEN 'risk' END, CASE WHEN is_policy THEN 'policy' END, CASE WHEN is_finance THEN 'finance' END)")), "CASE WHEN topics = '' THEN 'sentiment_only' ELSE topics END AS topics"),
     "q_q13_attempts": Query(POSTS, (*FLAGS, stage(h=sha256("content")), stage(dup="row_number() OVER (PARTITION BY h ORDER BY seq)"), stage(drop_reason="CASE WHEN n < 80 THEN 'too_short' WHEN dup > 1 THEN 'duplicate' WHEN interaction < 5 THEN 'no_interaction' END")), final="SELECT source, count(*) AS attempts, count(drop_reason) AS dropped, count(drop_reason) > 0.4 * count(*) AS refill FROM t GROUP BY source", tables=DOCS),
     "q_q14_triage": posts((*FLAGS, stage(h=sha256("content")), stage(dup="row_number() OVER (PARTITION BY h ORDER BY seq)"), stage(triage="CASE WHEN dup > 1 THEN 'duplicate' WHEN n < 100 THEN 'drop' WHEN contains(content, ' | ') THEN 'product_signal' ELSE 'keep' END", triage_score="CAST(least(80, logic_words * 8 + data_kinds * 10) AS INT)")), "triage", "triage_score"),
-    "q_q16_research_select": posts((*FLAGS, stage(uid="seq % 400", rank_score="logic_words + data_kinds"), stage(best="row_number() OVER (PARTITION BY uid ORDER BY rank_score DESC, seq)"), stage(where="best = 1"), stage(recent=("datediff(DATE '2025-06-01', published) BETWEEN 0 AND 90", "datediff('day', published, DATE '2025-06-01') BETWEEN 0 AND 90"), wide=("datediff(DATE '2025-06-01', published) BETWEEN 0 AND 180", "datediff('day', published, DATE '2025-06-01') BETWEEN 0 AND 180")), stage(n_recent="count(CASE WHEN recent THEN 1 END) OVER (PARTITION BY source)"), stage(where="CASE WHEN n_recent >= 3 THEN recent ELSE wide END"), stage(rk="row_number() OVER (PARTITION BY source ORDER BY published DESC, rank_score DESC, seq)")), "source", "published", "CAST(rank_score AS INT) AS rank_score", where="rk <= 5"),
+    "q_q16_research_select": posts((*FLAGS, stage(uid=sha256("coalesce(content, '')"), rank_score="logic_words + data_kinds"), stage(best="row_number() OVER (PARTITION BY uid ORDER BY rank_score DESC, seq)"), stage(where="best = 1"), stage(recent=("datediff(DATE '2025-06-01', published) BETWEEN 0 AND 90", "datediff('day', published, DATE '2025-06-01') BETWEEN 0 AND 90"), wide=("datediff(DATE '2025-06-01', published) BETWEEN 0 AND 180", "datediff('day', published, DATE '2025-06-01') BETWEEN 0 AND 180")), stage(n_recent="count(CASE WHEN recent THEN 1 END) OVER (PARTITION BY source)"), stage(where="CASE WHEN n_recent >= 3 THEN recent ELSE wide END"), stage(rk="row_number() OVER (PARTITION BY source ORDER BY published DESC, rank_score DESC, seq)")), "source", "published", "CAST(rank_score AS INT) AS rank_score", where="rk <= 5"),
     "q_d01_domain": pages(CREDIT, "domain"),
     "q_d02_source_credit": pages(CREDIT, "source_type", "source_credit", "verification", "knowledge_eligible", "report_eligible"),
     "q_d03_usage_tier": pages((*CREDIT, stage(credit_tier="CASE usage WHEN 'core_fact_allowed' THEN 'high' WHEN 'professional_observation' THEN 'medium' ELSE 'low' END")), "usage", "credit_tier"),
     "q_d04_core_fact_support": pages((*CREDIT, stage(supports="source_type = 'exchange_announcement' OR (source_credit >= 80 AND verification = 'confirmed')")), "supports"),
     "q_d05_layer_policy": pages((*CREDIT, stage(layer="CASE WHEN verification IN ('verified_discussion', 'supported_discussion') THEN 'bridge_summary' WHEN source_type = 'social_discussion' THEN 'external_viewpoint' WHEN source_type IN ('broker_research', 'mainstream_media') AND NOT report_eligible THEN 'formal_display' WHEN usage = 'core_fact_allowed' THEN 'canonical' WHEN usage = 'professional_observation' THEN 'formal_display' ELSE 'excluded' END")), "layer"),
     "q_d07_intake_merge": pages((*CANONICAL, stage(merge_key=both("coalesce(canonical, {0})", sha256("html"))), stage(rk="row_number() OVER (PARTITION BY merge_key ORDER BY source_credit DESC, CASE WHEN source_type = 'exchange_announcement' THEN 0 ELSE 1 END, page_id)")), "merge_key", "source_credit", where="rk = 1"),
-    "q_d08_record_dedupe": posts((stage(k="coalesce(nullif(title, ''), content)"), stage(rk="row_number() OVER (PARTITION BY source, k ORDER BY seq)")), "source", where="rk = 1"),
+    # without an address, a record is its source and whole text; the first is kept
+    "q_d08_record_dedupe": posts((stage(k=sha256("coalesce(content, '')")), stage(rk="row_number() OVER (PARTITION BY source, k ORDER BY seq)")), "source", where="rk = 1"),
     "q_d13_unit_numbers": on_sentences((stage(numbers=all_re("sentence", "[0-9]+(?:[.][0-9]+)?")), stage(number_set=("array_join(array_sort(array_distinct(numbers)), ' ')", "array_to_string(list_sort(list_distinct(numbers)), ' ')"))), "number_set", where=("size(numbers) > 0", "len(numbers) > 0")),
     "q_d15_note_identity": pages((*CANONICAL, stage(note_id=both("CASE WHEN canonical IS NOT NULL THEN concat('url:', regexp_replace(domain || path, '[.](html|htm|php)$', '')) ELSE concat('sha:', {0}) END", sha256("html")))), "note_id"),
     "q_d16_claim_status": pages(CREDIT, "claim_tier"),
@@ -237,7 +238,8 @@ QUERIES: dict[str, Query] = {
         "source", "lang", "cluster_no", "round(quality, 4) AS quality", "rk > 1 AS is_protected", where="rk = 1 OR (is_long AND protected <= 3)",
     ),
     "q_c01_claim_id": on_sentences((stage(claim_id=both("substr({0}, 1, 12)", sha256("concat_ws('|', source, sentence)"))),), "claim_id"),
-    "q_c02_claim_merge": Query(SENTENCES, (stage(norm=replace_re("lower(sentence)", "[^a-z0-9]+", "")), stage(where="length(norm) >= 12"), stage(norm_key=sha256("norm"))), final="SELECT norm_key, count(*) AS mentions, count(DISTINCT source) AS sources, max(tier_no) AS best_tier, min(doc_id) AS first_doc FROM t GROUP BY norm_key HAVING count(*) > 1", tables=DOCS),
+    # without addresses and citation marks, letters and digits of any script
+    "q_c02_claim_merge": Query(SENTENCES, (stage(bare=replace_re("lower(sentence)", "https?://[^ ]+|[\\[]\\^?[0-9]+[\\]]", "")), stage(norm=replace_re("bare", "[^\\p{L}\\p{N}]+", "")), stage(where="length(norm) >= 12"), stage(norm_key=sha256("norm"))), final="SELECT norm_key, count(*) AS mentions, count(DISTINCT source) AS sources, max(tier_no) AS best_tier, min(doc_id) AS first_doc FROM t GROUP BY norm_key HAVING count(*) > 1", tables=DOCS),
     "q_c04_topic": on_sentences(
         (
             stage(topics="concat_ws(',', " + ", ".join(f"CASE WHEN has(sentence, {v}) THEN '{k}' END" for k, v in TOPICS.items()) + ")"),
