@@ -30,7 +30,7 @@ ITEMS = Query(
         ),
         stage(found=f"CASE WHEN found = '' THEN '{len(TOPICS)}' ELSE found END"),
     ),
-    ("CAST(seq AS BIGINT) AS seq", "coalesce(lang, '') AS lang", "CAST(date_trunc('week', published) AS DATE) AS week", "coalesce(source, '') AS source", "coalesce(title, '') AS title", "coalesce(quality, 0.0) AS quality", ("cast(split(found, ',') as array<int>) AS topics", "CAST(string_split(found, ',') AS INTEGER[]) AS topics"), ("coalesce(words, array()) AS words", "coalesce(words, []) AS words")), tables=DOCS,
+    ("CAST(seq AS BIGINT) AS seq", "coalesce(lang, '') AS lang", "CAST(CAST(date_trunc('week', published) AS DATE) AS VARCHAR(10)) AS week", "coalesce(source, '') AS source", "coalesce(title, '') AS title", "coalesce(quality, 0.0) AS quality", ("cast(split(found, ',') as array<int>) AS topics", "CAST(string_split(found, ',') AS INTEGER[]) AS topics"), ("coalesce(words, array()) AS words", "coalesce(words, []) AS words")), tables=DOCS,
 )
 NAMES = (*(t.removeprefix("t_") for t in TOPICS), OTHER)
 
