@@ -56,9 +56,10 @@ def blocks_of(text: str, terms: Terms) -> Iterator[tuple[int, str, list[str]]]:
         yield order, part, lines
 
 
-def amounts_of(text: str, terms: Terms, labels: dict[str, str]) -> Iterator[tuple[int, str, str, int | None, str, str, str]]:
-    """(order, part, metric, amount in ten-thousandths, digits, excerpt, hash of the block) of the numbers in rows that name a label; the
+def amounts_of(text: str, terms: Terms, labels: dict[str, str]) -> Iterator[tuple[int, str, str, int | None, str, str, str, int]]:
+    """(order, part, metric, amount in ten-thousandths, digits, excerpt, hash of the block, place in the text) of the numbers in rows that name a label; the
     amount is none for a row without numbers."""
+    place = 0
     for order, part, lines in blocks_of(text, terms):
         factor = next((terms.unit(x) for x in lines if not re.search(r"\d", x) and terms.unit(x) and terms.only_unit(x)), None)
         whole = hashlib.sha256(" ".join(lines).encode()).hexdigest()
@@ -74,13 +75,13 @@ def amounts_of(text: str, terms: Terms, labels: dict[str, str]) -> Iterator[tupl
                     if value is None or is_reference(m[0], terms) or re.match(r"\s?[%％]", tail[m.end() :]):
                         continue
                     own = terms.unit(tail[m.end() : m.end() + 24]) or factor or 1
-                    found = True
-                    yield order, part, metric, int(value * own * 10_000), re.sub(r"\D", "", m[0]), line[:EXCERPT], whole
+                    found, place = True, place + 1
+                    yield order, part, metric, int(value * own * 10_000), re.sub(r"\D", "", m[0]), line[:EXCERPT], whole, place
                 if not found:
-                    yield order, part, metric, None, "", line[:EXCERPT], whole
+                    yield order, part, metric, None, "", line[:EXCERPT], whole, place
 
 
-_AMOUNTS = pa.schema([("doc_id", pa.string()), ("block", pa.int32()), ("part", pa.string()), ("metric", pa.string()), ("amount", pa.int64()), ("digits", pa.string()), ("excerpt", pa.string()), ("block_hash", pa.string())])
+_AMOUNTS = pa.schema([("doc_id", pa.string()), ("block", pa.int32()), ("part", pa.string()), ("metric", pa.string()), ("amount", pa.int64()), ("digits", pa.string()), ("excerpt", pa.string()), ("block_hash", pa.string()), ("place", pa.int32())])
 
 
 def text_amounts(filings: DataFrame, labels: dict[str, dict[str, str]]) -> DataFrame:
@@ -96,7 +97,7 @@ def text_amounts(filings: DataFrame, labels: dict[str, dict[str, str]]) -> DataF
             ]
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found) if found else [()] * len(_AMOUNTS), _AMOUNTS)], schema=_AMOUNTS)
 
-    schema = "doc_id string, block int, part string, metric string, amount long, digits string, excerpt string, block_hash string"
+    schema = "doc_id string, block int, part string, metric string, amount long, digits string, excerpt string, block_hash string, place int"
     return filings.select("doc_id", "lang", "text").mapInArrow(read, schema)
 
 
@@ -104,7 +105,7 @@ def anchored(facts: DataFrame, amounts: DataFrame) -> DataFrame:
     """`facts` (doc_id, metric, value, tolerance, digits) with the part, amount, excerpt and hash of their first block, or the reason why there is none."""
     named = amounts.groupBy("doc_id", "metric").agg(F.count("*").alias("rows"))
     there = amounts.where("amount IS NOT NULL")
-    spot: list[Column] = [F.col(c) for c in ("block", "part", "amount", "excerpt", "block_hash")]
+    spot: list[Column] = [F.col(c) for c in ("block", "place", "part", "amount", "excerpt", "block_hash")]
     near = band_join(facts.drop("digits"), there.drop("digits"), ["doc_id", "metric"])
     same = facts.where("digits <> ''").join(there, ["doc_id", "metric", "digits"])
     hits = near.select("doc_id", "metric", F.struct(*spot).alias("spot")).union(same.select("doc_id", "metric", F.struct(*spot).alias("spot")))
