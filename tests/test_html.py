@@ -86,3 +86,11 @@ def test_odd_rows(spark):
     df = spark.createDataFrame([(1, None, None), (None, "u", "<li><a href='/a'>t</a>"), (2, "", "<article>"), (2, "", "<article>")], "id long, url string, html string")
     assert [(r.id, r.link) for r in rows_of_lists(df).collect()] == [(None, "/a")] or rows_of_lists(df).first().link == "https://u/a"
     assert posts_of(df).count() == 4 and comments_of(df).count() == 0 and posts_of(df.limit(0)).count() == 0
+
+
+def test_entities_need_their_semicolon():
+    page = "<h1>a &amp b &amp; c &lt;&#65;&#x42; &nosuch; &ampx; d&amp</h1><article><a href='/x?a=1&copy=2&amp;b'>x</a> y&quot</article>"
+    _, title, content, _ = post(page)
+    assert title == "a &amp b & c <AB &nosuch; &ampx; d&amp"
+    assert content == "x y&quot"
+    assert next(e for e in Page(page).elements if e.tag == "a").named["href"] == "/x?a=1&copy=2&b"
