@@ -82,3 +82,12 @@ def test_a_hot_source_leaves_one_leader_after_another():
 
 def test_no_items(spark):
     assert consolidated(spark.createDataFrame([], ITEMS), ["run"]).count() == 0
+
+
+def test_no_side_of_the_similarity_join_is_broadcast(spark):
+    rows = [("g", k, [f"w{k % 7}", *(f"c{j}" for j in range(30))]) for k in range(40)]
+    items = spark.createDataFrame(rows, "g string, class long, words array<string>")
+    near = similar_classes(items, ["g"])
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+    assert near.count() == 40 and near.selectExpr("min(size(near))").first()[0] == 39
