@@ -15,10 +15,10 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .filings import Terms, is_reference, repaired, terms_of
+from .filings import ROWS_AT_ONCE, Terms, batch_of, is_reference, repaired, terms_of, texts_of
 from .filings import _opened as opened
 
 #: Powers of ten of the widths of bands, in ten-thousandths of a unit of currency.
@@ -89,13 +89,13 @@ def text_amounts(filings: DataFrame, labels: dict[str, dict[str, str]]) -> DataF
 
     def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [
-                (doc, *row)
-                for doc, lang, text in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "lang", "text")))
-                for row in amounts_of(text or "", terms_of(lang), labels.get(lang or "", {}))
-                if row[3] is None or abs(row[3]) < 2**62
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found) if found else [()] * len(_AMOUNTS), _AMOUNTS)], schema=_AMOUNTS)
+            found: list[tuple] = []
+            for doc, lang, text in texts_of(batch):
+                found += ((doc, *row) for row in amounts_of(text or "", terms_of(lang), labels.get(lang or "", {})) if row[3] is None or abs(row[3]) < 2**62)
+                if len(found) >= ROWS_AT_ONCE:
+                    yield batch_of(found, _AMOUNTS)
+                    found = []
+            yield batch_of(found, _AMOUNTS)
 
     schema = "doc_id string, block int, part string, metric string, amount long, digits string, excerpt string, block_hash string, place int"
     return filings.select("doc_id", "lang", "text").mapInArrow(read, schema)
@@ -105,11 +105,15 @@ def anchored(facts: DataFrame, amounts: DataFrame) -> DataFrame:
     """`facts` (doc_id, metric, value, tolerance, digits) with the part, amount, excerpt and hash of their first block, or the reason why there is none."""
     named = amounts.groupBy("doc_id", "metric").agg(F.count("*").alias("rows"))
     there = amounts.where("amount IS NOT NULL")
-    spot: list[Column] = [F.col(c) for c in ("block", "place", "part", "amount", "excerpt", "block_hash")]
-    near = band_join(facts.drop("digits"), there.drop("digits"), ["doc_id", "metric"])
-    same = facts.where("digits <> ''").join(there, ["doc_id", "metric", "digits"])
-    hits = near.select("doc_id", "metric", F.struct(*spot).alias("spot")).union(same.select("doc_id", "metric", F.struct(*spot).alias("spot")))
-    first = hits.groupBy("doc_id", "metric").agg(F.min("spot").alias("spot"))
-    out = facts.join(first, ["doc_id", "metric"], "left").join(named, ["doc_id", "metric"], "left")
+    # the first is found by light rows; what is printed there is fetched afterwards, once
+    by, light = ["doc_id", "metric"], ["block", "place", "part", "amount"]
+    spot = F.struct(*light).alias("spot")
+    near = band_join(facts.drop("digits"), there.select(*by, *light), by)
+    same = facts.where("digits <> ''").join(there.select(*by, "digits", *light), [*by, "digits"])
+    hits = near.select(*by, spot).union(same.select(*by, spot))
+    first = hits.groupBy(*by).agg(F.min("spot").alias("spot")).select(*by, "spot.*")
+    printed = there.groupBy(*by, *light).agg(F.min(F.struct("excerpt", "block_hash")).alias("printed"))
+    found = first.join(printed, [*by, *light]).select(*by, F.col("block").alias("spot"), "part", "amount", "printed.*")
+    out = facts.join(found, by, "left").join(named, by, "left")
     reason = F.when(F.col("spot").isNotNull(), "anchored").when(F.col("rows") > 0, "no_amount").otherwise("no_label")
-    return out.select("doc_id", "metric", "value", reason.alias("status"), *(F.col(f"spot.{c}").alias(c) for c in ("part", "amount", "excerpt", "block_hash")))
+    return out.select("doc_id", "metric", "value", reason.alias("status"), "part", "amount", "excerpt", "block_hash")

@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 
 from ..operators import anchors
 from ..operators import filings as read
-from ..sources.filings import CELLS, COST, CUSTOMERS, GROSS, HOMES, REVENUE, TABLES, VENDORS
-from ..sources.filings import filings
-from .stages import _named
+from ..sources.filings import CELLS, COST, CUSTOMERS, GROSS, HOMES, REVENUE, VENDORS
+from ..sources.filings import filings, years
 
 METRICS = read.FORMS["metrics"][0]
 PRODUCTS = 6
@@ -36,10 +35,11 @@ def q_x08_table_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window
 
     cells = read.cells_of(filings(spark, sf_dir), read.metric_rows, read.concentration)
-    rows = _wide(cells.where("section = 'segment'"), ["doc_id", "line", "label"], ("revenue", "cost", "gross_margin", "revenue_yoy", "margin_delta")).dropna()
-    first = rows.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy("line"))).where(F.col("place") <= PRODUCTS).drop("line")
-    share = cells.where("section = 'customers' AND metric = 'top_five_share'").select("doc_id", F.col("value").alias("customer_share"))
-    return first.join(share, "doc_id", "left").withColumn("severity", F.when(F.col("customer_share") >= 50, "medium").otherwise("info"))
+    of_doc, metrics = Window.partitionBy("doc_id"), ("revenue", "cost", "gross_margin", "revenue_yoy", "margin_delta")
+    read_once = _wide(cells.where("section = 'segment' OR section = 'customers' AND metric = 'top_five_share'"), ["doc_id", "section", "line", "label"], (*metrics, "top_five_share"))
+    rows = read_once.withColumn("customer_share", F.max("top_five_share").over(of_doc)).where("section = 'segment'").dropna(subset=["doc_id", "line", "label", *metrics])
+    first = rows.withColumn("place", F.row_number().over(of_doc.orderBy("line"))).where(F.col("place") <= PRODUCTS)
+    return first.select("doc_id", "label", *metrics, "place", "customer_share", F.when(F.col("customer_share") >= 50, "medium").otherwise("info").alias("severity"))
 
 
 def q_x11_value_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,15 +63,14 @@ def q_x06_metric_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FACTS = tuple(
     f"""SELECT concat(company, '-', report_year) AS doc_id, metric, lang, CASE WHEN metric = 'made' THEN v * 10000 ELSE CAST(round(v * u / 1000000.0) AS BIGINT) * 100000000 END AS value, CASE WHEN metric = 'made' THEN 5000 ELSE 50000000 END AS tolerance
 FROM (SELECT company, lang, report_year, metric, CASE metric WHEN 'revenue' THEN revenue WHEN 'cost' THEN -cost WHEN 'gross' THEN revenue - cost ELSE made END AS v, CASE WHEN lang = 'zh' THEN 1 ELSE 1000 END AS u
-  FROM ({cells}) c {many} WHERE section = 'whole') f"""
-    for cells, many in ((CELLS[0], "LATERAL VIEW explode(array('revenue', 'cost', 'gross', 'made')) m AS metric"), (CELLS[1], "CROSS JOIN (SELECT unnest(['revenue', 'cost', 'gross', 'made']) AS metric) m"))
+  FROM {cells} {many} WHERE section = 'whole') f"""
+    for cells, many in (("{c}", "LATERAL VIEW explode(array('revenue', 'cost', 'gross', 'made')) m AS metric"), (f"({CELLS[1]}) c", "CROSS JOIN (SELECT unnest(['revenue', 'cost', 'gross', 'made']) AS metric) m"))
 )
 _MADE = {"en": "Production", "de": "Produktion", "fr": "Production", "es": "Producción", "zh": "生产量"}
 
 
 def q_x14_fact_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
-    facts = spark.sql(_named(_FACTS[0], frames), **frames).select("doc_id", "metric", "value", F.col("tolerance").cast("long").alias("tolerance"), F.lit("").alias("digits"))
+    facts = spark.sql(_FACTS[0], c=years(spark, sf_dir)).select("doc_id", "metric", "value", F.col("tolerance").cast("long").alias("tolerance"), F.lit("").alias("digits"))
     labels = {k: {"revenue": REVENUE[k], "cost": COST[k], "gross": GROSS[k], "made": _MADE[k]} for k in HOMES.values()}
     return anchors.anchored(facts, anchors.text_amounts(filings(spark, sf_dir), labels)).select("doc_id", "metric", "value", "status", "part", "amount")
 

@@ -184,12 +184,78 @@ def _discussion() -> Column:
     return F.concat(_say(REVENUE), _say({"en": " amounted to ", "de": " betrugen ", "fr": " s'est élevé à ", "es": " fueron ", "zh": "为 "}), now, F.lit(" "), thousand, change, F.lit("."))
 
 
+def _given(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
+
+
+def _amount(column: str) -> Column:
+    return F.col(column).cast("decimal(18,2)")
+
+
+def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of `LINES`. A line is carried through the joins as few numbers, and meets the wide tables last."""
+    t = _given(spark, sf_dir)
+    quantity, long = F.col("l_quantity").cast("long"), lambda x: (F.lit(10000) * x).cast("long")
+    line = t["lineitem"].select(
+        "l_orderkey", "l_partkey", "l_suppkey", F.year("l_shipdate").alias("report_year"), quantity.alias("made"), F.when(F.col("l_returnflag") == "R", 0).otherwise(quantity).alias("sold"),
+        F.when(F.col("l_quantity") > 40, quantity).otherwise(0).alias("held"),
+        long(_amount("l_extendedprice") * (1 - F.col("l_discount")).cast("decimal(4,2)")).alias("revenue"), long(_amount("l_extendedprice") * F.expr("0.55 + 2 * l_tax").cast("decimal(4,2)")).alias("cost"),
+    )
+    nations = t["nation"].join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
+    home = F.lit("en")
+    for name, lang in HOMES.items():
+        home = F.when(F.col("r_name") == name, lang).otherwise(home)
+    company = t["supplier"].join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", F.col("s_name").alias("company"), home.alias("lang"))
+    buyer = t["customer"].join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("r_name").alias("region"), F.col("c_mktsegment").alias("channel"), F.col("c_name").alias("customer"))
+    order = t["orders"].select("o_orderkey", "o_custkey").join(buyer, F.col("o_custkey") == F.col("c_custkey")).drop("o_custkey", "c_custkey")
+    goods = t["part"].select("p_partkey", F.col("p_type").alias("segment"), F.expr("split_part(p_name, ' ', 2)").alias("industry"), F.col("p_brand").alias("vendor"))
+    line = line.join(company, F.col("l_suppkey") == F.col("s_suppkey")).drop("l_suppkey", "s_suppkey")
+    line = line.join(goods, F.col("l_partkey") == F.col("p_partkey")).drop("l_partkey", "p_partkey")
+    return line.join(order, F.col("l_orderkey") == F.col("o_orderkey")).drop("l_orderkey", "o_orderkey")
+
+
+#: Sections of a year's sums: the column of lines that labels them, none for the whole.
+SECTIONS = {"segment": "segment", "industry": "industry", "region": "region", "channel": "channel", "whole": None, "customer": "customer", "vendor": "vendor"}
+
+
+def sums_of(lines: DataFrame, sections: tuple[str, ...]) -> DataFrame:
+    """(company, lang, report_year, section, label, sums) of the sections, on the company's partition: lines are dealt by company
+    once, and all that follows for a company or a year of it needs no further shuffle."""
+    key = {s: F.col(c) if (c := SECTIONS[s]) else F.lit(None).cast("string") for s in sections}
+    of = F.explode(F.array(*(F.struct(F.lit(s).alias("section"), k.alias("label")) for s, k in key.items()))).alias("of")
+    used = [c for s in sections if (c := SECTIONS[s])]
+    numbers = ("revenue", "cost", "made", "sold", "held")
+    dealt = lines.select("company", "lang", "report_year", *used, *numbers).repartition("company")
+    rows = dealt.select("company", "lang", "report_year", of, *numbers).select("company", "lang", "report_year", "of.section", "of.label", *numbers)
+    return rows.groupBy("company", "lang", "report_year", "section", "label").agg(*(F.sum(c).alias(c) for c in numbers)).withColumn("label", F.coalesce("label", F.lit("")))
+
+
+def _shown(amount: str) -> str:
+    return _SHOWN.format(amount, div="div")
+
+
+def cells_of_years(sums: DataFrame) -> DataFrame:
+    """The columns of `CELLS` for `sums`, whose exact sums stay as revenue_ and cost_."""
+    rate = lambda now, was: f"CASE WHEN {was} > 0 THEN CAST(round(10000.0 * ({now} - {was}) / {was}) AS BIGINT) END"
+    shown = sums.withColumnsRenamed({"revenue": "revenue_", "cost": "cost_"}).selectExpr("*", f"{_shown('revenue_')} AS revenue", f"{_shown('cost_')} AS cost")
+    shown = shown.selectExpr("*", "CAST(round(10000.0 * (revenue - cost) / nullif(revenue, 0)) AS BIGINT) AS margin")
+    before = shown.selectExpr("*", *(f"lag({c}) {_BEFORE} AS {c}_was" for c in ("revenue", "cost", "margin", "made", "sold", "held")), "min(report_year) OVER (PARTITION BY company) AS first_year")
+    return before.selectExpr("*", *(f"{rate(c, f'{c}_was')} AS {c}_yoy" for c in ("revenue", "cost", "made", "sold", "held")), "margin - margin_was AS margin_delta", "report_year = first_year AS is_first")
+
+
+def years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of the whole of each company's years alone."""
+    return cells_of_years(sums_of(lines_of(spark, sf_dir), ("whole",)))
+
+
+def _five(cells: DataFrame, of: str) -> list[Column]:
+    """The five largest of a year, the largest, and their shares, as `_largest` has them; `cells` has their amount v and place rk."""
+    here, v = F.col("section") == of, F.col("v")
+    return [F.sum(F.when(here & (F.col("rk") <= 5), v)).alias(f"{of}_five"), F.max(F.when(here, v)).alias(f"{of}_one"), F.sum(F.when(here, v)).alias(f"{of}_total")]
+
+
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """company, report_year, lang, doc_id and the text of every filing."""
-    frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES}
-    from ..plans.stages import _named
-
-    sql = lambda q: spark.sql(_named(q, frames), **frames)
     by = ["company", "report_year", "lang"]
     section, none = F.col("section"), F.lit("")
     whole, at = section == "whole", lambda n, label, line: F.struct(F.lit(n).alias("at"), label.alias("label"), line.alias("line"))
@@ -206,8 +272,17 @@ def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(section == F.when(F.col("lang") == "es", "whole").otherwise("segment"), at(51, label, _stock_rows())),
         F.when(whole, at(80, none, F.concat_ws("\n", _say(TITLES["statement"]), _say(UNITS), _statement(), _say(TITLES["discussion"]), _discussion()))),
     )
-    lines = sql(CELLS[0]).select(*by, F.explode(F.array_compact(printed)).alias("p"))
-    for k, t, q in ((60, "customers", CUSTOMERS), (70, "vendors", VENDORS)):
-        lines = lines.union(sql(q[0]).select(*by, at(k, none, F.concat_ws("\n", _say(TITLES[t]), _say(UNITS), _concentration(t == "customers")))))
-    text = F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda x: x["line"]), "\n")
-    return lines.groupBy(*by).agg(text.alias("text")).select(F.concat_ws("-", "company", "report_year").alias("doc_id"), *by, "text")
+    largest = "CASE section WHEN 'customer' THEN revenue_ WHEN 'vendor' THEN cost_ END"
+    cells = cells_of_years(sums_of(lines_of(spark, sf_dir), tuple(SECTIONS))).selectExpr("*", f"{largest} AS v")
+    cells = cells.selectExpr("*", "row_number() OVER (PARTITION BY company, report_year, section ORDER BY v DESC, label) AS rk")
+    some = cells.select(*by, "section", "v", "rk", F.array_compact(printed).alias("p"))
+    year = some.groupBy(*by).agg(F.flatten(F.collect_list("p")).alias("p"), *_five(some, "customer"), *_five(some, "vendor"))
+    for k, of, t in ((60, "customer", "customers"), (70, "vendor", "vendors")):
+        five, one, total = f"{of}_five", f"{of}_one", f"{of}_total"
+        year = year.selectExpr(
+            *(c for c in year.columns if not c.startswith(f"{of}_") and c not in ("five", "one", "five_share", "one_share")), f"{_shown(five)} AS five", f"{_shown(one)} AS one",
+            *(f"CAST(round(10000.0 * {x} / {total}) AS BIGINT) AS {y}" for x, y in ((five, "five_share"), (one, "one_share"))),
+        )
+        year = year.withColumn("p", F.concat("p", F.array(at(k, none, F.concat_ws("\n", _say(TITLES[t]), _say(UNITS), _concentration(t == "customers"))))))
+    text = F.array_join(F.transform(F.sort_array("p"), lambda x: x["line"]), "\n")
+    return year.select(F.concat_ws("-", "company", "report_year").alias("doc_id"), *by, text.alias("text"))

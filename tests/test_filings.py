@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from decimal import Decimal
 
+import pyarrow as pa
 import pytest
 
-from ledgerlens.operators.filings import CHINESE, ENGLISH, FRENCH, GERMAN, LANGUAGES, SPANISH, cells_of, concentration, in_ten_thousands, metric_rows, metric_with_growth, repaired, statement_cells, stock_rows
+from ledgerlens.operators.filings import CHINESE, ENGLISH, FRENCH, GERMAN, LANGUAGES, ROWS_AT_ONCE, SPANISH, cells_of, concentration, in_ten_thousands, metric_rows, metric_with_growth, repaired, statement_cells, stock_rows
+from ledgerlens.sources.filings import filings
 
 
 def rows(reader, text, terms):
@@ -122,3 +124,29 @@ def test_odd_filings_on_spark(spark):
     got = cells_of(df, metric_rows, stock_rows, concentration, statement_cells)
     assert {r.doc_id for r in got.collect()} == {"c", None} and cells_of(df.limit(0), metric_rows).count() == 0
     assert set(LANGUAGES) == {"en", "de", "fr", "es", "zh"}
+
+
+class Taken:
+    """Hands out the function that would run in a worker."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, f, _):
+        return f
+
+
+def test_rows_of_many_texts_are_given_on_in_parts():
+    text = "\n".join(["Principal operations by product", "Unit: USD thousand", *(f"Item {chr(97 + k % 26)}{chr(97 + k // 26)} 1,000.00 500.00 50.00% 1.00% 2.00% 3.00" for k in range(300))])
+    n = 60
+    batch = pa.RecordBatch.from_pydict({"doc_id": [str(k) for k in range(n)], "lang": ["en"] * n, "text": [text] * n})
+    sizes = [b.num_rows for b in cells_of(Taken(), metric_rows)(iter([batch]))]
+    of_one = sum(1 for _ in metric_rows(text, ENGLISH))
+    assert of_one == 1800 and sum(sizes) == n * of_one
+    assert max(sizes) < ROWS_AT_ONCE + of_one
+
+
+def test_lines_are_read_once_and_dealt_by_company_once(spark):
+    plan = filings(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("l_extendedprice#") and sum("FileScan" in x and "l_extendedprice" in x for x in plan.split("\n")) == 1
+    assert sum("Exchange hashpartitioning(company" in x for x in plan.split("\n")) == 1 and "Expand" not in plan
