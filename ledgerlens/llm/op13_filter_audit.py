@@ -81,7 +81,8 @@ def labelled(failed: DataFrame, labels: DataFrame) -> DataFrame:
     of_id = labels.groupBy("doc_id").agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
     of_id = of_id.withColumn("salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
     none = {"good": 0, "toxic": 0}
-    return failed.join(of_id, ["doc_id", "salt"], "left").fillna(none)
+    # no estimate knows that each id is there once for every salt, so this side may not be sent through the driver
+    return failed.join(of_id.hint("merge"), ["doc_id", "salt"], "left").fillna(none)
 
 
 def cells(rows: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from itertools import permutations
 import numpy as np
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.op13_filter_audit import audit, inverted, mask_of, parity_sums
+from ledgerlens.llm.op13_filter_audit import audit, inverted, labelled, mask_of, parity_sums
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 LABELS = "doc_id long, quality int, toxic int"
@@ -88,3 +88,11 @@ def test_empty_tables(spark, empty, make):
     assert audit(empty, labels).count() == 0
     got = audit(make([None, "", "a"]), labels)
     assert got.count() == 3 * 600 and dict(got.dtypes)["step"] == "int" and got.where("kept > 0 AND step = 5").count() == 0
+
+
+def test_salted_labels_are_not_broadcast(spark):
+    failed = spark.createDataFrame([(k, "p", b"d", 0, k % 8) for k in range(20)], "doc_id long, part string, digest binary, mask int, salt int")
+    known = labelled(failed, spark.createDataFrame([(k, 1, 0) for k in range(0, 20, 2)], LABELS))
+    plan = known._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan and "SortMergeJoin" in plan
+    assert known.selectExpr("count(*)", "sum(good)", "sum(toxic)").first()[:] == (20, 10, 0)
