@@ -55,9 +55,13 @@ def contained(rows: DataFrame, owners: DataFrame) -> DataFrame:
     """(scope, id) of the rows whose body is an owner's, or, from `LEAST` characters on, inside one."""
     texts = owners.where("body <> ''").groupBy("scope", "body").agg(F.min("id").alias("id"))
     equal = rows.join(texts.select("scope", "body"), ["scope", "body"], "left_semi").select("scope", "id")
-    asked = with_fingerprints(rows, False).join(with_fingerprints(texts, True).withColumnRenamed("id", "owner"), ["scope", "fingerprint"]).select("scope", "id", "owner").distinct()
-    near = asked.join(rows.select("scope", "id", "body"), ["scope", "id"]).join(texts.select("scope", F.col("id").alias("owner"), F.col("body").alias("whole")), ["scope", "owner"])
-    return equal.union(near.where(F.contains("whole", "body")).select("scope", "id")).distinct()
+    # a text is looked for once, however many rows have it
+    asking = rows.where("body <> ''").groupBy("scope", "body").agg(F.min("id").alias("id"))
+    asked = with_fingerprints(asking, False).join(with_fingerprints(texts, True).withColumnRenamed("id", "owner"), ["scope", "fingerprint"]).select("scope", "id", "owner")
+    near = asked.join(asking, ["scope", "id"]).join(texts.select("scope", F.col("id").alias("owner"), F.col("body").alias("whole")), ["scope", "owner"])
+    inside = near.where(F.contains("whole", "body")).select("scope", "body").distinct()
+    within = rows.join(inside, ["scope", "body"], "left_semi").select("scope", "id")
+    return equal.union(within).distinct()
 
 
 def incremental(rows: DataFrame, owners: DataFrame) -> DataFrame:
