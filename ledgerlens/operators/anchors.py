@@ -4,7 +4,7 @@ A fact is a cell as a data service delivers it, rounded to the decimals of its u
 units. A fact's anchor is the first block, in order, with a row that names the fact's label and prints an amount
 within half a unit of the cell's last place, or the cell's very digits. Facts without one are kept, with the reason.
 
-Amounts meet by value, not by pairs: for each precision that facts have, the amounts of the text are put into bands of that width, and a
+Amounts meet by value, not by pairs: for each precision that the facts of their document and label have, the amounts of the text are put into bands of that width, and a
 fact looks into the one or two bands that its tolerance touches, an equality join on document, label, precision and band.
 """
 
@@ -34,7 +34,7 @@ def band_join(facts: DataFrame, amounts: DataFrame, by: list[str]) -> DataFrame:
     wide = facts.withColumn("_level", level).withColumn("_width", F.pow(F.lit(10.0), "_level").cast("long"))
     low, high = band("(value - tolerance)", "_width"), band("(value + tolerance)", "_width")
     probes = wide.withColumn("_band", F.explode(F.sequence(low, high))).drop("_width")  # two at most, as long as tolerances stay within the widest level
-    at = amounts.withColumn("_level", F.explode(F.array(*(F.lit(k) for k in LEVELS)))).withColumn("_width", F.pow(F.lit(10.0), "_level").cast("long"))
+    at = amounts.join(wide.select(*by, "_level", "_width").distinct(), by)
     at = at.withColumn("_band", band("amount", "_width")).drop("_width")
     met = probes.join(at, [*by, "_level", "_band"]).where(F.abs(F.col("value") - F.col("amount")) <= F.col("tolerance"))
     return met.drop("_level", "_band")

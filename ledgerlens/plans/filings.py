@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..operators import anchors
 from ..operators import filings as read
+from ..operators.dedupe import written
 from ..sources.filings import CELLS, COST, CUSTOMERS, GROSS, HOMES, REVENUE, VENDORS
-from ..sources.filings import filings, years
+from ..sources.filings import filings
 
 METRICS = read.FORMS["metrics"][0]
 PRODUCTS = 6
@@ -63,16 +64,17 @@ def q_x06_metric_value(spark: SparkSession, sf_dir: str) -> DataFrame:
 _FACTS = tuple(
     f"""SELECT concat(company, '-', report_year) AS doc_id, metric, lang, CASE WHEN metric = 'made' THEN v * 10000 ELSE CAST(round(v * u / 1000000.0) AS BIGINT) * 100000000 END AS value, CASE WHEN metric = 'made' THEN 5000 ELSE 50000000 END AS tolerance
 FROM (SELECT company, lang, report_year, metric, CASE metric WHEN 'revenue' THEN revenue WHEN 'cost' THEN -cost WHEN 'gross' THEN revenue - cost ELSE made END AS v, CASE WHEN lang = 'zh' THEN 1 ELSE 1000 END AS u
-  FROM {cells} {many} WHERE section = 'whole') f"""
-    for cells, many in (("{c}", "LATERAL VIEW explode(array('revenue', 'cost', 'gross', 'made')) m AS metric"), (f"({CELLS[1]}) c", "CROSS JOIN (SELECT unnest(['revenue', 'cost', 'gross', 'made']) AS metric) m"))
+  FROM {cells} {many}) f"""
+    for cells, many in (("{c}", "LATERAL VIEW explode(array('revenue', 'cost', 'gross', 'made')) m AS metric"), (f"({CELLS[1]}) c", "CROSS JOIN (SELECT unnest(['revenue', 'cost', 'gross', 'made']) AS metric) m WHERE section = 'whole'"))
 )
 _MADE = {"en": "Production", "de": "Produktion", "fr": "Production", "es": "Producción", "zh": "生产量"}
 
 
 def q_x14_fact_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    facts = spark.sql(_FACTS[0], c=years(spark, sf_dir)).select("doc_id", "metric", "value", F.col("tolerance").cast("long").alias("tolerance"), F.lit("").alias("digits"))
+    filed = written(filings(spark, sf_dir).select("company", "report_year", "lang", "doc_id", "text", "revenue", "cost", "made"))  # facts and texts of one pass over the lines
+    facts = spark.sql(_FACTS[0], c=filed).select("doc_id", "metric", "value", F.col("tolerance").cast("long").alias("tolerance"), F.lit("").alias("digits"))
     labels = {k: {"revenue": REVENUE[k], "cost": COST[k], "gross": GROSS[k], "made": _MADE[k]} for k in HOMES.values()}
-    return anchors.anchored(facts, anchors.text_amounts(filings(spark, sf_dir), labels)).select("doc_id", "metric", "value", "status", "part", "amount")
+    return anchors.anchored(facts, anchors.text_amounts(filed, labels)).select("doc_id", "metric", "value", "status", "part", "amount")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

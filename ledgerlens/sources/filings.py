@@ -193,12 +193,12 @@ def _amount(column: str) -> Column:
 
 
 def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of `LINES`. A line is carried through the joins as few numbers, and meets the wide tables last."""
+    """The rows of `LINES`, with marks of what was returned and of large lots for sold and held. A line is carried through the joins as few numbers, and meets the wide tables last."""
     t = _given(spark, sf_dir)
     quantity, long = F.col("l_quantity").cast("long"), lambda x: (F.lit(10000) * x).cast("long")
     line = t["lineitem"].select(
-        "l_orderkey", "l_partkey", "l_suppkey", F.year("l_shipdate").alias("report_year"), quantity.alias("made"), F.when(F.col("l_returnflag") == "R", 0).otherwise(quantity).alias("sold"),
-        F.when(F.col("l_quantity") > 40, quantity).otherwise(0).alias("held"),
+        "l_orderkey", "l_partkey", "l_suppkey", F.year("l_shipdate").alias("report_year"), quantity.alias("made"), F.when(F.col("l_returnflag") == "R", 1).otherwise(0).alias("returned"),
+        F.when(F.col("l_quantity") > 40, 1).otherwise(0).alias("large"),
         long(_amount("l_extendedprice") * (1 - F.col("l_discount")).cast("decimal(4,2)")).alias("revenue"), long(_amount("l_extendedprice") * F.expr("0.55 + 2 * l_tax").cast("decimal(4,2)")).alias("cost"),
     )
     nations = t["nation"].join(t["region"], F.col("n_regionkey") == F.col("r_regionkey"))
@@ -214,18 +214,26 @@ def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line.join(order, F.col("l_orderkey") == F.col("o_orderkey")).drop("l_orderkey", "o_orderkey")
 
 
+def tasks_of(spark: SparkSession, sf_dir: str) -> int:
+    """Tasks for the lines dealt by company: lines are counted from the footers, and every task gets about as many, however many there are."""
+    return max(LEAST_TASKS, -(-spark.read.parquet(f"{sf_dir}/lineitem.parquet").count() // LINES_A_TASK))
+
+
+#: A line becomes a row in each section, so a task holds several rows for each of its lines.
+LINES_A_TASK, LEAST_TASKS = 100_000, 8
 #: Sections of a year's sums: the column of lines that labels them, none for the whole.
 SECTIONS = {"segment": "segment", "industry": "industry", "region": "region", "channel": "channel", "whole": None, "customer": "customer", "vendor": "vendor"}
 
 
-def sums_of(lines: DataFrame, sections: tuple[str, ...]) -> DataFrame:
+def sums_of(lines: DataFrame, sections: tuple[str, ...], tasks: int) -> DataFrame:
     """(company, lang, report_year, section, label, sums) of the sections, on the company's partition: lines are dealt by company
-    once, and all that follows for a company or a year of it needs no further shuffle."""
+    once, to so many tasks, and all that follows for a company or a year of it needs no further shuffle."""
     key = {s: F.col(c) if (c := SECTIONS[s]) else F.lit(None).cast("string") for s in sections}
     of = F.explode(F.array(*(F.struct(F.lit(s).alias("section"), k.alias("label")) for s, k in key.items()))).alias("of")
     used = [c for s in sections if (c := SECTIONS[s])]
     numbers = ("revenue", "cost", "made", "sold", "held")
-    dealt = lines.select("company", "lang", "report_year", *used, *numbers).repartition("company")
+    dealt = lines.select("company", "lang", "report_year", *used, "revenue", "cost", "made", "returned", "large").repartition(tasks, "company")
+    dealt = dealt.withColumn("sold", F.when(F.col("returned") == 1, 0).otherwise(F.col("made"))).withColumn("held", F.when(F.col("large") == 1, F.col("made")).otherwise(0))
     rows = dealt.select("company", "lang", "report_year", of, *numbers).select("company", "lang", "report_year", "of.section", "of.label", *numbers)
     return rows.groupBy("company", "lang", "report_year", "section", "label").agg(*(F.sum(c).alias(c) for c in numbers)).withColumn("label", F.coalesce("label", F.lit("")))
 
@@ -243,11 +251,6 @@ def cells_of_years(sums: DataFrame) -> DataFrame:
     return before.selectExpr("*", *(f"{rate(c, f'{c}_was')} AS {c}_yoy" for c in ("revenue", "cost", "made", "sold", "held")), "margin - margin_was AS margin_delta", "report_year = first_year AS is_first")
 
 
-def years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cells of the whole of each company's years alone."""
-    return cells_of_years(sums_of(lines_of(spark, sf_dir), ("whole",)))
-
-
 def _five(cells: DataFrame, of: str) -> list[Column]:
     """The five largest of a year, the largest, and their shares, as `_largest` has them; `cells` has their amount v and place rk."""
     here, v = F.col("section") == of, F.col("v")
@@ -255,7 +258,7 @@ def _five(cells: DataFrame, of: str) -> list[Column]:
 
 
 def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """company, report_year, lang, doc_id and the text of every filing."""
+    """company, report_year, lang, doc_id and the text of every filing, with revenue, cost and made of the whole year as its statement has them."""
     by = ["company", "report_year", "lang"]
     section, none = F.col("section"), F.lit("")
     whole, at = section == "whole", lambda n, label, line: F.struct(F.lit(n).alias("at"), label.alias("label"), line.alias("line"))
@@ -273,10 +276,11 @@ def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(whole, at(80, none, F.concat_ws("\n", _say(TITLES["statement"]), _say(UNITS), _statement(), _say(TITLES["discussion"]), _discussion()))),
     )
     largest = "CASE section WHEN 'customer' THEN revenue_ WHEN 'vendor' THEN cost_ END"
-    cells = cells_of_years(sums_of(lines_of(spark, sf_dir), tuple(SECTIONS))).selectExpr("*", f"{largest} AS v")
+    cells = cells_of_years(sums_of(lines_of(spark, sf_dir), tuple(SECTIONS), tasks_of(spark, sf_dir))).selectExpr("*", f"{largest} AS v")
     cells = cells.selectExpr("*", "row_number() OVER (PARTITION BY company, report_year, section ORDER BY v DESC, label) AS rk")
-    some = cells.select(*by, "section", "v", "rk", F.array_compact(printed).alias("p"))
-    year = some.groupBy(*by).agg(F.flatten(F.collect_list("p")).alias("p"), *_five(some, "customer"), *_five(some, "vendor"))
+    shown = ("revenue", "cost", "made")
+    some = cells.select(*by, "section", "v", "rk", *shown, F.array_compact(printed).alias("p"))
+    year = some.groupBy(*by).agg(F.flatten(F.collect_list("p")).alias("p"), *_five(some, "customer"), *_five(some, "vendor"), *(F.max(F.when(whole, F.col(c))).alias(c) for c in shown))
     for k, of, t in ((60, "customer", "customers"), (70, "vendor", "vendors")):
         five, one, total = f"{of}_five", f"{of}_one", f"{of}_total"
         year = year.selectExpr(
@@ -285,4 +289,4 @@ def filings(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
         year = year.withColumn("p", F.concat("p", F.array(at(k, none, F.concat_ws("\n", _say(TITLES[t]), _say(UNITS), _concentration(t == "customers"))))))
     text = F.array_join(F.transform(F.sort_array("p"), lambda x: x["line"]), "\n")
-    return year.select(F.concat_ws("-", "company", "report_year").alias("doc_id"), *by, text.alias("text"))
+    return year.select(F.concat_ws("-", "company", "report_year").alias("doc_id"), *by, text.alias("text"), *shown)
