@@ -150,3 +150,33 @@ def test_lines_are_read_once_and_dealt_by_company_once(spark):
     plan = filings(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("l_extendedprice#") and sum("FileScan" in x and "l_extendedprice" in x for x in plan.split("\n")) == 1
     assert sum("Exchange hashpartitioning(company" in x for x in plan.split("\n")) == 1 and "Expand" not in plan
+
+
+def test_readers_of_one_text_cut_it_into_lines_once(monkeypatch):
+    from ledgerlens.operators import filings as operator
+
+    seen, cut = [], operator.repaired
+    monkeypatch.setattr(operator, "repaired", lambda line: seen.append(line) or cut(line))
+    text = "Principal operations by region\nNorth 1 2 3 4 5 6\nMajor customers\n1 customer A 5.00 10.00 no"
+    batch = pa.RecordBatch.from_pydict({"doc_id": ["a", "b"], "lang": ["en", "en"], "text": [text, text + "\nno row"]})
+    assert sum(b.num_rows for b in cells_of(Taken(), metric_rows, concentration)(iter([batch]))) == 2 * 8
+    assert len(seen) == 4 + 5
+
+
+def test_tasks_of_a_company_grow_with_the_lines(spark, monkeypatch):
+    from ledgerlens.sources import filings as source
+
+    few = source.tasks_of(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(source, "LINES_A_TASK", 250)
+    many = source.tasks_of(spark, "/root/testdata/sf0.001")
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert few == source.LEAST_TASKS and many == -(-lines // 250)
+    plan = filings(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange hashpartitioning(company" in x and f", {many})" in x for x in plan.split("\n")) == 1
+
+
+def test_facts_and_texts_come_from_one_pass_over_the_lines(spark):
+    from ledgerlens.plans.filings import q_x14_fact_anchor
+
+    plan = q_x14_fact_anchor(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "l_extendedprice" not in plan
