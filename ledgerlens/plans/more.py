@@ -189,7 +189,11 @@ SELECT doc_id, 'number' AS kind, item, how FROM g UNION ALL SELECT doc_id, 'name
     "q_l03_report_rules": Query(
         "SELECT doc_id, coalesce(text, '') AS text, lower(coalesce(text, '')) AS low FROM documents",
         (stage(**{code: (match_re("low", p) if isinstance(p, str) else p[0]) for code, p in REPORT_RULES.items()}),),
-        final=" UNION ALL ".join(f"SELECT doc_id, '{code}' AS code FROM t WHERE {code}" for code in REPORT_RULES), tables=DOCS,
+        final=(
+            "SELECT doc_id, explode(array_compact(array(" + ", ".join(f"CASE WHEN {code} THEN '{code}' END" for code in REPORT_RULES) + "))) AS code FROM t",
+            " UNION ALL ".join(f"SELECT doc_id, '{code}' AS code FROM t WHERE {code}" for code in REPORT_RULES),
+        ),
+        tables=DOCS,
     ),
     "q_r01_assembly": Query(POSTS, (*SCORE, stage(where="action <> 'discard'"), stage(rk="row_number() OVER (PARTITION BY source ORDER BY quality DESC, seq)"), stage(where="rk <= 5")), final=("SELECT source, concat('# ', source, ': ', array_join(transform(array_sort(collect_list(struct(rk, seq))), x -> CAST(x.seq AS STRING)), ', ')) AS section FROM t GROUP BY source", "SELECT source, concat('# ', source, ': ', string_agg(CAST(seq AS VARCHAR), ', ' ORDER BY rk)) AS section FROM t GROUP BY source"), tables=DOCS),
     "q_r06_executive_view": triggered(
