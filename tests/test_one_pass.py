@@ -33,3 +33,17 @@ def test_report_rules_read_documents_once(spark, docs):
     for code in ("ev_na_percent", "shouting", "empty_table_cell", "external_map_unverified_claim_framing", "fundflow_claim_without_fundflow_pack"):
         assert {i for i, c in found if c == code} == {i for i, t in enumerate(TEXTS) if re.search(REPORT_RULES[code], (t or "").lower())}
     assert {i for i, c in found if c == "over_compressed"} == set(range(len(TEXTS)))
+
+
+def test_refs_and_cards_score_once(spark, docs):
+    text = "Because revenue rose 12 % in 2024, however the price of USD 3.5 million fell. " * 8
+    d = docs([text] * 6 + ["short"] + [None] + [f"Wrote to a@b.org about the licence of {k} things" for k in range(4)])
+    refs = ledger.queries()["q_a05_snapshot_refs"](spark, d)
+    cards = ledger.queries()["q_e09_display_cards"](spark, d)
+    for got in (refs, cards):
+        assert "text#" not in got._jdf.queryExecution().optimizedPlan().toString()
+    seen = {}
+    for r in sorted(refs.collect(), key=lambda r: r.seq):
+        seen[r.source] = seen.get(r.source, 0) + 1
+        assert r.ref == seen[r.source]
+    assert seen and cards.count() > 0
