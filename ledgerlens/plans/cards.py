@@ -13,8 +13,10 @@ from .texts import DOCS, POSTS, SCORE, SENTENCES, dense_refs
 
 NUMBER = "[0-9]+(?:[.][0-9]+)?"
 
-#: A marker with up to 80 characters of its sentence on both sides.
-SNIPPET = "[^.\\n]{0,80}(?:[Ll]icen[cs]e|password|token|@)[^.\\n]{0,80}"
+#: A marker with up to 80 characters of its sentence on both sides. No match leaves its sentence, so only sentences with a marker are searched for it.
+MARKER = "[Ll]icen[cs]e|password|token|@"
+SNIPPET = f"[^.\\n]{{0,80}}(?:{MARKER})[^.\\n]{{0,80}}"
+_MARKED = f"filter(split(text, r'[.\\n]'), x -> x RLIKE r'{MARKER}')"
 
 #: Card families by the marks of a sentence, in order of precedence.
 FAMILY = "CASE WHEN has(sentence, policy) THEN 'legal' WHEN contains(sentence, '@') THEN 'contact' WHEN contains(sentence, '|') THEN 'table' WHEN has(sentence, driver) THEN 'driver' ELSE 'context' END"
@@ -55,17 +57,17 @@ coalesce(max(d1) < max(d2) AND max(w2) <= max(w1) * 1.03 AND max(CASE WHEN dt BE
     "q_x27_snippets": Query(
         tuple(
             f"SELECT doc_id, trim(s) AS snippet FROM (SELECT doc_id, {e} AS s FROM documents) x"
-            for e in (f"explode(array_distinct(regexp_extract_all(text, r'{SNIPPET}', 0)))", f"unnest(list_distinct(regexp_extract_all(text, '{SNIPPET}')))")
+            for e in (f"explode(array_distinct(flatten(transform({_MARKED}, x -> regexp_extract_all(x, r'{SNIPPET}', 0)))))", f"unnest(list_distinct(regexp_extract_all(text, '{SNIPPET}')))")
         ),
         (stage(snippet_sha=sha256("snippet")),), ("doc_id", "CAST(length(snippet) AS BIGINT) AS chars", "snippet_sha"), "length(snippet) >= 16", tables=DOCS,
     ),
     "q_e09_display_cards": Query(
         SENTENCES, (stage(family=FAMILY), stage(where="family <> 'context'"), stage(rk="row_number() OVER (PARTITION BY doc_id, family ORDER BY length(sentence) DESC, pos)")),
         final=(
-            f"SELECT x.doc_id, x.family, r.ref, CAST(length(x.sentence) AS BIGINT) AS chars FROM t x JOIN ({dense_refs('doc_id')}) r ON x.source = r.source AND x.doc_id = r.doc_id WHERE x.rk = 1",
+            f"SELECT x.doc_id, x.family, r.ref, x.chars FROM t x JOIN ({dense_refs('doc_id')}) r ON x.source = r.source AND x.doc_id = r.doc_id WHERE x.rk = 1",
             "SELECT doc_id, family, CAST(ref AS BIGINT) AS ref, CAST(length(sentence) AS BIGINT) AS chars FROM (SELECT *, dense_rank() OVER (PARTITION BY source ORDER BY doc_id) AS ref FROM t) x WHERE rk = 1",
         ),
-        tables=DOCS,
+        tables=DOCS, once=("doc_id", "source", "family", "rk", "CAST(length(sentence) AS BIGINT) AS chars"),
     ),
     "q_g06_digest_cards": sentences((stage(signal="terms(sentence, signal)", noise=count_re("sentence", "[!#$%&*|]")), stage(score="CAST(least(60, signal * 15) + 8 - least(40, noise * 2) AS INT)"), stage(where="noise < 20"), stage(rk="row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos)"), stage(n_units="count(*) OVER (PARTITION BY doc_id)"), stage(cap="CASE WHEN n_units <= 10 THEN 3 WHEN n_units <= 40 THEN 5 ELSE 8 END")), "score", "CAST(rk AS BIGINT) AS rk", where="rk <= cap"),
     "q_a01_narrative_cards": Query(

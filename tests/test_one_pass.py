@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import pytest
@@ -47,3 +48,13 @@ def test_refs_and_cards_score_once(spark, docs):
         seen[r.source] = seen.get(r.source, 0) + 1
         assert r.ref == seen[r.source]
     assert seen and cards.count() > 0
+
+
+def test_snippets_are_searched_in_marked_sentences_only(spark, docs):
+    x, y = "x" * 100, "y " * 60
+    texts = [None, "", f"{x}@{y}token{x}.{x}password\n{x}", "no mark. " * 50, f"a@b.org the licence, the License; {y}@@@@{x}@", "password\n\n.token. . @", "a long line of a licence " * 30, "same licence here ok.same licence here ok."]
+    got = ledger.queries()["q_x27_snippets"](spark, docs(texts))
+    assert "split(text" in got._jdf.queryExecution().optimizedPlan().toString()
+    whole = re.compile(r"[^.\n]{0,80}(?:[Ll]icen[cs]e|password|token|@)[^.\n]{0,80}")
+    want = [(i, len(s.strip(" ")), hashlib.sha256(s.strip(" ").encode()).hexdigest()) for i, t in enumerate(texts) for s in dict.fromkeys(whole.findall(t or "")) if len(s.strip(" ")) >= 16]
+    assert sorted(map(tuple, got.collect())) == sorted(want) and len(want) > 8
