@@ -11,6 +11,11 @@ few best of each combination of dimensions before stocks are ranked, so no task
 
 from __future__ import annotations
 
+from dataclasses import replace
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from ..functions.text import both, match_re, replace_re
 from .stages import Expr, Query, stage
 from .texts import DOCS, SENTENCES
@@ -102,6 +107,20 @@ _ROLE = "CASE " + " ".join(f"WHEN {any_of('low', w)} THEN '{r}'" for r, w in ROL
 _DIGIT: Expr = match_re("sentence", "[0-9]")
 _RANKED = "score DESC, penalty, id"
 _WORTH = "insight DESC, id"
+#: A source's rows are cut in so many parts before it is looked at as a whole.
+PARTS = 64
+
+
+def _candidates(rows: DataFrame) -> DataFrame:
+    """The rows of each part of a source that may be among its best by score, worth or portrait: the best of all are among the best of their parts."""
+    of = "PARTITION BY source, _part"
+    group = f"{of}, role, dimensions, coalesce(core, '')"
+    cut = rows.withColumn("_part", F.pmod(F.xxhash64("id"), F.lit(PARTS))).selectExpr(
+        "*", f"row_number() OVER ({of} ORDER BY coalesce(portrait, -1) DESC, id) AS _portrait", f"row_number() OVER ({group} ORDER BY {_RANKED}) AS _score", f"row_number() OVER ({group} ORDER BY {_WORTH}) AS _worth"
+    )
+    return cut.where("_score <= 12 OR _worth <= 12 OR _portrait <= 1").drop("_part", "_portrait", "_score", "_worth")
+
+
 CHOICE = Query(
     SENTENCES,
     (
@@ -116,7 +135,7 @@ CHOICE = Query(
         stage(dimensions="CAST(performance AS INT) + 2 * CAST(quality AS INT) + 4 * CAST(driver AS INT)"),
         stage(insight="4 * (CAST(performance AS INT) + CAST(quality AS INT) + CAST(driver AS INT)) + 2 * digit + 5 * CAST(contains(low, 'profit') AS INT) + complete"),
         # the few best of each combination, and of each core fact, are all that can be chosen
-        stage(by_score=f"row_number() OVER (PARTITION BY source, role, dimensions, coalesce(core, '') ORDER BY {_RANKED})", by_worth=f"row_number() OVER (PARTITION BY source, role, dimensions, coalesce(core, '') ORDER BY {_WORTH})", by_portrait="row_number() OVER (PARTITION BY source ORDER BY coalesce(portrait, -1) DESC, id)"),
+        replace(stage(by_score=f"row_number() OVER (PARTITION BY source, role, dimensions, coalesce(core, '') ORDER BY {_RANKED})", by_worth=f"row_number() OVER (PARTITION BY source, role, dimensions, coalesce(core, '') ORDER BY {_WORTH})", by_portrait="row_number() OVER (PARTITION BY source ORDER BY coalesce(portrait, -1) DESC, id)"), spread=_candidates),
         stage(where="by_score <= 12 OR by_worth <= 12 OR by_portrait <= 1"),
         stage(is_portrait="by_portrait = 1 AND portrait IS NOT NULL"),
         stage(cores="max(CASE WHEN core = 'revenue' AND NOT is_portrait THEN 1 ELSE 0 END) OVER (PARTITION BY source) + max(CASE WHEN core = 'profit' AND NOT is_portrait THEN 1 ELSE 0 END) OVER (PARTITION BY source) + max(CASE WHEN core = 'cash' AND NOT is_portrait THEN 1 ELSE 0 END) OVER (PARTITION BY source)", portrait_role="max(CASE WHEN is_portrait THEN role END) OVER (PARTITION BY source)"),
