@@ -174,8 +174,15 @@ class _Paths:
         return [_lists(c, kind) for c, (_, kind) in zip(self.columns, _PATHS, strict=True)]
 
 
-def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _few(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts: texts, sets and paths of a whole batch as Python values may be large."""
     for batch in batches:
+        for lo in range(0, batch.num_rows, rows):
+            yield batch.slice(lo, rows)
+
+
+def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in _few(batches):
         texts = _texts(batch)
         keys, n, minima, paths = [], [], [], _Paths()
         for text, tokens in zip(texts, _sets(texts), strict=True):
@@ -208,7 +215,7 @@ def _whole_sets(bits):
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["key", "n", "tokens"]
-        for batch in batches:
+        for batch in _few(batches):
             texts = _texts(batch)
             out, size = [], 0
             for text, tokens in zip(texts, _sets(texts), strict=True):

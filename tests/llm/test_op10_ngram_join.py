@@ -167,3 +167,13 @@ def test_links_of_null_and_shared_ids(spark):
     assert sorted((r.doc_id or 0, r.class_id or 0, r.n_copies, r.n_links) for r in got if r.n_links) == [(0, 0, 1, 1), (0, 0, 2, 1), (0, 0, 2, 1), (3, 3, 1, 1), (9, 3, 1, 1)]
     kept = sorted((r.doc_id or 0, r.text.removesuffix(" more")) for r in M.keep_one_of_each(docs).collect())
     assert kept == sorted(zip([0, 0, 0, 7, 7, 3, 9], groups, strict=True))
+
+
+def test_a_large_batch_is_sketched_in_parts():
+    """A task holds the texts, sets and paths of some rows at a time, however many rows a batch has."""
+    texts = [f"alpha beta gamma delta eps zeta {i}" for i in range(5000)]
+    batch = M.pa.record_batch([M.pa.array(range(5000), M.pa.int64()), M.pa.array(texts), M.pa.array([b""] * 5000, M.pa.binary())], names=["doc_id", "text", "text_hash"])
+    out = list(M._sketch([batch, batch.slice(0, 0)]))
+    assert max(b.num_rows for b in out) <= 512
+    assert [i for b in out for i in b.column("doc_id").to_pylist()] == list(range(5000))
+    assert M.pa.Table.from_batches(out).column("key").to_pylist() == [M._key(t, "") for t in M._sets(texts)]
