@@ -9,6 +9,8 @@ Windows stay within a document; patterns run alike in both engines.
 
 from __future__ import annotations
 
+import re
+
 from ..functions.text import both, match_re, sha256
 from .stages import Query, stage
 from .texts import DOCS
@@ -33,12 +35,41 @@ COMPARE = "compared (?:to|with)|versus|\\bvs[.]?\\b|better than|lower than|highe
 COOPERATE = "(?:together|jointly|partner\\w*|cooperat\\w*|alliance) with|zusammen mit|en partenariat avec|junto con"
 SECTOR = "^(?:in [0-9]{4},? )?(?:the |die |der |le |la |el )?(?:global |domestic |overseas )?(?:industry|sector|market|supply|demand|vendors|branche|markt|secteur|marché|mercado)\\b"
 PARTNER = "(?:competitor|rival|supplier|partner)s? ([a-z][a-z0-9-]{1,15}) (?:announced|released|launched|delivered|acquired|says|said)"
-COMPANY = "\\b([a-z][a-z0-9-]{1,15} (?:inc|corp|ltd|plc|gmbh|ag|llc)\\b)"
+LEGAL = ("inc", "corp", "ltd", "plc", "gmbh", "ag", "llc")
+COMPANY = f"\\b([a-z][a-z0-9-]{{1,15}} (?:{'|'.join(LEGAL)})\\b)"
 ACTOR = "^([a-z][a-z0-9-]{1,23}) (?:announced|released|launched|delivered|acquired)\\b"
 NO_NAME = ("the", "this", "that", "it", "we", "they", "company", "product", "market", "management", "industry")
+
+
+def _holds(column: str, *words: str) -> str:
+    return "(" + " OR ".join(f"contains({column}, '{w}')" for w in words) + ")"
+
+
+def holds(column: str, pattern: str, *guards: str) -> tuple[str, str]:
+    """`match_re` for a pattern of alternatives. On Spark plain words are looked for as such, the other alternatives only in texts that
+    hold one of `guards` (none: in all), words of which each match has one: a pattern tries all its alternatives at each place of a text."""
+    parts = re.split(r"[|](?![^(]*[)])", pattern)
+    plain = [p for p in parts if re.fullmatch(r"[\w ]+", p)]
+    rest = [p for p in parts if p not in plain]
+    checks = [_holds(column, *plain)] if plain else []
+    if rest:
+        among = match_re(column, "|".join(rest))[0]
+        checks.append(f"({_holds(column, *guards)} AND {among})" if guards else among)
+    return f"({' OR '.join(checks)})", match_re(column, pattern)[1]
+
+
+def _within(column: str, expr: tuple[str, str], part: str) -> tuple[str, str]:
+    """On Spark the pattern sees only `part` of the column, which holds all that it can match."""
+    return expr[0].replace(column, part, 1), expr[1]
+
+
+_ENDS = "[.!?;。！？；]$"  # before an end of line too, so the last three characters are looked at
+_CUT = "block"
+for _sign in ".!?;":
+    _CUT = f"replace({_CUT}, '{_sign} ', concat('{_sign} ', char(1)))"
 #: Sentences end at signs before a blank, or at full-width signs; pieces follow each other without gaps.
 _PIECES = (
-    "split(regexp_replace(regexp_replace(block, '([.!?;]) ', concat('$1 ', char(1))), '([。！？；]+ ?)', concat('$1', char(1))), char(1))",
+    f"split(if({_holds('block', '。', '！', '？', '；')}, regexp_replace({_CUT}, '([。！？；]+ ?)', concat('$1', char(1))), {_CUT}), char(1))",
     "string_split(regexp_replace(regexp_replace(block, '([.!?;]) ', '\\1 ' || chr(1), 'g'), '([。！？；]+ ?)', '\\1' || chr(1), 'g'), chr(1))",
 )
 
@@ -60,15 +91,17 @@ def _families(column: str) -> str:
     return "concat_ws(',', " + ", ".join("CASE WHEN " + " OR ".join(f"contains({column}, '{w}')" for w in words) + f" THEN '{f}' END" for f, words in FAMILIES.items()) + ")"
 
 
-def _first(pattern: str) -> tuple[str, str]:
-    return f"nullif(regexp_extract(low, r'{pattern}', 1), '')", f"nullif(regexp_extract(low, '{pattern}', 1), '')"
+def _first(pattern: str, guard: str | None = None) -> tuple[str, str]:
+    """What the pattern's group matches first, else NULL; on Spark only texts for which `guard` holds, as it does for all that match, are searched."""
+    found = f"nullif(regexp_extract(low, r'{pattern}', 1), '')"
+    return f"CASE WHEN {guard} THEN {found} END" if guard else found, f"nullif(regexp_extract(low, '{pattern}', 1), '')"
 
 
 BLOCKS = Query(
     _LINES,
     (
         stage(low_block="lower(block)"),
-        stage(is_noise=both("CAST({0} AS INT)", match_re("low_block", NOISE)), short=both("length(block) <= 48 AND NOT {0}", match_re("block", "[.!?;。！？；]$")), numbered=match_re("block", "^[0-9]{1,2}[.)] ")),
+        stage(is_noise=both("CAST({0} AS INT)", holds("low_block", NOISE)), short=both("length(block) <= 48 AND NOT {0}", _within("block", match_re("block", _ENDS), "right(block, 3)")), numbered=_within("block", match_re("block", "^[0-9]{1,2}[.)] "), "left(block, 4)")),
         stage(noise=f"max(is_noise) {_SO_FAR.format('CURRENT ROW')} = 1", block_start=f"coalesce(sum(length(block) + 2) {_SO_FAR.format('1 PRECEDING')}, 0)"),
         stage(kind="CASE WHEN noise THEN 'structural_noise' WHEN short OR numbered THEN 'heading' ELSE 'narrative' END"),
         stage(titled=f"kind = 'heading' AND {named('low_block', TARGET)} IS NOT NULL"),
@@ -91,14 +124,18 @@ UNIT_STAGES = (
     stage(end_at="start_at + length(sentence)", families=_families("low")),
     stage(
         status=both(
-            "CASE WHEN NOT {0} THEN 'incomplete' WHEN families = '' THEN 'unclassified' WHEN {1} THEN 'admitted' ELSE 'incomplete' END", match_re("sentence", "[.!?;。！？；]$"), match_re("low", f"{ARGUMENT}|[0-9]")
+            "CASE WHEN NOT {0} THEN 'incomplete' WHEN families = '' THEN 'unclassified' WHEN {1} THEN 'admitted' ELSE 'incomplete' END", _within("sentence", match_re("sentence", _ENDS), "right(sentence, 3)"), holds("low", f"{ARGUMENT}|[0-9]")
         )
     ),
 )
+_RELATED = f"({holds('low', COMPARE, 'compared ', 'vs')[0]} OR {holds('low', COOPERATE, ' with')[0]})", match_re("low", f"{COMPARE}|{COOPERATE}")[1]
 SCOPE_STAGES = (
-    stage(target=named("low", TARGET), partner=_first(PARTNER), known=named("low", PEERS), company=_first(COMPANY), actor=_first(ACTOR)),
+    stage(
+        target=named("low", TARGET), partner=_first(PARTNER, _holds("low", "competitor", "rival", "supplier", "partner")), known=named("low", PEERS),
+        company=_first(COMPANY, _holds("low", *(f" {w}" for w in LEGAL)) + f" AND low RLIKE r' (?:{'|'.join(LEGAL)})\\b'"), actor=_within("low", _first(ACTOR), "left(low, 40)"),
+    ),
     stage(peer="coalesce(partner, known, company, CASE WHEN actor NOT IN (" + ", ".join(f"'{w}'" for w in NO_NAME) + ") THEN actor END)"),
-    stage(peer="CASE WHEN peer NOT IN (" + ", ".join(f"'{w}'" for w in TARGET) + ") THEN peer END", related=match_re("low", f"{COMPARE}|{COOPERATE}"), sector=match_re("low", SECTOR)),
+    stage(peer="CASE WHEN peer NOT IN (" + ", ".join(f"'{w}'" for w in TARGET) + ") THEN peer END", related=_RELATED, sector=_within("low", match_re("low", SECTOR), "left(low, 64)")),
     stage(names="CASE WHEN target IS NOT NULL THEN concat('target:', target) WHEN peer IS NOT NULL THEN concat('peer:', peer) END"),
     stage(owner=(_OWNER[0].format("names", _BLOCK), _OWNER[1].format("names", _BLOCK))),
     stage(

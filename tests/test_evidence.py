@@ -6,7 +6,10 @@ import re
 
 import pytest
 
+from ledgerlens.functions.text import match_re
+from ledgerlens.plans import evidence as V
 from ledgerlens.plans.evidence import BLOCKS, SCOPED, UNITS
+from ledgerlens.plans.stages import apply
 
 
 @pytest.fixture
@@ -69,3 +72,26 @@ def test_units_are_exact_pieces(on):
         assert hashlib.sha256(piece.encode()).hexdigest() == r.unit_sha and piece == piece.strip() and re.search(r"\w", piece)
     first = [(r.families, r.status) for r in sorted(rows, key=lambda r: (r.doc_id, r.unit_no)) if r.doc_id == 0]
     assert first == [("technology_product", "admitted"), ("commercialization", "admitted"), ("", "unclassified"), ("", "incomplete")]
+
+
+ODD = [
+    "vs", "x vs. y", "avs b", "vs_", "compared  to", "compared with", "compared", "versus", "partnered with", "partner  with", "cooperating with", "together with", "together", "zusammen mit", "growth", "7", "", "gegenu\u0308ber", "gegenüber",
+    "competitors zylog says so", "rival a says", "competitor ab said", "competitor ab-c9 launched", "partners said", "foo inc", "foo include", "a inc.", "x foo ag", "again", " ag", "foo-bar gmbh\u0301", "zylog-9 announced", "zylog announcedx",
+    "a" * 24 + " delivered", "a" * 25 + " delivered", "a" * 24 + " delivered it", "a" * 24 + " delivered\u0301", "in 2024, the overseas industry", "in 2024, the overseas industryx", "in 2024, the domestic vendors of it", "the industry", "an industry",
+    "a disclaimer", "ne constitue pas x", "end.", "end.\u2028", "end.\r\n", "end。", "end. ", "end.\n\n", "12. x", "123. x", "1.x", "1) x", "😀.", "。", "a. b! c? d; e", "a.b。c。 d! 。", "a.  b", ". . ;", "；；x",
+]
+
+
+def test_words_are_looked_for_before_patterns_and_tell_the_same(spark):
+    """On Spark plain words are no alternatives of a pattern, and guarded or shortened texts match as whole ones do."""
+    told = V.holds("low", V.ARGUMENT)[0]
+    assert "RLIKE" not in told and "contains(low, 'account for')" in told
+    texts = spark.createDataFrame([(t, t, t) for t in [*ODD, None]], "low string, sentence string, block string")
+    new = {c: e for st in (*V.UNIT_STAGES, *V.SCOPE_STAGES) for c, e in st.columns.items() if c in ("partner", "company", "actor", "related", "sector")}
+    new |= {"argues": V.holds("low", f"{V.ARGUMENT}|[0-9]"), "noisy": V.holds("low", V.NOISE), "ends": V._within("sentence", match_re("sentence", V._ENDS), "right(sentence, 3)"), "numbered": V.BLOCKS.stages[1].columns["numbered"], "pieces": V._PIECES}
+    old = {c: V._first(p)[0] for c, p in (("partner", V.PARTNER), ("company", V.COMPANY), ("actor", V.ACTOR))}
+    old |= {c: match_re(x, p)[0] for c, x, p in (("related", "low", f"{V.COMPARE}|{V.COOPERATE}"), ("sector", "low", V.SECTOR), ("argues", "low", f"{V.ARGUMENT}|[0-9]"), ("noisy", "low", V.NOISE), ("ends", "sentence", "[.!?;。！？；]$"), ("numbered", "block", "^[0-9]{1,2}[.)] "))}
+    old["pieces"] = "split(regexp_replace(regexp_replace(block, '([.!?;]) ', concat('$1 ', char(1))), '([。！？；]+ ?)', concat('$1', char(1))), char(1))"
+    got, want = (apply(texts, [V.stage(**x)]).select("low", *sorted(x)).collect() for x in (new, old))
+    assert got == want
+    assert all(any(r[c] for r in want) for c in new)
