@@ -6,6 +6,7 @@ stages that made them, and compared. Any violation refuses the whole pack with t
 JSON that doesn't fit the schema goes through the corrupt-record column and refuses its pack too.
 
 Checks are rows (pack, place, code) of exploded arrays, so a pack with many units is spread like any other rows, and only places meet.
+A pack is parsed once and its blocks are worked out once, both written to scratch; no row of a block or a unit carries its whole document.
 """
 
 from __future__ import annotations
@@ -13,8 +14,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.evidence import _PIECES, BLOCKS, FAMILIES, SCOPE_STAGES, UNIT_STAGES
+from ..plans.evidence import _PIECES, BLOCKS, FAMILIES, SCOPE_STAGES, UNIT_STAGES, _holds
 from ..plans.stages import apply
+from .dedupe import written
 
 PACK, DOCUMENT, CARD, UNIT = "argument_pack.v4", "source_document.v1", "argument_card.v4", "evidence_unit.v2"
 SCOPES = ("target", "target_with_peer_context", "peer_or_industry")
@@ -42,10 +44,14 @@ def _first_of(*checks: tuple[str, str]) -> Column:
     return F.expr("CASE " + " ".join(f"WHEN NOT coalesce({ok}, false) THEN struct({n} AS step, '{code}' AS code)" for n, (code, ok) in enumerate(checks, 1)) + " END")
 
 
-def _units_of(blocks: DataFrame) -> DataFrame:
-    """Units with origins of blocks (doc_id, block_no, block): what a pack with these blocks must hold."""
-    known = apply(blocks, BLOCKS.stages)
-    pieces = known.where("kind = 'narrative'").selectExpr("doc_id", "block_no", "target_centric", f"posexplode({_PIECES[0]}) AS (unit_no, piece)")
+def _known(blocks: DataFrame, *more: str) -> DataFrame:
+    """What is derived from blocks (doc_id, block_no, block), with columns that they bring along, worked out once."""
+    return written(apply(blocks, BLOCKS.stages).select("doc_id", "block_no", "block", "block_start", "kind", "boundary", "target_centric", *more))
+
+
+def _units_of(known: DataFrame, *more: str) -> DataFrame:
+    """Units with origins of known blocks: what a pack with these blocks must hold."""
+    pieces = known.where("kind = 'narrative'").selectExpr("doc_id", "block_no", "target_centric", *more, f"posexplode({_PIECES[0]}) AS (unit_no, piece)")
     return apply(pieces, (*UNIT_STAGES, *SCOPE_STAGES))
 
 
@@ -56,22 +62,25 @@ def _ordered_families(column: Column) -> Column:
 def build(blocks: DataFrame, stock: str) -> DataFrame:
     """(doc_id, pack) of documents as blocks (doc_id, block_no, block): a card for each run of admitted units of a block that follow each
     other with one scope and leading family."""
-    known = apply(blocks, BLOCKS.stages)
+    # a unit has a family only if its block holds one of the words
+    worded = F.expr(_holds("_low", *(w for words in FAMILIES.values() for w in words)))
+    marked = blocks.withColumn("_low", F.lower("block")).withColumn("worded", worded).drop("_low").withColumn("block_hash", F.expr(_hash("block")))
+    known = _known(marked, "block_hash", "worded")
     stored = F.struct(
         F.expr("concat('block:', block_no)").alias("block_id"), F.col("block_no").cast("int").alias("block_ordinal"), F.col("kind").alias("block_kind"), F.col("block").alias("text"),
-        F.col("block_start").cast("int").alias("start"), F.expr("CAST(block_start + length(block) AS INT)").alias("end"), F.expr(_hash("block")).alias("block_hash"),
+        F.col("block_start").cast("int").alias("start"), F.expr("CAST(block_start + length(block) AS INT)").alias("end"), "block_hash",
     )
     docs = known.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("block_no", stored.alias("b")))).getField("b").alias("blocks"), F.max("boundary").alias("boundary_status"))
     docs = docs.withColumn("canonical_text", F.array_join(F.col("blocks.text"), "\n\n")).withColumn("document_hash", F.expr(_hash("canonical_text")))
     docs = docs.withColumn("source_id", F.concat(F.lit("doc:"), "doc_id")).withColumn("source_ref", F.concat(F.lit("documents/"), "doc_id"))
 
-    units = _units_of(blocks).where("status = 'admitted' AND origin <> 'ambiguous'")
+    units = _units_of(known.where("worded"), "block_hash").where("status = 'admitted' AND origin <> 'ambiguous'")
     scope = "CASE WHEN origin = 'target_peer_relation' THEN 'target_with_peer_context' WHEN origin IN ('explicit_target', 'target_document_context') THEN 'target' ELSE 'peer_or_industry' END"
     units = units.withColumn("scope", F.expr(scope)).withColumn("all_families", F.split("families", ",")).withColumn("family", F.col("all_families")[0])
     run = "PARTITION BY doc_id, block_no ORDER BY unit_no"
     units = units.withColumn("begins", F.expr(f"NOT coalesce(unit_no = lag(unit_no) OVER ({run}) + 1 AND scope = lag(scope) OVER ({run}) AND family = lag(family) OVER ({run}), false)"))
     units = units.withColumn("run", F.expr(f"sum(CAST(begins AS INT)) OVER ({run})"))
-    units = units.join(docs.select("doc_id", "document_hash", "source_id"), "doc_id").join(known.selectExpr("doc_id", "block_no", f"{_hash('block')} AS block_hash"), ["doc_id", "block_no"])
+    units = units.join(docs.select("doc_id", "document_hash", "source_id"), "doc_id")
     unit = F.struct(
         F.lit(UNIT).alias("schema_version"), F.expr("concat_ws(':', 'unit', doc_id, block_no, unit_no, right(sha2(sentence, 256), 16))").alias("unit_id"), "source_id", "document_hash", F.expr("concat('block:', block_no)").alias("block_id"),
         F.col("block_no").cast("int").alias("block_ordinal"), F.col("unit_no").cast("int").alias("unit_ordinal"), F.col("start_at").cast("int").alias("unit_start"), F.col("end_at").cast("int").alias("unit_end"), F.col("sentence").alias("text"),
@@ -94,26 +103,35 @@ def build(blocks: DataFrame, stock: str) -> DataFrame:
 
 def read(packs: DataFrame, stock: str) -> DataFrame:
     """(pack_id, status, code) of `packs` (pack_id, pack): ok, or invalid with the first violation."""
-    p = packs.withColumn("p", F.from_json("pack", SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})).select("pack_id", "p.*").withColumn("stock", F.lit(stock))
+    parsed = F.from_json("pack", SCHEMA, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    p = written(packs.select("pack_id", parsed.alias("p"))).select("pack_id", "p.*").withColumn("stock", F.lit(stock))
     header = p.select("pack_id", _first_of(
         ("malformed", "_corrupt IS NULL"), ("schema_version", f"schema_version = '{PACK}'"), ("pack_identity", "status = 'ready' AND stock_name = stock"),
         ("source_input_degraded", "coalesce(size(diagnostics.rejected_source_documents), 0) <= 0"), ("source_documents", "source_documents IS NOT NULL"),
     ).alias("v")).selectExpr("pack_id", "struct(1 AS part, 0 AS n, v.step AS step, 0 AS m, 0 AS inner_step) AS at", "v.code AS code")
 
     docs = p.select("pack_id", F.posexplode("source_documents").alias("n", "d")).selectExpr("pack_id", "n", "d.*", "concat_ws('#', pack_id, n) AS doc_id")
-    blocks = docs.selectExpr("pack_id", "n", "doc_id", "canonical_text", "posexplode(blocks) AS (block_no, b)").selectExpr("*", "b.text AS block")
-    known = apply(blocks, BLOCKS.stages)
-    block_rows = known.select("pack_id", "n", "block_no", _first_of(
-        ("block_ordinal", "b.block_ordinal = block_no"), ("block_shape", "b.text IS NOT NULL AND b.start IS NOT NULL AND b.end IS NOT NULL"),
-        ("block_offset", "b.start >= 0 AND b.start < b.end AND b.end <= length(canonical_text) AND substr(canonical_text, b.start + 1, b.end - b.start) = b.text"), ("block_hash", f"b.block_hash = {_hash('b.text')}"), ("block_kind", "b.block_kind = kind"),
-    ).alias("v")).selectExpr("pack_id", "struct(2 AS part, n AS n, 5 AS step, block_no AS m, v.step AS inner_step) AS at", "v.code AS code")
+    blocks = docs.selectExpr("pack_id", "n", "doc_id", "posexplode(blocks) AS (block_no, b)").selectExpr("pack_id", "n", "doc_id", "block_no", "b.text AS block", "struct(b.block_id, b.block_ordinal, b.block_kind, b.start, b.end, b.block_hash) AS b")
+    known = _known(blocks, "pack_id", "n", "b")
+    # where all blocks before it are stored well and make up the text, a block at its own place needs no look at the text; otherwise that is told first
+    in_place = "b.start = block_start AND b.end = block_start + length(block) AND b.start < b.end"
+    searched = known.where(f"NOT coalesce({in_place}, false)").join(docs.select("pack_id", "n", "canonical_text"), ["pack_id", "n"], "left")
+
+    def block_checks(rows: DataFrame, offset: str) -> DataFrame:
+        return rows.select("pack_id", "n", "block_no", _first_of(
+            ("block_ordinal", "b.block_ordinal = block_no"), ("block_shape", "block IS NOT NULL AND b.start IS NOT NULL AND b.end IS NOT NULL"),
+            ("block_offset", offset), ("block_hash", f"b.block_hash = {_hash('block')}"), ("block_kind", "b.block_kind = kind"),
+        ).alias("v")).selectExpr("pack_id", "struct(2 AS part, n AS n, 5 AS step, block_no AS m, v.step AS inner_step) AS at", "v.code AS code")
+
+    at_place = "b.start >= 0 AND b.start < b.end AND b.end <= length(canonical_text) AND substr(canonical_text, b.start + 1, b.end - b.start) = block"
+    block_rows = block_checks(known.where(in_place), in_place).union(block_checks(searched, at_place))
     derived = known.groupBy("pack_id", "n").agg(F.max("boundary").alias("boundary"))
     same = F.expr("count(*) OVER (PARTITION BY pack_id, source_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)")
-    docs_known = docs.join(derived, ["pack_id", "n"], "left").withColumn("times", same)
     before = _first_of(("schema_version", f"schema_version = '{DOCUMENT}'"), ("document_shape", "canonical_text IS NOT NULL AND blocks IS NOT NULL"), ("document_hash", f"document_hash = {_hash('canonical_text')}"), ("block_sequence", "canonical_text = array_join(blocks.text, '\\n\\n')"))
     after = _first_of(("boundary_status", "boundary_status = coalesce(boundary, 'preserved')"), ("scope_input_degraded", "coalesce(boundary, 'preserved') <> 'scope_input_degraded'"), ("source_identity", "source_id <> '' AND times = 1"))
     place = "struct(2 AS part, n AS n, {0} AS step, 0 AS m, 0 AS inner_step) AS at"
-    doc_rows = docs_known.select("pack_id", "n", before.alias("v")).selectExpr("pack_id", place.format("v.step"), "v.code AS code")
+    docs_known = docs.select("pack_id", "n", "source_id", "boundary_status").join(derived, ["pack_id", "n"], "left").withColumn("times", same)
+    doc_rows = docs.select("pack_id", "n", before.alias("v")).selectExpr("pack_id", place.format("v.step"), "v.code AS code")
     doc_rows = doc_rows.union(docs_known.select("pack_id", "n", after.alias("v")).selectExpr("pack_id", place.format("5 + v.step"), "v.code AS code"))
 
     cards = p.select("pack_id", "stock", "citations", F.posexplode("cards").alias("k", "c"))
@@ -136,12 +154,18 @@ def read(packs: DataFrame, stock: str) -> DataFrame:
     card_rows = card_rows.union(cards.select("pack_id", "k", late.alias("v")).selectExpr("pack_id", at_card.format("10 + v.step"), "v.code AS code"))
 
     units = cards.selectExpr("pack_id", "citations", "k", "posexplode(c.evidence_units) AS (m, u)").withColumn("times", F.expr("count(*) OVER (PARTITION BY pack_id, u.unit_id ORDER BY k, m ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"))
-    sources = docs.selectExpr("pack_id AS s_pack", "n", "source_id AS s_id", "source_ref AS s_ref", "document_hash AS s_hash", "blocks")
+    sources = docs.selectExpr("pack_id AS s_pack", "n", "source_id AS s_id", "source_ref AS s_ref", "document_hash AS s_hash")
     joined = units.join(sources, (F.col("pack_id") == F.col("s_pack")) & (F.col("u.source_id") == F.col("s_id")), "left")
-    joined = joined.withColumn("b", F.expr("get(filter(blocks, b -> b.block_id = u.block_id), 0)"))
-    expected = _units_of(blocks.select("doc_id", "block_no", "block")).selectExpr("doc_id AS e_doc", "block_no AS e_block", "unit_no AS e_unit", "struct(start_at, end_at, sentence, split(families, ',') AS families, status) AS e", "origin AS e_origin")
-    here = joined.withColumn("e_doc_id", F.expr("concat_ws('#', pack_id, n)"))
-    here = here.join(expected, (F.col("e_doc_id") == F.col("e_doc")) & (F.col("u.block_ordinal") == F.col("e_block")) & (F.col("u.unit_ordinal") == F.col("e_unit")), "left")
+    joined = written(joined)
+    # only blocks of documents with units are looked at again, and only blocks with units are cut into units
+    picked = written(known.join(joined.select("pack_id", "n").distinct(), ["pack_id", "n"], "left_semi"))
+    cut = picked.join(joined.selectExpr("pack_id", "n", "u.block_ordinal AS block_no").distinct(), ["pack_id", "n", "block_no"], "left_semi")
+    # of blocks with one id the first
+    named = picked.where("b.block_id IS NOT NULL").groupBy("pack_id", "n", F.col("b.block_id").alias("b_id")).agg(F.min_by(F.struct("b.block_ordinal", F.col("block").alias("text"), "b.block_hash"), "block_no").alias("b"))
+    named = named.selectExpr("pack_id AS b_pack", "n AS b_n", "b_id", "b")
+    joined = joined.join(named, (F.col("pack_id") == F.col("b_pack")) & (F.col("n") == F.col("b_n")) & (F.col("u.block_id") == F.col("b_id")), "left")
+    expected = _units_of(cut, "pack_id", "n").selectExpr("pack_id AS e_pack", "n AS e_n", "block_no AS e_block", "unit_no AS e_unit", "struct(start_at, end_at, sentence, split(families, ',') AS families, status) AS e", "origin AS e_origin")
+    here = joined.join(expected, (F.col("pack_id") == F.col("e_pack")) & (F.col("n") == F.col("e_n")) & (F.col("u.block_ordinal") == F.col("e_block")) & (F.col("u.unit_ordinal") == F.col("e_unit")), "left")
     identity = "e.start_at = u.unit_start AND e.end_at = u.unit_end AND e.sentence = u.text AND e.families = u.coverage_families AND e.status = u.argument_status AND b.block_ordinal = u.block_ordinal"
     unit_rows = here.select("pack_id", "k", "m", _first_of(
         ("duplicate_unit", "u.unit_id <> '' AND times = 1"), ("unit_source", "s_id IS NOT NULL"), ("schema_version", f"u.schema_version = '{UNIT}'"), ("document_reference", "b IS NOT NULL AND u.document_hash = s_hash"),
@@ -158,4 +182,4 @@ def read(packs: DataFrame, stock: str) -> DataFrame:
     for more in (doc_rows, block_rows, card_rows, unit_rows, used):
         rows = rows.union(more)
     first = rows.where("code IS NOT NULL").groupBy("pack_id").agg(F.min_by("code", "at").alias("code"))
-    return packs.select("pack_id").join(first, "pack_id", "left").select("pack_id", F.when(F.col("code").isNull(), "ok").otherwise("invalid").alias("status"), F.coalesce("code", F.lit("")).alias("code"))
+    return p.select("pack_id").join(first, "pack_id", "left").select("pack_id", F.when(F.col("code").isNull(), "ok").otherwise("invalid").alias("status"), F.coalesce("code", F.lit("")).alias("code"))

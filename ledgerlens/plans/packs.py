@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.dedupe import written
 from ..operators.packs import build, read
 from .evidence import BLOCKS, SCOPED, _LINES
 from .stages import _named
@@ -32,11 +31,11 @@ def q_e06_pack_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     blocks = spark.sql(_named(_LINES[0], {"documents": docs}), documents=docs)
     packs = build(blocks, STOCK)
-    digit = F.regexp_extract("pack", '"document_hash":"sha256:(.)', 1)
+    packs = packs.withColumn("digit", F.regexp_extract("pack", '"document_hash":"sha256:(.)', 1))
     sent = F.col("pack")
     for d, (pattern, by, _) in DAMAGE.items():
-        sent = F.when(digit == d, F.regexp_replace("pack", pattern, by)).otherwise(sent)
-    return read(written(packs.select(F.col("doc_id").alias("pack_id"), sent.alias("pack"))), STOCK)
+        sent = F.when(F.col("digit") == d, F.regexp_replace("pack", pattern, by)).otherwise(sent)
+    return read(packs.select(F.col("doc_id").alias("pack_id"), sent.alias("pack")), STOCK)
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"q_e06_pack_errors": q_e06_pack_errors}

@@ -90,3 +90,28 @@ def test_corrupt_records_and_packs_without_cards(spark, good):
     assert {k: v[1] for k, v in got.items() if k < 6} == dict.fromkeys((0, 1, 5), "malformed") | {k: got[k][1] for k in (2, 3, 4)}
     assert all(got[k][0] == "invalid" for k in range(6)) and got[6] == ("ok", "") and got[7] == ("ok", "")
     assert codes(spark, []) == {}
+
+
+def test_a_pack_is_read_once_and_no_row_carries_its_whole_document(spark, good, monkeypatch):
+    """JSON is parsed once, and where blocks are at their places the document's text goes with none of them."""
+    from ledgerlens.operators import packs as M
+
+    plans, wrote = [], M.written
+    monkeypatch.setattr(M, "written", lambda df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or wrote(df))
+    df = spark.createDataFrame([(1, json.dumps(good))], "pack_id long, pack string")
+    out = read(df, "Apache")
+    plans.append(out._jdf.queryExecution().optimizedPlan().toString())
+    assert sum(p.count("from_json") for p in plans) == 1
+    assert [(r.status, r.code) for r in out.collect()] == [("ok", "")]
+
+
+def test_a_block_may_be_stored_at_another_place_that_reads_the_same(spark, good):
+    """Offsets that aren't a block's own are searched in the text: the same words elsewhere will do, others won't."""
+    line = "Market demand for software grew by 3.5 percent in the last year, as everybody saw."
+    blocks = spark.createDataFrame([(1, k, t) for k, t in enumerate([line, "Apache in brief", line])], "doc_id long, block_no int, block string")
+    twice = json.loads(build(blocks, "Apache").first().pack)
+    last = ("source_documents", 0, "blocks", 2)
+    there = change(change(twice, *last, "start", to=0), *last, "end", to=len(line))
+    other = change(change(twice, *last, "start", to=1), *last, "end", to=len(line) + 1)
+    empty = change(twice, *last, "end", to=twice["source_documents"][0]["blocks"][2]["start"])
+    assert codes(spark, [twice, there, other, empty]) == {0: ("ok", ""), 1: ("ok", ""), 2: ("invalid", "block_offset"), 3: ("invalid", "block_offset")}
