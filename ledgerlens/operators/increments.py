@@ -4,8 +4,10 @@ A row (scope, id, body, families, anchors, events: a bit for each event word) is
 owner is comparable (shares a family or an anchor); it has an anchor that no comparable owner has; it has an event word that no comparable
 owner has; else it adds nothing.
 
-* Containment is a join on fingerprints: texts keep the least hash of every window of 9 grams of 16 characters, so a text of 24 characters or more
-  inside another shares with it every fingerprint it keeps; one of them is looked up, then the text itself is searched.
+* Containment: a text of 24 characters or more asks for the least hash of its first grams, longer texts for longer grams, and owners keep the
+  least hash of every window of as many, so an owner that holds the text keeps what it asks for. Only how far the gram lies behind the
+  text's start and how long the text is (its shape) go to such owners; an owner cuts its text there and gives digests, which are compared
+  with the row's. Texts around one common line have few shapes, however many they are, so no text meets all owners of a line.
 * An owner with one of the row's anchors is comparable by that anchor, so an anchor is new exactly if no owner of the scope has it: an
   equality join.
 * Event words of comparable owners are OR-ed once for each family and anchor before the join.
@@ -13,6 +15,7 @@ owner has; else it adds nothing.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -20,48 +23,181 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-GRAM, WINDOW = 16, 9
+from .dedupe import written
+
+#: Of the shortest texts; those that are four times as long have grams and windows of four times the length, and so on.
+GRAM, WINDOW = 16, 8
 #: The shortest text that counts as contained.
-LEAST = GRAM + WINDOW - 1
-_BASE = np.uint64(0x9E3779B97F4A7C15)
+LEAST = GRAM + WINDOW
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
+#: Characters that are hashed at a time, if no single text is longer.
+_AT_ONCE = 1 << 20
+_KEY = "substr(unhex(sha2(body, 256)), 1, 16)"
+
+
+def level_of(length: int) -> int:
+    """How often the least length must be taken four times to come nearest to a text's length."""
+    return ((length // LEAST).bit_length() - 1) // 2
+
+
+def gram_hashes(codes: np.ndarray, level: int) -> np.ndarray:
+    """Hashes of all grams of a level, in order."""
+    size = GRAM << 2 * level
+    if codes.size < size:
+        return np.empty(0, np.uint64)
+    steps = np.full(codes.size, _BASE, np.uint64)
+    steps[0] = 1
+    back = np.full(codes.size - size + 1, _BACK, np.uint64)
+    back[0] = 1
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * np.cumprod(steps))])
+    h = (sums[size:] - sums[:-size]) * np.cumprod(back)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(32))
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _least(h: np.ndarray, width: int) -> np.ndarray:
+    """The least of every `width` hashes in a row."""
+    have = 1
+    while 2 * have <= width:
+        h = np.minimum(h[:-have], h[have:])
+        have *= 2
+    return np.minimum(h[: have - width], h[width - have :]) if have < width else h
+
+
+def _parts(texts: list[str]) -> Iterator[list[int]]:
+    """Numbers of texts, so many characters together."""
+    part, size = [], 0
+    for n, text in enumerate(texts):
+        if part and size + len(text) > _AT_ONCE:
+            yield part
+            part, size = [], 0
+        part.append(n)
+        size += len(text)
+    if part:
+        yield part
+
+
+def asked_grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(number, hash, place) of the gram that each text asks for: the least of its first window, at its first place. Texts have `LEAST` characters or more."""
+    for part in _parts(texts):
+        lengths = np.array([len(texts[n]) for n in part])
+        levels = np.array([level_of(n) for n in lengths.tolist()])
+        for level in np.unique(levels).tolist():
+            mine = np.flatnonzero(levels == level)
+            starts = np.concatenate([[0], np.cumsum(lengths[mine])[:-1]])
+            h = gram_hashes(_codes("".join(texts[part[n]] for n in mine)), level)
+            first = h[starts[:, None] + np.arange((WINDOW << 2 * level) + 1)]
+            at = first.argmin(axis=1)
+            yield np.array(part)[mine], first[np.arange(mine.size), at], at
+
+
+def kept_grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(number, hash) of the least gram of every full window of each text, each once, for all levels that the text is long enough for."""
+    for part in _parts(texts):
+        lengths = np.array([len(texts[n]) for n in part])
+        level = 0
+        while (mine := np.flatnonzero(lengths >= LEAST << 2 * level)).size:
+            ends = np.cumsum(lengths[mine])
+            owner = np.repeat(np.arange(mine.size), lengths[mine])
+            least = _least(gram_hashes(_codes("".join(texts[part[n]] for n in mine)), level), (WINDOW << 2 * level) + 1)
+            owner = owner[: least.size]
+            within = np.arange(least.size) + (LEAST << 2 * level) <= ends[owner]
+            least, owner = least[within], owner[within]
+            new = np.ones(least.size, bool)
+            new[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
+            least, owner = least[new], owner[new]
+            order = np.lexsort((least, owner))
+            least, owner = least[order], owner[order]
+            new = np.ones(least.size, bool)
+            new[1:] = (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])
+            yield np.array(part)[mine[owner[new]]], least[new]
+            level += 1
 
 
 def fingerprints(text: str) -> np.ndarray:
-    """The least gram hash of every full window (the last of equal ones), each once; none for texts without a window."""
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    if codes.size < LEAST:
-        return np.empty(0, np.int64)
-    h = np.zeros(codes.size - GRAM + 1, np.uint64)
-    for k in range(GRAM):
-        h = h * _BASE + codes[k : k + h.size] + np.uint64(1)
-    h ^= h >> np.uint64(29)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return np.unique(np.lib.stride_tricks.sliding_window_view(h, WINDOW).min(axis=1)).view(np.int64)
+    """What one text keeps, each once; none for texts without a window."""
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *(h for _, h in kept_grams([text]))])).view(np.int64)
+
+
+def _salted(batch: pa.RecordBatch, number: np.ndarray, h: np.ndarray) -> pa.Array:
+    return pa.array(h.view(np.int64) ^ batch.column("salt").to_numpy()[number])
+
+
+def asked(texts: DataFrame) -> DataFrame:
+    """(gram, shapes: distinct (place, length)) of what `texts` (salt, body) ask for; the salt tells scopes apart."""
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = batch.column("body").to_pylist()
+            for number, h, at in asked_grams(bodies):
+                yield pa.record_batch([_salted(batch, number, h), pa.array(at, pa.int32()), pa.array([len(bodies[n]) for n in number.tolist()], pa.int32())], names=["gram", "place", "length"])
+
+    rows = texts.where(f"length(body) >= {LEAST}").select("salt", "body").mapInArrow(run, "gram long, place int, length int")
+    return rows.groupBy("gram").agg(F.collect_set(F.struct("place", "length")).alias("shapes"))
 
-def with_fingerprints(rows: DataFrame, all_of_them: bool) -> DataFrame:
-    """`rows` (scope, id, body) as (scope, id, fingerprint): every one, or the least alone."""
-    schema = pa.schema([("scope", pa.string()), ("id", pa.string()), ("fingerprint", pa.int64())])
+
+def kept(texts: DataFrame) -> DataFrame:
+    """(gram, number) of what `texts` (salt, number, body) keep."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [(s, i, f) for s, i, b in zip(*(batch.column(c).to_pylist() for c in ("scope", "id", "body"))) for f in fingerprints(b or "")[: None if all_of_them else 1].tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found) if found else [()] * 3, schema)], schema=schema)
+            numbers = batch.column("number").to_numpy()
+            for number, h in kept_grams(batch.column("body").to_pylist()):
+                yield pa.record_batch([_salted(batch, number, h), pa.array(numbers[number])], names=["gram", "number"])
+
+    return texts.where(f"length(body) >= {LEAST}").select("salt", "number", "body").mapInArrow(run, "gram long, number long")
+
+
+def cut(met: DataFrame) -> DataFrame:
+    """(scope, key) of the pieces of `met` (scope, salt, body, wanted: (gram, shapes)) at their grams, cut to the shapes."""
+
+    def pieces(body: str, salt: int, wanted: list[dict]) -> set[bytes]:
+        codes, levels, out = _codes(body), {}, set()
+        for one in wanted:
+            gram = np.uint64((one["gram"] ^ salt) & 0xFFFFFFFFFFFFFFFF)
+            for shape in one["shapes"]:
+                level, length = level_of(shape["length"]), shape["length"]
+                if level not in levels:
+                    levels[level] = gram_hashes(codes, level)
+                if (level, gram) not in levels:
+                    levels[level, gram] = np.flatnonzero(levels[level] == gram)
+                for start in (levels[level, gram] - shape["place"]).tolist():
+                    if start >= 0 and start + length <= len(body):
+                        out.add(hashlib.sha256(body[start : start + length].encode()).digest()[:16])
+        return out
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = set()
+            for k in range(batch.num_rows):
+                row = {c: batch.column(c)[k].as_py() for c in ("scope", "salt", "body", "wanted")}
+                found |= {(row["scope"], key) for key in pieces(row["body"], row["salt"], row["wanted"])}
+            yield pa.record_batch([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.binary())], names=["scope", "key"])
+
+    return met.select("scope", "salt", "body", "wanted").mapInArrow(run, "scope string, key binary").distinct()
+
 
-    return rows.select("scope", "id", "body").mapInArrow(run, "scope string, id string, fingerprint long")
+def inside(rows: DataFrame, owners: DataFrame) -> DataFrame:
+    """(scope, key) of the bodies of `rows` that are an owner's, or, from `LEAST` characters on, inside one, each once; others may be among them, but none of `rows`."""
+    both = rows.select("scope", "body", F.lit(1).alias("asks"), F.lit(0).alias("owns")).union(owners.select("scope", "body", F.lit(0), F.lit(1)))
+    # a text is looked for and looked into once, however many rows have it
+    texts = both.where("body <> '' AND scope IS NOT NULL").groupBy("scope", "body").agg(F.max("asks").alias("asks"), F.max("owns").alias("owns"))
+    texts = written(texts.withColumn("salt", F.xxhash64("scope")).withColumn("number", F.xxhash64("scope", "body")))
+    own = texts.where("owns = 1")
+    # two texts of one number would only be looked into for each other's grams too
+    wanted = kept(own).join(asked(texts.where("owns = 0")), "gram").groupBy("number").agg(F.collect_list(F.struct("gram", "shapes")).alias("wanted"))
+    return own.where("asks = 1").select("scope", F.expr(_KEY).alias("key")).union(cut(own.join(wanted, "number"))).distinct()
 
 
 def contained(rows: DataFrame, owners: DataFrame) -> DataFrame:
     """(scope, id) of the rows whose body is an owner's, or, from `LEAST` characters on, inside one."""
-    texts = owners.where("body <> ''").groupBy("scope", "body").agg(F.min("id").alias("id"))
-    equal = rows.join(texts.select("scope", "body"), ["scope", "body"], "left_semi").select("scope", "id")
-    # a text is looked for once, however many rows have it
-    asking = rows.where("body <> ''").groupBy("scope", "body").agg(F.min("id").alias("id"))
-    asked = with_fingerprints(asking, False).join(with_fingerprints(texts, True).withColumnRenamed("id", "owner"), ["scope", "fingerprint"]).select("scope", "id", "owner")
-    near = asked.join(asking, ["scope", "id"]).join(texts.select("scope", F.col("id").alias("owner"), F.col("body").alias("whole")), ["scope", "owner"])
-    inside = near.where(F.contains("whole", "body")).select("scope", "body").distinct()
-    within = rows.join(inside, ["scope", "body"], "left_semi").select("scope", "id")
-    return equal.union(within).distinct()
+    return rows.select("scope", "id", F.expr(_KEY).alias("key")).join(inside(rows, owners), ["scope", "key"], "left_semi").select("scope", "id").distinct()
 
 
 def incremental(rows: DataFrame, owners: DataFrame) -> DataFrame:
@@ -75,8 +211,8 @@ def incremental(rows: DataFrame, owners: DataFrame) -> DataFrame:
     anchored = features(rows, "anchors").join(masks["anchors"], ["scope", "feature"], "left")
     met = of_families.select("scope", "id", "mask", F.lit(0).alias("fresh")).union(anchored.select("scope", "id", "mask", F.col("mask").isNull().cast("int")))
     known = met.groupBy("scope", "id").agg(F.bit_or("mask").alias("known"), F.max("fresh").alias("fresh"))
-    twice = contained(rows, owners).withColumn("twice", F.lit(True))
-    out = rows.select("scope", "id", "events").join(known, ["scope", "id"], "left").join(twice, ["scope", "id"], "left")
+    twice = inside(rows, owners).withColumn("twice", F.lit(True))
+    out = rows.select("scope", "id", "events", F.expr(_KEY).alias("key")).join(known, ["scope", "id"], "left").join(twice, ["scope", "key"], "left")
     outcome = (
         F.when(F.col("twice"), "owner_text_duplicate")
         .when(F.col("known").isNull(), "new_topic_context")

@@ -60,3 +60,35 @@ def test_empty_and_missing(spark):
     none = spark.createDataFrame([], ROWS)
     assert outcomes(incremental(rows, none)) == {("x", "1"): "new_topic_context", ("x", "2"): "new_topic_context"}
     assert incremental(none, rows).count() == 0 and contained(rows, rows).count() == 0
+
+
+def test_texts_around_one_common_line_do_not_meet_all_its_owners(spark, monkeypatch):
+    """Many texts and many owners that differ in a few characters beside one line: what is cut grows with shapes, not with pairs."""
+    from ledgerlens.operators import increments as M
+
+    line = "a common line that stands in every one of the texts, in the middle of it"
+    owners = [("x", f"o{k}", f"{k:03d}{line}", [], [], 0) for k in range(200)]
+    rows = [("x", f"r{k}", f"{k:02d}{line}" if k < 50 else f"{k}!{line}", [], [], 0) for k in range(100)]
+    frames = []
+    monkeypatch.setattr(M, "cut", lambda met, real=M.cut: frames.append(met) or real(met))
+    got = contained(spark.createDataFrame(rows, ROWS), spark.createDataFrame(owners, ROWS)).collect()
+    want = {r[1] for r in rows if any(r[2] in o[2] for o in owners)}
+    assert {r.id for r in got} == want and len(want) == 50
+    shapes = [sum(len(one.shapes) for one in r.wanted) for r in frames[0].collect()]
+    assert len(shapes) <= len(owners) and max(shapes) <= 4  # of a hundred texts
+
+
+def test_long_and_periodic_texts_inside_owners(spark):
+    """Texts of every level, those that repeat one unit among them, and texts that only almost are inside."""
+    rng = random.Random(4)
+    whole = ["".join(rng.choices("abc é", k=5000)), "ab" * 1500 + "c" + "ab" * 900, "z" * 2000]
+    rows = []
+    for k in range(300):
+        text = rng.choice(whole)
+        n = rng.choice([24, 95, 96, 97, 383, 384, 1535, 1536, 1900, rng.randrange(24, 2000)])
+        a = rng.randrange(len(text) - n + 1)
+        part = text[a : a + n]
+        rows.append(("x", f"r{k}", part if k % 2 else part[: n // 2] + rng.choice("abz") + part[n // 2 + 1 :], [], [], 0))
+    got = contained(spark.createDataFrame(rows, ROWS).repartition(3), spark.createDataFrame([("x", f"o{k}", t, [], [], 0) for k, t in enumerate(whole)], ROWS))
+    want = {r[1] for r in rows if any(r[2] in t for t in whole)}
+    assert {r.id for r in got.collect()} == want and 150 < len(want) < 300
