@@ -91,3 +91,21 @@ def test_no_side_of_the_similarity_join_is_broadcast(spark):
     plan = near._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" not in plan and "SortMergeJoin" in plan
     assert near.count() == 40 and near.selectExpr("min(size(near))").first()[0] == 39
+
+
+def test_the_walk_compares_words_itself(spark, monkeypatch):
+    """What a leader takes of its own source is told by words, on the way and among those passed over; no pairs are made beforehand."""
+    from ledgerlens.operators import clusters as M
+
+    walk = Walk()
+    for seq, kind, words in ((0, 100, [1, 2, 3]), (1, 101, [7, 8, 9]), (2, 102, [1, 2, 4]), (3, 103, [7, 8, 5]), (4, None, [])):
+        walk.add(seq, "a", kind, words)
+    walk.end()
+    assert walk.out == [(0, 0), (2, 0), (1, 1), (3, 1), (4, 4)]
+    assert not (walk.waiting or walk.of_class or walk.words or walk.classes)
+
+    rows = made(random.Random(3), 200, ["a"] * 5 + ["b"])
+    monkeypatch.setattr(M, "similar_classes", None)
+    monkeypatch.setattr(M, "written", None)
+    got = consolidated(spark.createDataFrame(rows, ITEMS), ["run"]).collect()
+    assert sorted((r.topic, r.seed, tuple(sorted([r.best, *(int(x.rsplit(":", 1)[1]) for x in r.others)]))) for r in got) == brute(rows)
