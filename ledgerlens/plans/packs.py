@@ -28,7 +28,8 @@ DAMAGE = {
 
 
 def q_e06_pack_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    # dealt out once, before it becomes blocks: all that is derived of a document stays with it
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").repartition("doc_id")
     blocks = spark.sql(_named(_LINES[0], {"documents": docs}), documents=docs)
     packs = build(blocks, STOCK)
     packs = packs.withColumn("digit", F.regexp_extract("pack", '"document_hash":"sha256:(.)', 1))

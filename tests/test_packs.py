@@ -115,3 +115,36 @@ def test_a_block_may_be_stored_at_another_place_that_reads_the_same(spark, good)
     other = change(change(twice, *last, "start", to=1), *last, "end", to=len(line) + 1)
     empty = change(twice, *last, "end", to=twice["source_documents"][0]["blocks"][2]["start"])
     assert codes(spark, [twice, there, other, empty]) == {0: ("ok", ""), 1: ("ok", ""), 2: ("invalid", "block_offset"), 3: ("invalid", "block_offset")}
+
+
+def test_texts_are_dealt_out_once_and_stored_once(spark, good, monkeypatch):
+    """Building needs no shuffle beside the one that deals documents out; scratch holds a document's text in its blocks alone, and marks of blocks without texts."""
+    from ledgerlens.operators import packs as M
+
+    frames, wrote = [], M.written
+    monkeypatch.setattr(M, "written", lambda df: frames.append(df) or wrote(df))
+    blocks = spark.createDataFrame([(d, k, t) for d in range(5) for k, t in enumerate(TEXT)], "doc_id long, block_no int, block string")
+    packs = build(blocks.repartition("doc_id"), "Apache")
+    plan = packs._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan and "ENSURE_REQUIREMENTS" not in plan and not frames
+    assert [json.loads(r.pack) == good for r in packs.orderBy("doc_id").collect()] == [False, True, False, False, False]
+
+    assert codes(spark, [json.dumps(good)]) == {0: ("ok", "")}
+    stored, known = frames[:2]
+    assert "canonical_text" not in stored.schema.simpleString() and stored.schema.simpleString().count("text:string") == 2  # of blocks and of units
+    assert not {"block", "text"} & set(known.columns) and "text" not in known.schema.simpleString()
+
+
+def test_marks_of_blocks_give_what_blocks_give(spark):
+    """Derived without their texts, blocks are what the stages over whole blocks make of them."""
+    from ledgerlens.operators.packs import _light
+    from ledgerlens.plans.evidence import BLOCKS
+    from ledgerlens.plans.stages import apply
+
+    texts = [TEXT, ["Apache compared to GNU", "1. one", "A long narrative block about the market, which ends with a full stop and is long."], ["a", "Not investment advice", "Apache"], [None, "Apache versus others", ""], ["Versus", "x" * 60]]
+    blocks = spark.createDataFrame([(d, k, t) for d, lines in enumerate(texts) for k, t in enumerate(lines)], "doc_id long, block_no int, block string")
+    names = ["doc_id", "block_no", "size", "block_start", "kind", "boundary", "target_centric"]
+    whole = apply(blocks, BLOCKS.stages).selectExpr("doc_id", "block_no", "length(block) AS size", *names[3:])
+    light = _light(blocks.withColumn("d", blocks["doc_id"]), "d").withColumnRenamed("d", "doc_id").select(*names)
+    assert sorted(map(tuple, light.collect()), key=repr) == sorted(map(tuple, whole.collect()), key=repr)
+    assert {r.kind for r in light.collect()} == {"heading", "narrative", "structural_noise"} and light.where("boundary = 'scope_input_degraded'").count() == 6
