@@ -5,9 +5,10 @@ owner is comparable (shares a family or an anchor); it has an anchor that no com
 owner has; else it adds nothing.
 
 * Containment: a text of 24 characters or more asks for the least hash of its first grams, longer texts for longer grams, and owners keep the
-  least hash of every window of as many, so an owner that holds the text keeps what it asks for. Only how far the gram lies behind the
-  text's start and how long the text is (its shape) go to such owners; an owner cuts its text there and gives digests, which are compared
-  with the row's. Texts around one common line have few shapes, however many they are, so no text meets all owners of a line.
+  least hash of every window of as many, so an owner that holds the text keeps what it asks for. Marks of all that is asked for, 32 MB at
+  most, are known to every task, so owners without such a hash go no further. Only how far the gram lies behind the text's start and
+  how long the text is (its shape) go to the others; an owner cuts its text there and gives digests, which are compared with the row's.
+  Texts around one common line have few shapes, however many they are, so no text meets all owners of a line.
 * An owner with one of the row's anchors is comparable by that anchor, so an anchor is new exactly if no owner of the scope has it: an
   equality join.
 * Event words of comparable owners are OR-ed once for each family and anchor before the join.
@@ -20,6 +21,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,8 @@ GRAM, WINDOW = 16, 8
 LEAST = GRAM + WINDOW
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
+#: Marks of grams that are asked for, two for each; a bitmap of fixed size, whatever the input.
+MARKS = 1 << 28
 #: Characters that are hashed at a time, if no single text is longer.
 _AT_ONCE = 1 << 20
 _KEY = "substr(unhex(sha2(body, 256)), 1, 16)"
@@ -125,8 +129,8 @@ def fingerprints(text: str) -> np.ndarray:
     return np.unique(np.concatenate([np.empty(0, np.uint64), *(h for _, h in kept_grams([text]))])).view(np.int64)
 
 
-def _salted(batch: pa.RecordBatch, number: np.ndarray, h: np.ndarray) -> pa.Array:
-    return pa.array(h.view(np.int64) ^ batch.column("salt").to_numpy()[number])
+def _salted(batch: pa.RecordBatch, number: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return h.view(np.int64) ^ batch.column("salt").to_numpy()[number]
 
 
 def asked(texts: DataFrame) -> DataFrame:
@@ -136,22 +140,47 @@ def asked(texts: DataFrame) -> DataFrame:
         for batch in batches:
             bodies = batch.column("body").to_pylist()
             for number, h, at in asked_grams(bodies):
-                yield pa.record_batch([_salted(batch, number, h), pa.array(at, pa.int32()), pa.array([len(bodies[n]) for n in number.tolist()], pa.int32())], names=["gram", "place", "length"])
+                yield pa.record_batch([pa.array(_salted(batch, number, h)), pa.array(at, pa.int32()), pa.array([len(bodies[n]) for n in number.tolist()], pa.int32())], names=["gram", "place", "length"])
 
     rows = texts.where(f"length(body) >= {LEAST}").select("salt", "body").mapInArrow(run, "gram long, place int, length int")
     return rows.groupBy("gram").agg(F.collect_set(F.struct("place", "length")).alias("shapes"))
 
 
-def kept(texts: DataFrame) -> DataFrame:
-    """(gram, number) of what `texts` (salt, number, body) keep."""
+def marks(asking: DataFrame) -> Broadcast:
+    """A bitmap with the marks of every gram of `asking`."""
+    slots = asking.select(F.explode(F.array(F.col("gram").bitwiseAND(MARKS - 1), F.shiftrightunsigned("gram", 28).bitwiseAND(MARKS - 1))).alias("slot"))
+    parts = slots.groupBy(F.expr("slot div 32768").alias("part")).agg(F.bitmap_construct_agg(F.col("slot") % 32768).alias("bits"))
+    bits = np.zeros(MARKS // 8, np.uint8)
+    for row in parts.collect():  # 8192 of 4 KB at most
+        bits[row.part * 4096 : (row.part + 1) * 4096] = np.frombuffer(row.bits, np.uint8)
+    return asking.sparkSession.sparkContext.broadcast(bits)
+
+
+def _has_marks(bits: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    first, second = gram & (MARKS - 1), (gram.view(np.uint64) >> np.uint64(28)).view(np.int64) & (MARKS - 1)
+    return ((bits[first >> 3] >> (first & 7)) & (bits[second >> 3] >> (second & 7)) & 1).astype(bool)
+
+
+def kept(texts: DataFrame, asking: DataFrame) -> DataFrame:
+    """`texts` (scope, salt, number, body) that keep what has the marks of a gram of `asking`, with `grams`: what they keep of these."""
+    known, columns = marks(asking), ("scope", "salt", "number", "body")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            numbers = batch.column("number").to_numpy()
+            numbers, grams = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for number, h in kept_grams(batch.column("body").to_pylist()):
-                yield pa.record_batch([_salted(batch, number, h), pa.array(numbers[number])], names=["gram", "number"])
+                gram = _salted(batch, number, h)
+                there = _has_marks(known.value, gram)
+                numbers.append(number[there])
+                grams.append(gram[there])
+            number = np.concatenate(numbers)
+            order = np.argsort(number, kind="stable")
+            number, gram = number[order], np.concatenate(grams)[order]
+            first = np.flatnonzero(np.diff(number, prepend=-1))
+            lists = pa.ListArray.from_arrays(pa.array(np.append(first, number.size), pa.int32()), pa.array(gram))
+            yield pa.record_batch([*batch.take(pa.array(number[first])).columns, lists], names=[*columns, "grams"])
 
-    return texts.where(f"length(body) >= {LEAST}").select("salt", "number", "body").mapInArrow(run, "gram long, number long")
+    return texts.where(f"length(body) >= {LEAST}").select(*columns).mapInArrow(run, "scope string, salt long, number long, body string, grams array<long>")
 
 
 def cut(met: DataFrame) -> DataFrame:
@@ -185,14 +214,14 @@ def cut(met: DataFrame) -> DataFrame:
 
 def inside(rows: DataFrame, owners: DataFrame) -> DataFrame:
     """(scope, key) of the bodies of `rows` that are an owner's, or, from `LEAST` characters on, inside one, each once; others may be among them, but none of `rows`."""
-    both = rows.select("scope", "body", F.lit(1).alias("asks"), F.lit(0).alias("owns")).union(owners.select("scope", "body", F.lit(0), F.lit(1)))
-    # a text is looked for and looked into once, however many rows have it
-    texts = both.where("body <> '' AND scope IS NOT NULL").groupBy("scope", "body").agg(F.max("asks").alias("asks"), F.max("owns").alias("owns"))
-    texts = written(texts.withColumn("salt", F.xxhash64("scope")).withColumn("number", F.xxhash64("scope", "body")))
-    own = texts.where("owns = 1")
+    salt = F.xxhash64("scope").alias("salt")
+    asking = written(asked(rows.where("scope IS NOT NULL").select(salt, "body")))
     # two texts of one number would only be looked into for each other's grams too
-    wanted = kept(own).join(asked(texts.where("owns = 0")), "gram").groupBy("number").agg(F.collect_list(F.struct("gram", "shapes")).alias("wanted"))
-    return own.where("asks = 1").select("scope", F.expr(_KEY).alias("key")).union(cut(own.join(wanted, "number"))).distinct()
+    own = owners.where("scope IS NOT NULL").select("scope", salt, F.xxhash64("scope", "body").alias("number"), "body")
+    near = written(kept(own, asking))
+    wanted = near.select("number", F.explode("grams").alias("gram")).join(asking, "gram").groupBy("number").agg(F.collect_set(F.struct("gram", "shapes")).alias("wanted"))
+    equal = owners.where("body <> '' AND scope IS NOT NULL").select("scope", F.expr(_KEY).alias("key"))
+    return equal.union(cut(near.drop("grams").join(wanted, "number"))).distinct()
 
 
 def contained(rows: DataFrame, owners: DataFrame) -> DataFrame:

@@ -92,3 +92,18 @@ def test_long_and_periodic_texts_inside_owners(spark):
     got = contained(spark.createDataFrame(rows, ROWS).repartition(3), spark.createDataFrame([("x", f"o{k}", t, [], [], 0) for k, t in enumerate(whole)], ROWS))
     want = {r[1] for r in rows if any(r[2] in t for t in whole)}
     assert {r.id for r in got.collect()} == want and 150 < len(want) < 300
+
+
+def test_owners_without_what_is_asked_for_go_no_further(spark):
+    """Only owners that may hold a text are stored and shuffled with theirs; every gram that is asked for has its marks."""
+    from pyspark.sql import functions as F
+
+    from ledgerlens.operators.increments import asked, kept
+
+    rng = random.Random(8)
+    text = lambda: "".join(rng.choices("abcdefgh", k=150))
+    owners = [text() for _ in range(300)]
+    rows = [t[20:80] for t in owners[:30]] + [t[3:147] for t in owners[30:40]] + [text() for _ in range(200)]
+    frame = lambda texts: spark.createDataFrame([("x", k, t) for k, t in enumerate(texts)], "scope string, number long, body string").withColumn("salt", F.xxhash64("scope"))
+    near = kept(frame(owners), asked(frame(rows))).collect()
+    assert {r.number for r in near} >= set(range(40)) and len(near) < 60 and all(r.grams for r in near)
