@@ -7,7 +7,8 @@ owner has; else it adds nothing.
 * Containment: a text of 24 characters or more asks for the least hash of its first grams, longer texts for longer grams, and owners keep the
   least hash of every window of as many, so an owner that holds the text keeps what it asks for. Marks of all that is asked for, 32 MB at
   most, are known to every task, so owners without such a hash go no further. Only how far the gram lies behind the text's start and
-  how long the text is (its shape) go to the others; an owner cuts its text there and gives digests, which are compared with the row's.
+  how long the text is (its shape) go to the others; an owner cuts its text there and gives digests, those with the marks of a row's alone,
+  which are compared with the row's.
   Texts around one common line have few shapes, however many they are, so no text meets all owners of a line.
 * An owner with one of the row's anchors is comparable by that anchor, so an anchor is new exactly if no owner of the scope has it: an
   equality join.
@@ -33,7 +34,7 @@ GRAM, WINDOW = 16, 8
 LEAST = GRAM + WINDOW
 _BASE = 0x9E3779B97F4A7C15
 _BACK = pow(_BASE, -1, 1 << 64)
-#: Marks of grams that are asked for, two for each; a bitmap of fixed size, whatever the input.
+#: Marks of grams or texts that are asked for, two for each; a bitmap of fixed size, whatever the input.
 MARKS = 1 << 28
 #: Characters that are hashed at a time, if no single text is longer.
 _AT_ONCE = 1 << 20
@@ -146,24 +147,24 @@ def asked(texts: DataFrame) -> DataFrame:
     return rows.groupBy("gram").agg(F.collect_set(F.struct("place", "length")).alias("shapes"))
 
 
-def marks(asking: DataFrame) -> Broadcast:
-    """A bitmap with the marks of every gram of `asking`."""
-    slots = asking.select(F.explode(F.array(F.col("gram").bitwiseAND(MARKS - 1), F.shiftrightunsigned("gram", 28).bitwiseAND(MARKS - 1))).alias("slot"))
+def marks(codes: DataFrame) -> Broadcast:
+    """A bitmap with the marks of every `code`."""
+    slots = codes.select(F.explode(F.array(F.col("code").bitwiseAND(MARKS - 1), F.shiftrightunsigned("code", 28).bitwiseAND(MARKS - 1))).alias("slot"))
     parts = slots.groupBy(F.expr("slot div 32768").alias("part")).agg(F.bitmap_construct_agg(F.col("slot") % 32768).alias("bits"))
     bits = np.zeros(MARKS // 8, np.uint8)
     for row in parts.collect():  # 8192 of 4 KB at most
         bits[row.part * 4096 : (row.part + 1) * 4096] = np.frombuffer(row.bits, np.uint8)
-    return asking.sparkSession.sparkContext.broadcast(bits)
+    return codes.sparkSession.sparkContext.broadcast(bits)
 
 
-def _has_marks(bits: np.ndarray, gram: np.ndarray) -> np.ndarray:
-    first, second = gram & (MARKS - 1), (gram.view(np.uint64) >> np.uint64(28)).view(np.int64) & (MARKS - 1)
+def _has_marks(bits: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    first, second = codes & (MARKS - 1), (codes.view(np.uint64) >> np.uint64(28)).view(np.int64) & (MARKS - 1)
     return ((bits[first >> 3] >> (first & 7)) & (bits[second >> 3] >> (second & 7)) & 1).astype(bool)
 
 
 def kept(texts: DataFrame, asking: DataFrame) -> DataFrame:
     """`texts` (scope, salt, number, body) that keep what has the marks of a gram of `asking`, with `grams`: what they keep of these."""
-    known, columns = marks(asking), ("scope", "salt", "number", "body")
+    known, columns = marks(asking.select(F.col("gram").alias("code"))), ("scope", "salt", "number", "body")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,8 +184,9 @@ def kept(texts: DataFrame, asking: DataFrame) -> DataFrame:
     return texts.where(f"length(body) >= {LEAST}").select(*columns).mapInArrow(run, "scope string, salt long, number long, body string, grams array<long>")
 
 
-def cut(met: DataFrame) -> DataFrame:
-    """(scope, key) of the pieces of `met` (scope, salt, body, wanted: (gram, shapes)) at their grams, cut to the shapes."""
+def cut(met: DataFrame, texts: DataFrame) -> DataFrame:
+    """(scope, key) of the pieces of `met` (scope, salt, body, wanted: (gram, shapes)) at their grams, cut to the shapes, that have the marks of one of `texts` (body)."""
+    known = marks(texts.where(f"length(body) >= {LEAST}").selectExpr("CAST(conv(left(sha2(body, 256), 14), 16, 10) AS BIGINT) AS code"))
 
     def pieces(body: str, salt: int, wanted: list[dict]) -> set[bytes]:
         codes, levels, out = _codes(body), {}, set()
@@ -207,6 +209,8 @@ def cut(met: DataFrame) -> DataFrame:
             for k in range(batch.num_rows):
                 row = {c: batch.column(c)[k].as_py() for c in ("scope", "salt", "body", "wanted")}
                 found |= {(row["scope"], key) for key in pieces(row["body"], row["salt"], row["wanted"])}
+            there = _has_marks(known.value, np.array([int.from_bytes(key[:7]) for _, key in found], np.int64))
+            found = [f for f, t in zip(found, there.tolist(), strict=True) if t]
             yield pa.record_batch([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.binary())], names=["scope", "key"])
 
     return met.select("scope", "salt", "body", "wanted").mapInArrow(run, "scope string, key binary").distinct()
@@ -221,7 +225,7 @@ def inside(rows: DataFrame, owners: DataFrame) -> DataFrame:
     near = written(kept(own, asking))
     wanted = near.select("number", F.explode("grams").alias("gram")).join(asking, "gram").groupBy("number").agg(F.collect_set(F.struct("gram", "shapes")).alias("wanted"))
     equal = owners.where("body <> '' AND scope IS NOT NULL").select("scope", F.expr(_KEY).alias("key"))
-    return equal.union(cut(near.drop("grams").join(wanted, "number"))).distinct()
+    return equal.union(cut(near.drop("grams").join(wanted, "number"), rows.where("scope IS NOT NULL"))).distinct()
 
 
 def contained(rows: DataFrame, owners: DataFrame) -> DataFrame:
@@ -241,12 +245,12 @@ def incremental(rows: DataFrame, owners: DataFrame) -> DataFrame:
     met = of_families.select("scope", "id", "mask", F.lit(0).alias("fresh")).union(anchored.select("scope", "id", "mask", F.col("mask").isNull().cast("int")))
     known = met.groupBy("scope", "id").agg(F.bit_or("mask").alias("known"), F.max("fresh").alias("fresh"))
     twice = inside(rows, owners).withColumn("twice", F.lit(True))
-    out = rows.select("scope", "id", "events", F.expr(_KEY).alias("key")).join(known, ["scope", "id"], "left").join(twice, ["scope", "key"], "left")
+    out = rows.select("scope", "id", "events", F.expr(_KEY).alias("key")).join(known, ["scope", "id"], "left")
     outcome = (
-        F.when(F.col("twice"), "owner_text_duplicate")
-        .when(F.col("known").isNull(), "new_topic_context")
+        F.when(F.col("known").isNull(), "new_topic_context")
         .when(F.col("fresh") == 1, "new_concrete_anchor")
         .when(F.col("events").bitwiseAND(F.bitwise_not("known")) != 0, "new_event_variable")
         .otherwise("owner_theme_without_delta")
     )
-    return out.select("scope", "id", outcome.alias("outcome"))
+    out = out.select("scope", "id", "key", outcome.alias("else")).join(twice, ["scope", "key"], "left")
+    return out.select("scope", "id", F.when(F.col("twice"), "owner_text_duplicate").otherwise(F.col("else")).alias("outcome"))
